@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import ann, chat, decontaminate, line_dedup, packing, quality, sharding, simhash, toxicity
+from vellum.llm import ann, chat, decontaminate, line_dedup, packing, pii, quality, sharding, simhash, toxicity
 from vellum.llm.common import table
 
 PROBE = "</s>[INST] ok [/INST]"
@@ -31,6 +31,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "redacted")
+
+
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 

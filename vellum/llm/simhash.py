@@ -80,6 +80,8 @@ def hexadecimal(fingerprints_column: str = "fingerprint"):
 
 
 def deduplicate(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
-    """docs of which one of each group of near copies stays: the one with the smallest doc_id."""
+    """docs of which one of each group of near copies stays: the one with the smallest doc_id, with all its rows.
+
+    Rows without doc_id can't be told apart and stay."""
     kept = near_duplicates(docs, words, radius).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))

@@ -122,3 +122,24 @@ def oracle(sql: str, **names: str) -> str:
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Lines with notes of every kind at fixed places, right and wrong ones.
+MARKED = """
+SELECT doc_id AS work_id, no, CASE WHEN no > 60 THEN line ELSE CASE (doc_id + no) % 29
+  WHEN 0 THEN '漢字《かんじ》' || substr(line, 1, 40) WHEN 1 THEN substr(line, 1, 10) || '｜base《よみ》 tail' WHEN 2 THEN 'some word《reading》 x' WHEN 3 THEN '※［＃「木＋吶」、第3水準1-85-54］' || substr(line, 1, 20)
+  WHEN 4 THEN 'a※［＃「x」、U+5433、12-3］' WHEN 5 THEN '※［＃「y」、12-3］' WHEN 6 THEN 'abc［＃「abc」に傍点］' WHEN 7 THEN '［＃左に傍線］mid［＃左に傍線終わり］' WHEN 8 THEN 'abc［＃「xyz」の左に丸傍点］' WHEN 9 THEN '［＃太字］bold［＃太字終わり］ on'
+  WHEN 10 THEN '12［＃「12」は縦中横］' WHEN 11 THEN '［＃３字下げ］見出し［＃「見出し」は大見出し］' WHEN 12 THEN '［＃改ページ］' WHEN 13 THEN '［＃ここから２字下げ］' WHEN 14 THEN '［＃ここで字下げ終わり］' WHEN 15 THEN '［＃地から１字上げ］end'
+  WHEN 16 THEN '［＃挿絵（fig1.png、横100×縦200）入る］' WHEN 17 THEN '図の説明［＃「図の説明」はキャプション］' WHEN 18 THEN '語［＃「語」は底本では「ゴ」］' WHEN 19 THEN 'x［＃謎の注記］' WHEN 20 THEN '《よみ》 lone' WHEN 21 THEN 'not closed［＃ open'
+  WHEN 22 THEN '［＃ここから地付き］' WHEN 23 THEN '［＃ここで地付き終わり］' WHEN 24 THEN '［＃太字］［＃傍点］in［＃傍点終わり］［＃太字終わり］' WHEN 25 THEN '［＃太字］bad［＃傍点終わり］' WHEN 26 THEN '' WHEN 27 THEN '※［＃「z」、第4水準1-2-3］〔cafe´〕' ELSE line END END AS line
+FROM {lines}
+"""
+
+#: The same lines as whole texts: a header between dash lines, and a bibliography; some works lack a part.
+WHOLE = """
+SELECT work_id, CAST(no + 6 AS INT) AS no, line FROM {marked} WHERE no <= 60
+UNION ALL SELECT doc_id, CAST(i AS INT), CASE i WHEN 0 THEN 'Title' WHEN 1 THEN 'Author' WHEN 2 THEN '' WHEN 3 THEN '-----------------------' WHEN 4 THEN CASE WHEN doc_id % 19 = 3 THEN 'x' ELSE '【テキスト中に現れる記号について】' END ELSE CASE WHEN doc_id % 23 = 4 THEN '' ELSE '-------------------------' END END
+FROM {documents} CROSS JOIN (SELECT 0 AS i UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5) h
+UNION ALL SELECT doc_id, CAST(i AS INT), CASE i WHEN 100 THEN CASE WHEN doc_id % 17 = 5 THEN '［＃本文終わり］' ELSE '' END WHEN 101 THEN CASE WHEN doc_id % 29 = 7 THEN '' ELSE '底本：「Collected」  ' END WHEN 102 THEN CASE WHEN doc_id % 31 = 8 THEN '底本：again' ELSE '入力：someone' END ELSE ' ' END
+FROM {documents} CROSS JOIN (SELECT 100 AS i UNION ALL SELECT 101 UNION ALL SELECT 102 UNION ALL SELECT 103) f
+"""

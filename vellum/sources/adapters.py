@@ -143,3 +143,14 @@ FROM {documents} CROSS JOIN (SELECT 0 AS i UNION ALL SELECT 1 UNION ALL SELECT 2
 UNION ALL SELECT doc_id, CAST(i AS INT), CASE i WHEN 100 THEN CASE WHEN doc_id % 17 = 5 THEN '［＃本文終わり］' ELSE '' END WHEN 101 THEN CASE WHEN doc_id % 29 = 7 THEN '' ELSE '底本：「Collected」  ' END WHEN 102 THEN CASE WHEN doc_id % 31 = 8 THEN '底本：again' ELSE '入力：someone' END ELSE ' ' END
 FROM {documents} CROSS JOIN (SELECT 100 AS i UNION ALL SELECT 101 UNION ALL SELECT 102 UNION ALL SELECT 103) f
 """
+
+
+#: Pages with ruby, pictures, marks and active content put in at fixed places.
+MARKUP = """
+SELECT page_id, replace(replace(html, '<article>', '<article>' || CASE page_id % 5
+  WHEN 0 THEN '<div class="jisage_3"><ruby><rb>base</rb><rp>(</rp><rt>reading</rt><rp>)</rp></ruby></div>' WHEN 1 THEN '<em class="sesame_dot_after">mark</em><em class="underline_solid">line</em><span class="futoji">bold</span><ruby><rb>two</rb><rb>bases</rb><rt>x</rt></ruby>'
+  WHEN 2 THEN '<img class="gaiji" src="https://library.example/gaiji/1-85/1-85-54.png" alt="glyph"><img class="illustration" src="https://library.example/cards/000001/files/fig1.png" alt="a" width="100" height="2x">'
+  WHEN 3 THEN '<h3 class="o-midashi">head</h3><span class="dai2">big</span><span class="odd">odd</span><img src="https://elsewhere.example/a.png" alt="b" width="10" height="20">' ELSE '<form><input value="text"><button onclick="go()">press</button></form><a href="JavaScript:run()">x</a>' END),
+  '</article>', CASE WHEN page_id % 7 = 3 THEN '</article>loose' WHEN page_id % 11 = 4 THEN '</article><article>again</article>' ELSE '</article>' END) AS html
+FROM {pages}
+"""

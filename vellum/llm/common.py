@@ -34,22 +34,37 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def chosen(ids: DataFrame, rows: int, n: int | None = None, ample: int = 4) -> DataFrame:
+    """At most ``rows`` of the doc_ids, those with the smallest hashes.
+
+    Hashes beyond ``ample`` times the share that is needed of ``n`` ids are left out first, so that the tasks
+    together send about that many ids to be ordered, however large the table is."""
+    n = ids.count() if n is None else n
+    part = min(1.0, ample * rows / max(n, 1))
+    low = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(part * (1 << 30))
+    return ids.where(low).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable, rows: int, text_bytes: int) -> list[tuple[str, int]]:
     """At most ``rows`` texts of at most ``text_bytes`` bytes with their label, chosen by a hash of doc_id.
 
     ``usable`` is the condition on doc_id under which a label may be learnt from. Half of the rows at most go to
-    each label, so a rare label isn't crowded out. Only this bounded sample reaches the driver.
+    each label, so a rare label isn't crowded out. Only this bounded sample reaches the driver; where a label has
+    too few short texts among those chosen, its part is smaller.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & usable).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-    order = [F.xxhash64("doc_id"), "doc_id"]
-    # text lengths are bounded after the join, so twice the rows are asked for
-    picked = known.where("label = 0").orderBy(*order).limit(rows).unionAll(known.where("label = 1").orderBy(*order).limit(rows))
-    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").where(F.octet_length("text") <= text_bytes)
+    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    # text lengths are bounded after the join, so more ids are taken than rows are needed
+    picked = [chosen(known.where(F.col("label") == k), rows, counts[k]) for k in (0, 1) if k in counts]
+    if not picked:
+        return []
+    ids = picked[0].unionAll(picked[1]) if len(picked) > 1 else picked[0]
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id").where(F.octet_length("text") <= text_bytes)
+    got: dict[int, list[str]] = {0: [], 1: []}
+    for r in found.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        got[r["label"]].append(r["text"])
     half = max(rows // 2, 1)
-    got = []
-    for k in (0, 1):
-        got += found.where(F.col("label") == k).orderBy(*order, "text").limit(half).collect()
-    return [(r["text"], r["label"]) for r in got]
+    return [(t, k) for k in (0, 1) for t in got[k][:half]]
 
 
 def appended(df: DataFrame, ddl: str, make: Callable[[], Callable[[pa.RecordBatch], list]], rows: int = 256) -> DataFrame:

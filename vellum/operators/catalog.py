@@ -22,6 +22,7 @@ COLUMNS = WORK_COLUMNS + PERSON_COLUMNS
 ROLES = {"著者": "author", "翻訳者": "translator", "編者": "editor", "校訂者": "reviser", "その他": "other"}
 FREE, PROTECTED = "なし", "あり"
 HOST = "https://library.example"
+PATHS = {"xhtml": "html", "text": "zip"}
 
 
 def trim_rows(rows: DataFrame) -> DataFrame:
@@ -104,7 +105,10 @@ def validate_works(rows: DataFrame, host: str = HOST) -> DataFrame:
     The order of the rules: ID, agreement of rows, copyright flag, title, orthography, card, dates, people in row
     order, and the card's person among them.
     """
-    works = group_works(rows).join(inconsistent_columns(rows), "work_id", "left").join(_person_faults(rows), "work_id")
+    rows = rows.repartition("work_id")  # one exchange for both aggregations and the window between
+    own = [c for c in WORK_COLUMNS if c != "work_id"]
+    works = rows.groupBy("work_id").agg(F.min("row_no").alias("first_row"), F.count(F.lit(1)).alias("n_rows"), F.coalesce(*(F.when(F.min(c) != F.max(c), F.lit(c)) for c in own)).alias("column"), *(F.min_by(c, "row_no").alias(c) for c in own))
+    works = works.join(_person_faults(rows), "work_id")
     rule = lambda broken, code, detail: F.when(broken, F.struct(F.lit(code).alias("code"), detail.alias("detail")))
     first = F.coalesce(
         rule(~F.col("work_id").rlike("^[0-9]{6}$"), "invalid-field", F.lit("work_id")),
@@ -128,17 +132,21 @@ def card_person_member(rows: DataFrame, host: str = HOST) -> DataFrame:
 
 def body_refs(works: DataFrame, host: str = HOST) -> DataFrame:
     """(work_id, path, url, updated, encoding, note): one row per body URL of a work; note says why it can't be used."""
-    long = works.select("work_id", "card_url", F.inline(F.array(*(F.struct(F.lit(p).alias("path"), F.lit(e).alias("extension"), F.col(f"{p}_url").alias("url"), F.col(f"{p}_updated").alias("updated"), F.col(f"{p}_encoding").alias("encoding")) for p, e in (("xhtml", "html"), ("text", "zip"))))))
-    owned = F.when(F.col("extension") == "html", owned_body(F.col("url"), F.col("card_url"), F.col("work_id"), "html", host)).otherwise(owned_body(F.col("url"), F.col("card_url"), F.col("work_id"), "zip", host))
-    note = F.coalesce(F.when(~owned, F.lit("external-body-url")), F.when(~is_calendar_date("updated"), F.lit("invalid-body-date")), F.when(~F.col("encoding").isin("ShiftJIS", "UTF-8"), F.lit("unsupported-encoding")))
-    return long.where("url <> ''").select("work_id", "path", "url", "updated", "encoding", note.alias("note"))
+    each = F.array(*(F.struct(F.lit(p).alias("path"), F.col(f"{p}_url").alias("url"), F.col(f"{p}_updated").alias("updated"), F.col(f"{p}_encoding").alias("encoding"), _note(p, e, host).alias("note")) for p, e in PATHS.items()))
+    return works.select("work_id", F.inline(each)).where("url <> ''")
+
+
+def _note(path: str, extension: str, host: str) -> Column:
+    """Why a path's body can't be used; null if it can."""
+    owned = owned_body(F.col(f"{path}_url"), F.col("card_url"), F.col("work_id"), extension, host)
+    return F.coalesce(F.when(~owned, F.lit("external-body-url")), F.when(~is_calendar_date(f"{path}_updated"), F.lit("invalid-body-date")), F.when(~F.col(f"{path}_encoding").isin("ShiftJIS", "UTF-8"), F.lit("unsupported-encoding")))
 
 
-def select_bodies(valid: DataFrame, refs: DataFrame) -> DataFrame:
-    """(work_id, outcome, sources): free works with a usable body are fetched, the page first; others say why not."""
-    usable = refs.where("note IS NULL").groupBy("work_id").agg(F.array_join(F.array_sort(F.collect_set(F.when(F.col("path") == "xhtml", "1xhtml").otherwise("2text"))), ",").alias("s"))
-    outcome = F.when(F.col("work_copyright") != FREE, "copyright-active").when(F.col("s").isNull(), "no-body").otherwise("fetch")
-    return valid.join(usable, "work_id", "left").select("work_id", outcome.alias("outcome"), F.when(outcome == "fetch", F.regexp_replace("s", "[12]", "")).otherwise("").alias("sources"))
+def select_bodies(valid: DataFrame, host: str = HOST) -> DataFrame:
+    """valid with outcome and sources: free works with a usable body are fetched, the page first; others say why not."""
+    usable = F.array_compact(F.array(*(F.when((F.col(f"{p}_url") != "") & _note(p, e, host).isNull(), F.lit(p)) for p, e in PATHS.items())))
+    outcome = F.when(F.col("work_copyright") != FREE, "copyright-active").when(F.size(usable) == 0, "no-body").otherwise("fetch")
+    return valid.withColumn("outcome", outcome).withColumn("sources", F.when(F.col("outcome") == "fetch", F.array_join(usable, ",")).otherwise(""))
 
 
 def check_works(works: DataFrame, people: DataFrame, refs: DataFrame, host: str = HOST) -> DataFrame:
@@ -154,11 +162,12 @@ def check_works(works: DataFrame, people: DataFrame, refs: DataFrame, host: str
     return faults.unionByName(repeated).unionByName(refs.where("note IS NOT NULL").select("work_id", F.lit("ref").alias("problem")).distinct()).distinct()
 
 
-def build_search_catalog(valid: DataFrame, selected: DataFrame, people: DataFrame) -> DataFrame:
+def build_search_catalog(selected: DataFrame, people: DataFrame) -> DataFrame:
     """Shippable works in ID order: light columns, people as role:name, no person IDs; optional columns null if empty."""
-    names = people.groupBy("work_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "role", "name", "reading"))), lambda p: F.concat(p["role"], F.lit(":"), p["name"])), "|").alias("people"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "role", "name", "reading"))), lambda p: p["reading"]), "|").alias("readings"))
+    listed = people.groupBy("work_id").agg(F.array_sort(F.collect_list(F.struct("position", "role", "name", "reading"))).alias("p"))
+    names = listed.select("work_id", F.array_join(F.transform("p", lambda p: F.concat(p["role"], F.lit(":"), p["name"])), "|").alias("people"), F.array_join(F.transform("p", lambda p: p["reading"]), "|").alias("readings"))
     light = ["title", "title_reading", "sort_reading", "subtitle", "orthography", "classification"]
-    shipped = valid.join(selected.where("outcome = 'fetch'").select("work_id"), "work_id").join(names, "work_id")
+    shipped = selected.where("outcome = 'fetch'").join(names, "work_id")
     return shipped.select("work_id", *(F.nullif(F.col(c), F.lit("")).alias(c) for c in light), "people", "readings").orderBy("work_id")
 
 

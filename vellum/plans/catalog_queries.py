@@ -66,16 +66,13 @@ def _valid(rows):
 
 
 def _search(rows):
-    valid = _valid(rows)
-    return c.build_search_catalog(valid, c.select_bodies(valid, c.body_refs(valid)), c.dedupe_people(rows))
+    return c.build_search_catalog(c.select_bodies(_valid(rows)), c.dedupe_people(rows.repartition("work_id")))
 
 
 @query("catalog_outcomes", "SELECT outcome, count(*) AS works FROM (SELECT outcome FROM sel UNION ALL SELECT split_part(broken, '/', 1) FROM checked WHERE broken IS NOT NULL) GROUP BY outcome")
 def catalog_outcomes(spark, sf):
     checked = c.validate_works(_rows(spark, sf))
-    valid = checked.where("code IS NULL")
-    outcomes = c.select_bodies(valid, c.body_refs(valid)).select("outcome").unionAll(checked.where("code IS NOT NULL").select("code"))
-    return outcomes.groupBy("outcome").agg(F.count(F.lit(1)).alias("works"))
+    return c.select_bodies(checked).select(F.coalesce("code", "outcome").alias("outcome")).groupBy("outcome").agg(F.count(F.lit(1)).alias("works"))
 
 
 @query("group_works", f"SELECT work_id, first_row, n_rows, {', '.join(_own)} FROM works")
@@ -139,8 +136,7 @@ def check_works(spark, sf):
 
 @query("select_bodies", "SELECT * FROM sel")
 def select_bodies(spark, sf):
-    valid = _valid(_rows(spark, sf))
-    return c.select_bodies(valid, c.body_refs(valid))
+    return c.select_bodies(_valid(_rows(spark, sf))).select("work_id", "outcome", "sources")
 
 
 @query("build_search_catalog", "SELECT * FROM search")

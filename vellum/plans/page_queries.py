@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from vellum.operators import images as im
 from vellum.operators import markup as m
 from vellum.plans.block_queries import UNSEEN
+from vellum.sources import readers
 from vellum.sources.adapters import IMAGE_REFS, INVENTORY, MARKUP, oracle, read, view
 
 QUERIES: dict = {}
@@ -191,3 +192,26 @@ def check_asset_rows(spark, sf):
     ar = re.search(r"ar AS \((.*)\)\s*$", BASE, re.S)[1].replace("FROM rf", "FROM {rf}")
     rows = view(spark, ar, rf=_refs(spark, sf)).withColumn("parts", F.array("p1", "p2"))
     return im.check_asset_rows(rows)
+
+
+PICTURES = """
+SELECT page_id, 'https://library.example/i/' || CAST(page_id AS STRING) AS url,
+  CASE page_id % 4 WHEN 0 THEN '89504E470D0A1A0A0000000D49484452' || lpad(hex(10 + page_id % 300), 8, '0') || lpad(hex(20 + page_id % 200), 8, '0') || '0806000000' || CASE WHEN page_id % 20 = 0 THEN '' ELSE '0000000049454E44AE426082' END
+    WHEN 1 THEN '474946383961' || lpad(hex(1 + page_id % 200), 2, '0') || '00' || lpad(hex(1 + page_id % 100), 2, '0') || '000000003B'
+    WHEN 2 THEN 'FFD8FFE00004AABB' || CASE WHEN page_id % 12 = 2 THEN 'FFC2' ELSE 'FFC0' END || '000B08' || lpad(hex(5 + page_id % 250), 4, '0') || lpad(hex(6 + page_id % 250), 4, '0') || '01011100FFD9' ELSE '00' END AS h
+FROM {pages}
+"""
+
+
+@query("image_inventory", f""", pic AS ({PICTURES.format(pages="pages")}) SELECT url, sha256(unhex(h)) AS sha256, CAST(length(h) // 2 AS BIGINT) AS byte_length, CASE WHEN ok THEN mime END AS mime, CASE WHEN ok THEN w END AS width, CASE WHEN ok THEN hh END AS height, CASE WHEN NOT ok THEN 'invalid-image' END AS code FROM (
+  SELECT url, h, CASE page_id % 4 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/gif' ELSE 'image/jpeg' END AS mime, CAST(CASE page_id % 4 WHEN 0 THEN 10 + page_id % 300 WHEN 1 THEN 1 + page_id % 200 ELSE 6 + page_id % 250 END AS INT) AS w, CAST(CASE page_id % 4 WHEN 0 THEN 20 + page_id % 200 WHEN 1 THEN 1 + page_id % 100 ELSE 5 + page_id % 250 END AS INT) AS hh, page_id % 4 <> 3 AND page_id % 20 <> 0 AND page_id % 12 <> 2 AS ok FROM pic)""")
+def image_inventory(spark, sf):
+    pictures = view(spark, PICTURES, pages=read(spark, sf, "pages"))
+    return readers.image_inventory(pictures.select("url", F.unhex("h").alias("content")))
+
+
+@query("decode_bodies", "SELECT doc_id AS work_id, 'xhtml' AS path, CASE WHEN doc_id % 7 <> 2 THEN sha256(coalesce(text, '')) END AS sha256, CASE WHEN doc_id % 7 = 2 THEN 'decode-error' END AS error FROM documents")
+def decode_bodies(spark, sf):
+    text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    files = read(spark, sf, "documents").select(F.col("doc_id").alias("work_id"), F.lit("xhtml").alias("path"), F.lit("UTF-8").alias("encoding"), F.when(F.col("doc_id") % 7 == 2, F.concat(text, F.unhex(F.lit("FF")))).otherwise(text).alias("content"))
+    return readers.decode_bodies(files).select("work_id", "path", F.sha2("text", 256).alias("sha256"), "error")

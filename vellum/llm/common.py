@@ -61,7 +61,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable, rows
     ids = picked[0].unionAll(picked[1]) if len(picked) > 1 else picked[0]
     found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id").where(F.octet_length("text") <= text_bytes)
     got: dict[int, list[str]] = {0: [], 1: []}
-    for r in found.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+    for r in found.groupBy("doc_id", "label").agg(F.min("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():
         got[r["label"]].append(r["text"])
     half = max(rows // 2, 1)
     return [(t, k) for k in (0, 1) for t in got[k][:half]]

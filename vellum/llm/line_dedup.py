@@ -140,6 +140,7 @@ class LineIndex:
     filters: DataFrame
     shards: int
     least: int
+    bare: bool = False  # nothing has been inserted yet
 
     @classmethod
     def empty(cls, spark: SparkSession, shards: int | None = None, least: int = 10) -> LineIndex:
@@ -151,6 +152,7 @@ class LineIndex:
             spark.createDataFrame([], "shard int, filters array<binary>"),
             shards,
             least,
+            bare=True,
         )
 
     def _shard(self):
@@ -162,6 +164,8 @@ class LineIndex:
         batch = refs.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("refs"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).withColumn("shard", self._shard())
         probed = written(batch.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInArrow(_probe, "shard int, hi bigint, lo bigint, refs bigint, first_doc bigint, last_doc bigint, known boolean, filters array<binary>"))
         keys = probed.where("filters IS NULL")
+        if self.bare:  # every key is new
+            return LineIndex(refs, keys.select("hi", "lo", "refs", "first_doc", "last_doc"), probed.where("filters IS NOT NULL").select("shard", "filters"), self.shards, self.least)
         old = self.counts.select("hi", "lo", F.col("refs").alias("r"), F.col("first_doc").alias("f"), F.col("last_doc").alias("l"))
         met = keys.where("known").join(old, ["hi", "lo"], "left").select("hi", "lo", (F.col("refs") + F.coalesce("r", F.lit(0))).alias("refs"), F.least("first_doc", "f").alias("first_doc"), F.greatest("last_doc", "l").alias("last_doc"))
         same = self.counts.join(keys.where("known").select("hi", "lo"), ["hi", "lo"], "left_anti")

@@ -324,7 +324,7 @@ def fit_on(docs: DataFrame, rows: int = 1500, text_bytes: int = 20_000) -> Finde
     """The network from at most ``rows`` texts with a sign or digits, of at most ``text_bytes`` bytes, chosen by hash of doc_id."""
     some = docs.where(F.octet_length("text").between(1, text_bytes) & F.col("text").rlike(r"@|[0-9]{3}|\+[0-9]")).select("doc_id", "text")
     ids = chosen(some.select("doc_id"), rows, docs.count(), ample=40)  # the texts themselves stay where they are
-    found = some.join(F.broadcast(ids.distinct()), "doc_id").dropDuplicates(["doc_id"])
+    found = some.join(F.broadcast(ids.distinct()), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
     return fit([r["text"] for r in found.orderBy(F.xxhash64("doc_id"), "doc_id").collect()])
 
 

@@ -1,0 +1,441 @@
+"""The ten operators on small tables: brute force, round trips, and nulls, empty texts, ties, repeats and extra columns."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from vellum.llm import ann, chat, components, crf, decontaminate, line_dedup, packing, pii, quality, sharding, simhash, toxicity
+
+DOCS = "doc_id bigint, text string, spans string, shard string, slot string, keys string, n_lines string, fingerprint string, items string"
+LONG = "word " * 30_000
+
+
+def docs_of(spark, texts, repeat=True):
+    """Documents with extra columns whose names clash with results; one row has no doc_id, and the first comes twice."""
+    rows = [(i, t, *["x"] * 7) for i, t in enumerate(texts)]
+    rows += [(None, "no id", *["x"] * 7)] + ([rows[0]] if repeat else [])
+    return spark.createDataFrame(rows, DOCS)
+
+
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+ODD = [None, "", " ", "\n\n", LONG, "Ünïcödé 😀 text.\nline two", "a", "same text here", "same text here"]
+
+
+# 1 chat
+def turns(spark, rows):
+    return spark.createDataFrame([(*r[:3], [r[3]] if isinstance(r[3], tuple) else r[3], "x") for r in rows], f"conv_id bigint, turn bigint, role string, parts {chat.PARTS}, formatted string")
+
+
+def said(text):
+    return [("text", text, None, None)]
+
+
+def test_chat_round_trip(spark):
+    rng = random.Random(3)
+    pieces = ["<|", "|>", "<~|", "~", "</s>", "<s>", "[INST]", "[/INST]", "<<SYS>>", "<|end|>\n", "\n", "a", "é😀", "<", "[", "|", ""]
+    texts = ["".join(rng.choices(pieces, k=rng.randint(0, 12))) for _ in range(300)]
+    rows = [(i // 6, i % 6, ["user", "assistant", "a|b\n%<|"][i % 3], said(t)) for i, t in enumerate(texts)]
+    f = chat.format_conversations(turns(spark, rows))
+    got = {r["conv_id"]: r for r in f.select("*", chat.read_turns(F.col("formatted")).alias("t")).collect()}
+    for c in range(50):
+        mine = rows[6 * c : 6 * c + 6]
+        assert [(t["role"], t["text"]) for t in got[c]["t"]] == [(r[2], r[3][0][1]) for r in mine]
+        assert "".join(s["text"] for s in got[c]["segments"]) == got[c]["formatted"]
+        for mark in ("</s>", "[INST]", "<<SYS>>"):
+            assert mark not in got[c]["formatted"]
+    digest = {r["conv_id"]: r for r in chat.conversation_digests(f).collect()}
+    for c in range(50):
+        loss = "".join(r[3][0][1] for r in rows[6 * c : 6 * c + 6] if r[2] == "assistant")
+        whole = "".join(f"{r[2]}\n{r[3][0][1]}\n" for r in rows[6 * c : 6 * c + 6])
+        assert digest[c]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest() and digest[c]["loss_chars"] == len(loss)
+        assert digest[c]["turns_sha256"] == hashlib.sha256(whole.encode()).hexdigest() and digest[c]["n_turns"] == 6
+
+
+def test_chat_parts_and_odd_rows(spark):
+    rows = [
+        (1, 1, "user", [("text", "see ", None, None), ("image", None, "s3/a", 3), ("audio", None, "b", None), ("hologram", None, "c", 2), ("text", " end", None, None)]),
+        (1, 0, None, said(None)), (1, 2, "assistant", None), (1, 2, "assistant", None), (None, None, "user", said("x")),
+    ]
+    got = {r["conv_id"]: r for r in chat.format_conversations(turns(spark, rows)).collect()}
+    assert [(a["turn"], a["part"], a["kind"], a["ref"], a["tokens"]) for a in got[1]["attachments"]] == [(1, 1, "image", "s3/a", 768), (1, 2, "audio", "b", 0), (1, 3, "hologram", "c", 0)]
+    assert got[1]["expanded_tokens"] == 768 and "see <|image|><|audio|><|hologram|> end" in got[1]["formatted"]
+    assert got[1]["formatted"].count("<|assistant|>") == 2 and None in got
+    assert chat.format_conversations(turns(spark, [])).count() == 0
+
+
+# 2 sharding
+def test_shards(spark):
+    d = docs_of(spark, ODD + [f"t{i}" for i in range(3000)])
+    got = sharding.shard_documents(d, 7).collect()
+    assert len(got) == d.count() and {r["law"] for r in got} == {"key"}
+    by = defaultdict(list)
+    for r in got:
+        by[r["shard"]].append(r["slot"])
+        assert r["grown_shard"] in (r["shard"], 7)
+    assert all(sorted(s) == list(range(len(s))) for s in by.values()) and len(by) == 7
+    assert 0.05 < sum(r["grown_shard"] == 7 for r in got) / len(got) < 0.2
+    texts = {i: t for i, t in enumerate(ODD)}
+    for r in got:
+        if r["doc_id"] is not None and r["doc_id"] < len(ODD):
+            raw = (texts[r["doc_id"]] or "").encode()
+            assert (r["size"], r["text_crc32"]) == (len(raw) + 16, zlib.crc32(raw))
+    assert sharding.shard_documents(empty(spark), 7).count() == 0
+
+
+def test_shard_weights_and_stability(spark):
+    ids = spark.range(20000).withColumnRenamed("id", "doc_id")
+    even, more = ([r["s"] for r in ids.select(sharding.rendezvous_shard("doc_id", w).alias("s")).collect()] for w in ([1, 1, 1, 1], [1, 1, 1, 1, 2]))
+    assert all(a == b or b == 4 for a, b in zip(even, more, strict=True)) and abs(sum(b == 4 for b in more) / 20000 - 1 / 3) < 0.02
+    assert [r["s"] for r in ids.repartition(3).select("doc_id", sharding.rendezvous_shard("doc_id", [1, 1, 1, 1]).alias("s")).orderBy("doc_id").collect()] == even
+
+
+# 3 nearest neighbours
+def test_nearest(spark):
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(700, 20)).astype(np.float32)
+    v[5] = v[6]
+    rows = [(i, x.tolist(), "x") for i, x in enumerate(v)]
+    bad = [(900, None, "x"), (920, [0.0] * 20, "x"), (940, [float("nan")] * 20, "x"), (960, [None] + [1.0] * 19, "x"), (980, [], "x"), (None, [1.0] * 20, "x"), (901, [1.0] * 3, "x"), (1000, [float("inf")] * 20, "x")]
+    t = spark.createDataFrame(rows + bad, "vec_id bigint, embedding array<float>, score string")
+    got = defaultdict(list)
+    for r in ann.search(t, t.where("vec_id % 20 = 0"), 7, block=150).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    d = v.astype(float)
+    hit = 0
+    assert set(got) == set(range(0, 700, 20))
+    for q, found in got.items():
+        s = d @ d[q]
+        s[q] = -np.inf
+        best = np.lexsort((np.arange(700), -s))[:7].tolist()
+        hit += len(set(best) & {i for i, _ in found})
+        assert all(abs(x - s[i]) < 1e-12 for i, x in found) and [x for _, x in found] == sorted((x for _, x in found), reverse=True)
+    assert hit / (7 * len(got)) >= 0.9
+    few = ann.search(t.where("vec_id < 3"), t.where("vec_id = 0"), 20)
+    assert few.count() == 2 and ann.search(t.limit(0), t.limit(0), 5).count() == 0
+
+
+def test_code_estimates_keep_their_bounds():
+    rng = np.random.default_rng(2)
+    v, q = rng.normal(size=(500, 48)), rng.normal(size=(30, 48))
+    turn = ann.rotation(48, 256)
+    assert np.allclose(turn @ turn.T, np.eye(48))
+    c = ann.Codes(v, turn)
+    r = q @ turn
+    error = np.abs(c.estimate(r) - q @ v.T)
+    reach = 3 * (np.linalg.norm(q, axis=1)[:, None] * c.spread + ((r.max(1) - r.min(1)) / 15 / np.sqrt(12))[:, None] / c.align) * c.norm
+    assert (error <= reach).mean() > 0.99
+
+
+# 4 and 8 classifiers
+def test_forward_backward_is_exact():
+    rng = np.random.default_rng(4)
+    for lengths in ([1], [3, 1, 5], [4, 4]):
+        n = sum(lengths)
+        s, a = rng.normal(size=n), rng.normal(size=(2, 2))
+        chains = crf.Chains(np.array(lengths))
+        p, f, b = crf.marginals(s, a, chains)
+        pairs = crf.pair_expectations(s, a, chains, f, b)
+        at, total = 0, np.zeros((2, 2))
+        for m in lengths:
+            weights, ones, counts = 0.0, np.zeros(m), np.zeros((2, 2))
+            for y in np.ndindex(*[2] * m):
+                w = np.exp(sum(s[at + i] * y[i] for i in range(m)) + sum(a[y[i], y[i + 1]] for i in range(m - 1)))
+                weights += w
+                ones += w * np.array(y)
+                for i in range(m - 1):
+                    counts[y[i], y[i + 1]] += w
+            assert np.allclose(p[at : at + m], ones / weights)
+            total += counts / weights
+            at += m
+        assert np.allclose(pairs, total)
+    assert crf.cut_lengths(np.array([5, 0, 4, 9]), 4).tolist() == [4, 1, 4, 4, 4, 1]
+
+
+CLASSIFIERS = [(quality, "quality", lambda i: ["Clean words make a line here.\nAnd one more follows it." if i % 3 else "BUY!! BUY!! NOW!! | | |\nBUY!! BUY!!", int(i % 3 > 0)]), (toxicity, "toxic", lambda i: [f"some plain words {i} stand here" + (f"\nyou zorgish{'abc'[i % 3]} one" if i % 3 == 0 else "\nyou nice one"), int(i % 3 == 0)])]
+
+
+@pytest.mark.parametrize("module,label,make", CLASSIFIERS)
+def test_classifier(spark, module, label, make):
+    texts, labels = zip(*(make(i) for i in range(400)), strict=True)
+    d = docs_of(spark, [*texts, *ODD])
+    known = spark.createDataFrame([(i, y) for i, y in enumerate(labels)] + [(None, 1), (3, None)], f"doc_id bigint, {label} int")
+    got = module.score_documents(d, known).collect()
+    assert len(got) == d.count() and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in got)
+    held = [(r["predicted"], labels[r["doc_id"]]) for r in got if r["held_out"] and r["doc_id"] is not None and r["doc_id"] < 400]
+    n, rest = (4, 2) if module is quality else (3, 1)
+    assert {r["doc_id"] for r in got if r["held_out"]} == {r["doc_id"] for r in got if r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % n == rest}
+    assert sum(a == b for a, b in held) / len(held) > 0.95
+    assert module.score_documents(empty(spark), known).count() == 0
+    assert len({r["score"] for r in module.score_documents(d, known.limit(0)).collect()}) == 1  # no labels: one score for all
+
+
+def test_toxic_spans(spark):
+    texts, labels = zip(*(CLASSIFIERS[1][2](i) for i in range(300)), strict=True)
+    tagger = toxicity.fit(list(zip(texts, labels, strict=True)))
+    d = spark.createDataFrame([(1, "é😀 ok\nyou zorgishq, one"), (2, None)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in toxicity.tag_documents(d, tagger).collect()}
+    assert ["é😀 ok\nyou zorgishq, one"[s["start"] : s["end"]] for s in got[1]["toxic_spans"]] == ["zorgishq"] and got[2]["toxic_spans"] == []
+
+
+# 5 personal data
+PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
+
+
+def plain_spans(text):
+    out = []
+    for k, p in enumerate(PATTERNS):
+        for m in re.finditer(p, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            luhn = sum(int(c) for i, d in enumerate(reversed(digits)) for c in str(int(d) * (1 + i % 2))) % 10 == 0
+            if k == 0 or k == 1 and all(int(x) <= 255 for x in m[0].split(".")) or k == 2 and 12 <= len(digits) <= 19 and luhn or k == 3 and 9 <= len(digits) <= 15:
+                out.append((m.start(), m.end(), k))
+    return sorted(out, key=lambda s: (s[0], s[2]))
+
+
+def test_base_spans():
+    rng = random.Random(9)
+    for _ in range(4000):
+        t = "".join(rng.choice("ab1.@+-() 9_\n4") for _ in range(rng.randint(0, 70)))
+        assert pii.base_spans(t) == plain_spans(t)
+    assert pii.base_spans("0" * 6000 + ".1.2.3") == [(0, 6006, 1)]
+    assert len(pii.base_spans("a" * 100_000 + "@")) == 0 and len(pii.base_spans("a@b.c_d@e.f")) == 2
+
+
+def test_personal_data(spark):
+    rng = random.Random(5)
+    make = lambda i: f"word {i} and u{i}.x@mail{i % 7}.example.com then +1 ({200 + i % 700}) 555-{1000 + i} or 10.{i % 255}.3.4 end"
+    texts = [make(rng.randint(0, 5000)) for _ in range(120)]
+    d = docs_of(spark, [*texts, *ODD])
+    got = pii.find_personal_data(d).collect()
+    assert len(got) == d.count()
+    for r in got:
+        t = r["text"] or ""
+        base = plain_spans(t)
+        assert r["base_sha256"] == hashlib.sha256(pii.joined(base).encode()).hexdigest() and r["n_email"] == sum(s[2] == 0 for s in base)
+        spans = [x for x in r["spans"].split(",") if x]
+        assert set(pii.joined(base).split(",")) - {""} <= set(spans) and all(int(x.split(":")[2]) <= len(t) for x in spans)
+        if base:
+            assert "example.com" not in r["redacted"]
+    model = pii.fit(texts)
+    found = pii.found_spans(model, [make(7001), "", "nothing here"])
+    assert len(set(found[0]) & set(plain_spans(make(7001)))) >= 2 and found[1] == [] and pii.find_personal_data(empty(spark)).count() == 0
+
+
+def test_batched_viterbi():
+    rng = np.random.default_rng(6)
+    change = rng.normal(size=(pii.LABELS, pii.LABELS))
+    some = [rng.normal(size=(n, pii.LABELS)) for n in (1, 4, 2, 5, 0)]
+    for s, got in zip(some, pii.viterbi(some, change, cells=8), strict=True):
+        if len(s):
+            best = max(np.ndindex(*[pii.LABELS] * len(s)), key=lambda y: sum(s[i, y[i]] for i in range(len(s))) + sum(change[y[i], y[i + 1]] for i in range(len(s) - 1)))
+            assert got.tolist() == list(best)
+
+
+# 6 packing
+def test_packing(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    t = tokenizers.Tokenizer.from_file(packing.tokenizer_path())
+    texts = [*ODD, "A sentence. Another one! And  two   spaces\t\ttabs \n\n end", "<|endoftext|> x<|endoftext|>", "it's we'll 12 3.4 ----- \x1c\x85   z", *(f"Text {i}. " * (i % 90) for i in range(200))]
+    d = docs_of(spark, texts, repeat=False).repartition(2)
+    by, seqs = defaultdict(list), defaultdict(list)
+    for r in packing.pack(d).collect():
+        by[r["doc_id"]].append(r)
+        seqs[r["sequence_id"]].append((r["offset"], r["length"]))
+    for i, text in [*enumerate(texts), (None, "no id")]:
+        ids, at = np.array(t.encode(text or "", add_special_tokens=False).ids + [0], "<u4"), 0
+        for r in sorted(by[i], key=lambda r: r["start"]):
+            assert (r["start"], r["doc_tokens"]) == (at, len(ids)) and r["ids_crc32"] == zlib.crc32(ids[at : at + r["length"]].tobytes())
+            at += r["length"]
+        assert at == len(ids)
+    pad = total = 0
+    for parts in seqs.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 1024
+        total += at
+        pad += 0 if at & (at - 1) == 0 else 1024 - at
+    assert pad / total < 0.03 and packing.pack(empty(spark)).count() == 0
+
+
+def test_cuts_are_the_cheapest():
+    rng = random.Random(8)
+    for _ in range(60):
+        at = sorted({0, *(rng.randint(1, 60) for _ in range(12)), 60})
+        at = [a for i, a in enumerate(at)]
+        cost = [rng.randint(0, 5) for _ in at]
+        cost[0] = cost[-1] = 0
+        w = max(b - a for a, b in zip(at, at[1:], strict=False)) + rng.randint(0, 12)
+        cuts = packing.cut(at, cost, w, 3)
+        best = [0] + [10**9] * (len(at) - 1)
+        for j in range(1, len(at)):
+            for i in range(j):
+                if at[j] - at[i] <= w:
+                    last = min(w - (at[j] - at[i]), 3 * ((at[j] - at[i]).bit_count() - 1)) if j == len(at) - 1 else w - (at[j] - at[i])
+                    best[j] = min(best[j], best[i] + cost[j] + last)
+        price = dict(zip(at, cost, strict=True))
+        options = []
+        for k in range(len(cuts) - 1):  # from cut k on the last window is parted into powers of two
+            head, rest = cuts[: k + 1], cuts[-1] - cuts[k]
+            if all(c in price for c in head):
+                whole = sum(w - (b - a) + price[b] for a, b in zip(head, head[1:], strict=False))
+                options.append(whole + (w - rest if k == len(cuts) - 2 else 10**9))
+                options.append(whole + 3 * (rest.bit_count() - 1) if rest <= w else 10**9)
+        assert min(options) == best[-1] and all(b - a <= w for a, b in zip(cuts, cuts[1:], strict=False))
+
+
+# 7 near copies
+def union(pairs, nodes):
+    parent = {n: n for n in nodes}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
+
+
+def test_links_connect_all_within_the_radius(spark):
+    rng = random.Random(11)
+    prints = {0, 2**63, 2**64 - 1}
+    for _ in range(40):
+        x = rng.getrandbits(64)
+        for _ in range(rng.randint(1, 12)):
+            prints.add(x)
+            for _ in range(rng.randint(1, 3)):
+                x ^= 1 << rng.randrange(64)
+    signed = [p - 2**64 if p >= 2**63 else p for p in prints]
+    df = spark.createDataFrame([(s,) for s in signed for _ in range(2)], "fingerprint bigint")
+    near = [(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 2]
+    links = [(r["a"], r["b"]) for r in simhash.links(df, 2).collect()]
+    assert all(((a ^ b) & (2**64 - 1)).bit_count() <= 2 for a, b in links)
+    want = union(near, signed)
+    assert union(links, signed) == want
+    got = {r["a"]: r["b"] for r in components.components(simhash.links(df, 2)).collect()}
+    assert got == {k: v for k, v in want.items() if k != v}
+    with pytest.raises(ValueError, match="even"):
+        simhash.links(df, 3)
+
+
+def test_fingerprints(spark):
+    def plain(text, n=3):
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        h = [xxhash.xxh64_intdigest(" ".join(w[i : i + n]).encode(), 42) for i in range(max(1, len(w) - n + 1))] if w else []
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
+
+    texts = [*ODD, "A b C", "É x y z \x1c w", "one two", "q w e r t " * 50]
+    got = simhash.near_duplicates(docs_of(spark, texts)).select("doc_id", simhash.hexadecimal().alias("f"), "component_id").collect()
+    assert len(got) == len(texts) + 2
+    for r in got:
+        if r["doc_id"] is not None:
+            assert r["f"] == f"{plain(texts[r['doc_id']]):016x}"
+    comp = {r["doc_id"]: r["component_id"] for r in got}
+    assert comp[8] == 7 and comp[1] == comp[2] == comp[3] == comp[0] == 0
+    kept = simhash.deduplicate(docs_of(spark, texts))
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert 8 not in ids and 7 in ids and None in ids and ids.count(0) == 2 and kept.columns == docs_of(spark, texts).columns
+    assert simhash.near_duplicates(empty(spark)).count() == 0
+
+
+# 9 line dedup
+def plain_lines(rows, least=10):
+    key = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\v\f\r"))
+    holders = defaultdict(set)
+    for i, t in rows:
+        for x in (t or "").split("\n"):
+            if i is not None and len(key(x)) >= least:
+                holders[key(x)].add(i)
+    return {i: [x for x in (t or "").split("\n") if i is None or len(key(x)) < least or len(holders[key(x)]) < 2 or min(holders[key(x)]) == i] for i, t in rows}
+
+
+def lines_of(rng, n, start=0):
+    pool = [f"  Common line number {i}\t" for i in range(30)] + ["short", "", "COMMON LINE NUMBER 3", "é" * 10, "e" * 9]
+    return [(start + i, None if rng.random() < 0.05 else "\n".join(rng.choices(pool, k=rng.randint(0, 8)) + [f"own line of {start + i}"])) for i in range(n)]
+
+
+def test_line_index_is_incremental_and_reversible(spark):
+    rng = random.Random(13)
+    first, second = lines_of(rng, 60), lines_of(rng, 60, 60)
+    df = lambda rows: spark.createDataFrame(rows, "doc_id bigint, text string")
+    index = line_dedup.LineIndex.empty(spark, shards=3).insert(df(first)).insert(df(second))
+    clean = lambda ix, rows: {r["doc_id"]: r["kept_text"].split("\n") for r in ix.clean(df(rows)).collect()}
+    assert clean(index, first + second) == plain_lines(first + second)
+    gone = [i for i in range(0, 120, 3)] + [999]
+    rest = [r for r in first + second if r[0] not in gone]
+    after = index.delete(df([(i, None) for i in gone]).select("doc_id"))
+    assert clean(after, rest) == plain_lines(rest)
+    again = line_dedup.LineIndex.empty(spark, shards=3).insert(df(rest))
+    assert sorted(after.counts.collect()) == sorted(again.counts.select(after.counts.columns).collect())
+    back = after.insert(df([r for r in first + second if r[0] in gone]))
+    assert clean(back, first + second) == plain_lines(first + second)
+
+
+def test_line_dedup_odd_rows(spark):
+    texts = [*ODD, "a longer line\nof two", "A LONGER LINE \nother", "a longer line\na longer line"]
+    d = docs_of(spark, texts)
+    got = line_dedup.dedup_lines(d).collect()
+    want = plain_lines([*enumerate(texts), (None, "no id")])
+    assert len(got) == d.count()
+    for r in got:
+        assert r["kept_text"].split("\n") == want[r["doc_id"]] and r["n_lines"] - r["n_dropped"] == len(want[r["doc_id"]]) or r["kept_text"] == ""
+    assert line_dedup.dedup_lines(empty(spark)).count() == 0
+
+
+def test_cuckoo_filter():
+    rng = np.random.default_rng(7)
+    keys = rng.integers(0, 2**63, 5000, dtype=np.uint64) * np.uint64(2)
+    f = line_dedup.CuckooFilter.of(keys)
+    assert f.maybe(keys).all() and f.maybe(rng.integers(0, 2**63, 20_000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)).mean() < 0.01
+    for k in keys[:2500].tolist():
+        assert f.delete(k)
+    assert f.maybe(keys[2500:]).all() and f.maybe(keys[:2500]).mean() < 0.02
+    assert all(f.insert(k) for k in keys[:2500].tolist()) and f.maybe(keys).all()
+    assert line_dedup.CuckooFilter(data=f.table.tobytes()).maybe(keys).all()
+
+
+# 10 decontamination
+def plain_hits(text, items, n=10):
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    w, hit, found = words(text), set(), set()
+    for i, t in items:
+        b = words(t)
+        k = min(n, len(b))
+        for s in range(len(b) - k + 1 if k else 0):
+            for p in range(len(w) - k + 1):
+                if w[p : p + k] == b[s : s + k]:
+                    hit |= set(range(p, p + k))
+                    found.add(i)
+    return len(w), len(hit), found
+
+
+def test_decontamination_by_both_ways(spark):
+    rng = random.Random(17)
+    vocabulary = ["alpha", "Beta", "gamma-ray", "delta", "épsilon", "zeta9", "eta"]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(1, 16)))) for i in range(12)] + [(20, None), (21, "..."), (3, "alpha alpha alpha alpha")]
+    texts = [*ODD[:4], "word " * 300, *(" ".join(rng.choices(vocabulary, k=60)) + ", " + items[i % 12][1] + "! tail" for i in range(40))]
+    d, bench = docs_of(spark, texts), spark.createDataFrame(items, "item_id bigint, text string")
+    ways = [{r["doc_id"]: r for r in decontaminate.find_contamination(d, bench, 10, limit).collect()} for limit in (1 << 20, 0)]
+    for got in ways:
+        for i, text in enumerate(texts):
+            n_words, n_hit, found = plain_hits(text, items)
+            assert (got[i]["n_words"], got[i]["n_hit"], set(got[i]["items"])) == (n_words, n_hit, found)
+            left = plain_hits(got[i]["clean_text"], [])[0]
+            assert left == n_words - n_hit and (n_hit or got[i]["clean_text"] == text)
+    assert decontaminate.digest(decontaminate.find_contamination(d, bench.limit(0))).where("contaminated").count() == 0
+    assert decontaminate.find_contamination(empty(spark), bench).count() == 0
+    assert decontaminate.decontaminate(d, bench).columns == d.columns

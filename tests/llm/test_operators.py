@@ -439,3 +439,20 @@ def test_decontamination_by_both_ways(spark):
     assert decontaminate.digest(decontaminate.find_contamination(d, bench.limit(0))).where("contaminated").count() == 0
     assert decontaminate.find_contamination(empty(spark), bench).count() == 0
     assert decontaminate.decontaminate(d, bench).columns == d.columns
+
+
+def test_similar_documents(spark):
+    rng = random.Random(19)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    base = [" ".join(word() for _ in range(300)) for _ in range(40)]
+    texts = list(base)
+    for t in base[:20]:  # five words of three hundred differ: a similarity of about 0.85
+        w = t.split()
+        for p in range(30, 300, 60):
+            w[p] = "edit"
+        texts.append(" ".join(w))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs_of(spark, [*texts, *ODD])).collect()}
+    assert sum(got[40 + i] == i for i in range(20)) >= 19 and all(got[i] == i for i in range(40))
+    first = len(texts)  # null, empty and blank texts are one group
+    assert {got[first + i] for i in range(4)} == {first} and got[first + 8] == first + 7
+    assert simhash.similar_documents(empty(spark)).count() == 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -14,6 +15,7 @@ from vellum.llm.common import appended, written
 from vellum.llm.components import components
 
 BITS = 64
+LANES, BAND = 4, 28
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
@@ -22,19 +24,29 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     A-Z are lower-cased; words lie between ASCII white space; repeated shingles count each time. Fewer words than a
     shingle takes are one shingle; no words, as in null and empty texts, give zero.
     """
+    votes, n = _votes(text, words, seed, 1)
+    return int(np.packbits(2 * votes > n, bitorder="little").view("<i8")[0])
+
+
+def _votes(text: str | None, words: int, seed: int, lanes: int) -> tuple[np.ndarray, int]:
+    """How many shingle hashes set each of 64 * lanes bits, and how many shingles there are; further lanes mix the hash."""
     found = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    votes = np.zeros(BITS * lanes, np.int64)
     if not found:
-        return 0
+        return votes, 0
     joined, hash_of = b" ".join(found), xxhash.xxh64_intdigest
     n = max(1, len(found) - words + 1)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     starts = [0, *(ends[: n - 1] + 1).tolist()]
     stops = ends[len(found) - n :].tolist()
-    votes = np.zeros(BITS, np.int64)
     for at in range(0, n, 1 << 15):  # bounded memory for very long texts
         h = np.array([hash_of(joined[i:j], seed) for i, j in zip(starts[at : at + (1 << 15)], stops[at : at + (1 << 15)], strict=True)], "<u8")
-        votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * votes > n, bitorder="little").view("<i8")[0])
+        for lane in range(lanes):
+            if lane:
+                h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * lane)
+                h ^= h >> np.uint64(29)
+            votes[BITS * lane : BITS * (lane + 1)] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return votes, n
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -79,9 +91,60 @@ def hexadecimal(fingerprints_column: str = "fingerprint"):
     return F.lower(F.lpad(F.hex(fingerprints_column), 16, "0"))
 
 
-def deduplicate(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
+def sketches(docs: DataFrame, words: int = 5) -> DataFrame:
+    """docs with lanes (a fingerprint of 256 bits as four numbers) and bands (its bits in runs of 28)."""
+    weights = 1 << np.arange(BAND, dtype=np.int64)
+
+    def make():
+        def apply(batch):
+            lanes, bands = [], []
+            for text in batch.column("text").to_pylist():
+                votes, n = _votes(text, words, 42, LANES)
+                bits = 2 * votes > n
+                lanes.append(np.packbits(bits, bitorder="little").view("<i8").tolist())
+                bands.append([int(weights @ bits[i : i + BAND]) for i in range(0, BITS * LANES - BAND + 1, BAND)])
+            return [lanes, bands]
+
+        return apply
+
+    return appended(docs, "lanes array<bigint>, bands array<bigint>", make)
+
+
+def similar_documents(docs: DataFrame, words: int = 5, distance: int = 45) -> DataFrame:
+    """(doc_id, component_id) by shingles of five words and a similarity of about 0.8 or more.
+
+    Fingerprints have 256 bits, which ``distance`` differing bits at most tell to be that similar. No ball of that
+    size can be listed, so balls are hashed in nine bands of 28 bits: each fingerprint emits, band by band, all
+    variants at one bit, and two meet if any band of theirs differs by two bits or fewer. Of 100 pairs with a
+    similarity of 0.9, 0.85 or 0.8, about 99, 95 and 84 meet. All that meet on a variant are compared with the
+    smallest and the largest of them, over all bits, so a group of any size gives two pairs a member.
+
+    Exact copies are one fingerprint. Chance meetings grow as the square of the texts, at 1.4e-5 a pair: beyond some
+    ten million different texts, BAND has to be wider. Null and empty texts are alike; rows without doc_id are
+    treated as in near_duplicates.
+    """
+    marks = written(sketches(docs.select("doc_id", "text"), words).select("doc_id", "lanes", "bands", F.xxhash64("lanes").alias("id")))
+    firsts = marks.groupBy("id").agg(F.min("doc_id").alias("first"))
+    different = written(marks.groupBy("id").agg(F.first("lanes").alias("lanes"), F.first("bands").alias("bands")))
+    masks = F.array(F.lit(0).cast("long"), *(F.lit(1 << b).cast("long") for b in range(BAND)))
+    ball = F.flatten(F.transform("bands", lambda v, i: F.transform(masks, lambda m: F.shiftleft(i.cast("long"), BAND).bitwiseOR(v.bitwiseXOR(m)))))
+    met = different.select("id", F.explode(ball).alias("variant"))
+    group = Window.partitionBy("variant")
+    ends = met.withColumn("low", F.min("id").over(group)).withColumn("high", F.max("id").over(group)).where("low <> high")
+    pairs = ends.select("id", F.explode(F.array("low", "high")).alias("other")).where("id <> other").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    of = lambda c: different.select(F.col("id").alias(c), F.col("lanes").alias(f"{c}_lanes"))
+    apart = F.aggregate(F.zip_with("a_lanes", "b_lanes", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, d: n + d)
+    near = pairs.join(of("a"), "a").join(of("b"), "b").where(apart <= distance).select("a", "b")
+    roots = components(near).select(F.col("a").alias("id"), F.col("b").alias("root"))
+    rooted = firsts.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    groups = rooted.withColumn("component_id", F.min("first").over(Window.partitionBy("root"))).select("id", "component_id")
+    return marks.select("doc_id", "id").join(groups, "id").select("doc_id", "component_id")
+
+
+def deduplicate(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = similar_documents) -> DataFrame:
     """docs of which one of each group of near copies stays: the one with the smallest doc_id, with all its rows.
 
-    Rows without doc_id can't be told apart and stay."""
-    kept = near_duplicates(docs, words, radius).where("doc_id = component_id").select("doc_id").distinct()
+    ``groups`` gives each document's component: similar_documents or near_duplicates. Rows without doc_id can't be
+    told apart and stay."""
+    kept = groups(docs).where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))

@@ -205,7 +205,7 @@ class LineIndex:
 
             return apply
 
-        return appended(docs.join(self.dropped(), "doc_id", "left"), "kept_text string, n_lines bigint, n_dropped bigint", make).drop("_keys")
+        return appended(docs.drop("_keys").join(self.dropped(), "doc_id", "left"), "kept_text string, n_lines bigint, n_dropped bigint", make).drop("_keys")
 
 
 def _unsigned(t: pa.Table) -> np.ndarray:

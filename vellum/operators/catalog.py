@@ -87,16 +87,17 @@ def person_conflicts(rows: DataFrame) -> DataFrame:
     return named.where("name <> name_first OR reading <> reading_first").select("work_id", "person_id", "role").distinct()
 
 
-def _person_faults(rows: DataFrame) -> DataFrame:
-    """(work_id, fault): the first fault of a work's people in row order."""
+def _with_person_fault(rows: DataFrame) -> DataFrame:
+    """rows with the fault of their person, if any."""
     one = Window.partitionBy("work_id", "person_id", "role").orderBy("row_no")
-    named = _named(rows).withColumn("other", (F.col("name") != F.first("name").over(one)) | (F.col("reading") != F.first("reading").over(one)))
+    named = rows.withColumn("name", F.concat("surname", "given")).withColumn("reading", F.concat("surname_reading", "given_reading"))
+    named = named.withColumn("other", (F.col("name") != F.first("name").over(one)) | (F.col("reading") != F.first("reading").over(one)))
     fault = F.coalesce(
         F.when(map_role(F.col("role")).isNull(), F.lit("unknown-role")),
         F.when(~F.col("person_id").rlike("^[0-9]{6}$") | (F.col("name") == ""), F.lit("invalid-field")),
         F.when(F.col("other"), F.lit("inconsistent-rows")),
     )
-    return named.groupBy("work_id").agg(F.min_by(fault, F.when(fault.isNotNull(), F.col("row_no"))).alias("person_fault"), F.collect_set("person_id").alias("person_ids"))
+    return named.withColumn("fault", fault)
 
 
 def validate_works(rows: DataFrame, host: str = HOST) -> DataFrame:
@@ -105,10 +106,16 @@ def validate_works(rows: DataFrame, host: str = HOST) -> DataFrame:
     The order of the rules: ID, agreement of rows, copyright flag, title, orthography, card, dates, people in row
     order, and the card's person among them.
     """
-    rows = rows.repartition("work_id")  # one exchange for both aggregations and the window between
     own = [c for c in WORK_COLUMNS if c != "work_id"]
-    works = rows.groupBy("work_id").agg(F.min("row_no").alias("first_row"), F.count(F.lit(1)).alias("n_rows"), F.coalesce(*(F.when(F.min(c) != F.max(c), F.lit(c)) for c in own)).alias("column"), *(F.min_by(c, "row_no").alias(c) for c in own))
-    works = works.join(_person_faults(rows), "work_id")
+    rows = _with_person_fault(rows.repartition("work_id"))  # the window and the aggregation share this exchange, and its sort
+    works = rows.groupBy("work_id").agg(
+        F.min("row_no").alias("first_row"),
+        F.count(F.lit(1)).alias("n_rows"),
+        F.coalesce(*(F.when(F.min(c) != F.max(c), F.lit(c)) for c in own)).alias("column"),
+        F.min_by("fault", F.when(F.col("fault").isNotNull(), F.col("row_no"))).alias("person_fault"),
+        F.bool_or(F.col("person_id") == card_person(F.col("card_url"), host)).alias("member"),
+        *(F.min_by(c, "row_no").alias(c) for c in own),
+    )
     rule = lambda broken, code, detail: F.when(broken, F.struct(F.lit(code).alias("code"), detail.alias("detail")))
     first = F.coalesce(
         rule(~F.col("work_id").rlike("^[0-9]{6}$"), "invalid-field", F.lit("work_id")),
@@ -120,7 +127,7 @@ def validate_works(rows: DataFrame, host: str = HOST) -> DataFrame:
         rule(~is_calendar_date("published"), "invalid-field", F.lit("published")),
         rule(~is_calendar_date("updated"), "invalid-field", F.lit("updated")),
         F.when(F.col("person_fault").isNotNull(), F.struct(F.col("person_fault").alias("code"), F.lit("people").alias("detail"))),
-        rule(~F.array_contains("person_ids", card_person(F.col("card_url"), host)), "invalid-field", F.lit("card_person")),
+        rule(~F.col("member"), "invalid-field", F.lit("card_person")),
     )
     return works.select(*WORK_COLUMNS, "first_row", "n_rows", first["code"].alias("code"), first["detail"].alias("detail"))
 

@@ -54,6 +54,11 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     return appended(docs, "fingerprint bigint", lambda: lambda b: [[fingerprint(t, words) for t in b.column("text").to_pylist()]])
 
 
+def _spread(rows: DataFrame, key: str) -> DataFrame:
+    """rows over all shuffle partitions: few bytes here become many rows in the next step."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def links(prints: DataFrame, radius: int = 2) -> DataFrame:
     """(a, b): pairs of different fingerprints at ``radius`` or fewer bits that connect all that such pairs connect.
 
@@ -66,7 +71,7 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
     masks = [sum(1 << b for b in bits) for k in range(radius // 2 + 1) for bits in combinations(range(BITS), k)]
     signed = [m - (1 << BITS) if m >= 1 << (BITS - 1) else m for m in masks]
     ball = F.explode(F.array(*(F.col("fingerprint").bitwiseXOR(F.lit(m)) for m in signed)) if len(masks) < 100 else F.transform(F.lit(signed), lambda m: F.col("fingerprint").bitwiseXOR(m)))
-    met = prints.select("fingerprint").distinct().select("fingerprint", ball.alias("variant"))
+    met = _spread(prints.select("fingerprint").distinct(), "fingerprint").select("fingerprint", ball.alias("variant"))
     least = F.min("fingerprint").over(Window.partitionBy("variant"))
     pairs = met.select(F.col("fingerprint").alias("a"), least.alias("b")).where("a <> b").distinct()
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
@@ -128,7 +133,7 @@ def similar_documents(docs: DataFrame, words: int = 5, distance: int = 45) -> Da
     different = written(marks.groupBy("id").agg(F.first("lanes").alias("lanes"), F.first("bands").alias("bands")))
     masks = F.array(F.lit(0).cast("long"), *(F.lit(1 << b).cast("long") for b in range(BAND)))
     ball = F.flatten(F.transform("bands", lambda v, i: F.transform(masks, lambda m: F.shiftleft(i.cast("long"), BAND).bitwiseOR(v.bitwiseXOR(m)))))
-    met = different.select("id", F.explode(ball).alias("variant"))
+    met = _spread(different, "id").select("id", F.explode(ball).alias("variant"))
     group = Window.partitionBy("variant")
     ends = met.withColumn("low", F.min("id").over(group)).withColumn("high", F.max("id").over(group)).where("low <> high")
     pairs = ends.select("id", F.explode(F.array("low", "high")).alias("other")).where("id <> other").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()

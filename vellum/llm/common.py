@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -34,15 +34,17 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def chosen(ids: DataFrame, rows: int, n: int | None = None, ample: int = 4) -> DataFrame:
+def hashed_low(rows: int, n: int, ample: int) -> Column:
+    """Whether a doc_id's hash is among the lowest, for about ``ample`` times ``rows`` of ``n`` ids."""
+    return F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1.0, ample * rows / max(n, 1)) * (1 << 30))
+
+
+def chosen(ids: DataFrame, rows: int, n: int, ample: int = 4) -> DataFrame:
     """At most ``rows`` of the doc_ids, those with the smallest hashes.
 
     Hashes beyond ``ample`` times the share that is needed of ``n`` ids are left out first, so that the tasks
     together send about that many ids to be ordered, however large the table is."""
-    n = ids.count() if n is None else n
-    part = min(1.0, ample * rows / max(n, 1))
-    low = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(part * (1 << 30))
-    return ids.where(low).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return ids.where(hashed_low(rows, n, ample)).orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id").limit(rows)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable, rows: int, text_bytes: int) -> list[tuple[str, int]]:

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import appended, chosen
+from vellum.llm.common import appended, chosen, hashed_low
 
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -322,8 +322,9 @@ def fit(texts: list[str], window: int = 64, most: int = 4000, seed: int = 5) ->
 
 def fit_on(docs: DataFrame, rows: int = 1500, text_bytes: int = 20_000) -> Finder:
     """The network from at most ``rows`` texts with a sign or digits, of at most ``text_bytes`` bytes, chosen by hash of doc_id."""
-    some = docs.where(F.octet_length("text").between(1, text_bytes) & F.col("text").rlike(r"@|[0-9]{3}|\+[0-9]")).select("doc_id", "text")
-    ids = chosen(some.select("doc_id"), rows, docs.count(), ample=40)  # the texts themselves stay where they are
+    low = hashed_low(rows, n := docs.count(), 40)  # first, so that few texts are searched
+    some = docs.where(low).where(F.octet_length("text").between(1, text_bytes) & F.col("text").rlike(r"@|[0-9]{3}|\+[0-9]")).select("doc_id", "text")
+    ids = chosen(some.select("doc_id"), rows, n, ample=40)  # the texts themselves stay where they are
     found = some.join(F.broadcast(ids.distinct()), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
     return fit([r["text"] for r in found.orderBy(F.xxhash64("doc_id"), "doc_id").collect()])
 

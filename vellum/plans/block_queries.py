@@ -5,11 +5,13 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vellum.functions.text import utf16_length
 from vellum.operators import anchors as a
 from vellum.operators import blocks as b
 from vellum.sources.adapters import BLOCKS, REVISED, oracle, read, view
+from vellum.sources.scratch import kept
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -66,13 +68,12 @@ def current(spark, sf):
 
 
 def revised(spark, sf):
-    return b.block_offsets(b.block_ids(view(spark, REVISED, blocks=blocks_of(spark, sf))))
+    """Both revisions' blocks are read more than once by the jobs on positions, so they are tables."""
+    return kept(b.block_offsets(b.block_ids(view(spark, REVISED, blocks=blocks_of(spark, sf)))))
 
 
 def _positions(spark, sf):
-    from pyspark.sql.window import Window
-
-    cur = current(spark, sf)
+    cur = kept(current(spark, sf))
     w = Window.partitionBy("work_id")
     nth = cur.withColumn("i", F.row_number().over(w.orderBy("block_no")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
     want = nth.where("i = work_id * 31 % n").select(F.col("work_id").alias("position_id"), "work_id", "block_id", F.expr("work_id * 17 % (size + 1)").alias("offset"))
@@ -80,7 +81,7 @@ def _positions(spark, sf):
 
 
 def _saved(spark, sf):
-    p = _positions(spark, sf)
+    p = kept(_positions(spark, sf))
     return p.withColumn("block_id", F.expr("CASE WHEN position_id % 10 = 3 THEN NULL ELSE block_id END")).withColumn("before", F.expr("CASE WHEN position_id % 10 = 4 THEN 'zz' || before ELSE before END"))
 
 

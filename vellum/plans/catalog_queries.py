@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vellum.functions.text import is_calendar_date
 from vellum.operators import catalog as c
 from vellum.sources.adapters import CATALOG, oracle, read, view
+from vellum.sources.scratch import kept
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -66,6 +67,7 @@ def _valid(rows):
 
 
 def _search(rows):
+    rows = kept(rows)  # validation and people read it
     return c.build_search_catalog(c.select_bodies(_valid(rows)), c.dedupe_people(rows.repartition("work_id")))
 
 
@@ -130,7 +132,7 @@ def card_person_member(spark, sf):
   SELECT w.work_id, unnest(list_filter([CASE WHEN NOT regexp_full_match(w.work_id, '[0-9]{{6}}') THEN 'id' END, CASE WHEN NOT {_owned_card.replace('work_id', 'w.work_id')} THEN 'card' END, CASE WHEN NOT list_contains(ids, {_card}) THEN 'card-person' END], lambda x: x IS NOT NULL)) AS problem FROM works w JOIN pf USING (work_id)
   UNION ALL SELECT work_id, 'ref' FROM refs WHERE note IS NOT NULL)""")
 def check_works(spark, sf):
-    rows = _rows(spark, sf)
+    rows = kept(_rows(spark, sf))
     return c.check_works(c.group_works(rows), rows.select("work_id", "person_id").distinct(), c.body_refs(_valid(rows)))
 
 

@@ -15,7 +15,7 @@ from vellum.llm.common import appended, written
 from vellum.llm.components import components
 
 BITS = 64
-LANES, BAND = 4, 28
+LANES, BAND = 6, 32
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
@@ -97,7 +97,7 @@ def hexadecimal(fingerprints_column: str = "fingerprint"):
 
 
 def sketches(docs: DataFrame, words: int = 5) -> DataFrame:
-    """docs with lanes (a fingerprint of 256 bits as four numbers) and bands (its bits in runs of 28)."""
+    """docs with lanes (a fingerprint of 384 bits as six numbers) and bands (its bits in runs of 32)."""
     weights = 1 << np.arange(BAND, dtype=np.int64)
 
     def make():
@@ -115,17 +115,17 @@ def sketches(docs: DataFrame, words: int = 5) -> DataFrame:
     return appended(docs, "lanes array<bigint>, bands array<bigint>", make)
 
 
-def similar_documents(docs: DataFrame, words: int = 5, distance: int = 45) -> DataFrame:
+def similar_documents(docs: DataFrame, words: int = 5, distance: int = 66) -> DataFrame:
     """(doc_id, component_id) by shingles of five words and a similarity of about 0.8 or more.
 
-    Fingerprints have 256 bits, which ``distance`` differing bits at most tell to be that similar. No ball of that
-    size can be listed, so balls are hashed in nine bands of 28 bits: each fingerprint emits, band by band, all
+    Fingerprints have 384 bits, which ``distance`` differing bits at most tell to be that similar. No ball of that
+    size can be listed, so balls are hashed in twelve bands of 32 bits: each fingerprint emits, band by band, all
     variants at one bit, and two meet if any band of theirs differs by two bits or fewer. Of 100 pairs with a
-    similarity of 0.9, 0.85 or 0.8, about 99, 95 and 84 meet. All that meet on a variant are compared with the
+    similarity of 0.9, 0.85 or 0.8, about 99, 93 and 77 meet. All that meet on a variant are compared with the
     smallest and the largest of them, over all bits, so a group of any size gives two pairs a member.
 
-    Exact copies are one fingerprint. Chance meetings grow as the square of the texts, at 1.4e-5 a pair: beyond some
-    ten million different texts, BAND has to be wider. Null and empty texts are alike; rows without doc_id are
+    Exact copies are one fingerprint. Chance meetings grow as the square of the texts, at 1.5e-6 a pair: beyond some
+    fifty million different texts, BAND has to be wider. Null and empty texts are alike; rows without doc_id are
     treated as in near_duplicates.
     """
     marks = written(sketches(docs.select("doc_id", "text"), words).select("doc_id", "lanes", "bands", F.xxhash64("lanes").alias("id")))

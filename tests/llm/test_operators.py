@@ -456,3 +456,24 @@ def test_similar_documents(spark):
     first = len(texts)  # null, empty and blank texts are one group
     assert {got[first + i] for i in range(4)} == {first} and got[first + 8] == first + 7
     assert simhash.similar_documents(empty(spark)).count() == 0
+
+
+def plain_similarity(a, b, n=5):
+    sets = [{tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} for w in (a.lower().split(), b.lower().split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def edited(rng, text, edits):
+    w = text.split()
+    for p in rng.sample(range(len(w)), edits):
+        w[p] = f"edit{rng.random()}"
+    return " ".join(w)
+
+
+def test_similar_documents_links_nearly_all_pairs_from_080_to_085(spark):
+    rng = random.Random(23)
+    base = [" ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(300)) for _ in range(150)]
+    texts = base + [edited(rng, t, 6) for t in base]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs_of(spark, texts)).collect()}
+    pairs = [i for i in range(150) if 0.8 <= plain_similarity(texts[i], texts[150 + i]) <= 0.85]
+    assert len(pairs) >= 140 and sum(got[150 + i] == i for i in pairs) >= 0.99 * len(pairs)

@@ -15,7 +15,8 @@ from vellum.llm.common import appended, written
 from vellum.llm.components import components
 
 BITS = 64
-LANES, BAND = 6, 32
+BANDS, ROWS = 48, 8
+TIMES, PLUS = (np.random.default_rng(42).integers(0, 1 << 32, (2, BANDS * ROWS), np.uint32) | np.array([[1], [0]], np.uint32))
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
@@ -96,50 +97,77 @@ def hexadecimal(fingerprints_column: str = "fingerprint"):
     return F.lower(F.lpad(F.hex(fingerprints_column), 16, "0"))
 
 
+def shingle_set(text: str | None, words: int = 5, seed: int = 42) -> np.ndarray:
+    """The distinct XXH64 hashes of all word shingles, sorted: words and short texts as in fingerprint, none for no words."""
+    found = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    if not found:
+        return np.zeros(0, np.uint64)
+    joined, hash_of = b" ".join(found), xxhash.xxh64_intdigest
+    n = max(1, len(found) - words + 1)
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
+    starts = [0, *(ends[: n - 1] + 1).tolist()]
+    return np.unique(np.fromiter((hash_of(joined[i:j], seed) for i, j in zip(starts, ends[len(found) - n :].tolist(), strict=True)), np.uint64, n))
+
+
+def band_hashes(shingles: np.ndarray) -> list[int]:
+    """A signed 64-bit hash of each band: of ROWS minima of the shingles under permutations of 32 bits."""
+    if not len(shingles):
+        return []
+    h, least = (shingles >> np.uint64(32)).astype(np.uint32), np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(h), 1 << 10):  # bounded memory for very long texts
+        np.minimum(least, (TIMES[:, None] * h[None, at : at + (1 << 10)] + PLUS[:, None]).min(1), out=least)
+    out = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for row in least.astype(np.uint64).reshape(BANDS, ROWS).T:
+        out = (out ^ row) * np.uint64(0xBF58476D1CE4E5B9)
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64).tolist()
+
+
 def sketches(docs: DataFrame, words: int = 5) -> DataFrame:
-    """docs with lanes (a fingerprint of 384 bits as six numbers) and bands (its bits in runs of 32)."""
-    weights = 1 << np.arange(BAND, dtype=np.int64)
+    """docs with id (a hash of the shingle set), size (its shingles) and bands."""
 
     def make():
         def apply(batch):
-            lanes, bands = [], []
-            for text in batch.column("text").to_pylist():
-                votes, n = _votes(text, words, 42, LANES)
-                bits = 2 * votes > n
-                lanes.append(np.packbits(bits, bitorder="little").view("<i8").tolist())
-                bands.append([int(weights @ bits[i : i + BAND]) for i in range(0, BITS * LANES - BAND + 1, BAND)])
-            return [lanes, bands]
+            sets = [shingle_set(t, words) for t in batch.column("text").to_pylist()]
+            ids = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            return [ids.tolist(), [len(s) for s in sets], [band_hashes(s) for s in sets]]
 
         return apply
 
-    return appended(docs, "lanes array<bigint>, bands array<bigint>", make)
+    return appended(docs, "id bigint, size bigint, bands array<bigint>", make)
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets are that similar: common shingles by all of both, exactly."""
+    of = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"{c}_set"))
+    common = F.size(F.array_intersect("a_set", "b_set"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(common + 1e-9 >= similarity * (F.size("a_set") + F.size("b_set") - common)).select("a", "b")
 
 
-def similar_documents(docs: DataFrame, words: int = 5, distance: int = 66) -> DataFrame:
-    """(doc_id, component_id) by shingles of five words and a similarity of about 0.8 or more.
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) by shingles of five words: a pair is linked if its sets' similarity is 0.8 or more.
 
-    Fingerprints have 384 bits, which ``distance`` differing bits at most tell to be that similar. No ball of that
-    size can be listed, so balls are hashed in twelve bands of 32 bits: each fingerprint emits, band by band, all
-    variants at one bit, and two meet if any band of theirs differs by two bits or fewer. Of 100 pairs with a
-    similarity of 0.9, 0.85 or 0.8, about 99, 93 and 77 meet. All that meet on a variant are compared with the
-    smallest and the largest of them, over all bits, so a group of any size gives two pairs a member.
+    The similarity (common shingles by all of both) is computed exactly for all pairs that meet in one of BANDS bands
+    of ROWS minima of the set. Of pairs with a similarity s, 1 - (1 - s^ROWS)^BANDS meet: all but two in ten thousand
+    at 0.8. Pairs that share no shingle don't meet, so meetings don't grow with the square of the texts.
+    All that meet in a band are compared with the smallest and the largest of them.
 
-    Exact copies are one fingerprint. Chance meetings grow as the square of the texts, at 1.5e-6 a pair: beyond some
-    fifty million different texts, BAND has to be wider. Null and empty texts are alike; rows without doc_id are
-    treated as in near_duplicates.
+    Equal sets, as of exact copies, are one id. Null and empty texts are alike; rows without doc_id are treated as in
+    near_duplicates.
     """
-    marks = written(sketches(docs.select("doc_id", "text"), words).select("doc_id", "lanes", "bands", F.xxhash64("lanes").alias("id")))
+    marks = written(sketches(docs.select("doc_id", "text"), words).select("doc_id", F.xxhash64("text").alias("mark"), "id", "size", "bands"))
     firsts = marks.groupBy("id").agg(F.min("doc_id").alias("first"))
-    different = written(marks.groupBy("id").agg(F.first("lanes").alias("lanes"), F.first("bands").alias("bands")))
-    masks = F.array(F.lit(0).cast("long"), *(F.lit(1 << b).cast("long") for b in range(BAND)))
-    ball = F.flatten(F.transform("bands", lambda v, i: F.transform(masks, lambda m: F.shiftleft(i.cast("long"), BAND).bitwiseOR(v.bitwiseXOR(m)))))
-    met = _spread(different, "id").select("id", F.explode(ball).alias("variant"))
-    group = Window.partitionBy("variant")
-    ends = met.withColumn("low", F.min("id").over(group)).withColumn("high", F.max("id").over(group)).where("low <> high")
-    pairs = ends.select("id", F.explode(F.array("low", "high")).alias("other")).where("id <> other").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-    of = lambda c: different.select(F.col("id").alias(c), F.col("lanes").alias(f"{c}_lanes"))
-    apart = F.aggregate(F.zip_with("a_lanes", "b_lanes", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, d: n + d)
-    near = pairs.join(of("a"), "a").join(of("b"), "b").where(apart <= distance).select("a", "b")
+    at = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "mark")
+    different = written(marks.groupBy("id").agg(F.first("size").alias("size"), F.first("bands").alias("bands"), F.min(at).alias("at")))
+    met = _spread(different, "id").select(F.struct("id", "size").alias("m"), F.explode("bands").alias("band"))
+    group = Window.partitionBy("band")
+    shared = written(met.withColumn("low", F.min("m").over(group)).withColumn("high", F.max("m").over(group)).where("low.id <> high.id"))
+    alike = F.least("m.size", "o.size") + 1e-9 >= similarity * F.greatest("m.size", "o.size")
+    pairs = shared.select("m", F.explode(F.array("low", "high")).alias("o")).where(F.expr("m.id <> o.id") & alike).select(F.least("m.id", "o.id").alias("a"), F.greatest("m.id", "o.id").alias("b")).distinct()
+    wanted = shared.select("m.id").distinct().join(different, "id").select("id", F.col("at.doc_id").alias("_doc"), F.col("at.mark").alias("_mark"))
+    found = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_mark"))).select("id", "text")
+    sets = written(appended(found, "shingles array<bigint>", lambda: lambda b: [[shingle_set(t, words).view(np.int64) for t in b.column("text").to_pylist()]]).select("id", "shingles").dropDuplicates(["id"]))
+    near = _similar(pairs, sets, similarity)
     roots = components(near).select(F.col("a").alias("id"), F.col("b").alias("root"))
     rooted = firsts.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     groups = rooted.withColumn("component_id", F.min("first").over(Window.partitionBy("root"))).select("id", "component_id")

@@ -477,3 +477,13 @@ def test_similar_documents_links_nearly_all_pairs_from_080_to_085(spark):
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs_of(spark, texts)).collect()}
     pairs = [i for i in range(150) if 0.8 <= plain_similarity(texts[i], texts[150 + i]) <= 0.85]
     assert len(pairs) >= 140 and sum(got[150 + i] == i for i in pairs) >= 0.99 * len(pairs)
+
+
+def test_similar_documents_within_a_crowded_band(spark):
+    rng = random.Random(31)
+    words = lambda n: ["".join(rng.choices("abcdefghij", k=5)) for _ in range(n)]
+    template, own = words(420), [words(55) for _ in range(60)]  # at 0.79 to each other; each has a twin at 0.801
+    texts = [" ".join(template + w) for w in own] + [" ".join(template + words(48) + w[-7:]) for w in own]
+    assert plain_similarity(texts[0], texts[1]) < 0.8 <= plain_similarity(texts[0], texts[60])
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs_of(spark, texts, repeat=False)).collect()}
+    assert all(got[i] == i == got[60 + i] for i in range(60))

@@ -144,13 +144,50 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b").where(common + 1e-9 >= similarity * (F.size("a_set") + F.size("b_set") - common)).select("a", "b")
 
 
+def _pairs(met: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) from (m, o), but for sets whose sizes alone are too far apart."""
+    alike = F.least("m.size", "o.size") + 1e-9 >= similarity * F.greatest("m.size", "o.size")
+    return met.where(F.expr("m.id <> o.id") & alike).select(F.least("m.id", "o.id").alias("a"), F.greatest("m.id", "o.id").alias("b")).distinct()
+
+
+def _roots(shared: DataFrame, pairs: DataFrame, sets: DataFrame, similarity: float, stars: int = 3) -> DataFrame:
+    """Components, as components() gives them, of all similar pairs that share a band; ``pairs`` are compared first.
+
+    Only pairs that nothing has connected yet need comparing. While these are many, all members of a band are compared
+    with one more of them, at most ``stars`` times and while it halves them; then each one left is compared.
+    """
+    near, before = written(_similar(pairs, sets, similarity)), None
+    for k in range(stars + 1):
+        roots = components(near)
+        rooted = shared.join(roots.select(F.col("a").alias("_id"), F.col("b").alias("_root")), F.expr("m.id = _id"), "left").select("band", "m", F.coalesce("_root", "m.id").alias("root"))
+        group = Window.partitionBy("band")
+        apart = written(rooted.withColumn("_l", F.min("root").over(group)).withColumn("_h", F.max("root").over(group)).where("_l <> _h").drop("_l", "_h"))
+        counts = apart.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.sum("n").alias("n"), F.expr("sum(double(n) * n)").alias("s"))
+        members, left = counts.agg(F.sum("n"), F.expr("sum(double(n) * n - s) / 2")).first()
+        if not left:
+            return roots
+        last = left <= 4 * members or k == stars or (before is not None and left > before / 2)
+        if last:
+            other = apart.select("band", F.col("m").alias("o"), F.col("root").alias("o_root"))
+            met = apart.join(other, "band").where("m.id < o.id")
+        else:
+            centre = F.min_by(F.struct("m", "root"), F.xxhash64("m.id", F.lit(k))).over(group)
+            met = apart.withColumn("c", centre).select("m", "root", F.col("c.m").alias("o"), F.col("c.root").alias("o_root"))
+        near = written(near.unionByName(_similar(_pairs(met.where("root <> o_root"), similarity), sets, similarity)))
+        if last:
+            return components(near)
+        before = left
+
+
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id) by shingles of five words: a pair is linked if its sets' similarity is 0.8 or more.
 
     The similarity (common shingles by all of both) is computed exactly for all pairs that meet in one of BANDS bands
     of ROWS minima of the set. Of pairs with a similarity s, 1 - (1 - s^ROWS)^BANDS meet: all but two in ten thousand
     at 0.8. Pairs that share no shingle don't meet, so meetings don't grow with the square of the texts.
-    All that meet in a band are compared with the smallest and the largest of them.
+    All that meet in a band are compared with the smallest and the largest of them, and then with all others of the
+    band that these comparisons have not connected with them. So copies of one text cost a few pairs a member; only a
+    family of texts that meet without being similar costs the square of its members.
 
     Equal sets, as of exact copies, are one id. Null and empty texts are alike; rows without doc_id are treated as in
     near_duplicates.
@@ -162,13 +199,11 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     met = _spread(different, "id").select(F.struct("id", "size").alias("m"), F.explode("bands").alias("band"))
     group = Window.partitionBy("band")
     shared = written(met.withColumn("low", F.min("m").over(group)).withColumn("high", F.max("m").over(group)).where("low.id <> high.id"))
-    alike = F.least("m.size", "o.size") + 1e-9 >= similarity * F.greatest("m.size", "o.size")
-    pairs = shared.select("m", F.explode(F.array("low", "high")).alias("o")).where(F.expr("m.id <> o.id") & alike).select(F.least("m.id", "o.id").alias("a"), F.greatest("m.id", "o.id").alias("b")).distinct()
+    pairs = _pairs(shared.select("m", F.explode(F.array("low", "high")).alias("o")), similarity)
     wanted = shared.select("m.id").distinct().join(different, "id").select("id", F.col("at.doc_id").alias("_doc"), F.col("at.mark").alias("_mark"))
     found = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_mark"))).select("id", "text")
     sets = written(appended(found, "shingles array<bigint>", lambda: lambda b: [[shingle_set(t, words).view(np.int64) for t in b.column("text").to_pylist()]]).select("id", "shingles").dropDuplicates(["id"]))
-    near = _similar(pairs, sets, similarity)
-    roots = components(near).select(F.col("a").alias("id"), F.col("b").alias("root"))
+    roots = _roots(shared, pairs, sets, similarity).select(F.col("a").alias("id"), F.col("b").alias("root"))
     rooted = firsts.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     groups = rooted.withColumn("component_id", F.min("first").over(Window.partitionBy("root"))).select("id", "component_id")
     return marks.select("doc_id", "id").join(groups, "id").select("doc_id", "component_id")

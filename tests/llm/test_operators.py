@@ -487,3 +487,12 @@ def test_similar_documents_within_a_crowded_band(spark):
     assert plain_similarity(texts[0], texts[1]) < 0.8 <= plain_similarity(texts[0], texts[60])
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs_of(spark, texts, repeat=False)).collect()}
     assert all(got[i] == i == got[60 + i] for i in range(60))
+
+
+def test_similar_documents_keeps_texts_below_080(spark):
+    rng = random.Random(37)
+    base = [" ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(300)) for _ in range(60)]
+    texts = base + [edited(rng, t, 8 + i % 3) for i, t in enumerate(base)]
+    assert all(0.68 < plain_similarity(texts[i], texts[60 + i]) < 0.8 for i in range(60))
+    d = docs_of(spark, texts, repeat=False)
+    assert simhash.deduplicate(d).count() == d.count()

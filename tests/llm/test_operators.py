@@ -496,3 +496,22 @@ def test_similar_documents_keeps_texts_below_080(spark):
     assert all(0.68 < plain_similarity(texts[i], texts[60 + i]) < 0.8 for i in range(60))
     d = docs_of(spark, texts, repeat=False)
     assert simhash.deduplicate(d).count() == d.count()
+
+
+def test_line_index_with_colliding_marks(spark):
+    at, pairs = {}, []
+    for i in range(20_000):  # two keys with one mark and one bucket of sixteen, but not one of thirty-two
+        low = line_dedup._digest(f"colliding line {i}")[1] % (1 << 64)
+        if (j := at.setdefault((low >> 48, low & 15), i)) != i and (low ^ line_dedup._digest(f"colliding line {j}")[1]) & 16:
+            pairs.append((j, i))
+    a, b = (f"colliding line {i}" for i in pairs[0])
+    df = lambda rows: spark.createDataFrame(rows, "doc_id bigint, text string")
+    other = (0, "\n".join(f"one more line {i}" for i in range(50)))  # with these the first filter is full
+    for full in (False, True):
+        start = line_dedup.LineIndex.empty(spark, shards=1).insert(df([(1, a), other] if full else [(1, a)])).insert(df([(2, b)]))
+        assert [len(r["filters"]) for r in start.filters.collect()] == [1 + full]
+        for gone, left in ((1, b), (2, a)):
+            kept = [(3 - gone, left), (3, left)]
+            index = start.delete(df([(gone, None)]).select("doc_id")).insert(df([(3, left)]))
+            got = {r["doc_id"]: r["kept_text"] for r in index.clean(df(kept)).collect()}
+            assert got == {3 - gone: left, 3: ""} and index.counts.count() == index.counts.select("hi", "lo").distinct().count()

@@ -106,6 +106,8 @@ class CuckooFilter:
             buckets *= 2
 
 
+BATCH_COLUMNS = ["shard", "hi", "lo", "refs", "first_doc", "last_doc"]
+BATCH = "shard int, hi bigint, lo bigint, refs bigint, first_doc bigint, last_doc bigint"
 KEYS = "keys array<struct<hi:bigint,lo:bigint>>, n_lines bigint"
 
 
@@ -128,10 +130,11 @@ def document_keys(docs: DataFrame, least: int = 10) -> DataFrame:
 @dataclass
 class LineIndex:
     """What has been inserted: references (hi, lo, doc_id), exact counts (hi, lo, refs, first_doc, last_doc) and one
-    cuckoo filter per shard of the key space (shard, filters: a full one is followed by a larger one).
+    cuckoo filter per shard of the key space (shard, filters: a full one is followed by a larger one). places (hi, lo,
+    place) says in which of its shard's filters a key is.
 
     A batch's keys ask the filters first; only those that may be there are looked up in the counts, all others are
-    new. Deleting documents takes their references off; keys without any leave counts and filters, so that later
+    new. Every key that the counts did not hold goes into a filter, also one that was taken for known. Deleting documents takes their references off; keys without any leave counts and filters, so that later
     decisions are those of an index that never saw them.
     """
 
@@ -140,6 +143,7 @@ class LineIndex:
     filters: DataFrame
     shards: int
     least: int
+    places: DataFrame
     bare: bool = False  # nothing has been inserted yet
 
     @classmethod
@@ -152,6 +156,7 @@ class LineIndex:
             spark.createDataFrame([], "shard int, filters array<binary>"),
             shards,
             least,
+            spark.createDataFrame([], "hi bigint, lo bigint, place int"),
             bare=True,
         )
 
@@ -161,17 +166,22 @@ class LineIndex:
     def insert(self, docs: DataFrame) -> LineIndex:
         """The index with these documents' lines. Rows without doc_id hold no reference; a repeated row is one reference more."""
         refs = written(document_keys(docs.where(F.col("doc_id").isNotNull()), self.least))
-        batch = refs.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("refs"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).withColumn("shard", self._shard())
-        probed = written(batch.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInArrow(_probe, "shard int, hi bigint, lo bigint, refs bigint, first_doc bigint, last_doc bigint, known boolean, filters array<binary>"))
-        keys = probed.where("filters IS NULL")
+        batch = refs.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("refs"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).select(self._shard().alias("shard"), "hi", "lo", "refs", "first_doc", "last_doc")
         if self.bare:  # every key is new
-            return LineIndex(refs, keys.select("hi", "lo", "refs", "first_doc", "last_doc"), probed.where("filters IS NOT NULL").select("shard", "filters"), self.shards, self.least)
+            added = self._added(batch)
+            return LineIndex(refs, _keys_of(added), _filters_of(added), self.shards, self.least, _places_of(added))
+        keys = written(batch.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInArrow(_probe, f"{BATCH}, known boolean"))
         old = self.counts.select("hi", "lo", F.col("refs").alias("r"), F.col("first_doc").alias("f"), F.col("last_doc").alias("l"))
-        met = keys.where("known").join(old, ["hi", "lo"], "left").select("hi", "lo", (F.col("refs") + F.coalesce("r", F.lit(0))).alias("refs"), F.least("first_doc", "f").alias("first_doc"), F.greatest("last_doc", "l").alias("last_doc"))
-        same = self.counts.join(keys.where("known").select("hi", "lo"), ["hi", "lo"], "left_anti")
-        counts = written(keys.where("NOT known").select(*met.columns).unionByName(met).unionByName(same.select(*met.columns)))
-        filters = probed.where("filters IS NOT NULL").select("shard", "filters")
-        return LineIndex(self.refs.unionByName(refs), counts, filters, self.shards, self.least)
+        met = written(keys.where("known").join(old, ["hi", "lo"], "left"))
+        fresh = keys.where("NOT known").drop("known").unionByName(met.where("r IS NULL").select(*batch.columns))
+        added = self._added(fresh)
+        more = met.where("r IS NOT NULL").select("hi", "lo", (F.col("refs") + F.col("r")).alias("refs"), F.least("first_doc", "f").alias("first_doc"), F.greatest("last_doc", "l").alias("last_doc"))
+        same = self.counts.join(more.select("hi", "lo"), ["hi", "lo"], "left_anti")
+        counts = written(_keys_of(added).unionByName(more).unionByName(same.select(*more.columns)))
+        return LineIndex(self.refs.unionByName(refs), counts, _filters_of(added), self.shards, self.least, self.places.unionByName(_places_of(added)))
+
+    def _added(self, fresh: DataFrame) -> DataFrame:
+        return written(fresh.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInArrow(_add, f"{BATCH}, place int, filters array<binary>"))
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """The index without these documents; ids that it never saw change nothing."""
@@ -180,9 +190,10 @@ class LineIndex:
         touched = written(self.refs.join(gone, "doc_id", "left_semi").select("hi", "lo").distinct())
         again = refs.join(touched, ["hi", "lo"], "left_semi").groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("refs"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
         counts = written(self.counts.join(touched, ["hi", "lo"], "left_anti").unionByName(again))
-        lost = touched.join(counts, ["hi", "lo"], "left_anti").withColumn("shard", self._shard())
+        lost = written(touched.join(counts, ["hi", "lo"], "left_anti").join(self.places, ["hi", "lo"]).withColumn("shard", self._shard()))
         filters = written(lost.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInArrow(_forget, "shard int, filters array<binary>"))
-        return LineIndex(refs, counts, filters, self.shards, self.least)
+        places = written(self.places.join(lost, ["hi", "lo"], "left_anti"))
+        return LineIndex(refs, counts, filters, self.shards, self.least, places)
 
     def dropped(self) -> DataFrame:
         """(doc_id, keys): the keys whose lines a document loses, as another document holds them first."""
@@ -217,42 +228,54 @@ def _load(filters: pa.Table) -> list[CuckooFilter]:
     return [CuckooFilter(data=x) for x in filters.column("filters")[0].as_py()] if filters.num_rows else []
 
 
-def _table(shard: int, filters: list[CuckooFilter], more: dict | None = None) -> pa.Table:
-    n = len(more["known"]) if more else 0
-    out = {"shard": pa.array([shard] * (n + 1), pa.int32())}
-    for c in ("hi", "lo", "refs", "first_doc", "last_doc") if more else ():
-        out[c] = pa.array(more[c] + [None], pa.int64())
-    if more:
-        out["known"] = pa.array([*more["known"], False], pa.bool_())
-    return pa.table(out | {"filters": pa.array([None] * n + [[f.table.tobytes() for f in filters]], pa.list_(pa.binary()))})
+def _shard_of(keys: pa.Table, filters: pa.Table) -> int:
+    return (keys if keys.num_rows else filters).column("shard")[0].as_py()
 
 
 def _probe(keys: pa.Table, filters: pa.Table) -> pa.Table:
-    """Whether each key of a shard may be known, and as a last row the shard's filters with the new keys.
-
-    Keys that a full filter can't take go to a further one, at least twice as large."""
-    marks, old = _unsigned(keys), _load(filters)
+    """Whether each key of a shard may be known."""
+    marks = _unsigned(keys)
     known = np.zeros(len(marks), bool)
-    for f in old:
+    for f in _load(filters):
         known |= f.maybe(marks)
-    new = marks[~known]
+    return pa.table({c: keys.column(c) for c in BATCH_COLUMNS} | {"known": pa.array(known, pa.bool_())})
+
+
+def _add(keys: pa.Table, filters: pa.Table) -> pa.Table:
+    """A shard's new keys with the place of the filter that took each, and as a last row the shard's filters.
+
+    Keys that a full filter can't take go to a further one, at least twice as large."""
+    new, old = _unsigned(keys), _load(filters)
     room = int(0.8 * len(old[-1].table)) - int((old[-1].table != 0).sum()) if old else 0
     fit = 0
     while fit < min(room, len(new)) and old[-1].insert(int(new[fit])):
         fit += 1
-    new = new[fit:]
-    if len(new) or not old:
-        old.append(CuckooFilter.of(new, 2 * (old[-1].mask + 1) if old else 16))
-    shard = (keys if keys.num_rows else filters).column("shard")[0].as_py()
-    return _table(shard, old, {c: keys.column(c).to_pylist() for c in ("hi", "lo", "refs", "first_doc", "last_doc")} | {"known": known.tolist()})
+    places = [len(old) - 1] * fit + [len(old)] * (len(new) - fit)
+    if fit < len(new) or not old:
+        old.append(CuckooFilter.of(new[fit:], 2 * (old[-1].mask + 1) if old else 16))
+    out = {"shard": pa.array([_shard_of(keys, filters)] * (len(new) + 1), pa.int32())}
+    out |= {c: pa.array([*keys.column(c).to_pylist(), None], pa.int64()) for c in BATCH_COLUMNS[1:]}
+    return pa.table(out | {"place": pa.array([*places, None], pa.int32()), "filters": pa.array([None] * len(new) + [[f.table.tobytes() for f in old]], pa.list_(pa.binary()))})
 
 
 def _forget(lost: pa.Table, filters: pa.Table) -> pa.Table:
-    """The shard's filters without keys that no document holds any more."""
+    """The shard's filters without keys that no document holds any more, each taken from the filter that holds it."""
     old = _load(filters)
-    for k in _unsigned(lost).tolist():
-        any(f.delete(int(k)) for f in old)
-    return _table((lost if lost.num_rows else filters).column("shard")[0].as_py(), old)
+    for k, place in zip(_unsigned(lost).tolist(), lost.column("place").to_pylist(), strict=True):
+        old[place].delete(int(k))
+    return pa.table({"shard": pa.array([_shard_of(lost, filters)], pa.int32()), "filters": pa.array([[f.table.tobytes() for f in old]], pa.list_(pa.binary()))})
+
+
+def _keys_of(added: DataFrame) -> DataFrame:
+    return added.where("filters IS NULL").select("hi", "lo", "refs", "first_doc", "last_doc")
+
+
+def _filters_of(added: DataFrame) -> DataFrame:
+    return added.where("filters IS NOT NULL").select("shard", "filters")
+
+
+def _places_of(added: DataFrame) -> DataFrame:
+    return added.where("filters IS NULL").select("hi", "lo", "place")
 
 
 def dedup_lines(docs: DataFrame, least: int = 10, shards: int | None = None) -> DataFrame:

@@ -135,13 +135,13 @@ SELECT doc_id AS work_id, no, CASE WHEN no > 60 THEN line ELSE CASE (doc_id + no
 FROM {lines}
 """
 
-#: The same lines as whole texts: a header between dash lines, and a bibliography; some works lack a part.
+#: The same lines as whole texts: a header between dash lines, and a bibliography after the last line; some works lack a part.
 WHOLE = """
-SELECT work_id, CAST(no + 6 AS INT) AS no, line FROM {marked} WHERE no <= 60
+SELECT work_id, CAST(no + 6 AS INT) AS no, line FROM {marked}
 UNION ALL SELECT doc_id, CAST(i AS INT), CASE i WHEN 0 THEN 'Title' WHEN 1 THEN 'Author' WHEN 2 THEN '' WHEN 3 THEN '-----------------------' WHEN 4 THEN CASE WHEN doc_id % 19 = 3 THEN 'x' ELSE '【テキスト中に現れる記号について】' END ELSE CASE WHEN doc_id % 23 = 4 THEN '' ELSE '-------------------------' END END
 FROM {documents} CROSS JOIN (SELECT 0 AS i UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5) h
-UNION ALL SELECT doc_id, CAST(i AS INT), CASE i WHEN 100 THEN CASE WHEN doc_id % 17 = 5 THEN '［＃本文終わり］' ELSE '' END WHEN 101 THEN CASE WHEN doc_id % 29 = 7 THEN '' ELSE '底本：「Collected」  ' END WHEN 102 THEN CASE WHEN doc_id % 31 = 8 THEN '底本：again' ELSE '入力：someone' END ELSE ' ' END
-FROM {documents} CROSS JOIN (SELECT 100 AS i UNION ALL SELECT 101 UNION ALL SELECT 102 UNION ALL SELECT 103) f
+UNION ALL SELECT doc_id, CAST(last + 7 + i AS INT), CASE i WHEN 0 THEN CASE WHEN doc_id % 17 = 5 THEN '［＃本文終わり］' ELSE '' END WHEN 1 THEN CASE WHEN doc_id % 29 = 7 THEN '' ELSE '底本：「Collected」  ' END WHEN 2 THEN CASE WHEN doc_id % 31 = 8 THEN '底本：again' ELSE '入力：someone' END ELSE ' ' END
+FROM {documents} JOIN (SELECT work_id, max(no) AS last FROM {marked} GROUP BY work_id) l ON doc_id = work_id CROSS JOIN (SELECT 0 AS i UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) f
 """
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where the session has none."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may do without; it gets one of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="vellum-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -34,6 +37,22 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shielded(df: DataFrame, *names: str) -> tuple[DataFrame, list[Column]]:
+    """df with its columns named like any of ``names`` (in any case) renamed, and what selects all of df's columns again.
+
+    An operator that only passes a caller's rows on can so use these names itself, and no column of the caller is lost."""
+    taken, used = {n.lower() for n in names}, {c.lower() for c in df.columns}
+
+    def free(c: str) -> str:
+        while c.lower() in taken or c.lower() in used:
+            c += "_"
+        used.add(c.lower())
+        return c
+
+    now = {c: free(c) if c.lower() in taken else c for c in df.columns}
+    return df.select(*(F.col(f"`{c}`").alias(n) for c, n in now.items())), [F.col(f"`{n}`").alias(c) for c, n in now.items()]
+
+
 def hashed_low(rows: int, n: int, ample: int) -> Column:
     """Whether a doc_id's hash is among the lowest, for about ``ample`` times ``rows`` of ``n`` ids."""
     return F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1.0, ample * rows / max(n, 1)) * (1 << 30))
@@ -76,7 +95,8 @@ def appended(df: DataFrame, ddl: str, make: Callable[[], Callable[[pa.RecordBatc
     or Arrow arrays). Other columns pass through untouched, so nulls and large integers keep their value.
     """
     new = StructType.fromDDL(ddl)
-    kept = [f for f in df.schema if f.name not in new.names]
+    taken = {n.lower() for n in new.names}
+    kept = [f for f in df.schema if f.name.lower() not in taken]
     types = [f.type for f in to_arrow_schema(new)]
     names = [f.name for f in kept]
 

@@ -6,27 +6,62 @@ import numpy as np
 
 
 class Chains:
-    """Sequences laid out one after the other; a chain step touches all sequences that are that long at once."""
+    """Sequences laid out one after the other, in blocks of at most ``block`` positions.
 
-    def __init__(self, lengths: np.ndarray):
+    A step touches all blocks that are that long at once. Blocks of a longer sequence hand their messages on, so the
+    results are those of whole sequences, and a single long one costs few steps.
+    """
+
+    def __init__(self, lengths: np.ndarray, block: int = 512):
         lengths = np.asarray(lengths, np.int64)
-        starts = np.concatenate(([0], np.cumsum(lengths)[:-1])) if len(lengths) else np.zeros(0, np.int64)
-        order = np.argsort(-lengths, kind="stable")
-        self.starts, self.lengths = starts[order], lengths[order]
-        self.longest = int(lengths.max()) if len(lengths) else 0
-        # how many sequences have a position t
-        self.alive = np.searchsorted(-self.lengths, -np.arange(self.longest), "left").tolist() if self.longest else []
-
-
-def cut_lengths(lengths: np.ndarray, longest: int) -> np.ndarray:
-    """Lengths of at most ``longest`` whose sums are the given ones, in order; zeros vanish."""
-    lengths = np.asarray(lengths, np.int64)
-    pieces = -(-lengths // longest)
-    out = np.full(int(pieces.sum()), longest, np.int64)
-    ends = np.cumsum(pieces)[pieces > 0] - 1
-    full = lengths[pieces > 0]
-    out[ends] = full - (pieces[pieces > 0] - 1) * longest
-    return out
+        lengths = lengths[lengths > 0]
+        pieces = -(-lengths // block)
+        sizes = np.full(int(pieces.sum()), block, np.int64)
+        last = np.cumsum(pieces) - 1
+        sizes[last] = lengths - (pieces - 1) * block
+        starts = np.cumsum(sizes) - sizes
+        #: Where sequences begin.
+        self.first = starts[last - pieces + 1]
+        order = np.argsort(-sizes, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.starts, self.sizes = starts[order], sizes[order]
+        #: Runs of blocks that are one sequence, by place in that order.
+        self.long = [place[e - n + 1 : e + 1] for e, n in zip(last[pieces > 1].tolist(), pieces[pieces > 1].tolist(), strict=True)]
+        self.longest = int(sizes.max()) if len(sizes) else 0
+        # how many blocks have a position t
+        self.alive = np.searchsorted(-self.sizes, -np.arange(self.longest), "left").tolist()
+
+    def messages(self, weight: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each block the odds of label 1 just before it, and those that come back to its end from behind.
+
+        A block is a product of two-by-two matrices, and a long sequence a product of its blocks. Blocks that nothing
+        precedes or follows have odds that have no effect: -1 before, 1 behind.
+        """
+        before, behind = np.full(len(self.starts), -1.0), np.ones(len(self.starts))
+        if not self.long:
+            return before, behind
+        of = np.sort(np.concatenate(self.long))  # longest first, as all blocks are
+        begin = np.isin(of, [run[0] for run in self.long])
+        m = np.broadcast_to(np.eye(2), (len(of), 2, 2)).copy()
+        for t in range(self.longest):
+            n = int(np.searchsorted(-self.sizes[of], -t, "left"))
+            step = m[:n] @ e if t else np.where(begin[:, None, None], m, m @ e)
+            step = step * np.stack([np.ones(n), weight[self.starts[of[:n]] + t]], 1)[:, None, :]
+            m[:n] = step / step.sum((1, 2), keepdims=True)
+        at = {int(k): i for i, k in enumerate(of)}
+        for run in self.long:
+            v = np.ones(2)
+            for k, after in zip(run[:-1].tolist(), run[1:].tolist(), strict=True):
+                v = v @ m[at[k]]
+                v /= v.sum()
+                before[after] = v[1] / v[0]
+            v = np.ones(2)
+            for k, after in zip(run[-2::-1].tolist(), run[:0:-1].tolist(), strict=True):
+                v = m[at[after]] @ v
+                v /= v.sum()
+                behind[k] = v[1] / v[0]
+        return before, behind
 
 
 def marginals(scores: np.ndarray, change: np.ndarray, chains: Chains) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -38,13 +73,14 @@ def marginals(scores: np.ndarray, change: np.ndarray, chains: Chains) -> tuple[n
     weight = np.exp(np.clip(scores, -30, 30))
     e = np.exp(change)
     forward, backward = np.empty(len(scores)), np.ones(len(scores))
+    before, behind = chains.messages(weight, e)
     for t, n in enumerate(chains.alive):
         at = chains.starts[:n] + t
-        if t:
-            r = forward[at - 1]
-            forward[at] = weight[at] * (e[0, 1] + r * e[1, 1]) / (e[0, 0] + r * e[1, 0])
-        else:
-            forward[at] = weight[at]
+        r = forward[at - 1] if t else np.maximum(before, 0)
+        forward[at] = weight[at] * ((e[0, 1] + r * e[1, 1]) / (e[0, 0] + r * e[1, 0]))
+        if t == 0:
+            forward[at[before < 0]] = weight[at[before < 0]]
+    backward[chains.starts + chains.sizes - 1] = behind
     for t in range(chains.longest - 2, -1, -1):
         at = chains.starts[: chains.alive[t + 1]] + t
         r = weight[at + 1] * backward[at + 1]
@@ -57,7 +93,7 @@ def pair_expectations(scores: np.ndarray, change: np.ndarray, chains: Chains, fo
     """Expected counts of (label, next label) over all neighbours."""
     out = np.zeros((2, 2))
     first = np.zeros(len(scores), bool)
-    first[chains.starts] = True
+    first[chains.first] = True
     at = np.flatnonzero(~first)
     r, s = forward[at - 1], np.exp(np.clip(scores[at], -30, 30)) * backward[at]
     e = np.exp(change)
@@ -76,7 +112,7 @@ def train(rows: np.ndarray | None, groups: tuple[np.ndarray, np.ndarray] | None,
     w, bias, change = np.zeros(size), 0.0, np.zeros((2, 2))
     seen = [np.full(size, 1e-8), 1e-8, np.full((2, 2), 1e-8)]
     first = np.zeros(len(labels), bool)
-    first[chains.starts] = True
+    first[chains.first] = True
     at = np.flatnonzero(~first)
     truth = np.bincount(labels[at - 1] * 2 + labels[at], minlength=4).reshape(2, 2).astype(float)
     n = max(len(labels), 1)

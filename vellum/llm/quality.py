@@ -10,10 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.common import appended, labelled_sample
-from vellum.llm.crf import Chains, cut_lengths, logistic, marginals, train
+from vellum.llm.crf import Chains, logistic, marginals, train
 
-#: The longest chain, in lines.
-LONGEST = 512
 CLASSES = (b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", bytes(range(128, 256)), b".,;:", b"!?", b"|", b" \t\r\v\f")
 KIND = np.full(256, len(CLASSES), np.uint8)
 for _k, _chars in enumerate(CLASSES):
@@ -62,7 +60,7 @@ class Grader:
         """Each text's marginals of a good line, and the length-weighted logits of their means."""
         rows, per_text, sizes = line_features(texts)
         scores = ((rows - self.mean) / self.deviation) @ self.weights + self.bias
-        p = marginals(scores, self.change, Chains(cut_lengths(per_text, LONGEST)))[0]
+        p = marginals(scores, self.change, Chains(per_text))[0]
         at = np.cumsum(per_text) - per_text
         share = np.add.reduceat(p * (sizes + 1), at) / np.add.reduceat(sizes + 1, at) if len(texts) else p
         return np.split(p, at[1:]) if len(texts) else [], np.log((share + 1e-4) / (1 - share + 1e-4))
@@ -83,7 +81,7 @@ def fit(sample: list[tuple[str, int]], rounds: int = 150) -> Grader:
         return Grader(np.zeros(width), np.ones(width), np.zeros(width), 0.0, np.zeros((2, 2)), (0.0, float(np.log(p / (1 - p)))))
     mean, deviation = rows.mean(0), rows.std(0) + 1e-6
     truth = np.repeat(labels, per_text)
-    w, bias, change = train((rows - mean) / deviation, None, rows.shape[1], truth, Chains(cut_lengths(per_text, LONGEST)), rounds, rate=0.1)
+    w, bias, change = train((rows - mean) / deviation, None, rows.shape[1], truth, Chains(per_text), rounds, rate=0.1)
     grader = Grader(mean, deviation, w, bias, change, (1.0, 0.0))
     slope, offset = logistic(grader.grade(texts)[1][:, None], labels.astype(float)).tolist()
     grader.scale = (max(slope, 0.05), offset)
@@ -96,7 +94,7 @@ GRADED = "quality_score double, line_good array<double>"
 def grade_documents(docs: DataFrame, grader: Grader) -> DataFrame:
     """docs with quality_score (0 to 1) and line_good (each line's marginal of being good).
 
-    Every line of a text counts with its length; a null or empty text is one empty line. Columns of docs with the
+    A text is one chain of all its lines, and each counts with its length; a null or empty text is one empty line. Columns of docs with the
     results' names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(grader)

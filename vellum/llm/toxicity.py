@@ -9,13 +9,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import appended, labelled_sample
-from vellum.llm.crf import Chains, cut_lengths, logistic, marginals, train
+from vellum.llm.common import appended, labelled_sample, shielded
+from vellum.llm.crf import Chains, logistic, marginals, train
 from vellum.llm.decontaminate import FOLD, PART
 
-#: The longest chain, in words; a longer line is several.
-LONGEST = 512
-
 
 def features_of(word: bytes) -> tuple[bytes, ...]:
     return (b"=" + word, b"<" + word[:4], b"<" + word[:5], b"<" + word[:6], b">" + word[-4:])
@@ -64,7 +61,7 @@ class Tagger:
         """Each document's marginals, word by word."""
         sizes = [sum(map(len, lines)) for lines in docs]
         scores = np.array([cache[w] for lines in docs for line in lines for w in line])
-        chains = Chains(cut_lengths(np.array([len(line) for lines in docs for line in lines], np.int64), LONGEST))
+        chains = Chains(np.array([len(line) for lines in docs for line in lines], np.int64))
         return np.split(marginals(scores, self.change, chains)[0], np.cumsum(sizes)[:-1]) if docs else []
 
     def score(self, p: np.ndarray) -> float:
@@ -98,7 +95,7 @@ def fit(sample: list[tuple[str, int]], share: float | None = None, rounds: int =
     marked = np.array([any(f in marks for f in features_of(w)) for w in number])
     toxic_doc = np.repeat(np.array(labels, bool), [sum(map(len, lines)) for lines in docs])
     truth = (marked[word] & toxic_doc).astype(np.int64)
-    chains = Chains(cut_lengths(lengths, LONGEST))
+    chains = Chains(lengths)
     w, bias, change = train(None, (word, table), len(ids), truth, chains, rounds)
     tagger = Tagger({f: float(w[i]) for f, i in ids.items() if abs(w[i]) > 0.02}, bias, change, (1.0, 0.0))
     tops = np.array([p.max() if len(p) else 0.0 for p in tagger.tag(docs, tagger.emissions())])
@@ -123,7 +120,7 @@ SCORED = "toxic_score double, toxic_spans array<struct<start:bigint,end:bigint,p
 def tag_documents(docs: DataFrame, tagger: Tagger, least: float = 0.5) -> DataFrame:
     """docs with toxic_score (0 to 1) and toxic_spans (offsets of runs of words with a marginal of at least ``least``).
 
-    Every word of a text is tagged; chains are lines, cut at LONGEST words. A null, empty or wordless text has no
+    Every word of a text is tagged; a line is a chain, however long. A null, empty or wordless text has no
     span and the score of a marginal of none. Columns of docs with the results' names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tagger)
@@ -159,5 +156,6 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7)
 
 
 def remove_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """docs without those that score at least ``threshold``."""
-    return tag_documents(docs, fit_on(docs, labels)).where(F.col("toxic_score") < threshold).select(*docs.columns)
+    """docs without those that score at least ``threshold``; columns of docs stay as they are, whatever their names."""
+    rows, back = shielded(docs, "toxic_score", "toxic_spans")
+    return tag_documents(rows, fit_on(docs, labels)).where(F.col("toxic_score") < threshold).select(*back)

@@ -31,33 +31,41 @@ def text_parts(text: Column) -> Column:
     return F.array(F.struct(F.lit("text").alias("kind"), F.coalesce(text, F.lit("")).alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("bigint").alias("units")))
 
 
+#: While neighbouring texts are escaped as one, a placeholder is OPEN kind CLOSE, and an OPEN of the texts is followed by PLAIN.
+OPEN, PLAIN, CLOSE = "\x01", "\x02", "\x03"
+
+
+def _written_parts(pieces: Column) -> Column:
+    """The pieces as one escaped text with its placeholders."""
+    marked = F.regexp_replace(escape(F.array_join(pieces, "")), f"{OPEN}([a-z0-9_]*){CLOSE}", "<|$1|>")
+    return F.regexp_replace(marked, OPEN + PLAIN, OPEN)
+
+
 def format_conversations(turns: DataFrame, tokens_per_unit: Mapping[str, int] = TOKENS_PER_UNIT, trained: str = "assistant") -> DataFrame:
     """One row per conv_id from rows (conv_id, turn, role, parts).
 
-    A visitor over each turn's parts writes a text part escaped and any other part as a placeholder
-    ``<|kind|>``, and keeps the attachments in order: (turn, part, kind, ref, tokens). Returns conv_id, formatted,
-    segments (array of text and loss; joined they are ``formatted``), attachments and expanded_tokens. Loss covers
-    what turns of the trained role say.
+    A visitor over each turn's parts writes text parts escaped (neighbouring ones as one text, so that no control
+    string arises where they meet) and any other part as a placeholder ``<|kind|>``, and keeps the attachments in
+    order: (turn, part, kind, ref, tokens). Returns conv_id, formatted, segments (array of text and loss; joined they
+    are ``formatted``), attachments and expanded_tokens. Loss covers what turns of the trained role say.
 
-    Turns are ordered by turn, role, then parts, nulls first; repeated rows stay. Null roles, texts and parts are
-    empty; an unknown kind is a placeholder of no tokens; an empty table gives no rows; other columns are ignored.
+    Turns are ordered by turn, role, then parts as given, nulls first; repeated rows stay. Null roles, texts and parts
+    are empty; an unknown kind is a placeholder of no tokens; an empty table gives no rows; other columns are ignored.
     A conversation is one output row, so it must fit a row; rows are gathered by partial lists before the shuffle.
     """
     per_unit = F.create_map(*(F.lit(x) for kv in tokens_per_unit.items() for x in kv)) if tokens_per_unit else F.create_map().cast("map<string,int>")
     is_text = lambda p: F.coalesce(p["kind"], F.lit("text")) == "text"
     parts = F.coalesce(F.col("parts").cast(PARTS), F.array().cast(PARTS))
-    mark = lambda p: F.concat(F.lit("<|"), F.regexp_replace(p["kind"], r"[^a-z0-9_]", "_"), F.lit("|>"))
-    body = F.array_join(F.transform(parts, lambda p: F.when(is_text(p), escape(F.coalesce(p["text"], F.lit("")))).otherwise(mark(p))), "")
-    attached = F.filter(F.transform(parts, lambda p, i: F.struct(F.col("turn").alias("turn"), i.alias("part"), p["kind"].alias("kind"), p["ref"].alias("ref"), F.coalesce(p["units"] * F.try_element_at(per_unit, p["kind"]), F.lit(0)).cast("long").alias("tokens"))), lambda a: F.coalesce(a["kind"], F.lit("text")) != "text")
-    role = F.coalesce(F.col("role"), F.lit(""))
-    one = turns.select("conv_id", F.struct(F.col("turn"), role.alias("role"), body.alias("body"), attached.alias("attached")).alias("t"))
+    one = turns.select("conv_id", F.struct(F.col("turn"), F.coalesce(F.col("role"), F.lit("")).alias("role"), F.transform(parts, lambda p: p.withField("text", F.when(is_text(p), F.coalesce(p["text"], F.lit(""))))).alias("parts")).alias("t"))
     ordered = one.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
+    body = lambda t: _written_parts(F.transform(t["parts"], lambda p: F.when(is_text(p), F.regexp_replace(p["text"], OPEN, OPEN + PLAIN)).otherwise(F.concat(F.lit(OPEN), F.regexp_replace(F.regexp_replace(p["kind"], r"[^a-z0-9_]", "_"), "^end$", "end_"), F.lit(CLOSE)))))
+    attached = lambda t: F.filter(F.transform(t["parts"], lambda p, i: F.struct(t["turn"].alias("turn"), i.alias("part"), p["kind"].alias("kind"), p["ref"].alias("ref"), F.coalesce(p["units"] * F.try_element_at(per_unit, p["kind"]), F.lit(0)).cast("long").alias("tokens"))), lambda a: F.coalesce(a["kind"], F.lit("text")) != "text")
     segments = F.flatten(F.transform("t", lambda t: F.array(
-        F.struct(F.concat(F.lit("<|"), escape(F.regexp_replace(t["role"], r"([|%\n])", "%$1")), F.lit("|>\n")).alias("text"), F.lit(False).alias("loss")),
-        F.struct(t["body"].alias("text"), (t["role"] == trained).alias("loss")),
+        F.struct(F.concat(F.lit("<|"), escape(F.regexp_replace(t["role"], r"([|%\n]|^end\z)", "%$1")), F.lit("|>\n")).alias("text"), F.lit(False).alias("loss")),
+        F.struct(body(t).alias("text"), (t["role"] == trained).alias("loss")),
         F.struct(F.lit(END).alias("text"), F.lit(False).alias("loss")),
     )))
-    out = ordered.select("conv_id", segments.alias("segments"), F.flatten(F.transform("t", lambda t: t["attached"])).alias("attachments"))
+    out = ordered.select("conv_id", segments.alias("segments"), F.flatten(F.transform("t", attached)).alias("attachments"))
     return out.select("conv_id", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "segments", "attachments", F.aggregate("attachments", F.lit(0).cast("long"), lambda n, a: n + a["tokens"]).alias("expanded_tokens"))
 
 

@@ -66,7 +66,7 @@ WITH r AS (
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
   UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
 e AS (
-  SELECT *, '<|' || regexp_replace(regexp_replace(role, '([|%\n])', '%\1', 'g'), '([<\[])(~*)(\||/?s>|/?INST\]|<SYS>>|</SYS>>)', '\1~\2\3', 'g') || '|>' || chr(10)
+  SELECT *, '<|' || regexp_replace(regexp_replace(role, '([|%\n]|^end\z)', '%\1', 'g'), '([<\[])(~*)(\||/?s>|/?INST\]|<SYS>>|</SYS>>)', '\1~\2\3', 'g') || '|>' || chr(10)
     || regexp_replace(text, '([<\[])(~*)(\||/?s>|/?INST\]|<SYS>>|</SYS>>)', '\1~\2\3', 'g') || '<|end|>' || chr(10) AS f FROM r),
 g AS (
   SELECT conv_id, count(*) AS n_turns,

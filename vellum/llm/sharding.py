@@ -6,8 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 from pyspark.sql.window import Window
 
+from vellum.llm.common import shielded, written
+
 
 def rendezvous_shard(key: Column | str, weights: Sequence[float]) -> Column:
     """The shard, 0 to len(weights) - 1, whose score is highest for this key.
@@ -28,27 +31,33 @@ def rendezvous_shard(key: Column | str, weights: Sequence[float]) -> Column:
     return (-best["shard"]).cast("int")
 
 
-def assign_shards(df: DataFrame, key: str, weights: Sequence[float], *, shard: str = "shard", slot: str = "slot", buckets: int | None = None) -> DataFrame:
+def assign_shards(df: DataFrame, key: str, weights: Sequence[float], *, shard: str = "shard", slot: str = "slot", buckets: int = 1024) -> DataFrame:
     """df with its shard and a gapless slot, from 0, in that shard.
 
     Slots are numbered inside ``buckets`` hash buckets a shard and shifted by the rows of the buckets before, so no
-    shard is sorted in one task; buckets default to the session's shuffle partitions, and repeated rows fall where
-    their key falls. Rows with a null key share one bucket. An empty df gives an empty result. Columns of df that
-    are named like the results are replaced.
+    shard is sorted in one task, and slots don't depend on the session. A bucket is chosen by a whole row, so rows
+    with a null or frequent key spread; only rows that are equal in every column must share one. df is written once
+    with its places, and read from there. An empty df gives an empty result. Columns of df that are named like the
+    results are replaced; columns that Spark can't order (maps, variants) are passed on but don't order rows.
     """
-    if buckets is None:
-        buckets = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    kept = [c for c in df.columns if c not in (shard, slot)]
-    part = F.pmod(F.xxhash64(F.col(key), F.lit("slot")), F.lit(buckets)).cast("int")
-    placed = df.select(*kept, rendezvous_shard(key, weights).alias(shard), part.alias("_bucket"))
+    kept = [c for c in df.columns if c.lower() not in (shard.lower(), slot.lower())]
+    rows, back = shielded(df.select(*(f"`{c}`" for c in kept)), "_bucket", "_n", "_start", "_at", shard, slot)
+    ordered = [f"`{f.name}`" for f in rows.schema if _orderable(f.dataType)]
+    part = F.pmod(F.xxhash64(*ordered, F.lit("slot")), F.lit(buckets)).cast("int")
+    placed = written(rows.select("*", rendezvous_shard(back[kept.index(key)], weights).alias(shard), part.alias("_bucket")))
     starts = (
-        df.select(rendezvous_shard(key, weights).alias(shard), part.alias("_bucket"))
-        .groupBy(shard, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+        placed.groupBy(shard, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_start", F.coalesce(F.sum("_n").over(Window.partitionBy(shard).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .drop("_n")
     )
-    inside = F.row_number().over(Window.partitionBy(shard, "_bucket").orderBy(*kept)) - 1
-    return placed.withColumn("_at", inside).join(starts, [shard, "_bucket"]).select(*kept, shard, (F.col("_start") + F.col("_at")).cast("long").alias(slot))
+    inside = F.row_number().over(Window.partitionBy(shard, "_bucket").orderBy(*ordered)) - 1
+    return placed.withColumn("_at", inside).join(starts, [shard, "_bucket"]).select(*back, shard, (F.col("_start") + F.col("_at")).cast("long").alias(slot))
+
+
+def _orderable(kind: DataType) -> bool:
+    if isinstance(kind, StructType):
+        return all(_orderable(f.dataType) for f in kind)
+    return _orderable(kind.elementType) if isinstance(kind, ArrayType) else not isinstance(kind, MapType | VariantType)
 
 
 def shard_documents(docs: DataFrame, shards: int = 40, weights: Sequence[float] | None = None) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vellum.llm.common import written
+
 
 def rotation(dim: int, bits: int, seed: int = 7) -> np.ndarray:
     """Rows of a random orthogonal matrix that turn vectors of dim components into at least ``bits``, a multiple of 64."""
@@ -18,21 +20,25 @@ def rotation(dim: int, bits: int, seed: int = 7) -> np.ndarray:
     return (q * np.sign(np.diag(r)))[:dim]
 
 
+def coded(vectors: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bits, norm, align) of vectors: a sign per rotated component, packed; the vector's length; the inner product of
+    the unit vector with its code, a unit vector of components +-1/sqrt(D)."""
+    norm = np.linalg.norm(vectors, axis=1)
+    rotated = (vectors / norm[:, None]) @ turn
+    return np.packbits(rotated > 0, axis=1), norm, np.abs(rotated).sum(1) / np.sqrt(turn.shape[1])
+
+
 class Codes:
-    """One-bit codes of unit vectors after a rotation, with what estimates of inner products need.
+    """One-bit codes of unit vectors after a rotation, with what estimates of inner products need (see coded).
 
-    bits: a sign per rotated component, packed; norm: the vector's length; align: the inner product of the unit
-    vector with its code (a unit vector of components +-1/sqrt(D)). For a unit query q, <q, code> / align estimates
-    <q, vector> without bias, with an error beyond epsilon * sqrt((1 - align^2) / align^2 / (D - 1)) only rarely.
+    For a unit query q, <q, code> / align estimates <q, vector> without bias, with an error beyond
+    epsilon * sqrt((1 - align^2) / align^2 / (D - 1)) only rarely.
     """
 
-    def __init__(self, vectors: np.ndarray, turn: np.ndarray):
-        size = turn.shape[1]
-        self.norm = np.linalg.norm(vectors, axis=1)
-        rotated = (vectors / self.norm[:, None]) @ turn
-        self.bits = np.packbits(rotated > 0, axis=1)
-        self.align = np.abs(rotated).sum(1) / np.sqrt(size)
-        self.spread = np.sqrt(np.maximum(0, 1 - self.align**2)) / self.align / np.sqrt(max(size - 1, 1))
+    def __init__(self, bits: np.ndarray, norm: np.ndarray, align: np.ndarray):
+        size = 8 * bits.shape[1]
+        self.bits, self.norm, self.align = bits, norm, align
+        self.spread = np.sqrt(np.maximum(0, 1 - align**2)) / align / np.sqrt(max(size - 1, 1))
 
     def estimate(self, queries: np.ndarray, levels: int = 4) -> np.ndarray:
         """Estimates of the inner products of rotated queries, kept at 2^levels steps, with all vectors (row: query).
@@ -55,12 +61,10 @@ class Codes:
         return (2 * inside - total[:, None].astype(np.float32)) / np.float32(np.sqrt(size)) * (self.norm / self.align).astype(np.float32)
 
 
-def nearest_in_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, codes: Codes, turn: np.ndarray, k: int, epsilon: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each query its k nearest among the vectors, its own id left out: (ids, scores) in double precision.
+def bounds_in_block(queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, codes: Codes, turn: np.ndarray, k: int, epsilon: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each query: places of the block's vectors that can be among its k nearest, with the bounds of their inner products.
 
-    A vector is scored exactly if its upper bound reaches the k-th largest lower bound of the query.
-    """
-    out = []
+    Those are the vectors whose upper bound reaches the k-th largest lower bound; the query's own id is left out."""
     lengths = np.linalg.norm(queries, axis=1)
     rotated = queries @ turn
     rounding = (rotated.max(1) - rotated.min(1)) / 15 / np.sqrt(12)  # of a query kept at 16 steps
@@ -74,10 +78,7 @@ def nearest_in_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.nda
         floor = np.partition(lower, len(ids) - n, axis=1)[:, len(ids) - n]
         for q in range(len(guess)):
             near = np.flatnonzero((upper[q] >= floor[q]) & ~own[q])
-            score = np.ascontiguousarray((vectors[near] * queries[at + q]).T).sum(0)  # component after component
-            best = np.lexsort((ids[near], -score))[:k]
-            out.append((ids[near][best], score[best]))
-    return out
+            yield near, lower[q, near], upper[q, near]
 
 
 def usable(vector: str):
@@ -86,65 +87,92 @@ def usable(vector: str):
     return F.col(vector).isNotNull() & (F.size(vector) > 0) & ~F.coalesce(bad, F.lit(False)) & F.exists(vector, lambda x: x != 0)
 
 
-def _blocks(rows: DataFrame, size: int, salt: str, name: str, n: int) -> DataFrame:
-    """rows (id, vector) as bounded blocks: one row a block, with its ids and vectors.
+CODED = "row bigint, id bigint, dim int, bits binary, norm double, align double"
+
 
-    Blocks are dealt by a hash of id and vector, so neither equal vectors nor equal ids meet in one block."""
+def encode_vectors(rows: DataFrame, bits: int = 256, seed: int = 7) -> DataFrame:
+    """The code table of rows (row, id, vector): row, id, dim, packed bits, norm, align. A code takes about 60 bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turns: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for where, vectors in _by_length(batch.column("vector")):
+                dim = vectors.shape[1]
+                if dim not in turns:
+                    turns[dim] = rotation(dim, bits, seed)
+                packed, norm, align = coded(vectors, turns[dim])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("row").take(where), batch.column("id").take(where), pa.array(np.full(len(vectors), dim, np.int32)), pa.array([x.tobytes() for x in packed], pa.binary()), pa.array(norm), pa.array(align)],
+                    names=["row", "id", "dim", "bits", "norm", "align"],
+                )
+
+    return rows.mapInArrow(run, CODED)
+
+
+def _by_length(column: pa.Array) -> list[tuple[pa.Array, np.ndarray]]:
+    """The vectors of a column as matrices by their length, with the places of their rows."""
+    lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+    flat, ends = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.cumsum(lengths)
+    if len(lengths) and (lengths == lengths[0]).all():
+        return [(pa.array(np.arange(len(lengths))), flat.reshape(len(lengths), -1))]
+    parts = np.split(flat, ends[:-1]) if len(lengths) else []
+    return [(pa.array(at := np.flatnonzero(lengths == d)), np.stack([parts[i] for i in at])) for d in sorted(set(lengths.tolist()))]
+
+
+def _blocks(rows: DataFrame, size: int, name: str, n: int) -> DataFrame:
+    """rows, told apart by ``row``, as bounded blocks: one row a block, all of vectors of one length."""
     count = max(1, -(-n // size))
-    spread = rows.withColumn("_at", F.pmod(F.xxhash64("id", "vector", F.lit(salt)), F.lit(count)).cast("int"))
-    return spread.groupBy("_at").agg(F.collect_list(F.struct("id", "vector")).alias(name)).withColumnRenamed("_at", f"{name}_no")
+    dealt = rows.withColumn("_at", F.pmod(F.xxhash64("row", F.lit(name)), F.lit(count)).cast("int"))
+    return dealt.groupBy("_at", "dim").agg(F.collect_list(F.struct(*(c for c in rows.columns if c != "dim"))).alias(name)).withColumnRenamed("_at", f"{name}_no")
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, *, key: str = "vec_id", vector: str = "embedding", epsilon: float = 2.5, bits: int = 256, block: int = 4096, seed: int = 7) -> DataFrame:
     """Each query's k nearest of ``vectors`` by inner product, other than itself: query_id, rank, vec_id, score.
 
-    Both sides are dealt in blocks of about ``block`` rows. Each pair of a query block and a vector block is one
-    row: vectors are rotated into ``bits`` components, kept as one bit each, and their inner products estimated from the packed bits
-    and two numbers a vector; error bounds, ``epsilon`` deviations wide, choose what is scored exactly in double
-    precision. Each pair gives k rows a query at most, and these are ranked. Every vector is indexed and searched.
+    Every vector is coded once, rotated into ``bits`` components of one bit each, into a table of codes. Codes and
+    queries are dealt in blocks of about ``block`` rows; for each pair of blocks inner products are estimated from the
+    packed bits and two numbers a vector, and error bounds, ``epsilon`` deviations wide, choose what can be among the
+    k nearest. The k-th largest lower bound over all blocks then leaves few candidates a query; only for these the
+    vectors themselves are fetched, and scored exactly in double precision.
 
     Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do null keys or
-    vectors of another length than the queries'. Ties go to the smaller id. Rows of the query's own id are left out;
-    repeated rows are candidates each. An empty side gives no rows; other columns are ignored.
+    vectors of another length than the query's. Ties go to the smaller id. Rows of the query's own id are left out;
+    repeated rows are candidates and queries each, dealt apart from one another. An empty side gives no rows; other
+    columns are ignored.
     """
-    side = lambda df: df.where(usable(vector) & F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("vector"))
+    side = lambda df: written(df.where(usable(vector) & F.col(key).isNotNull()).select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("vector")))
     base, asked = side(vectors), side(queries)
     n, m = base.count(), asked.count()
-    count = lambda rows: F.sequence(F.lit(0), F.lit(max(1, -(-rows // block)) - 1))
-    left = _blocks(asked, block, "q", "asked", m).withColumn("base_no", F.explode(count(n)))
-    right = _blocks(base, block, "v", "base", n).withColumn("asked_no", F.explode(count(m)))
-    pairs = right.join(left, ["asked_no", "base_no"])
+    codes = written(encode_vectors(base, bits, seed))
+    numbers = lambda rows: F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-rows // block)) - 1)))
+    left = _blocks(asked.withColumn("dim", F.size("vector")), block, "asked", m).withColumn("codes_no", numbers(n))
+    right = _blocks(codes, block, "codes", n).withColumn("asked_no", numbers(m))
+    pairs = right.join(left, ["asked_no", "codes_no", "dim"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turns: dict[int, np.ndarray] = {}
         for batch in batches:
             for i in range(batch.num_rows):
-                for (q, qi), (v, vi) in _same_length(batch.column("asked"), batch.column("base"), i):
-                    if q.shape[1] not in turns:
-                        turns[q.shape[1]] = rotation(q.shape[1], bits, seed)
-                    turn = turns[q.shape[1]]
-                    found = nearest_in_block(q, qi, v, vi, Codes(v, turn), turn, k, epsilon)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(qi, [len(x) for x, _ in found])), pa.array(np.concatenate([x for x, _ in found])), pa.array(np.concatenate([s for _, s in found]))],
-                        names=["query_id", "vec_id", "score"],
-                    )
-
-    near = pairs.mapInArrow(run, "query_id bigint, vec_id bigint, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _same_length(asked: pa.Array, base: pa.Array, i: int):
-    """The blocks of row i as matrices, by vector length where lengths differ."""
-    sides = []
-    for column in (asked, base):
-        rows = column[i].values
-        vectors = rows.field("vector")
-        lengths, ids = vectors.value_lengths().to_numpy(zero_copy_only=False), rows.field("id").to_numpy(zero_copy_only=False)
-        flat, ends = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.cumsum(lengths)
-        if len(set(lengths.tolist())) == 1:
-            sides.append({int(lengths[0]): (flat.reshape(len(ids), -1), ids)})
-        else:
-            parts = np.split(flat, ends[:-1])
-            sides.append({int(d): (np.stack([p for p, x in zip(parts, lengths, strict=True) if x == d]), ids[lengths == d]) for d in set(lengths.tolist())})
-    return [(sides[0][d], sides[1][d]) for d in sides[0] if d in sides[1]]
+                q, c = batch.column("asked")[i].values, batch.column("codes")[i].values
+                vectors = q.field("vector").flatten().to_numpy(zero_copy_only=False).reshape(len(q), -1)
+                dim = vectors.shape[1]
+                if dim not in turns:
+                    turns[dim] = rotation(dim, bits, seed)
+                packed = np.frombuffer(b"".join(c.field("bits").to_pylist()), np.uint8).reshape(len(c), -1)
+                block_codes = Codes(packed, *(c.field(x).to_numpy(zero_copy_only=False) for x in ("norm", "align")))
+                ids, rows, asking = (x.to_numpy(zero_copy_only=False) for x in (c.field("id"), c.field("row"), q.field("row")))
+                found = list(bounds_in_block(vectors, q.field("id").to_numpy(zero_copy_only=False), ids, block_codes, turns[dim], k, epsilon))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(asking, [len(x) for x, _, _ in found])), *(pa.array(np.concatenate(x)) for x in ([rows[at] for at, _, _ in found], [lo for _, lo, _ in found], [hi for _, _, hi in found]))],
+                    names=["asking", "row", "lower", "upper"],
+                )
+
+    near = pairs.mapInArrow(run, "asking bigint, row bigint, lower double, upper double")
+    mine = Window.partitionBy("asking")
+    near = near.withColumn("place", F.row_number().over(mine.orderBy(F.desc("lower"))))
+    near = near.withColumn("floor", F.min(F.when(F.col("place") <= k, F.col("lower"))).over(mine)).where("upper >= floor").select("asking", "row")
+    pair = near.join(base.select("row", F.col("id").alias("vec_id"), F.col("vector").alias("v")), "row").join(asked.select(F.col("row").alias("asking"), F.col("id").alias("query_id"), F.col("vector").alias("q")), "asking")
+    product = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda total, x: total + x)  # component after component
+    scored = pair.select("asking", "query_id", "vec_id", product.alias("score"))
+    order = Window.partitionBy("asking").orderBy(F.desc("score"), "vec_id")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

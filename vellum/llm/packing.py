@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
 
@@ -16,8 +17,8 @@ from pyspark.sql import DataFrame
 #: The tokenizer's own rule of pieces, and Unicode's white space.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPACE = "\t-\r \x85\xa0  -     　"
-#: Runs between white space, each with one leading space; no piece reaches over their ends.
-RUNS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+#: White space that the tokenizer's rule of pieces is not asked about: it would look back from every character of it.
+WIDE = re.compile(f"[{SPACE}]{{1000,}}")
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -33,18 +34,17 @@ def byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Encoder(dict):
-    """Token ids of a byte-level BPE vocabulary file, as little-endian unsigned 32-bit bytes; runs are kept up to a bound."""
+class Encoder:
+    """Token ids of a byte-level BPE vocabulary file, as unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str):
         import tiktoken
 
         spec = json.load(open(path, encoding="utf-8"))
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         table = byte_of()
         ranks = {bytes(table[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in self.special}
-        self.encode_run = tiktoken.Encoding(name="own", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.keep = keep
+        self.bpe = tiktoken.Encoding(name="own", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
         self.parts = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         size = max([*ranks.values(), *self.special.values()]) + 1
         self.ends, self.starts = np.zeros(size, bool), np.zeros(size, bool)
@@ -52,16 +52,19 @@ class Encoder(dict):
             self.ends[i] = token[-1:] in (b".", b"!", b"?", b"\n")
             self.starts[i] = token[:1].isspace()
 
-    def __missing__(self, run: str) -> bytes:
-        if len(self) >= self.keep:
-            self.clear()
-        self[run] = ids = np.array(self.encode_run(run), "<u4").tobytes()
-        return ids
+    def ids(self, text: str) -> list[int]:
+        """Ids of text without special tokens. Of wide white space all but the last character is one piece."""
+        out, at = [], 0
+        for m in WIDE.finditer(text):
+            end = m.end() if m.end() == len(text) else m.end() - 1
+            out += self.bpe.encode_ordinary(text[at : m.start()]) + self.bpe._encode_single_piece(text[m.start() : end])
+            at = end
+        return out + self.bpe.encode_ordinary(text[at:]) if out else self.bpe.encode_ordinary(text)
 
     def encode(self, text: str) -> bytes:
         if self.parts is None or not any(s in text for s in self.special):
-            return b"".join(map(self.__getitem__, RUNS.findall(text)))
-        return b"".join(np.array([self.special[x]], "<u4").tobytes() if x in self.special else b"".join(map(self.__getitem__, RUNS.findall(x))) for x in self.parts.split(text))
+            return array("I", self.ids(text)).tobytes()
+        return b"".join(array("I", [self.special[x]] if x in self.special else self.ids(x)).tobytes() for x in self.parts.split(text))
 
 
 def candidates(ids: np.ndarray, doc_ends: np.ndarray, ends: np.ndarray, starts: np.ndarray, sentence: int, other: int, step: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,11 +134,14 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = 1024, end_
     """Pieces of documents in sequences of at most ``window`` tokens: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset, and the ids themselves if asked for.
 
-    Each partition of docs is one stream in its own order, each document ended by ``end_id``; it is cut in blocks of
-    ``block`` tokens, so memory is bounded however long texts are, and nothing is shuffled. sequence_id holds the
+    Each partition of docs is one stream in its own order, each document ended by ``end_id``. Cuts are chosen over
+    blocks of ``block`` tokens, wherever documents end; the last four windows of a block are cut again with the next,
+    so that no cut depends on where a block ends. Memory is bounded however long texts are, and nothing is shuffled. sequence_id holds the
     partition's number in its upper bits; a task that runs again gives the same rows. A null text is empty; null
     doc_ids and repeated rows are documents like others; an empty table gives no pieces; other columns are ignored.
     """
+    if block < 8 * window:
+        raise ValueError("a block must hold several windows")
     schema = PIECE + (", ids array<bigint>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,17 +152,21 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = 1024, end_
         parts: list[bytes] = []
         size = 0
 
-        def flush() -> pa.RecordBatch:
+        def flush(last: bool) -> pa.RecordBatch:
+            """The sequences of the block; unless it is the last, its end is left to the next, which cuts it again."""
             nonlocal sequence, held, parts, size
             raw = b"".join(parts)
-            ids, lengths = np.frombuffer(raw, "<u4"), [len(p) // 4 for p in parts]
+            ids, lengths = np.frombuffer(raw, "<u4"), np.array([len(p) // 4 for p in parts])
             doc_ends = np.cumsum(lengths)
             at, cost = candidates(ids, doc_ends, encoder.ends, encoder.starts, sentence, other, step)
             cuts = np.array(cut(at.tolist(), cost.tolist(), window, other))
-            edges = np.union1d(cuts, doc_ends)
+            if not last:
+                cuts = cuts[: np.searchsorted(cuts, len(ids) - 4 * window, "right")]
+            end = int(cuts[-1])
+            edges = np.union1d(cuts, doc_ends[doc_ends < end])
             lo, hi = edges[:-1], edges[1:]
             doc, seq = np.searchsorted(doc_ends, lo, "right"), np.searchsorted(cuts, lo, "right") - 1
-            begin = doc_ends - np.array(lengths)
+            begin = doc_ends - lengths
             columns = [
                 [held[d][0] for d in doc.tolist()], [held[d][1] + a for d, a in zip(doc.tolist(), (lo - begin[doc]).tolist(), strict=True)], (hi - lo).tolist(),
                 [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)],
@@ -168,7 +178,11 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = 1024, end_
                 names.append("ids")
                 arrays.append(pa.array([ids[a:b].astype(np.int64) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)], pa.list_(pa.int64())))
             sequence += len(cuts) - 1
-            held, parts, size = [], [], 0
+            first = int(np.searchsorted(doc_ends, end, "right"))  # the first document of which something is left
+            skip = np.maximum(end - begin[first:], 0).tolist()
+            parts = [p[4 * n :] for p, n in zip(parts[first:], skip, strict=True)]
+            held = [(i, start + n, tokens) for (i, start, tokens), n in zip(held[first:], skip, strict=True)]
+            size = len(ids) - end
             return pa.RecordBatch.from_arrays(arrays, names=names)
 
         for batch in batches:
@@ -176,13 +190,13 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = 1024, end_
                 raw = encoder.encode(text.as_py() or "") + stop
                 tokens, at = len(raw) // 4, 0
                 while at < tokens:
-                    take = min(block - size, tokens - at) if tokens - at > block - size and tokens > block // 4 else tokens - at
+                    take = min(block - size, tokens - at)
                     held.append((doc_id.as_py(), at, tokens))
                     parts.append(raw[4 * at : 4 * (at + take)])
                     at, size = at + take, size + take
                     if size >= block:
-                        yield flush()
+                        yield flush(False)
         if size:
-            yield flush()
+            yield flush(True)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)

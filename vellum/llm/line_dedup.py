@@ -2,25 +2,20 @@
 
 from __future__ import annotations
 
-import hashlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
-from vellum.llm.common import appended, written
+from vellum.llm.common import appended, shielded, written
 
-LOWER = {c: c + 32 for c in range(65, 91)}
-STRIP = " \t\n\v\f\r"
+STRIP = b" \t\n\v\f\r"
 SLOTS = 4
 
 
-def line_key(line: str) -> str:
-    return line.strip(STRIP).translate(LOWER)
-
-
 class CuckooFilter:
     """16-bit fingerprints in buckets of four; each key has two buckets, the other known from one and the fingerprint.
 
@@ -80,28 +75,37 @@ class CuckooFilter:
         rows = self.table.reshape(-1, SLOTS)
         return (rows[first] == marks[:, None]).any(1) | (rows[second] == marks[:, None]).any(1)
 
+    def room(self, load: float = 0.8) -> int:
+        """How many more keys it takes up to that load."""
+        return max(0, int(load * len(self.table)) - int(np.count_nonzero(self.table)))
+
+    def extend(self, keys: np.ndarray) -> np.ndarray:
+        """Inserts keys: which of them found room. Most are placed at once, the rest one by one."""
+        taken, table = np.zeros(len(keys), bool), self.table.reshape(-1, SLOTS)
+        marks = (keys >> np.uint64(48)).astype(np.int64)
+        marks[marks == 0] = 1
+        for second in (False, True):
+            left = np.flatnonzero(~taken)
+            at = (keys[left] & np.uint64(self.mask)).astype(np.int64)
+            if second:
+                at = (at ^ (marks[left] * 0x5BD1E995)) & self.mask
+            order = np.argsort(at, kind="stable")
+            at, left = at[order], left[order]
+            nth = np.arange(len(at)) - np.searchsorted(at, at)
+            free = np.argsort(table[at] != 0, axis=1, kind="stable")  # a bucket's free slots first
+            fits = nth < (table[at] == 0).sum(1)
+            table[at[fits], free[fits, nth[fits]]] = marks[left[fits]]
+            taken[left[fits]] = True
+        for i in np.flatnonzero(~taken).tolist():
+            taken[i] = self.insert(int(keys[i]))
+        return taken
+
     @classmethod
     def of(cls, keys: np.ndarray, buckets: int = 16) -> CuckooFilter:
-        """A filter of all the keys, at a load of at most four fifths; most are placed at once, the rest one by one."""
-        while len(keys) > 0.8 * SLOTS * buckets:
-            buckets *= 2
+        """A filter of all the keys, at a load of at most four fifths."""
         while True:
             new = cls(buckets)
-            left, table = keys, new.table.reshape(-1, SLOTS)
-            for second in (False, True):
-                marks = (left >> np.uint64(48)).astype(np.int64)
-                marks[marks == 0] = 1
-                at = (left & np.uint64(new.mask)).astype(np.int64)
-                if second:
-                    at = (at ^ (marks * 0x5BD1E995)) & new.mask
-                order = np.argsort(at, kind="stable")
-                at, marks, left = at[order], marks[order], left[order]
-                nth = np.arange(len(at)) - np.searchsorted(at, at)
-                slot = nth + (table[at] != 0).sum(1)
-                fits = slot < SLOTS
-                table[at[fits], slot[fits]] = marks[fits]
-                left = left[~fits]
-            if all(new.insert(int(k)) for k in left):
+            if len(keys) <= new.room() and new.extend(keys).all():
                 return new
             buckets *= 2
 
@@ -111,19 +115,32 @@ BATCH = "shard int, hi bigint, lo bigint, refs bigint, first_doc bigint, last_do
 KEYS = "keys array<struct<hi:bigint,lo:bigint>>, n_lines bigint"
 
 
-def _digest(key: str) -> tuple[int, int]:
-    d = hashlib.blake2b(key.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+def _normal(text: str | None) -> list[bytes]:
+    """Each line's key: stripped of ASCII white space, A-Z lower-cased."""
+    return [line.strip(STRIP) for line in (text or "").encode("utf-8", "surrogatepass").lower().split(b"\n")]
 
 
-def _keys(text: str | None, least: int) -> list[tuple[int, int]]:
-    found = {k for line in set((text or "").split("\n")) if len(line) >= least and len(k := line_key(line)) >= least}
-    return [_digest(k) for k in found]
+def _long(key: bytes, least: int) -> bool:
+    """Whether the key has at least ``least`` code points."""
+    return len(key) >= least and (key.isascii() or len(key) >= 4 * least or len(key.decode("utf-8", "surrogatepass")) >= least)
+
+
+def _key_batch(texts: list[str | None], least: int) -> list:
+    """The columns of KEYS: a text's distinct keys by their digests, and how many lines it has."""
+    ends, digests, lines = [0], [], []
+    for text in texts:
+        keys = _normal(text)
+        lines.append(len(keys))
+        digests += [xxh3_128_digest(k) for k in set(keys) if _long(k, least)]
+        ends.append(len(digests))
+    both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+    pairs = pa.StructArray.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["hi", "lo"])
+    return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs), lines]
 
 
 def document_keys(docs: DataFrame, least: int = 10) -> DataFrame:
     """(doc_id, hi, lo): the 128-bit digests of each document's distinct line keys of at least ``least`` code points."""
-    made = appended(docs.select("doc_id", "text"), KEYS, lambda: lambda b: [[[{"hi": h, "lo": w} for h, w in _keys(t, least)] for t in b.column("text").to_pylist()], [(t or "").count("\n") + 1 for t in b.column("text").to_pylist()]])
+    made = appended(docs.select("doc_id", "text"), KEYS, lambda: lambda b: _key_batch(b.column("text").to_pylist(), least))
     return made.select("doc_id", F.explode("keys").alias("k")).select("doc_id", "k.hi", "k.lo")
 
 
@@ -148,8 +165,8 @@ class LineIndex:
 
     @classmethod
     def empty(cls, spark: SparkSession, shards: int | None = None, least: int = 10) -> LineIndex:
-        """Shards default to four a shuffle partition: a task holds one shard's keys at a time."""
-        shards = shards or max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+        """One task holds one shard's keys at a time, so shards should grow with the keys that are expected (see shards_for)."""
+        shards = shards or 64
         return cls(
             spark.createDataFrame([], "doc_id bigint, hi bigint, lo bigint"),
             spark.createDataFrame([], "hi bigint, lo bigint, refs bigint, first_doc bigint, last_doc bigint"),
@@ -165,7 +182,10 @@ class LineIndex:
 
     def insert(self, docs: DataFrame) -> LineIndex:
         """The index with these documents' lines. Rows without doc_id hold no reference; a repeated row is one reference more."""
-        refs = written(document_keys(docs.where(F.col("doc_id").isNotNull()), self.least))
+        return self.insert_keys(written(document_keys(docs.where(F.col("doc_id").isNotNull()), self.least)))
+
+    def insert_keys(self, refs: DataFrame) -> LineIndex:
+        """The same from the documents' keys (doc_id, hi, lo), a table that is read more than once."""
         batch = refs.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("refs"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).select(self._shard().alias("shard"), "hi", "lo", "refs", "first_doc", "last_doc")
         if self.bare:  # every key is new
             added = self._added(batch)
@@ -203,20 +223,26 @@ class LineIndex:
     def clean(self, docs: DataFrame) -> DataFrame:
         """docs with kept_text, n_lines and n_dropped. A null or empty text is one empty line; rows without doc_id keep all lines."""
         least = self.least
+        rows, back = shielded(docs, "_keys")
 
         def make():
             def apply(batch):
                 out = []
                 for text, keys in zip(batch.column("text").to_pylist(), batch.column("_keys").to_pylist(), strict=True):
                     lines = (text or "").split("\n")
-                    gone = {(k["hi"], k["lo"]) for k in keys or ()}
-                    kept = [x for x in lines if len(k := line_key(x)) < least or _digest(k) not in gone] if gone else lines
+                    gone = {k["hi"].to_bytes(8, "little", signed=True) + k["lo"].to_bytes(8, "little", signed=True) for k in keys or ()}
+                    kept = [x for x, k in zip(lines, _normal(text), strict=True) if not _long(k, least) or xxh3_128_digest(k) not in gone] if gone else lines
                     out.append(("\n".join(kept), len(lines), len(lines) - len(kept)))
                 return list(zip(*out, strict=True))
 
             return apply
 
-        return appended(docs.drop("_keys").join(self.dropped(), "doc_id", "left"), "kept_text string, n_lines bigint, n_dropped bigint", make).drop("_keys")
+        made = appended(rows.join(self.dropped(), "doc_id", "left"), CLEANED, make)
+        return made.select(*(c for c, name in zip(back, docs.columns, strict=True) if name.lower() not in CLEANED_NAMES), *CLEANED_NAMES)
+
+
+CLEANED = "kept_text string, n_lines bigint, n_dropped bigint"
+CLEANED_NAMES = ("kept_text", "n_lines", "n_dropped")
 
 
 def _unsigned(t: pa.Table) -> np.ndarray:
@@ -246,16 +272,19 @@ def _add(keys: pa.Table, filters: pa.Table) -> pa.Table:
 
     Keys that a full filter can't take go to a further one, at least twice as large."""
     new, old = _unsigned(keys), _load(filters)
-    room = int(0.8 * len(old[-1].table)) - int((old[-1].table != 0).sum()) if old else 0
-    fit = 0
-    while fit < min(room, len(new)) and old[-1].insert(int(new[fit])):
-        fit += 1
-    places = [len(old) - 1] * fit + [len(old)] * (len(new) - fit)
-    if fit < len(new) or not old:
-        old.append(CuckooFilter.of(new[fit:], 2 * (old[-1].mask + 1) if old else 16))
-    out = {"shard": pa.array([_shard_of(keys, filters)] * (len(new) + 1), pa.int32())}
-    out |= {c: pa.array([*keys.column(c).to_pylist(), None], pa.int64()) for c in BATCH_COLUMNS[1:]}
-    return pa.table(out | {"place": pa.array([*places, None], pa.int32()), "filters": pa.array([None] * len(new) + [[f.table.tobytes() for f in old]], pa.list_(pa.binary()))})
+    places = np.full(len(new), len(old), np.int32)
+    if old:
+        fit = np.arange(min(old[-1].room(), len(new)))
+        places[fit[old[-1].extend(new[fit])]] = len(old) - 1
+    rest = new[places == len(old)]
+    if len(rest) or not old:
+        old.append(CuckooFilter.of(rest, 2 * (old[-1].mask + 1) if old else 16))
+    last = lambda column, kind: pa.concat_arrays([*column.chunks, pa.nulls(1, kind)])
+    out = {"shard": pa.array(np.full(len(new) + 1, _shard_of(keys, filters), np.int32))}
+    out |= {c: last(keys.column(c), pa.int64()) for c in BATCH_COLUMNS[1:]}
+    out["place"] = pa.concat_arrays([pa.array(places), pa.nulls(1, pa.int32())])
+    out["filters"] = pa.concat_arrays([pa.nulls(len(new), pa.list_(pa.binary())), pa.array([[f.table.tobytes() for f in old]], pa.list_(pa.binary()))])
+    return pa.table(out)
 
 
 def _forget(lost: pa.Table, filters: pa.Table) -> pa.Table:
@@ -278,10 +307,28 @@ def _places_of(added: DataFrame) -> DataFrame:
     return added.where("filters IS NULL").select("hi", "lo", "place")
 
 
-def dedup_lines(docs: DataFrame, least: int = 10, shards: int | None = None) -> DataFrame:
+def shards_for(keys: int, each: int = 250_000) -> int:
+    """Shards of at most about ``each`` keys, so that what one task holds doesn't grow with the table."""
+    return max(16, -(-keys // each))
+
+
+def dedup_lines(docs: DataFrame, least: int = 10, shards: int | None = None, batches: int = 2) -> DataFrame:
     """docs with kept_text, n_lines and n_dropped: keys that at least two documents hold stay only in the first.
 
     A key is a line, stripped and with A-Z lower-cased, of at least ``least`` code points; a key's lines all stay in
-    the smallest doc_id that holds it. Empty tables give no rows; columns of docs named like the results are replaced.
+    the smallest doc_id that holds it. The documents go into the index in ``batches`` by a hash of doc_id: what the
+    filters don't know is new, only what they may know is looked up in the counts. Empty tables give no rows; columns
+    of docs named like the results are replaced.
     """
-    return LineIndex.empty(docs.sparkSession, shards, least).insert(docs).clean(docs)
+    spark = docs.sparkSession
+    refs = written(document_keys(docs.where(F.col("doc_id").isNotNull()), least).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches))))
+    index = LineIndex.empty(spark, shards or shards_for(refs.count()), least)
+    for b in range(batches):
+        index = index.insert_keys(refs.where(F.col("batch") == b).drop("batch"))
+    return index.clean(docs)
+
+
+def drop_repeated_lines(docs: DataFrame, least: int = 10) -> DataFrame:
+    """docs whose texts are without the lines that dedup_lines drops; other columns stay as they are, whatever their names."""
+    rows, back = shielded(docs, *CLEANED_NAMES)
+    return dedup_lines(rows, least).withColumn("text", F.col("kept_text")).select(*back)

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import appended, written
+from vellum.llm.common import appended, shielded, written
 
 #: ASCII letters to lower case; what parts words (ASCII that is neither letter nor digit) to a space.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -32,31 +32,42 @@ def _rolling(ids: np.ndarray, n: int) -> np.ndarray:
 
 
 class Windows:
-    """All windows of n consecutive words of the items; an item of fewer words, but not none, is one window."""
+    """All windows of n consecutive words of the items; an item of fewer words, but not none, is one window.
+
+    Kept in arrays: the items' words as numbers in one row, and for each length of window the sorted hashes of the
+    different windows, where in that row each is found for verification, and the items that hold it. That is some 30
+    bytes a word of the items, besides each different word itself.
+    """
 
     def __init__(self, items: list[tuple[int, str | None]], n: int):
-        by_length: dict[int, dict[tuple[bytes, ...], set[int]]] = {}
         self.words: dict[bytes, int] = {}
-        for item, text in items:
-            words = words_of(text)
-            for w in words:
-                self.words.setdefault(w, len(self.words) + 1)
-            k = min(n, len(words))
-            for i in range(len(words) - k + 1 if k else 0):
-                by_length.setdefault(k, {}).setdefault(tuple(words[i : i + k]), set()).add(item)
-        self.tables = {}
-        for k, found in by_length.items():
-            keys = [tuple(self.words[w] for w in words) for words in found]
-            hashes = _rolling(np.array([x for key in keys for x in key], np.uint64), k)[::k]
-            self.tables[k] = (np.unique(hashes), dict(zip(keys, found.values(), strict=True)))
-        self.n = n
+        texts = [(item, words_of(text)) for item, text in items]
+        texts = [(item, [self.words.setdefault(w, len(self.words) + 1) for w in words]) for item, words in texts if words]
+        self.row = np.array([i for _, ids in texts for i in ids], np.uint32)
+        lengths = np.array([len(ids) for _, ids in texts], np.int64)
+        begins, named = np.cumsum(lengths) - lengths, np.array([item is not None for item, _ in texts], bool)
+        owners = np.array([item or 0 for item, _ in texts], np.int64)
+        self.tables: dict[int, tuple[np.ndarray, ...]] = {}
+        for k in sorted(set(np.minimum(lengths, n).tolist())):
+            own = np.flatnonzero(np.minimum(lengths, n) == k)
+            counts = lengths[own] - k + 1
+            at = np.repeat(begins[own] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+            grams = self.row[at[:, None] + np.arange(k)]
+            order = np.lexsort((*grams.T[::-1], hashes := _rolling(self.row.astype(np.uint64), k)[at]))
+            at, grams, hashes = at[order], grams[order], hashes[order]
+            new = np.concatenate(([True], (grams[1:] != grams[:-1]).any(1)))
+            which = np.cumsum(new) - 1
+            held = np.column_stack([which, np.repeat(owners[own], counts)[order]])
+            held = np.unique(held[np.repeat(named[own], counts)[order]], axis=0)
+            # a window's hash and place, and where its items begin in the list of items
+            self.tables[k] = (hashes[new], at[new], np.searchsorted(held[:, 0], np.arange(new.sum() + 1)), held[:, 1])
 
     def hits(self, words: list[bytes]) -> tuple[np.ndarray, set[int]]:
         """Which words are inside an occurrence of a window, and the items whose windows occur."""
         ids = np.fromiter(map(self.words.get, words, repeat(0)), np.uint64, len(words))
         inside, items = np.zeros(len(ids) + 1, np.int32), set()
         known = ids != 0
-        for k, (hashes, exact) in self.tables.items():
+        for k, (hashes, places, begins, held) in self.tables.items():
             if len(ids) < k:
                 continue
             sums = np.concatenate(([0], np.cumsum(known)))
@@ -64,20 +75,25 @@ class Windows:
             if not len(starts):
                 continue
             if len(starts) * 4 < len(ids):
-                windows = ids[starts[:, None] + np.arange(k)]
-                h = _rolling(windows.ravel(), k)[::k]
+                h = _rolling(ids[starts[:, None] + np.arange(k)].ravel(), k)[::k]
             else:
                 h = _rolling(ids, k)[starts]
-            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            for i in starts[hashes[at] == h].tolist():
-                if found := exact.get(tuple(ids[i : i + k].tolist())):  # a verified hit
-                    items |= found
-                    inside[i] += 1
-                    inside[i + k] -= 1
+            at = np.searchsorted(hashes, h)
+            while len(starts):  # more than once only where different windows share a hash
+                there = np.flatnonzero(at < len(hashes))
+                there = there[hashes[at[there]] == h[there]]
+                starts, at, h = starts[there], at[there], h[there]
+                same = (ids[starts[:, None] + np.arange(k)] == self.row[places[at][:, None] + np.arange(k)]).all(1)  # a verified hit
+                np.add.at(inside, starts[same], 1)
+                np.add.at(inside, starts[same] + k, -1)
+                for w in np.unique(at[same]).tolist():
+                    items.update(held[begins[w] : begins[w + 1]].tolist())
+                starts, at, h = starts[~same], at[~same] + 1, h[~same]
         return np.cumsum(inside[:-1]) > 0, items
 
 
 HITS = "n_words bigint, n_hit bigint, items array<bigint>, clean_text string"
+HIT_NAMES = ("n_words", "n_hit", "items", "clean_text")
 
 
 def _cut(text: str, hit: np.ndarray) -> str:
@@ -95,23 +111,29 @@ def _cut(text: str, hit: np.ndarray) -> str:
     return b"".join(keep).decode("utf-8", "surrogatepass")
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, broadcast_bytes: int = 64 << 20) -> DataFrame:
+#: What parts words, as a pattern of Spark's.
+APART = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, broadcast_words: int = 2_000_000) -> DataFrame:
     """docs with n_words, n_hit, items (sorted ids of items with occurring windows) and clean_text (hit spans removed).
 
-    A benchmark whose texts have at most ``broadcast_bytes`` goes to every task as one set of windows; docs are then
-    read once, without a shuffle. A larger one is joined on the windows' hashes instead, with the same result.
+    The windows of a benchmark of at most ``broadcast_words`` words go to every task as one set, about 60 MB of
+    arrays at that bound; docs are then read once, without a shuffle. A larger benchmark is joined on the windows'
+    hashes instead, with the same result.
 
     A null text has no words and stays null; items without words have no window; repeated items count once each by
-    their id; an empty benchmark hits nothing. Columns of docs named like the results are replaced.
+    their id, those without id only in the hit words; an empty benchmark hits nothing. Columns of docs named like the
+    results are replaced.
     """
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
-    if size > broadcast_bytes:
-        return _joined(docs, benchmark, n)
-    items = [(r[0], r[1]) for r in benchmark.select("item_id", "text").collect()]
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+    asked = benchmark.where(F.col("text").isNotNull()).select("item_id", "text")
+    size = asked.agg(F.coalesce(F.sum(F.regexp_count("text", F.lit(APART.replace("[", "[^", 1) + "+"))), F.lit(0))).first()[0]
+    if size > broadcast_words:
+        return _joined(docs, asked, n)
+    shared = docs.sparkSession.sparkContext.broadcast(Windows([(r[0], r[1]) for r in asked.collect()], n))
 
     def make():
-        windows = Windows(shared.value, n)
+        windows = shared.value
 
         def scan(batch):
             rows = [_row(text, *windows.hits(words_of(text))) for text in batch.column("text").to_pylist()]
@@ -128,8 +150,12 @@ def _row(text: str | None, hit: np.ndarray, items: set[int]) -> tuple:
 
 
 def _joined(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
-    """The same where the windows are too many for a task: each item's and document's windows meet by hash."""
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()))
+    """The same where the windows are too many for a task: each item's and document's windows meet by hash.
+
+    Different windows of the items are one row each, so a window that many items and documents share meets each of a
+    document's occurrences once; the items are joined to a document's different windows only."""
+    shielded_docs, back = shielded(docs, "_row", "_w", "_k", "_at", "_g", "_hits", "_items", *HIT_NAMES)
+    rows = written(shielded_docs.withColumn("_row", F.monotonically_increasing_id()))
     least = F.least(F.size("_w"), F.lit(n))
     words = lambda df, *ids: appended(df.select(*ids, "text"), "_w array<binary>", lambda: lambda b: [[words_of(t) for t in b.column("text").to_pylist()]]).drop("text")
     gram = lambda k: F.md5(F.array_join(F.transform(F.slice("_w", F.col("_at"), k), F.hex), " "))
@@ -137,7 +163,9 @@ def _joined(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
     lengths = [r[0] for r in items.select("_k").distinct().collect()]  # at most n of them
     seen = words(rows, "_row").withColumn("_k", F.explode(F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>"))).where("size(_w) >= _k")
     seen = seen.withColumn("_at", F.explode(F.sequence(F.lit(1), F.size("_w") - F.col("_k") + 1))).select("_row", "_k", "_at", gram(F.col("_k")).alias("_g"))
-    hits = seen.join(items, ["_k", "_g"]).groupBy("_row").agg(F.collect_set(F.struct("_at", "_k")).alias("_hits"), F.array_sort(F.collect_set("item_id")).alias("_items"))
+    met = written(seen.join(items.select("_k", "_g").distinct(), ["_k", "_g"], "left_semi"))
+    hits = met.groupBy("_row").agg(F.collect_list(F.struct("_at", "_k")).alias("_hits"))
+    held = met.select("_row", "_k", "_g").distinct().join(items, ["_k", "_g"]).groupBy("_row").agg(F.array_sort(F.collect_set("item_id")).alias("_items"))
 
     def make():
         def mark(batch):
@@ -151,7 +179,9 @@ def _joined(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
 
         return mark
 
-    return appended(rows.join(hits, "_row", "left"), HITS, make).drop("_row", "_hits", "_items")
+    marked = appended(rows.join(hits, "_row", "left").join(held, "_row", "left"), HITS, make)
+    kept = [c for c, name in zip(back, docs.columns, strict=True) if name.lower() not in HIT_NAMES]
+    return marked.select(*kept, *HIT_NAMES)
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -161,9 +191,10 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, drop_share: float = 0.5) -> DataFrame:
-    """docs with hit spans removed from the texts; documents of which at least ``drop_share`` of the words are hit go."""
-    found = find_contamination(docs, benchmark, n)
-    kept = found.where((F.col("n_hit") == 0) | (F.col("n_hit") < drop_share * F.col("n_words")))
-    return kept.withColumn("text", F.col("clean_text")).select(*docs.columns)
-
+    """docs with hit spans removed from the texts; documents of which at least ``drop_share`` of the words are hit go.
 
+    Other columns of docs stay as they are, whatever their names."""
+    rows, back = shielded(docs, *HIT_NAMES)
+    found = find_contamination(rows, benchmark, n)
+    kept = found.where((F.col("n_hit") == 0) | (F.col("n_hit") < drop_share * F.col("n_words")))
+    return kept.withColumn("text", F.col("clean_text")).select(*back)

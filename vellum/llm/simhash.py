@@ -15,8 +15,10 @@ from vellum.llm.common import appended, written
 from vellum.llm.components import components
 
 BITS = 64
-BANDS, ROWS = 48, 8
-TIMES, PLUS = (np.random.default_rng(42).integers(0, 1 << 32, (2, BANDS * ROWS), np.uint32) | np.array([[1], [0]], np.uint32))
+#: The fingerprint of a shingle set: as many symbols, each the least of the set's hashes under a permutation of 32 bits.
+BANDS, SYMBOLS = 10, 8
+TIMES, PLUS = (np.random.default_rng(42).integers(0, 1 << 32, (2, BANDS * SYMBOLS), np.uint32) | np.array([[1], [0]], np.uint32))
+PLACES = np.arange(1, BANDS * SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
@@ -88,11 +90,16 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
     marks = written(fingerprints(docs.select("doc_id", "text"), words).select("doc_id", "fingerprint"))
     firsts = marks.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
     roots = components(links(marks, radius)).select(F.col("a").alias("fingerprint"), F.col("b").alias("root"))
-    rooted = firsts.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
-    groups = rooted.withColumn("component_id", F.min("first").over(Window.partitionBy("root"))).select("fingerprint", "component_id")
+    groups = _named(firsts, roots, "fingerprint")
     return marks.join(groups, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
+def _named(firsts: DataFrame, roots: DataFrame, key: str) -> DataFrame:
+    """(key, component_id): the smallest ``first`` of each component, which partial minima find however large it is."""
+    rooted = firsts.join(roots, key, "left").withColumn("root", F.coalesce("root", key))
+    return rooted.select(key, "root").join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select(key, "component_id")
+
+
 def hexadecimal(fingerprints_column: str = "fingerprint"):
     return F.lower(F.lpad(F.hex(fingerprints_column), 16, "0"))
 
@@ -109,32 +116,41 @@ def shingle_set(text: str | None, words: int = 5, seed: int = 42) -> np.ndarray:
     return np.unique(np.fromiter((hash_of(joined[i:j], seed) for i, j in zip(starts, ends[len(found) - n :].tolist(), strict=True)), np.uint64, n))
 
 
-def band_hashes(shingles: np.ndarray) -> list[int]:
-    """A signed 64-bit hash of each band: of ROWS minima of the shingles under permutations of 32 bits."""
-    if not len(shingles):
-        return []
-    h, least = (shingles >> np.uint64(32)).astype(np.uint32), np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+def symbols(shingles: np.ndarray) -> np.ndarray:
+    """The fingerprint of a shingle set: (bands, symbols)."""
+    h, least = (shingles >> np.uint64(32)).astype(np.uint32), np.full(BANDS * SYMBOLS, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(h), 1 << 10):  # bounded memory for very long texts
         np.minimum(least, (TIMES[:, None] * h[None, at : at + (1 << 10)] + PLUS[:, None]).min(1), out=least)
-    out = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for row in least.astype(np.uint64).reshape(BANDS, ROWS).T:
-        out = (out ^ row) * np.uint64(0xBF58476D1CE4E5B9)
-        out ^= out >> np.uint64(29)
-    return out.view(np.int64).tolist()
+    return least.reshape(BANDS, SYMBOLS)
+
+
+def balls(shingles: np.ndarray) -> list[int]:
+    """A signed 64-bit hash of each variant of each band of the fingerprint: the band with any one symbol left open.
+
+    Two bands share a variant if, and only if, they differ in one symbol at most; then one of their variants does."""
+    if not len(shingles):
+        return []
+    each = _mixed(symbols(shingles).astype(np.uint64) + PLACES.reshape(BANDS, SYMBOLS))
+    return _mixed((each.sum(1, dtype=np.uint64)[:, None] - each).ravel() + PLACES).view(np.int64).tolist()
 
 
 def sketches(docs: DataFrame, words: int = 5) -> DataFrame:
-    """docs with id (a hash of the shingle set), size (its shingles) and bands."""
+    """docs with id (a hash of the shingle set), size (its shingles) and balls."""
 
     def make():
         def apply(batch):
             sets = [shingle_set(t, words) for t in batch.column("text").to_pylist()]
             ids = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-            return [ids.tolist(), [len(s) for s in sets], [band_hashes(s) for s in sets]]
+            return [ids.tolist(), [len(s) for s in sets], [balls(s) for s in sets]]
 
         return apply
 
-    return appended(docs, "id bigint, size bigint, bands array<bigint>", make)
+    return appended(docs, "id bigint, size bigint, balls array<bigint>", make)
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -144,68 +160,83 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b").where(common + 1e-9 >= similarity * (F.size("a_set") + F.size("b_set") - common)).select("a", "b")
 
 
-def _pairs(met: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) from (m, o), but for sets whose sizes alone are too far apart."""
+def _met(rows: DataFrame, similarity: float) -> DataFrame:
+    """(m, root, o, o_root) that nothing has connected yet, but for sets whose sizes alone are too far apart."""
     alike = F.least("m.size", "o.size") + 1e-9 >= similarity * F.greatest("m.size", "o.size")
-    return met.where(F.expr("m.id <> o.id") & alike).select(F.least("m.id", "o.id").alias("a"), F.greatest("m.id", "o.id").alias("b")).distinct()
+    return rows.where((F.col("root") != F.col("o_root")) & alike).select("m", "root", "o", "o_root")
+
 
+def _chosen_pairs(apart: DataFrame, similarity: float, k: int) -> DataFrame:
+    """(a, b): pairs of ids to compare in round k.
 
-def _roots(shared: DataFrame, pairs: DataFrame, sets: DataFrame, similarity: float, stars: int = 3) -> DataFrame:
-    """Components, as components() gives them, of all similar pairs that share a band; ``pairs`` are compared first.
+    All that meet on a variant are met by one of them, and of what meets so each component (in the first round each
+    set) compares one pair: that which shares most variants. Later rounds compare one pair of each two components."""
+    group = Window.partitionBy("ball")
+    centre = F.min(F.struct(F.xxhash64("m.id", F.lit(k)).alias("h"), "m", "root")).over(group)
+    met = _met(apart.withColumn("c", centre).select("m", "root", F.col("c.m").alias("o"), F.col("c.root").alias("o_root")), similarity)
+    often = met.groupBy("m", "root", "o", "o_root").agg(F.count(F.lit(1)).alias("n"))
+    pair = F.max(F.struct("n", F.least("m.id", "o.id").alias("a"), F.greatest("m.id", "o.id").alias("b"))).alias("best")
+    per = ["root"] if k == 0 else [F.least("root", "o_root"), F.greatest("root", "o_root")]
+    return often.groupBy(*per).agg(pair).select("best.a", "best.b").distinct()
 
-    Only pairs that nothing has connected yet need comparing. While these are many, all members of a band are compared
-    with one more of them, at most ``stars`` times and while it halves them; then each one left is compared.
+
+def _roots(shared: DataFrame, sets: DataFrame, similarity: float, rounds: int = 5) -> DataFrame:
+    """Components, as components() gives them, of all similar pairs that share a variant (shared: ball, m, root).
+
+    Only pairs that nothing has connected yet need comparing. While these are many, rounds compare few pairs of each
+    component (see _chosen_pairs); then each pair that is left is compared.
     """
-    near, before = written(_similar(pairs, sets, similarity)), None
-    for k in range(stars + 1):
+    near, apart, before = None, shared, None
+    for k in range(rounds + 1):
+        new = _similar(_chosen_pairs(apart, similarity, k), sets, similarity)
+        near = written(near.unionByName(new) if near else new)
         roots = components(near)
-        rooted = shared.join(roots.select(F.col("a").alias("_id"), F.col("b").alias("_root")), F.expr("m.id = _id"), "left").select("band", "m", F.coalesce("_root", "m.id").alias("root"))
-        group = Window.partitionBy("band")
+        rooted = apart.drop("root").join(roots.select(F.col("a").alias("_id"), F.col("b").alias("_root")), F.expr("m.id = _id"), "left").select("ball", "m", F.coalesce("_root", "m.id").alias("root"))
+        group = Window.partitionBy("ball")
         apart = written(rooted.withColumn("_l", F.min("root").over(group)).withColumn("_h", F.max("root").over(group)).where("_l <> _h").drop("_l", "_h"))
-        counts = apart.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.sum("n").alias("n"), F.expr("sum(double(n) * n)").alias("s"))
+        counts = apart.groupBy("ball", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("ball").agg(F.sum("n").alias("n"), F.expr("sum(double(n) * n)").alias("s"))
         members, left = counts.agg(F.sum("n"), F.expr("sum(double(n) * n - s) / 2")).first()
         if not left:
             return roots
-        last = left <= 4 * members or k == stars or (before is not None and left > before / 2)
-        if last:
-            other = apart.select("band", F.col("m").alias("o"), F.col("root").alias("o_root"))
-            met = apart.join(other, "band").where("m.id < o.id")
-        else:
-            centre = F.min_by(F.struct("m", "root"), F.xxhash64("m.id", F.lit(k))).over(group)
-            met = apart.withColumn("c", centre).select("m", "root", F.col("c.m").alias("o"), F.col("c.root").alias("o_root"))
-        near = written(near.unionByName(_similar(_pairs(met.where("root <> o_root"), similarity), sets, similarity)))
-        if last:
-            return components(near)
+        if left <= 4 * members or k == rounds or (k > 1 and left > before / 2):
+            break
         before = left
+    met = apart.join(apart.select("ball", F.col("m").alias("o"), F.col("root").alias("o_root")), "ball").where("m.id < o.id")
+    pairs = _met(met, similarity).select(F.col("m.id").alias("a"), F.col("o.id").alias("b")).distinct()
+    return components(written(near.unionByName(_similar(pairs, sets, similarity))))
 
 
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id) by shingles of five words: a pair is linked if its sets' similarity is 0.8 or more.
 
-    The similarity (common shingles by all of both) is computed exactly for all pairs that meet in one of BANDS bands
-    of ROWS minima of the set. Of pairs with a similarity s, 1 - (1 - s^ROWS)^BANDS meet: all but two in ten thousand
-    at 0.8. Pairs that share no shingle don't meet, so meetings don't grow with the square of the texts.
-    All that meet in a band are compared with the smallest and the largest of them, and then with all others of the
-    band that these comparisons have not connected with them. So copies of one text cost a few pairs a member; only a
-    family of texts that meet without being similar costs the square of its members.
+    Ball hashing over another fingerprint than near_duplicates', as majority bits can't serve here: at 0.8 two texts
+    differ in about 15 of 100 of them, far beyond any ball that can be listed. This fingerprint has BANDS bands of
+    SYMBOLS symbols, minima of the hashed set, which differ in 20 of 100 then but are so rich that two that agree do
+    so for a reason. In each band every text emits all variants with one symbol left open; texts that meet on a
+    variant differ in one symbol of that band at most. Of pairs with a similarity s, 1 - (1 - s^8 - 8 s^7 (1 - s))^10
+    meet: all but one in a thousand at 0.8. Pairs are deduplicated and verified by the exact similarity of the whole
+    sets (common shingles by all of both). Texts without a common shingle don't meet, so meetings don't grow with the
+    square of the texts.
+
+    Of all that meet on variants a few pairs of each component are compared, round by round, and in the end all pairs
+    that these comparisons have not connected. So a family of copies costs a few pairs a member; only texts that meet
+    without being similar cost the square of their number.
 
     Equal sets, as of exact copies, are one id. Null and empty texts are alike; rows without doc_id are treated as in
     near_duplicates.
     """
-    marks = written(sketches(docs.select("doc_id", "text"), words).select("doc_id", F.xxhash64("text").alias("mark"), "id", "size", "bands"))
+    marks = written(sketches(docs.select("doc_id", "text"), words).select("doc_id", F.xxhash64("text").alias("mark"), "id", "size", "balls"))
     firsts = marks.groupBy("id").agg(F.min("doc_id").alias("first"))
     at = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "mark")
-    different = written(marks.groupBy("id").agg(F.first("size").alias("size"), F.first("bands").alias("bands"), F.min(at).alias("at")))
-    met = _spread(different, "id").select(F.struct("id", "size").alias("m"), F.explode("bands").alias("band"))
-    group = Window.partitionBy("band")
-    shared = written(met.withColumn("low", F.min("m").over(group)).withColumn("high", F.max("m").over(group)).where("low.id <> high.id"))
-    pairs = _pairs(shared.select("m", F.explode(F.array("low", "high")).alias("o")), similarity)
+    different = written(marks.groupBy("id").agg(F.first("size").alias("size"), F.first("balls").alias("balls"), F.min(at).alias("at")))
+    met = _spread(different, "id").select(F.struct("id", "size").alias("m"), F.explode("balls").alias("ball"))
+    group = Window.partitionBy("ball")
+    shared = written(met.withColumn("low", F.min("m.id").over(group)).withColumn("high", F.max("m.id").over(group)).where("low <> high").select("ball", "m", F.col("m.id").alias("root")))
     wanted = shared.select("m.id").distinct().join(different, "id").select("id", F.col("at.doc_id").alias("_doc"), F.col("at.mark").alias("_mark"))
     found = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_mark"))).select("id", "text")
     sets = written(appended(found, "shingles array<bigint>", lambda: lambda b: [[shingle_set(t, words).view(np.int64) for t in b.column("text").to_pylist()]]).select("id", "shingles").dropDuplicates(["id"]))
-    roots = _roots(shared, pairs, sets, similarity).select(F.col("a").alias("id"), F.col("b").alias("root"))
-    rooted = firsts.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    groups = rooted.withColumn("component_id", F.min("first").over(Window.partitionBy("root"))).select("id", "component_id")
+    roots = _roots(shared, sets, similarity).select(F.col("a").alias("id"), F.col("b").alias("root"))
+    groups = _named(firsts, roots, "id")
     return marks.select("doc_id", "id").join(groups, "id").select("doc_id", "component_id")
 
 

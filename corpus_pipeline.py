@@ -12,10 +12,9 @@ from vellum.llm import decontaminate, line_dedup, packing, simhash, toxicity
 from vellum.llm.common import table, written
 
 
-def _with_text(docs: DataFrame, changed: DataFrame, text: str) -> DataFrame:
-    """The columns of docs, with the changed text and its length."""
-    new = {"text": F.col(text), "n_chars": F.char_length(text).cast("long")}
-    return changed.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
+def _counted(docs: DataFrame) -> DataFrame:
+    """docs with the length of their changed texts."""
+    return docs.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else docs
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +24,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of at least ten characters stay only in the first document that holds them; every document stays."""
-    return _with_text(docs, line_dedup.dedup_lines(docs), "kept_text")
+    return _counted(line_dedup.drop_repeated_lines(docs))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +34,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of benchmark items are cut out; documents that are half of such passages or more go."""
-    return _with_text(docs, decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")), "text")
+    return _counted(decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,10 +6,13 @@ before a note makes it a glyph. Nesting deeper than open and close pairs is chec
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vellum.functions.text import WHITE as BLANK
 from vellum.functions.text import is_blank, plain_digits, right_trimmed, trimmed, utf16_length
 
 #: The notation's marks and their names.
@@ -20,6 +23,7 @@ DOTS = {
 CONTAINERS = {"太字": "strong", "罫囲み": "frame", "割り注": "warichu", "行右小書き": "superscript", "上付き小文字": "superscript", "行左小書き": "subscript", "下付き小文字": "subscript", "縦中横": "tcy", "横組み": "horizontal"}
 HEADINGS = {"大見出し": "large", "中見出し": "medium", "小見出し": "small"}
 BREAKS = {"改ページ": "page", "改丁": "leaf", "改見開き": "spread", "改段": "column"}
+#: Fixed values too: the characters that a reading belongs to without a bar, the marks of a text's parts, and the forms of notes below.
 KANJI = "㐀-䶿一-鿿豈-﫿々〆〇ヶ\\x{20000}-\\x{3FFFF}"
 ALPHA = r"\p{IsLatin}\p{IsGreek}\p{IsCyrillic}"
 LEGEND, END_MARK, BASE_MARK = "【テキスト中に現れる記号について】", "［＃本文終わり］", "底本："
@@ -47,6 +51,8 @@ NOTES = {
     "close-indent": "^ここで字下げ終わり$",
     "close-end": "^ここで(地付き|字上げ|地から[０-９0-9]+字上げ)終わり$",
     "caption": "^「(.+)」はキャプション$",
+    "caption-open": "^キャプション$",
+    "caption-close": "^キャプション終わり$",
     "editorial": "^(「.+」は底本では「.+」|ルビの「.+」は底本では「.+」|「.+」はママ)$",
     "image": "^(.*)（([^、（）]+\\.(png|jpg|gif))(、横([0-9]+)×縦([0-9]+))?）入る$",
     "main-end": "^本文終わり$",
@@ -69,12 +75,13 @@ def visible_text(line: Column) -> Column:
 
 
 def tokenize_lines(lines: DataFrame) -> DataFrame:
-    """(work_id, no, token_no, kind, text, col, line): tokens in order; ``unclosed`` is a sign without its other half.
+    """(work_id, no, token_no, kind, text, col, at, line): tokens in order; ``unclosed`` is a sign without its other half.
 
-    col is the token's first UTF-16 unit. Kinds: text, note, ruby, bar, gaiji, unclosed."""
+    col is the token's first UTF-16 unit, at its first code point. Kinds: text, note, ruby, bar, gaiji, unclosed."""
     parts = lines.select("work_id", "no", "line", F.posexplode(F.regexp_extract_all("line", F.lit(TOKEN), F.lit(0))).alias("token_no", "tok"))
     order = Window.partitionBy("work_id", "no").orderBy("token_no")
-    before = F.coalesce(F.sum(utf16_length(F.col("tok"))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    upto = order.rowsBetween(Window.unboundedPreceding, -1)
+    before, at = (F.coalesce(F.sum(n).over(upto), F.lit(0)) for n in (utf16_length(F.col("tok")), F.char_length("tok").cast("long")))
     following = F.coalesce(F.lead("tok").over(order), F.lit(""))
     tok = F.col("tok")
     kind = (
@@ -82,21 +89,19 @@ def tokenize_lines(lines: DataFrame) -> DataFrame:
         .when(tok.startswith("《"), "ruby").when((tok == "［") & following.startswith("＃"), "unclosed").otherwise("text")
     )
     inner = F.regexp_replace(tok, "^※?［＃|］$|^《|》$", "")
-    return parts.select("work_id", "no", "token_no", kind.alias("kind"), F.when(kind.isin("gaiji", "note", "ruby"), inner).otherwise(tok).alias("text"), before.alias("col"), "line")
-
-
-RUBY = f"｜([^《｜]+)《([^》]*)》|([{KANJI}]+)《([^》]*)》|([{ALPHA}]+)《([^》]*)》|()《([^》]*)》"
+    return parts.select("work_id", "no", "token_no", kind.alias("kind"), F.when(kind.isin("gaiji", "note", "ruby"), inner).otherwise(tok).alias("text"), before.alias("col"), at.alias("at"), "line")
 
 
-def ruby_pairs(lines: DataFrame) -> DataFrame:
-    """(work_id, no, n, base, reading, code): readings with their bases: after a bar, or the kanji or letters before.
+def ruby_pairs(tokens: DataFrame) -> DataFrame:
+    """(work_id, no, n, col, base, reading, code): readings with their bases: after a bar, or the kanji or letters before.
 
     ``ruby-base`` marks one without base, or with a blank reading or one that holds marks."""
-    groups = [F.regexp_extract_all("line", F.lit(RUBY), F.lit(g)) for g in range(1, 9)]
-    pairs = lines.where(F.col("line").contains("《")).select("work_id", "no", F.posexplode(F.arrays_zip(*(g.alias(f"g{i}") for i, g in enumerate(groups, 1)))).alias("n", "g"))
-    base, reading = F.concat("g.g1", "g.g3", "g.g5"), F.concat("g.g2", "g.g4", "g.g6", "g.g8")
-    wrong = (base == "") | is_blank(reading) | reading.rlike("［＃|｜|※|《")
-    return pairs.select("work_id", "no", "n", base.alias("base"), reading.alias("reading"), F.when(wrong, "ruby-base").alias("code"))
+    before = F.expr("substring(line, 1, CAST(at AS INT))")
+    base = F.coalesce(*(F.nullif(F.regexp_extract(before, p, 1), F.lit("")) for p in ("｜([^《｜]+)$", f"([{KANJI}]+)$", f"([{ALPHA}]+)$")), F.lit(""))
+    n = F.row_number().over(Window.partitionBy("work_id", "no").orderBy("token_no")) - 1
+    wrong = (F.col("base") == "") | is_blank("reading") | F.col("reading").rlike("［＃|｜|※|《")
+    pairs = tokens.where("kind = 'ruby'").select("work_id", "no", n.alias("n"), "col", base.alias("base"), F.col("text").alias("reading"))
+    return pairs.withColumn("code", F.when(wrong, "ruby-base"))
 
 
 def gaiji_refs(tokens: DataFrame, host: str = "https://library.example") -> DataFrame:
@@ -121,8 +126,18 @@ def gaiji_refs(tokens: DataFrame, host: str = "https://library.example") -> Data
 
 def notes_of(tokens: DataFrame) -> DataFrame:
     """The note tokens with what they are and the visible text before them on their line."""
-    before = visible_text(F.expr("substring(line, 1, CAST(col AS INT))"))
-    return tokens.where("kind = 'note'").select("work_id", "no", "token_no", "col", "line", F.col("text").alias("inner"), note_kind(F.col("text")).alias("note"), before.alias("before"))
+    before = visible_text(F.expr("substring(line, 1, CAST(at AS INT))"))
+    return tokens.where("kind = 'note'").select("work_id", "no", "token_no", "col", "at", "line", F.col("text").alias("inner"), note_kind(F.col("text")).alias("note"), before.alias("before"))
+
+
+def _between(next_at: str = "next_at") -> Column:
+    """The visible text between a note and a later one on its line."""
+    return visible_text(F.expr(f"substring(line, CAST(at AS INT) + length(inner) + 4, CAST({next_at} AS INT) - CAST(at AS INT) - length(inner) - 3)"))
+
+
+def _after(note: str = "inner", at: str = "at") -> Column:
+    """The rest of the line after a note."""
+    return F.expr(f"substring(line, CAST({at} AS INT) + length({note}) + 4)")
 
 
 def _spans(notes: DataFrame, kind: str, names: dict[str, str]) -> DataFrame:
@@ -131,10 +146,9 @@ def _spans(notes: DataFrame, kind: str, names: dict[str, str]) -> DataFrame:
     one = trailing.select("work_id", "no", "token_no", F.lit("trailing").alias("form"), named(g(3), names).alias("mark"), F.when(g(2) == "の左", "left").otherwise("right").alias("side"), g(1).alias("text"), F.when(~F.endswith("before", g(1)), "unknown-notation").alias("code"))
     pairs = notes.where(F.col("note").isin(f"{kind}-open", f"{kind}-close")).withColumn("name", F.regexp_extract(F.regexp_replace("inner", "終わり$", ""), NOTES[f"{kind}-open"], 2)).withColumn("left", F.startswith("inner", F.lit("左に")))
     following = Window.partitionBy("work_id", "no", "name", "left").orderBy("token_no")
-    nxt = pairs.withColumn("next_note", F.lead("note").over(following)).withColumn("next_col", F.lead("col").over(following)).where(F.col("note") == f"{kind}-open")
+    nxt = pairs.withColumn("next_note", F.lead("note").over(following)).withColumn("next_at", F.lead("at").over(following)).where(F.col("note") == f"{kind}-open")
     closed = F.coalesce(F.col("next_note") == f"{kind}-close", F.lit(False))
-    between = visible_text(F.expr("substring(line, CAST(col AS INT) + length(inner) + 4, CAST(next_col AS INT) - CAST(col AS INT) - length(inner) - 3)"))
-    two = nxt.select("work_id", "no", "token_no", F.lit("pair").alias("form"), named(F.col("name"), names).alias("mark"), F.when(F.col("left"), "left").otherwise("right").alias("side"), F.when(closed, between).otherwise("").alias("text"), F.when(~closed, "unclosed-notation").alias("code"))
+    two = nxt.select("work_id", "no", "token_no", F.lit("pair").alias("form"), named(F.col("name"), names).alias("mark"), F.when(F.col("left"), "left").otherwise("right").alias("side"), F.when(closed, _between()).otherwise("").alias("text"), F.when(~closed, "unclosed-notation").alias("code"))
     return one.unionByName(two)
 
 
@@ -148,10 +162,21 @@ def container_spans(notes: DataFrame) -> DataFrame:
 
 
 def headings(notes: DataFrame) -> DataFrame:
-    """(work_id, no, level, text, code): trailing headings; their text stands before, and nothing follows on the line."""
+    """(work_id, no, form, level, text, code): headings, by a note after the line's whole text or between two notes.
+
+    A heading is all of its line: text before its opening note, another text than the note says, or anything but white
+    space after it is ``unsupported-construct``; an opening without its close ``unclosed-notation``."""
     g = lambda i: F.regexp_extract("inner", NOTES["heading"], i)
-    follows = F.expr("substring(line, CAST(col AS INT) + length(inner) + 4)") != ""
-    return notes.where("note = 'heading'").select("work_id", "no", named(g(3), HEADINGS).alias("level"), g(1).alias("text"), F.when(~F.endswith("before", g(1)), "unknown-notation").when(follows, "unsupported-construct").alias("code"))
+    wrong = lambda broken: F.when(broken, "unsupported-construct")
+    one = notes.where("note = 'heading'").select("work_id", "no", F.lit("trailing").alias("form"), named(g(3), HEADINGS).alias("level"), g(1).alias("text"), wrong((F.col("before") != g(1)) | ~is_blank(_after())).alias("code"))
+    order = Window.partitionBy("work_id", "no").orderBy("token_no")
+    some = notes.where(F.col("note").isin("heading-open", "heading-close"))
+    for c in ("note", "inner", "at"):
+        some = some.withColumn(f"next_{c}", F.lead(c).over(order))
+    some = some.withColumn("nth", F.row_number().over(order)).where("note = 'heading-open'")
+    closed = F.coalesce(F.col("next_inner") == F.concat("inner", F.lit("終わり")), F.lit(False))
+    code = F.coalesce(wrong((F.col("before") != "") | (F.col("nth") > 1)), F.when(~closed, "unclosed-notation"), wrong(~is_blank(_after("next_inner", "next_at"))))
+    return one.unionByName(some.select("work_id", "no", F.lit("pair").alias("form"), named(F.col("inner"), HEADINGS).alias("level"), F.when(closed, _between()).otherwise("").alias("text"), code.alias("code")))
 
 
 def page_breaks(lines: DataFrame) -> DataFrame:
@@ -165,11 +190,22 @@ def _number(c: Column) -> Column:
     return F.coalesce(F.nullif(plain_digits(c), F.lit("")).cast("int"), F.lit(0))
 
 
-def line_layout(lines: DataFrame) -> DataFrame:
-    """(work_id, no, layout, chars): what a leading note says of its line."""
-    inner = F.regexp_extract("line", "^［＃([^］]*)］.", 1)
+#: What a leading note says of its line; a second one there is a fault.
+LEADING = "^［＃([^］]*)］(?:［＃([^］]*)］)?"
+
+
+def _own_layout(line: Column) -> tuple[Column, Column, Column]:
+    """(layout, chars, whether there are two) of a line's leading notes."""
+    inner, second = F.regexp_extract(line, LEADING, 1), F.regexp_extract(line, LEADING, 2)
     indent, end = F.regexp_extract(inner, NOTES["indent"], 2), F.regexp_extract(inner, NOTES["end"], 1)
-    return lines.select("work_id", "no", F.when(indent != "", "indent").when(end != "", "end").alias("layout"), F.when(indent != "", _number(indent)).otherwise(_number(F.regexp_extract(inner, NOTES["end"], 2))).alias("chars")).where("layout IS NOT NULL")
+    layout = F.when(indent != "", "indent").when(end != "", "end")
+    chars = F.when(indent != "", _number(indent)).when(end != "", _number(F.regexp_extract(inner, NOTES["end"], 2)))
+    return layout, chars, layout.isNotNull() & (second.rlike(NOTES["indent"]) | second.rlike(NOTES["end"]))
+
+
+def line_layout(lines: DataFrame) -> DataFrame:
+    """(work_id, no, layout, chars, code): what a leading note says of its line; inside an open range, or twice, it is a fault."""
+    return laid_out(lines).where("own_layout IS NOT NULL").select("work_id", "no", F.col("own_layout").alias("layout"), F.col("own_chars").alias("chars"), F.col("own_code").alias("code"))
 
 
 def image_notes(notes: DataFrame, files: DataFrame) -> DataFrame:
@@ -187,35 +223,38 @@ def editorial_notes(notes: DataFrame) -> DataFrame:
 def unknown_notation(notes: DataFrame, lines: DataFrame) -> DataFrame:
     """(work_id, line, column, code): notes of no known form, and bracketed letters with accents."""
     accent = "〔[^〔〕]*[A-Za-z][^〔〕]*〕"
-    place = F.length(F.regexp_extract("line", f"(?s)^(.*?){accent}", 1)).cast("long")
+    place = utf16_length(F.regexp_extract("line", f"(?s)^(.*?){accent}", 1))
     one = notes.where("note = 'unknown'").select("work_id", F.col("no").alias("line"), F.col("col").alias("column"), F.lit("unknown-notation").alias("code"))
     return one.unionByName(lines.where(F.col("line").rlike(accent)).select("work_id", F.col("no").alias("l"), place.alias("column"), F.lit("unknown-notation").alias("code")).withColumnRenamed("l", "line"))
 
 
 def span_pairs(notes: DataFrame) -> DataFrame:
-    """(work_id, no, code): lines whose open and close notes don't pair up in stack order, enclose nothing, or nest too deep."""
+    """(work_id, no, col, code): lines whose open and close notes don't pair up in stack order, enclose nothing, or nest
+    too deep, with the place of the first such note."""
     base = F.regexp_replace("inner", "終わり$", "")
-    some = notes.where(F.col("note").rlike("-(open|close)$")).select("work_id", "no", F.struct("token_no", F.when(F.endswith("note", F.lit("-open")), F.lit(1)).otherwise(-1).alias("step"), base.alias("name")).alias("t"))
+    some = notes.where(F.col("note").rlike("-(open|close)$") & ~F.col("note").isin("close-indent", "close-end")).select("work_id", "no", F.struct("token_no", "col", F.when(F.endswith("note", F.lit("-open")), F.lit(1)).otherwise(-1).alias("step"), base.alias("name")).alias("t"))
     per_line = some.groupBy("work_id", "no").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    start = F.struct(F.array().cast("array<string>").alias("stack"), F.lit(-2).alias("last"), F.lit(None).cast("string").alias("code"))
+    fault = lambda code, col: F.struct(col.alias("col"), code.alias("code"))
+    none = F.lit(None).cast("struct<col:bigint,code:string>")
+    start = F.struct(F.array().cast("array<struct<name:string,col:bigint>>").alias("stack"), F.lit(-2).alias("last"), none.alias("fault"))
 
     def step(s, t):
-        top = F.when(F.size(s["stack"]) > 0, F.element_at(s["stack"], -1))
-        opened = F.struct(F.concat(s["stack"], F.array(t["name"])).alias("stack"), t["token_no"].alias("last"), F.when(F.size(s["stack"]) >= 7, F.lit("unsupported-construct")).alias("code"))
+        top = F.when(F.size(s["stack"]) > 0, F.element_at(s["stack"], -1)["name"])
+        opened = F.struct(F.concat(s["stack"], F.array(F.struct(t["name"].alias("name"), t["col"].alias("col")))).alias("stack"), t["token_no"].alias("last"), F.when(F.size(s["stack"]) >= 7, fault(F.lit("unsupported-construct"), t["col"])).otherwise(none).alias("fault"))
         code = F.when(~F.coalesce(top == t["name"], F.lit(False)), F.lit("unclosed-notation")).when(s["last"] == t["token_no"] - 1, F.lit("unsupported-construct"))
-        shut = F.struct(F.slice(s["stack"], 1, F.greatest(F.size(s["stack"]) - 1, F.lit(0))).alias("stack"), F.lit(-2).alias("last"), code.alias("code"))
-        return F.when(s["code"].isNotNull(), s).when(t["step"] == 1, opened).otherwise(shut)
+        shut = F.struct(F.slice(s["stack"], 1, F.greatest(F.size(s["stack"]) - 1, F.lit(0))).alias("stack"), F.lit(-2).alias("last"), F.when(code.isNotNull(), fault(code, t["col"])).otherwise(none).alias("fault"))
+        return F.when(s["fault"].isNotNull(), s).when(t["step"] == 1, opened).otherwise(shut)
 
     end = F.aggregate("ts", start, step)
-    code = F.coalesce(end["code"], F.when(F.size(end["stack"]) > 0, F.lit("unclosed-notation")))
-    return per_line.select("work_id", "no", code.alias("code")).where("code IS NOT NULL")
+    left = F.when(F.size(end["stack"]) > 0, fault(F.lit("unclosed-notation"), F.element_at(end["stack"], -1)["col"]))
+    return per_line.select("work_id", "no", F.coalesce(end["fault"], left).alias("f")).where("f IS NOT NULL").select("work_id", "no", "f.col", "f.code")
 
 
-def carry_ranges(lines: DataFrame) -> DataFrame:
-    """(work_id, no, layout, chars, code): the layout each line takes from a range that is open there.
+def laid_out(lines: DataFrame) -> DataFrame:
+    """lines with what ranges and leading notes say of each: inner and note (of a line that is a note alone), layout,
+    chars and code (of ranges), own_layout, own_chars and own_code (of the line's leading notes).
 
-    An indent replaces an open indent; other overlaps, closes without their open and ranges left open are faults,
-    on the line of the note."""
+    One window over the work serves all of it."""
     lines = lines.withColumn("inner", F.regexp_extract("line", "^［＃([^］]*)］$", 1)).withColumn("note", note_kind(F.col("inner")))
     inner, kind = F.col("inner"), F.col("note")
     mark = F.when(kind.isin("range-indent", "range-hanging", "range-end"), F.substring(kind, 7, 10)).when(kind.isin("close-indent", "close-end"), kind)
@@ -224,13 +263,25 @@ def carry_ranges(lines: DataFrame) -> DataFrame:
     m = lines.withColumn("mark", mark).withColumn("size", F.when(F.col("mark").isNotNull(), size))
     upto = order.rowsBetween(Window.unboundedPreceding, -1)
     before = F.last("mark", ignorenulls=True).over(upto)
-    opened = F.coalesce(before.isin("indent", "hanging", "end"), F.lit(False))
-    m = m.withColumn("before", before).withColumn("opened", opened).withColumn("carried", F.last("size", ignorenulls=True).over(upto)).withColumn("left", F.col("mark").isin("indent", "hanging", "end") & F.lead("no").over(order).isNull())
-    overlap = F.col("mark").isin("indent", "hanging", "end") & F.col("opened") & ~((F.col("mark") != "end") & F.col("before").isin("indent", "hanging"))
+    m = m.withColumn("before", before).withColumn("carried", F.last("size", ignorenulls=True).over(upto)).withColumn("last_mark", F.max(F.when(F.col("mark").isNotNull(), F.col("no"))).over(Window.partitionBy("work_id")))
+    opened = F.coalesce(F.col("before").isin("indent", "hanging", "end"), F.lit(False))
+    opens = F.col("mark").isin("indent", "hanging", "end")
+    overlap = opens & opened & ~((F.col("mark") != "end") & F.col("before").isin("indent", "hanging"))
     unopened = (F.col("mark") == "close-indent") & ~F.coalesce(F.col("before").isin("indent", "hanging"), F.lit(False)) | (F.col("mark") == "close-end") & ~F.coalesce(F.col("before") == "end", F.lit(False))
-    code = F.when(overlap, "unsupported-construct").when(unopened | F.col("left"), "unclosed-notation")
-    inside = F.col("mark").isNull() & F.col("opened")
-    return m.select("work_id", "no", F.when(inside, F.col("before")).alias("layout"), F.when(inside, F.col("carried")).alias("chars"), code.alias("code"))
+    left = opens & (F.col("no") == F.col("last_mark"))
+    code = F.when(overlap, "unsupported-construct").when(unopened | left, "unclosed-notation")
+    inside = F.col("mark").isNull() & opened
+    layout, chars, twice = _own_layout(F.col("line"))
+    own = {"own_layout": layout, "own_chars": chars, "own_code": F.when(layout.isNotNull() & (opened | twice), "unsupported-construct")}
+    return m.select("work_id", "no", "line", "inner", "note", F.when(inside, F.col("before")).alias("layout"), F.when(inside, F.col("carried")).alias("chars"), code.alias("code"), *(c.alias(n) for n, c in own.items()))
+
+
+def carry_ranges(lines: DataFrame) -> DataFrame:
+    """(work_id, no, layout, chars, code): the layout each line takes from a range that is open there.
+
+    An indent replaces an open indent; other overlaps, closes without their open and ranges left open are faults,
+    on the line of the note."""
+    return laid_out(lines).select("work_id", "no", "layout", "chars", "code")
 
 
 def split_sections(lines: DataFrame) -> DataFrame:
@@ -262,32 +313,43 @@ def bibliography(lines: DataFrame) -> DataFrame:
     return kept.select("work_id", F.row_number().over(Window.partitionBy("work_id").orderBy("no")).alias("n"), "line")
 
 
+FIGURE = "^［＃[^］]*（[^（）]*）入る］$"
+
+
 def attach_captions(lines: DataFrame) -> DataFrame:
-    """(work_id, no, caption, code): caption lines with the figure's line directly before, once; others are faults."""
-    inner = F.regexp_extract("line", "［＃([^］]*)］$", 1)
+    """(work_id, figure_no, no, caption, code): captions, by a note after their text or between two notes, with the
+    figure's line directly before. Captions elsewhere, in a layout, or with text around them are faults."""
+    rows = laid_out(lines)
     order = Window.partitionBy("work_id").orderBy("no")
-    figure = F.lag(F.col("line").rlike("^［＃[^］]*（[^（）]*）入る］$")).over(order)
-    layout = F.coalesce(F.col("layout").isNotNull(), F.lit(False))
-    j = lines.withColumn("inner", inner).withColumn("figure", F.coalesce(figure, F.lit(False))).withColumn("figure_no", F.lag("no").over(order)).where(F.col("inner").rlike(NOTES["caption"]))
-    j = j.join(carry_ranges(lines).select("work_id", "no", "layout"), ["work_id", "no"])
-    return j.select("work_id", F.when(F.col("figure") & ~layout, F.col("figure_no")).alias("figure_no"), "no", F.regexp_extract("inner", NOTES["caption"], 1).alias("caption"), F.when(~F.col("figure") | layout, "unsupported-construct").alias("code"))
+    figure = F.coalesce(F.lag(F.col("line").rlike(FIGURE)).over(order), F.lit(False))
+    j = rows.withColumn("last", F.regexp_extract("line", "［＃([^］]*)］$", 1)).withColumn("figure", figure).withColumn("figure_no", F.lag("no").over(order))
+    trailing, pair = F.col("last").rlike(NOTES["caption"]), F.contains("line", F.lit("［＃キャプション］"))
+    whole = "^［＃キャプション］(.*)［＃キャプション終わり］(.*)$"
+    j = j.where(trailing | pair)
+    laid = F.col("layout").isNotNull() | F.col("own_layout").isNotNull()
+    code = F.when(pair & F.startswith("line", F.lit("［＃キャプション］")) & ~F.col("line").rlike(whole), "unclosed-notation").when(laid | ~F.col("figure") | (pair & (~F.col("line").rlike(whole) | ~is_blank(F.regexp_extract("line", whole, 2)))), "unsupported-construct")
+    caption = F.when(pair, visible_text(F.regexp_extract("line", whole, 1))).otherwise(F.regexp_extract("last", NOTES["caption"], 1))
+    return j.select("work_id", F.when(code.isNull(), F.col("figure_no")).alias("figure_no"), "no", caption.alias("caption"), code.alias("code"))
 
 
 def to_blocks(lines: DataFrame) -> DataFrame:
     """(work_id, no, kind, level, layout, chars, text): one block per line; notes that are lines of their own give breaks,
-    figures or ranges; an empty line is an empty paragraph."""
-    ranges = carry_ranges(lines).select("work_id", "no", "layout", "chars")
-    own = line_layout(lines).withColumnsRenamed({"layout": "own_layout", "chars": "own_chars"})
-    lines = lines.withColumn("inner", F.regexp_extract("line", "^［＃([^］]*)］$", 1))
+    figures or ranges; an empty line is an empty paragraph. A line is read once, in one window over its work."""
+    rows = laid_out(lines)
     inner = F.col("inner")
-    level = F.coalesce(*(F.when(F.col("line").rlike(f"［＃「.+」は{k}］$"), v) for k, v in HEADINGS.items()))
+    levels = {k: f"［＃「.+」は{k}］[{BLANK}]*$|^(?:［＃[^］]*］)?［＃{k}］.*［＃{k}終わり］[{BLANK}]*$" for k in HEADINGS}
+    level = F.coalesce(*(F.when(F.col("line").rlike(levels[k]), v) for k, v in HEADINGS.items()))
     kind = F.when(inner.rlike(NOTES["break"]), "pageBreak").when(inner.rlike(NOTES["center"]), "pageCenter").when(inner.rlike(NOTES["image"]), "figure").when(level.isNotNull(), "heading").otherwise("paragraph")
-    j = lines.withColumn("kind", kind).withColumn("level", level).where(~inner.rlike("|".join(p for k, p in NOTES.items() if k.startswith(("range-", "close-")))))
-    j = j.join(ranges, ["work_id", "no"]).join(own, ["work_id", "no"], "left")
+    j = rows.withColumn("kind", kind).withColumn("level", level).where(~inner.rlike("|".join(p for k, p in NOTES.items() if k.startswith(("range-", "close-")))))
     text = F.when(F.col("kind").isin("pageBreak", "pageCenter"), "").otherwise(visible_text(F.col("line")))
     return j.select("work_id", "no", "kind", "level", F.coalesce("own_layout", "layout").alias("layout"), F.when(F.col("own_layout").isNotNull(), F.col("own_chars")).otherwise(F.col("chars")).alias("chars"), text.alias("text"))
 
 
+def has_visible(lines: DataFrame) -> DataFrame:
+    """(work_id, no, visible): whether a reader sees anything of an annotated line: glyphs and pictures count, notes and readings don't."""
+    return lines.select("work_id", "no", (~is_blank(visible_text(F.col("line")))).alias("visible"))
+
+
 def line_faults(lines: DataFrame) -> DataFrame:
     """(work_id, line, column, code): all faults of notation, for first_failure."""
     tokens = tokenize_lines(lines)
@@ -295,4 +357,6 @@ def line_faults(lines: DataFrame) -> DataFrame:
     place = lambda df, col: df.select("work_id", F.col("no").alias("line"), col.cast("long").alias("column"), "code")
     unclosed = tokens.where("kind = 'unclosed'").withColumn("code", F.lit("unclosed-notation"))
     glyphs = gaiji_refs(tokens).where("code IS NOT NULL").join(tokens.select("work_id", "no", "token_no", "col"), ["work_id", "no", "token_no"])
-    return place(unclosed, F.col("col")).unionByName(unknown_notation(notes, lines)).unionByName(place(glyphs, F.col("col"))).unionByName(place(ruby_pairs(lines).where("code IS NOT NULL"), F.lit(0))).unionByName(place(span_pairs(notes), F.lit(0)))
+    layouts = line_layout(lines).where("code IS NOT NULL").withColumn("col", F.lit(0))
+    faulty = (unclosed, glyphs, ruby_pairs(tokens).where("code IS NOT NULL"), span_pairs(notes), layouts)
+    return reduce(DataFrame.unionByName, (place(df, F.col("col")) for df in faulty), unknown_notation(notes, lines))

@@ -124,14 +124,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Lines with notes of every kind at fixed places, right and wrong ones.
+#: Lines with notes of every kind, right and wrong ones, before, after or in place of what is there.
 MARKED = """
-SELECT doc_id AS work_id, no, CASE WHEN no > 60 THEN line ELSE CASE (doc_id + no) % 29
-  WHEN 0 THEN '漢字《かんじ》' || substr(line, 1, 40) WHEN 1 THEN substr(line, 1, 10) || '｜base《よみ》 tail' WHEN 2 THEN 'some word《reading》 x' WHEN 3 THEN '※［＃「木＋吶」、第3水準1-85-54］' || substr(line, 1, 20)
-  WHEN 4 THEN 'a※［＃「x」、U+5433、12-3］' WHEN 5 THEN '※［＃「y」、12-3］' WHEN 6 THEN 'abc［＃「abc」に傍点］' WHEN 7 THEN '［＃左に傍線］mid［＃左に傍線終わり］' WHEN 8 THEN 'abc［＃「xyz」の左に丸傍点］' WHEN 9 THEN '［＃太字］bold［＃太字終わり］ on'
-  WHEN 10 THEN '12［＃「12」は縦中横］' WHEN 11 THEN '［＃３字下げ］見出し［＃「見出し」は大見出し］' WHEN 12 THEN '［＃改ページ］' WHEN 13 THEN '［＃ここから２字下げ］' WHEN 14 THEN '［＃ここで字下げ終わり］' WHEN 15 THEN '［＃地から１字上げ］end'
-  WHEN 16 THEN '［＃挿絵（fig1.png、横100×縦200）入る］' WHEN 17 THEN '図の説明［＃「図の説明」はキャプション］' WHEN 18 THEN '語［＃「語」は底本では「ゴ」］' WHEN 19 THEN 'x［＃謎の注記］' WHEN 20 THEN '《よみ》 lone' WHEN 21 THEN 'not closed［＃ open'
-  WHEN 22 THEN '［＃ここから地付き］' WHEN 23 THEN '［＃ここで地付き終わり］' WHEN 24 THEN '［＃太字］［＃傍点］in［＃傍点終わり］［＃太字終わり］' WHEN 25 THEN '［＃太字］bad［＃傍点終わり］' WHEN 26 THEN '' WHEN 27 THEN '※［＃「z」、第4水準1-2-3］〔cafe´〕' ELSE line END END AS line
+SELECT doc_id AS work_id, no, CASE (doc_id + no) % 41
+  WHEN 0 THEN '漢字《かんじ》' || line WHEN 1 THEN line || '｜base《よみ》 tail' WHEN 2 THEN line || ' word《reading》 x' WHEN 3 THEN '※［＃「木＋吶」、第3水準1-85-54］' || line
+  WHEN 4 THEN line || 'a※［＃「x」、U+5433、12-3］' WHEN 5 THEN '※［＃「y」、12-3］' WHEN 6 THEN line || 'abc［＃「abc」に傍点］' WHEN 7 THEN '［＃左に傍線］' || line || 'mid［＃左に傍線終わり］' WHEN 8 THEN line || '。［＃「xyz」の左に丸傍点］' WHEN 9 THEN '［＃太字］bold［＃太字終わり］' || line
+  WHEN 10 THEN line || '12［＃「12」は縦中横］' WHEN 11 THEN '［＃３字下げ］見出し［＃「見出し」は大見出し］' WHEN 12 THEN '［＃改ページ］' WHEN 13 THEN '［＃ここから２字下げ］' WHEN 14 THEN CASE WHEN doc_id % 3 = 0 THEN '［＃３字下げ］' || line ELSE '［＃ここで字下げ終わり］' END WHEN 15 THEN '［＃地から１字上げ］' || line
+  WHEN 16 THEN '［＃挿絵（fig1.png、横100×縦200）入る］' WHEN 17 THEN CASE WHEN doc_id % 2 = 0 THEN '［＃キャプション］' || line || '［＃キャプション終わり］' ELSE line || '図の説明［＃「図の説明」はキャプション］' END WHEN 18 THEN line || '語［＃「語」は底本では「ゴ」］' WHEN 19 THEN line || '［＃謎の注記］' WHEN 20 THEN '《よみ》 lone' || line WHEN 21 THEN line || 'not closed［＃ open'
+  WHEN 22 THEN '［＃ここから地付き］' WHEN 23 THEN '［＃ここで地付き終わり］' WHEN 24 THEN '［＃太字］［＃傍点］' || line || 'in［＃傍点終わり］［＃太字終わり］' WHEN 25 THEN '［＃太字］bad' || line || '［＃傍点終わり］' WHEN 26 THEN '' WHEN 27 THEN '※［＃「z」、第4水準1-2-3］' || line || '〔cafe´〕' WHEN 28 THEN '𠮷' || line || '𠮷abc［＃「abc」に傍点］𠮷《よし》'
+  WHEN 29 THEN '［＃中見出し］' || line || 'x［＃中見出し終わり］　' WHEN 30 THEN '［＃小見出し］𠮷' || line WHEN 31 THEN '𠮷［＃謎の注記］ tail 《よみ》' WHEN 32 THEN '［＃大見出し］head［＃大見出し終わり］ rest' WHEN 33 THEN '𠮷［＃太字］in［＃傍点終わり］' || line WHEN 34 THEN '［＃２字下げ］［＃地付き］' || line
+  WHEN 35 THEN line || 'ends［＃「ends」は小見出し］' WHEN 36 THEN '［＃太字］［＃太字終わり］' || line WHEN 37 THEN '［＃キャプション］' || line WHEN 38 THEN '［＃５字下げ］' ELSE line END AS line
 FROM {lines}
 """
 

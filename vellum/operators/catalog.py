@@ -6,6 +6,8 @@ group partition by work_id only, so that Spark can share the exchange.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -41,7 +43,7 @@ def number_of(work_id: Column) -> Column:
 
 def card_person(card_url: Column, host: str = HOST) -> Column:
     """The person directory of a card URL; empty if it isn't one."""
-    return F.regexp_extract(card_url, f"^{host}/cards/([0-9]{{6}})/card([0-9]+)\\.html$", 1)
+    return F.regexp_extract(card_url, f"^{re.escape(host)}/cards/([0-9]{{6}})/card([0-9]+)\\.html$", 1)
 
 
 def owned_card(card_url: Column, work_id: Column, host: str = HOST) -> Column:
@@ -50,8 +52,8 @@ def owned_card(card_url: Column, work_id: Column, host: str = HOST) -> Column:
 
 
 def owned_body(url: Column, card_url: Column, work_id: Column, extension: str, host: str = HOST) -> Column:
-    """A body in the card's person directory with the work's number and the path's extension."""
-    pattern = f"^{host}/cards/([0-9]{{6}})/files/([0-9]+)(_[^/]*)?\\.{extension}$"
+    """A body in the card's person directory with the work's number, a suffix of file name signs, and the path's extension."""
+    pattern = f"^{re.escape(host)}/cards/([0-9]{{6}})/files/([0-9]+)(?:_[A-Za-z0-9_.-]+)?\\.{extension}$"
     return (F.regexp_extract(url, pattern, 1) == card_person(card_url, host)) & (card_person(card_url, host) != "") & (F.regexp_extract(url, pattern, 2) == number_of(work_id))
 
 
@@ -203,10 +205,11 @@ def catalog_shards(catalog: DataFrame, shards: int) -> DataFrame:
 
 
 def beginner_candidates(catalog: DataFrame, bodies: DataFrame, people: DataFrame, today: str, most: int = 10_000) -> DataFrame:
-    """Works for first readers: every author dead for over 70 years, modern orthography first, and a short body.
+    """Works for first readers: every person free and dead for over 70 years, modern orthography first, and a short body.
 
-    bodies: (work_id, n_chars); people: (work_id, died). A work with an unknown date of death is none."""
-    out = people.groupBy("work_id").agg(F.bool_and(F.coalesce(F.add_months("died", 70 * 12) < F.lit(today).cast("date"), F.lit(False))).alias("free"))
+    bodies: (work_id, n_chars); people: (work_id, died, person_copyright). The catalog's works have a free flag of their
+    own; a work with an unknown date of death or a person who isn't free is none."""
+    free = F.coalesce((F.add_months("died", 70 * 12) < F.lit(today).cast("date")) & (F.col("person_copyright") == FREE), F.lit(False))
+    out = people.groupBy("work_id").agg(F.bool_and(free).alias("free"))
     short = catalog.join(bodies.where(F.col("n_chars") <= most), "work_id").join(out.where("free"), "work_id")
     return short.select("work_id", "title", "orthography", "n_chars").orderBy(F.when(F.col("orthography") == "新字新仮名", 0).otherwise(1), "n_chars", "work_id")
-

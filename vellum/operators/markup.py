@@ -25,9 +25,14 @@ EMPHASIS = {"sesame_dot": "sesame", "white_sesame_dot": "whiteSesame", "black_ci
 SPANS = {"futoji": "strong", "keigakomi": "frame", "warichu": "warichu"}
 HEADINGS = {"o-midashi": "large", "naka-midashi": "medium", "ko-midashi": "small"}
 SECTIONS = {"article": "main", "footer": "bibliography", "nav": "ignored", "head": "ignored"}
+#: Classes of div elements that are sections of their own outside of these.
+SIDE = ("ad",)
 BLOCK_ENDS = ["p", "div", "h1", "h2", "h3", "h4", "h5", "li", "article"]
 TAG = "^</?([A-Za-z][A-Za-z0-9:-]*)"
-ATTRIBUTE = r"""([A-Za-z][A-Za-z0-9:-]*)\s*=\s*"([^"]*)\""""
+#: Tags, in which a quoted value may hold the closing sign, and text.
+TOKEN = r"""<(?:[^<>"']++|"[^"]*+"|'[^']*+')*+>|<[^>]*>|[^<]+"""
+#: A name after white space or a slash, with a value in either kind of quotes, without quotes, or without a value.
+ATTRIBUTE = r"""[\s/]([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?"""
 
 
 def masked(html: Column) -> Column:
@@ -40,7 +45,7 @@ def html_nodes(pages: DataFrame, deepest: int = 64) -> DataFrame:
     """(page_id, node_no, kind, tag, depth, token, code): tags and text in order; too deep a page is a fault.
 
     Kinds: open, void, close, text, other. Depth counts open elements before the node; void tags open nothing."""
-    parts = pages.select("page_id", F.posexplode(F.regexp_extract_all(masked(F.col("html")), F.lit("<[^>]*>|[^<]+"), F.lit(0))).alias("node_no", "token"))
+    parts = pages.select("page_id", F.posexplode(F.regexp_extract_all(masked(F.col("html")), F.lit(TOKEN), F.lit(0))).alias("node_no", "token"))
     tag = F.lower(F.regexp_extract("token", TAG, 1))
     t = parts.withColumn("tag", tag)
     kind = F.when(~F.startswith("token", F.lit("<")), "text").when(F.col("tag") == "", "other").when(F.startswith("token", F.lit("</")), "close").when(F.col("tag").isin(VOID) | F.endswith("token", F.lit("/>")), "void").otherwise("open")
@@ -56,16 +61,17 @@ def active_content(nodes: DataFrame) -> DataFrame:
 
 
 def attributes(nodes: DataFrame) -> DataFrame:
-    """(page_id, node_no, tag, name, value): double-quoted attributes of tags."""
-    names, values = F.regexp_extract_all("token", F.lit(ATTRIBUTE), F.lit(1)), F.regexp_extract_all("token", F.lit(ATTRIBUTE), F.lit(2))
-    each = nodes.where(F.col("kind").isin("open", "void")).select("page_id", "node_no", "tag", F.explode(F.arrays_zip(names.alias("name"), values.alias("value"))).alias("a"))
-    return each.select("page_id", "node_no", "tag", F.lower("a.name").alias("name"), "a.value")
+    """(page_id, node_no, tag, name, value): the attributes of tags, however they are quoted; without a value it is empty."""
+    groups = [F.regexp_extract_all("token", F.lit(ATTRIBUTE), F.lit(g)) for g in range(1, 5)]
+    each = nodes.where(F.col("kind").isin("open", "void")).select("page_id", "node_no", "tag", F.explode(F.arrays_zip(*(g.alias(f"g{i}") for i, g in enumerate(groups, 1)))).alias("a"))
+    return each.select("page_id", "node_no", "tag", F.lower("a.g1").alias("name"), F.concat(*(F.coalesce(f"a.g{i}", F.lit("")) for i in (2, 3, 4))).alias("value"))
 
 
 def active_attributes(nodes: DataFrame) -> DataFrame:
-    """(page_id, node_no, name): handlers, and URL attributes whose scheme runs code."""
+    """(page_id, node_no, name): handlers, and URL attributes whose scheme runs code; white space and controls inside a
+    scheme count for nothing, as in browsers."""
     a = attributes(nodes)
-    runs = F.col("name").isin(URL_ATTRIBUTES) & F.col("value").rlike("(?i)^[\\x00-\\x20]*(javascript|data|vbscript):")
+    runs = F.col("name").isin(URL_ATTRIBUTES) & F.regexp_replace("value", "[\\x00-\\x20]", "").rlike("(?i)^(javascript|data|vbscript):")
     return a.where(F.startswith("name", F.lit("on")) | runs).select("page_id", "node_no", "name")
 
 
@@ -78,20 +84,27 @@ def active_with_text(nodes: DataFrame) -> DataFrame:
     return text.unionByName(named).distinct().withColumn("code", F.lit("active-content"))
 
 
-def html_sections(nodes: DataFrame, sections: Mapping[str, str] = SECTIONS) -> DataFrame:
-    """nodes with their section: that of the last section element opened and not yet closed, else null."""
+def html_sections(nodes: DataFrame, sections: Mapping[str, str] = SECTIONS, side: tuple[str, ...] = SIDE) -> DataFrame:
+    """nodes with their section: that of the last section element opened and not yet closed, else ``ignored`` inside a
+    div of a class of ``side``, else null."""
     name = F.coalesce(*(F.when(F.col("tag") == t, s) for t, s in sections.items()))
     marker = F.when((F.col("kind") == "open") & name.isNotNull(), name).when((F.col("kind") == "close") & name.isNotNull(), "")
-    last = F.last(marker, ignorenulls=True).over(Window.partitionBy("page_id").orderBy("node_no").rowsBetween(Window.unboundedPreceding, 0))
-    return nodes.withColumn("section", F.nullif(last, F.lit("")))
+    aside = (F.col("tag") == "div") & F.regexp_extract("token", r"""\sclass\s*=\s*["']?([^\s"'>]*)""", 1).isin(*side)
+    beside = F.when((F.col("kind") == "open") & aside, "ignored").when((F.col("kind") == "close") & (F.col("tag") == "div"), "")
+    upto = Window.partitionBy("page_id").orderBy("node_no").rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda m: F.nullif(F.last(m, ignorenulls=True).over(upto), F.lit(""))
+    return nodes.withColumn("section", F.coalesce(last(marker), last(beside)))
 
 
-def section_faults(nodes: DataFrame, sections: Mapping[str, str] = SECTIONS) -> DataFrame:
-    """(page_id, code): pages without exactly one main section and one bibliography, or with text outside of sections."""
-    s = html_sections(nodes, sections)
+def section_faults(nodes: DataFrame, sections: Mapping[str, str] = SECTIONS, side: tuple[str, ...] = SIDE) -> DataFrame:
+    """(page_id, code): pages without exactly one main section and one bibliography, or with elements of no known section
+    or text outside of all sections. Active elements are looked for elsewhere."""
+    s = html_sections(nodes, sections, side)
     opened = lambda name: F.count_if((F.col("kind") == "open") & F.col("tag").isin([t for t, n in sections.items() if n == name]))
-    per = s.groupBy("page_id").agg(opened("main").alias("main"), opened("bibliography").alias("bib"), F.count_if((F.col("kind") == "text") & F.col("section").isNull() & ~is_blank("token")).alias("outside"))
-    code = F.when((F.col("main") == 0) | (F.col("bib") == 0), "missing-section").when((F.col("main") > 1) | (F.col("bib") > 1), "unsupported-construct").when(F.col("outside") > 0, "text-outside")
+    outside = F.col("section").isNull()
+    unknown = outside & F.col("kind").isin("open", "void") & ~F.col("tag").isin("html", "body", *ACTIVE)
+    per = s.groupBy("page_id").agg(opened("main").alias("main"), opened("bibliography").alias("bib"), F.count_if(unknown).alias("unknown"), F.count_if((F.col("kind") == "text") & outside & ~is_blank("token")).alias("outside"))
+    code = F.when((F.col("main") == 0) | (F.col("bib") == 0), "missing-section").when((F.col("main") > 1) | (F.col("bib") > 1), "unsupported-construct").when(F.col("unknown") > 0, "unknown-section").when(F.col("outside") > 0, "text-outside")
     return per.select("page_id", code.alias("code")).where("code IS NOT NULL")
 
 
@@ -113,11 +126,13 @@ def html_bibliography(nodes: DataFrame) -> DataFrame:
 
 
 def html_ruby(pages: DataFrame) -> DataFrame:
-    """(page_id, n, base, reading, code): ruby elements; each needs exactly one base and one reading."""
-    each = pages.select("page_id", F.posexplode(F.regexp_extract_all(masked(F.col("html")), F.lit("(?s)<ruby>(.*?)</ruby>"), F.lit(1))).alias("n", "r"))
-    bases, readings = (F.regexp_extract_all("r", F.lit(f"(?s)<{t}>(.*?)</{t}>"), F.lit(1)) for t in ("rb", "rt"))
+    """(page_id, n, base, reading, code): ruby elements, in any case and with any attributes; each needs exactly one base
+    and one reading, and neither may be blank."""
+    inside = lambda t: f"(?is)<{t}(?:\\s[^>]*)?>(.*?)</{t}\\s*>"
+    each = pages.select("page_id", F.posexplode(F.regexp_extract_all(masked(F.col("html")), F.lit(inside("ruby")), F.lit(1))).alias("n", "r"))
+    bases, readings = (F.regexp_extract_all("r", F.lit(inside(t)), F.lit(1)) for t in ("rb", "rt"))
     strip = lambda c: F.regexp_replace(F.coalesce(F.get(c, F.lit(0)), F.lit("")), "<[^>]*>", "")
-    wrong = (F.size(bases) != 1) | (F.size(readings) != 1) | is_blank(strip(readings))
+    wrong = (F.size(bases) != 1) | (F.size(readings) != 1) | is_blank(strip(bases)) | is_blank(strip(readings))
     return each.select("page_id", "n", strip(bases).alias("base"), strip(readings).alias("reading"), F.when(wrong, "ruby-base").alias("code"))
 
 
@@ -138,12 +153,14 @@ def html_class_map(nodes: DataFrame, watched: tuple[str, ...] = ("em", "span", "
     return c.select("page_id", "node_no", "tag", "class", family.alias("family"), name.alias("name"), F.when(family.isNull() & F.col("tag").isin(*watched), "unknown-class").alias("code"))
 
 
-def html_images(nodes: DataFrame, host: str = "https://library.example") -> DataFrame:
+def html_images(nodes: DataFrame, host: str = "https://library.example", most_side: int = 10_000) -> DataFrame:
     """(page_id, node_no, kind, src, alt, width, height, code): pictures; a glyph needs a description and its directory,
-    an illustration whole sizes; other hosts are faults."""
+    an illustration whole sizes of at most ``most_side``; other hosts are faults."""
     img = nodes.where("tag = 'img' AND kind = 'void'")
-    get = lambda a: F.regexp_extract("token", f'\\s{a}\\s*=\\s*"([^"]*)"', 1)
+    groups = [F.regexp_extract_all("token", F.lit(ATTRIBUTE), F.lit(g)) for g in range(1, 5)]
+    img = img.withColumn("names", F.transform(groups[0], F.lower)).withColumn("values", F.zip_with(F.zip_with(groups[1], groups[2], lambda a, b: F.concat(a, b)), groups[3], lambda a, b: F.concat(a, b)))
+    get = lambda a: F.coalesce(F.try_element_at("values", F.nullif(F.array_position("names", F.lit(a)), F.lit(0)).cast("int")), F.lit(""))
     kind = F.when(get("class") == "gaiji", "gaiji").otherwise("illustration")
-    size = lambda a: F.when(get(a).rlike("^[1-9][0-9]{0,4}$"), get(a).cast("int"))
+    size = lambda a: F.when(get(a).rlike("^[1-9][0-9]{0,4}$") & (F.coalesce(get(a).try_cast("int"), F.lit(0)) <= most_side), get(a).try_cast("int"))
     code = F.when(~allowed_url(get("src"), host), "external-image").when((kind == "gaiji") & ((get("alt") == "") | ~F.startswith(get("src"), F.lit(f"{host}/gaiji/"))), "unknown-notation").when((kind == "illustration") & (size("width").isNull() | size("height").isNull()), "invalid-image")
     return img.select("page_id", "node_no", kind.alias("kind"), get("src").alias("src"), get("alt").alias("alt"), size("width").alias("width"), size("height").alias("height"), code.alias("code"))

@@ -41,8 +41,8 @@ checked AS (SELECT w.*, CASE
   FROM works w LEFT JOIN inc i USING (work_id) JOIN pf USING (work_id)),
 refs AS (SELECT work_id, path, url, updated, encoding, CASE
   WHEN NOT (regexp_extract(url, pat, 1) = {_card} AND {_card} <> '' AND regexp_extract(url, pat, 2) = {_number}) THEN 'external-body-url' WHEN NOT {_date("updated")} THEN 'invalid-body-date' WHEN encoding NOT IN ('ShiftJIS', 'UTF-8') THEN 'unsupported-encoding' END AS note
-  FROM (SELECT work_id, card_url, 'xhtml' AS path, xhtml_url AS url, xhtml_updated AS updated, xhtml_encoding AS encoding, '^https://library\\.example/cards/([0-9]{{6}})/files/([0-9]+)(_[^/]*)?\\.html$' AS pat FROM checked WHERE broken IS NULL
-    UNION ALL SELECT work_id, card_url, 'text', text_url, text_updated, text_encoding, '^https://library\\.example/cards/([0-9]{{6}})/files/([0-9]+)(_[^/]*)?\\.zip$' FROM checked WHERE broken IS NULL) WHERE url <> ''),
+  FROM (SELECT work_id, card_url, 'xhtml' AS path, xhtml_url AS url, xhtml_updated AS updated, xhtml_encoding AS encoding, '^https://library\\.example/cards/([0-9]{{6}})/files/([0-9]+)(?:_[A-Za-z0-9_.-]+)?\\.html$' AS pat FROM checked WHERE broken IS NULL
+    UNION ALL SELECT work_id, card_url, 'text', text_url, text_updated, text_encoding, '^https://library\\.example/cards/([0-9]{{6}})/files/([0-9]+)(?:_[A-Za-z0-9_.-]+)?\\.zip$' FROM checked WHERE broken IS NULL) WHERE url <> ''),
 sel AS (SELECT work_id, CASE WHEN work_copyright <> 'なし' THEN 'copyright-active' WHEN s IS NULL THEN 'no-body' ELSE 'fetch' END AS outcome, CASE WHEN work_copyright = 'なし' THEN coalesce(s, '') ELSE '' END AS sources
   FROM checked LEFT JOIN (SELECT work_id, string_agg(path, ',' ORDER BY path DESC) AS s FROM refs WHERE note IS NULL GROUP BY work_id) USING (work_id) WHERE broken IS NULL),
 people AS (SELECT work_id, row_number() OVER (PARTITION BY work_id ORDER BY row_no) AS position, person_id, {_role} AS role, name, reading FROM firsts WHERE nth = 1),
@@ -158,10 +158,10 @@ def catalog_shards(spark, sf):
 
 
 @query("beginner_candidates", """SELECT work_id, title, orthography, n_chars FROM search JOIN (SELECT lpad(CAST(doc_id AS STRING), 6, '0') AS work_id, CAST(length(text) AS BIGINT) AS n_chars FROM documents) USING (work_id)
-  WHERE n_chars <= 10000 AND work_id IN (SELECT work_id FROM people GROUP BY work_id HAVING bool_and(coalesce(CASE WHEN TRY_CAST(person_id AS BIGINT) % 13 <> 0 THEN (DATE '1930-06-01' + CAST(TRY_CAST(person_id AS BIGINT) % 60 AS INT) * INTERVAL 1 YEAR + INTERVAL 840 MONTH) END < DATE '2026-01-01', false)))""")
+  WHERE n_chars <= 10000 AND work_id IN (SELECT work_id FROM t GROUP BY work_id HAVING bool_and(person_copyright = 'なし' AND coalesce(CASE WHEN TRY_CAST(person_id AS BIGINT) % 13 <> 0 THEN (DATE '1930-06-01' + CAST(TRY_CAST(person_id AS BIGINT) % 60 AS INT) * INTERVAL 1 YEAR + INTERVAL 840 MONTH) END < DATE '2026-01-01', false)))""")
 def beginner_candidates(spark, sf):
     rows = _rows(spark, sf)
     number = F.expr("try_cast(person_id AS BIGINT)")
-    people = c.dedupe_people(rows).select("work_id", F.when(number % 13 != 0, F.add_months(F.lit("1930-06-01").cast("date"), (number % 60 * 12).cast("int"))).alias("died"))
+    people = rows.select("work_id", "person_copyright", F.when(number % 13 != 0, F.add_months(F.lit("1930-06-01").cast("date"), (number % 60 * 12).cast("int"))).alias("died"))
     bodies = read(spark, sf, "documents").select(F.lpad(F.col("doc_id").cast("string"), 6, "0").alias("work_id"), F.char_length("text").cast("long").alias("n_chars"))
     return c.beginner_candidates(_search(rows), bodies, people, "2026-01-01")

@@ -18,24 +18,30 @@ WS = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{20
 _in = lambda names: "(" + ", ".join(f"'{x}'" for x in names) + ")"
 _case = lambda label, names: f"CASE {label} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in names.items()) + " END"
 _blank = lambda x: f"regexp_replace({x}, '[{UNSEEN}]', '', 'g') = ''"
-_allowed = lambda x: f"(regexp_matches({x}, '^https://library.example/(?:gaiji/[A-Za-z0-9_-]+(?:/[A-Za-z0-9_.-]+)*|cards/[0-9]{{6}}/files/[A-Za-z0-9_.-]+)\\.(?:png|jpe?g|gif)$') AND NOT regexp_matches({x}, '/\\.{{1,2}}(/|$)'))"
+_path = lambda x: f"string_split(substr({x}, 25), '/')"  # noqa: E731  what follows the host
+_allowed = lambda x: f"(starts_with({x}, 'https://library.example/') AND len(list_filter({_path(x)}, lambda s: NOT regexp_full_match(s, '[A-Za-z0-9_.-]+') OR s IN ('.', '..'))) = 0 AND (({_path(x)}[1] = 'gaiji' AND len({_path(x)}) > 1) OR (len({_path(x)}) = 4 AND {_path(x)}[1] = 'cards' AND regexp_full_match({_path(x)}[2], '[0-9]{{6}}') AND {_path(x)}[3] = 'files')) AND regexp_matches({_path(x)}[-1], '.\\.(png|jpg|jpeg|gif)$'))"
+#: A tag's attributes in SQL of their own: quoted values first, then what has none.
+_ATTR = r"""[\s/]([^\s"''<>/=]+)(?:\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''=<>`]+)))?"""
 BASE = f"""WITH pg AS ({oracle(MARKUP, pages="pages")}),
 mh AS (SELECT page_id, regexp_replace(regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', '', 'g'), '(?is)(<(script|style)\\b[^>]*>).*?</(script|style)\\s*>', '\\1</\\2>', 'g') AS h FROM pg),
-n0 AS (SELECT page_id, unnest(t) AS token, generate_subscripts(t, 1) - 1 AS node_no FROM (SELECT page_id, regexp_extract_all(h, '<[^>]*>|[^<]+') AS t FROM mh)),
+n0 AS (SELECT page_id, unnest(t) AS token, generate_subscripts(t, 1) - 1 AS node_no FROM (SELECT page_id, regexp_extract_all(h, '<(?:[^<>"'']+|"[^"]*"|''[^'']*'')*>|<[^>]*>|[^<]+') AS t FROM mh)),
 n1 AS (SELECT *, lower(regexp_extract(token, '{m.TAG}', 1)) AS tag FROM n0),
 n2 AS (SELECT *, CASE WHEN NOT starts_with(token, '<') THEN 'text' WHEN tag = '' THEN 'other' WHEN starts_with(token, '</') THEN 'close' WHEN tag IN {_in(m.VOID)} OR ends_with(token, '/>') THEN 'void' ELSE 'open' END AS kind FROM n1),
 nd AS (SELECT page_id, CAST(node_no AS INT) AS node_no, kind, tag, CAST(coalesce(sum(CASE kind WHEN 'open' THEN 1 WHEN 'close' THEN -1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY node_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS depth, token FROM n2),
-at0 AS (SELECT page_id, node_no, tag, regexp_extract_all(token, '{m.ATTRIBUTE}', 1) AS ns, regexp_extract_all(token, '{m.ATTRIBUTE}', 2) AS vs FROM nd WHERE kind IN ('open', 'void')),
-att AS (SELECT page_id, node_no, tag, lower(ns[i]) AS name, vs[i] AS value FROM (SELECT *, unnest(generate_series(1, len(ns))) AS i FROM at0)),
+at0 AS (SELECT page_id, node_no, tag, {", ".join(f"regexp_extract_all(token, '{_ATTR}', {g}) AS a{g}" for g in (1, 2, 3, 4))} FROM nd WHERE kind IN ('open', 'void')),
+att AS (SELECT page_id, node_no, tag, lower(a1[i]) AS name, coalesce(a2[i], '') || coalesce(a3[i], '') || coalesce(a4[i], '') AS value FROM (SELECT *, unnest(generate_series(1, len(a1))) AS i FROM at0)),
+im0 AS (SELECT page_id, node_no, max(value) FILTER (name = 'class') AS class, max(value) FILTER (name = 'src') AS src, max(value) FILTER (name = 'alt') AS alt, max(value) FILTER (name = 'width') AS width, max(value) FILTER (name = 'height') AS height FROM att WHERE tag = 'img' GROUP BY 1, 2),
 sc0 AS (SELECT *, last_value(CASE WHEN kind = 'open' AND {_case('tag', m.SECTIONS)} IS NOT NULL THEN {_case('tag', m.SECTIONS)} WHEN kind = 'close' AND {_case('tag', m.SECTIONS)} IS NOT NULL THEN '' END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY node_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM nd),
-sc AS (SELECT page_id, node_no, kind, tag, token, nullif(s, '') AS section FROM sc0),
-sf AS (SELECT page_id, count(*) FILTER (kind = 'open' AND tag = 'article') AS main, count(*) FILTER (kind = 'open' AND tag = 'footer') AS bib, count(*) FILTER (kind = 'text' AND section IS NULL AND NOT {_blank('token')}) AS outside FROM sc GROUP BY page_id),
+sc1 AS (SELECT *, last_value(CASE WHEN kind = 'open' AND tag = 'div' AND contains(token, 'class="ad"') THEN 'ignored' WHEN kind = 'close' AND tag = 'div' THEN '' END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY node_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s2 FROM sc0),
+sc AS (SELECT page_id, node_no, kind, tag, token, coalesce(nullif(s, ''), nullif(s2, '')) AS section FROM sc1),
+sf AS (SELECT page_id, count(*) FILTER (kind = 'open' AND tag = 'article') AS main, count(*) FILTER (kind = 'open' AND tag = 'footer') AS bib, count(*) FILTER (kind IN ('open', 'void') AND section IS NULL AND tag NOT IN {_in(["html", "body", *m.ACTIVE])}) AS unknown, count(*) FILTER (kind = 'text' AND section IS NULL AND NOT {_blank('token')}) AS outside FROM sc GROUP BY page_id),
 ai AS (SELECT *, coalesce(sum(CASE WHEN tag IN {_in([t for t in m.ACTIVE if t not in m.CODE and t not in m.VOID])} THEN CASE kind WHEN 'open' THEN 1 WHEN 'close' THEN -1 ELSE 0 END ELSE 0 END) OVER (PARTITION BY page_id ORDER BY node_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS inside FROM nd),
-rb AS (SELECT page_id, CAST(i - 1 AS INT) AS n, rs[i] AS r FROM (SELECT page_id, rs, unnest(generate_series(1, len(rs))) AS i FROM (SELECT page_id, regexp_extract_all(h, '(?s)<ruby>(.*?)</ruby>', 1) AS rs FROM mh))),
+rb AS (SELECT page_id, CAST(i - 1 AS INT) AS n, rs[i] AS r FROM (SELECT page_id, rs, unnest(generate_series(1, len(rs))) AS i FROM (SELECT page_id, regexp_extract_all(h, '(?is)<ruby(?:\\s[^>]*)?>(.*?)</ruby\\s*>', 1) AS rs FROM mh))),
 rf AS ({oracle(IMAGE_REFS, pages="pages")}), inv AS ({oracle(INVENTORY, refs="rf")}),
 sup AS (SELECT work_id, url FROM rf WHERE length(url) % 13 <> 4 UNION ALL SELECT work_id, url || '.old' FROM rf WHERE work_id % 9 = 1),
 kp AS (SELECT url, md5(url) AS sha256, CASE WHEN length(url) % 5 = 0 THEN 'x' ELSE md5(url) END AS stored_sha256 FROM (SELECT DISTINCT url FROM rf) d WHERE length(url) % 3 <> 0),
-ar AS (SELECT work_id, url, CASE WHEN work_id % 17 = 2 THEN 'image/bmp' ELSE 'image/png' END AS mime, CAST(CASE WHEN work_id % 19 = 3 THEN 0 ELSE 10 END AS INT) AS width, CAST(20 AS INT) AS height, CASE WHEN work_id % 23 = 4 THEN 'abc' ELSE 'QUJD' END AS data, CASE WHEN work_id % 29 = 5 THEN 'works/0.images-1' ELSE 'works/' || CAST(work_id AS STRING) || '.images-1' END AS p1, CASE WHEN work_id % 31 = 6 THEN 'works/' || CAST(work_id AS STRING) || '.images-1' ELSE 'works/' || CAST(work_id AS STRING) || '.images-2' END AS p2 FROM rf)
+ar AS (SELECT lpad(CAST(work_id AS STRING), 6, '0') AS work_id, url, CASE WHEN work_id % 17 = 2 THEN 'image/bmp' ELSE 'image/png' END AS mime, CAST(CASE WHEN work_id % 19 = 3 THEN 0 ELSE 10 END AS INT) AS width, CAST(20 AS INT) AS height, CASE work_id % 23 WHEN 4 THEN 'abc' WHEN 9 THEN 'QU=D' WHEN 14 THEN '' WHEN 15 THEN 'QQ==' ELSE 'QUJD' END AS data,
+  CASE work_id % 29 WHEN 5 THEN 'works/999999.images-1.json.gz' WHEN 7 THEN 'works/' || lpad(CAST(work_id AS STRING), 6, '0') || '.images-x.json.gz' WHEN 11 THEN 'works/' || lpad(CAST(work_id AS STRING), 6, '0') || '.images-1.json' ELSE 'works/' || lpad(CAST(work_id AS STRING), 6, '0') || '.images-1.json.gz' END AS p1, 'works/' || lpad(CAST(work_id AS STRING), 6, '0') || CASE WHEN work_id % 31 = 6 THEN '.images-1.json.gz' ELSE '.images-2.json.gz' END AS p2 FROM rf)
 """
 
 
@@ -78,7 +84,7 @@ def active_content(spark, sf):
     return m.active_content(_nodes(spark, sf))
 
 
-@query("active_attributes", f"SELECT page_id, node_no, name FROM att WHERE starts_with(name, 'on') OR (name IN {_in(m.URL_ATTRIBUTES)} AND regexp_matches(value, '(?i)^[\\x00-\\x20]*(javascript|data|vbscript):'))")
+@query("active_attributes", f"SELECT page_id, node_no, name FROM att WHERE starts_with(name, 'on') OR (name IN {_in(m.URL_ATTRIBUTES)} AND regexp_matches(regexp_replace(value, '[\\x00-\\x20]', '', 'g'), '(?i)^(javascript|data|vbscript):'))")
 def active_attributes(spark, sf):
     return m.active_attributes(_nodes(spark, sf))
 
@@ -88,7 +94,7 @@ def active_with_text(spark, sf):
     return m.active_with_text(_nodes(spark, sf))
 
 
-@query("html_sections", "SELECT page_id, code FROM (SELECT page_id, CASE WHEN main = 0 OR bib = 0 THEN 'missing-section' WHEN main > 1 OR bib > 1 THEN 'unsupported-construct' WHEN outside > 0 THEN 'text-outside' END AS code FROM sf) WHERE code IS NOT NULL UNION ALL SELECT page_id, coalesce(section, '-') || ':' || count(*) FROM sc GROUP BY page_id, section")
+@query("html_sections", "SELECT page_id, code FROM (SELECT page_id, CASE WHEN main = 0 OR bib = 0 THEN 'missing-section' WHEN main > 1 OR bib > 1 THEN 'unsupported-construct' WHEN unknown > 0 THEN 'unknown-section' WHEN outside > 0 THEN 'text-outside' END AS code FROM sf) WHERE code IS NOT NULL UNION ALL SELECT page_id, coalesce(section, '-') || ':' || count(*) FROM sc GROUP BY page_id, section")
 def html_sections(spark, sf):
     nodes = _nodes(spark, sf)
     sizes = m.html_sections(nodes).groupBy("page_id", "section").count().select("page_id", F.concat_ws(":", F.coalesce("section", F.lit("-")), "count").alias("code"))
@@ -109,7 +115,7 @@ def html_bibliography(spark, sf):
     return m.html_bibliography(_nodes(spark, sf))
 
 
-@query("html_ruby", f"SELECT page_id, n, base, reading, CASE WHEN nb <> 1 OR nr <> 1 OR {_blank('reading')} THEN 'ruby-base' END AS code FROM (SELECT page_id, n, len(b) AS nb, len(r2) AS nr, regexp_replace(coalesce(b[1], ''), '<[^>]*>', '', 'g') AS base, regexp_replace(coalesce(r2[1], ''), '<[^>]*>', '', 'g') AS reading FROM (SELECT page_id, n, regexp_extract_all(r, '(?s)<rb>(.*?)</rb>', 1) AS b, regexp_extract_all(r, '(?s)<rt>(.*?)</rt>', 1) AS r2 FROM rb))")
+@query("html_ruby", f"SELECT page_id, n, base, reading, CASE WHEN nb <> 1 OR nr <> 1 OR {_blank('base')} OR {_blank('reading')} THEN 'ruby-base' END AS code FROM (SELECT page_id, n, len(b) AS nb, len(r2) AS nr, regexp_replace(coalesce(b[1], ''), '<[^>]*>', '', 'g') AS base, regexp_replace(coalesce(r2[1], ''), '<[^>]*>', '', 'g') AS reading FROM (SELECT page_id, n, regexp_extract_all(r, '(?is)<rb(?:\\s[^>]*)?>(.*?)</rb\\s*>', 1) AS b, regexp_extract_all(r, '(?is)<rt(?:\\s[^>]*)?>(.*?)</rt\\s*>', 1) AS r2 FROM rb))")
 def html_ruby(spark, sf):
     return m.html_ruby(_pages(spark, sf))
 
@@ -121,11 +127,10 @@ def html_class_map(spark, sf):
     return m.html_class_map(_nodes(spark, sf))
 
 
-_get = lambda a: f"""regexp_extract(token, '\\s{a}\\s*=\\s*"([^"]*)"', 1)"""
-_size = lambda a: f"CASE WHEN regexp_matches({_get(a)}, '^[1-9][0-9]{{0,4}}$') THEN CAST({_get(a)} AS INT) END"
+_size = lambda a: f"CASE WHEN regexp_full_match({a}, '[1-9][0-9]{{0,4}}') AND CAST({a} AS INT) <= 10000 THEN CAST({a} AS INT) END"
 
 
-@query("html_images", f"SELECT page_id, node_no, kind, src, alt, width, height, CASE WHEN NOT {_allowed('src')} THEN 'external-image' WHEN kind = 'gaiji' AND (alt = '' OR NOT starts_with(src, 'https://library.example/gaiji/')) THEN 'unknown-notation' WHEN kind = 'illustration' AND (width IS NULL OR height IS NULL) THEN 'invalid-image' END AS code FROM (SELECT page_id, node_no, CASE WHEN {_get('class')} = 'gaiji' THEN 'gaiji' ELSE 'illustration' END AS kind, {_get('src')} AS src, {_get('alt')} AS alt, {_size('width')} AS width, {_size('height')} AS height FROM nd WHERE tag = 'img' AND kind = 'void')")
+@query("html_images", f"SELECT page_id, node_no, kind, src, alt, width, height, CASE WHEN NOT {_allowed('src')} THEN 'external-image' WHEN kind = 'gaiji' AND (alt = '' OR NOT starts_with(src, 'https://library.example/gaiji/')) THEN 'unknown-notation' WHEN kind = 'illustration' AND (width IS NULL OR height IS NULL) THEN 'invalid-image' END AS code FROM (SELECT page_id, node_no, CASE WHEN class = 'gaiji' THEN 'gaiji' ELSE 'illustration' END AS kind, coalesce(src, '') AS src, coalesce(alt, '') AS alt, {_size('width')} AS width, {_size('height')} AS height FROM im0)")
 def html_images(spark, sf):
     return m.html_images(_nodes(spark, sf))
 
@@ -179,15 +184,32 @@ def reuse_images(spark, sf):
     return im.reuse_images(refs, kept)
 
 
-@query("split_parts", """, e AS (SELECT work_id, url, CAST(ceil(byte_length * 4 / 3) AS BIGINT) AS size, row_number() OVER (PARTITION BY work_id ORDER BY url) AS k FROM rf JOIN inv USING (url) WHERE code IS NULL),
+PARTS = """e AS (SELECT work_id, url, CAST(length(to_json(url)) - 2 + length(mime) + length(width::VARCHAR) + length(height::VARCHAR) + 4 * ceil(byte_length / 3) + 46 AS BIGINT) AS size, row_number() OVER (PARTITION BY work_id ORDER BY url) AS k FROM rf JOIN inv USING (url) WHERE code IS NULL),
   f AS (SELECT work_id, list_reduce(list_prepend({'k': 0, 'url': '', 'size': 0::BIGINT, 'part': 1, 'held': 0::BIGINT, 'all': []::INT[]}, list({'k': k, 'url': url, 'size': size, 'part': 0, 'held': 0::BIGINT, 'all': []::INT[]} ORDER BY k)),
-    lambda a, x: {'k': x.k, 'url': x.url, 'size': x.size, 'part': CASE WHEN a.held + x.size > 36000000 AND a.held > 0 THEN a.part + 1 ELSE a.part END, 'held': CASE WHEN a.held + x.size > 36000000 AND a.held > 0 THEN x.size ELSE a.held + x.size END, 'all': list_append(a."all", CAST(CASE WHEN a.held + x.size > 36000000 AND a.held > 0 THEN a.part + 1 ELSE a.part END AS INT))}) AS r FROM e GROUP BY work_id)
-  SELECT e.work_id, url, r."all"[k] AS part, CASE WHEN size > 36000000 THEN 'image-too-large' END AS code FROM e JOIN f USING (work_id)""")
+    lambda a, x: {'k': x.k, 'url': x.url, 'size': x.size, 'part': CASE WHEN a.held + x.size > 36000000 AND a.held > 0 THEN a.part + 1 ELSE a.part END, 'held': CASE WHEN a.held + x.size > 36000000 AND a.held > 0 THEN x.size ELSE a.held + x.size END, 'all': list_append(a."all", CAST(CASE WHEN a.held + x.size > 36000000 AND a.held > 0 THEN a.part + 1 ELSE a.part END AS INT))}) AS r FROM e GROUP BY work_id),
+  parts AS (SELECT e.work_id, url, size, CASE WHEN s <= 36000000 THEN 1 ELSE r."all"[k] END AS part, CASE WHEN size > 36000000 THEN 'image-too-large' END AS code FROM e JOIN f USING (work_id) JOIN (SELECT work_id, sum(size) AS s FROM e GROUP BY work_id) USING (work_id))"""
+
+
+@query("split_parts", f", {PARTS} SELECT * FROM parts")
 def split_parts(spark, sf):
     return im.split_parts(_refs(spark, sf), _inventory(spark, sf), 40_000_000)
 
 
-@query("check_asset_rows", "SELECT work_id, url, problem FROM (SELECT work_id, url, CASE WHEN mime = 'image/bmp' THEN 'mime' WHEN width < 1 THEN 'size' WHEN data = 'abc' THEN 'data' WHEN p1 = 'works/0.images-1' AND work_id <> 0 THEN 'part-name' WHEN p1 = p2 THEN 'part-repeated' END AS problem FROM ar) WHERE problem IS NOT NULL")
+@query("asset_files", f""", {PARTS}, own AS (SELECT page_id AS work_id, CAST(length(html) * CASE WHEN page_id % 6 = 1 THEN 50000 ELSE 1 END AS BIGINT) AS own FROM pages),
+  w AS (SELECT o.work_id, any_value(own) AS own, coalesce(sum(size), 0) AS size, min(p.code) AS code, coalesce(max(part), 0) AS n FROM own o LEFT JOIN parts p ON o.work_id = p.work_id GROUP BY o.work_id),
+  s AS (SELECT *, own + size > 40000000 AS split FROM w),
+  g AS (SELECT work_id, part, list(url ORDER BY url) AS urls FROM parts GROUP BY 1, 2),
+  a AS (SELECT work_id, split, own, code, unnest(generate_series(0, CASE WHEN split THEN n ELSE 0 END)) AS n FROM s)
+  SELECT a.work_id, CAST(a.n AS INT) AS n, 'works/' || lpad(CAST(a.work_id AS STRING), 6, '0') || CASE WHEN a.n > 0 THEN '.images-' || a.n ELSE '' END || '.json.gz' AS path,
+    array_to_string(CASE WHEN NOT split THEN coalesce((SELECT list(url ORDER BY part, url) FROM parts p WHERE p.work_id = a.work_id), []) WHEN a.n = 0 THEN [] ELSE g.urls END, ' ') AS urls, CASE WHEN split THEN coalesce(code, CASE WHEN own > 40000000 THEN 'work-too-large' END) END AS code
+  FROM a LEFT JOIN g ON a.work_id = g.work_id AND a.n = g.part""")
+def asset_files(spark, sf):
+    own = read(spark, sf, "pages").select(F.col("page_id").alias("work_id"), (F.char_length("html") * F.when(F.col("page_id") % 6 == 1, 50_000).otherwise(1)).cast("long").alias("own"))
+    rows = own.join(im.split_parts(_refs(spark, sf), _inventory(spark, sf), 40_000_000), "work_id", "left")
+    return im.asset_files(rows, 40_000_000).withColumn("urls", F.array_join("urls", " "))
+
+
+@query("check_asset_rows", "SELECT work_id, url, problem FROM (SELECT work_id, url, CASE WHEN mime = 'image/bmp' THEN 'mime' WHEN width < 1 THEN 'size' WHEN NOT regexp_full_match(data, '([A-Za-z0-9+/]{4})*([A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?') OR data = '' THEN 'data' WHEN NOT regexp_full_match(p1, 'works/[0-9]{6}\\.images-[0-9]{1,4}\\.json\\.gz') OR substr(p1, 7, 6) <> work_id THEN 'part-name' WHEN p1 = p2 THEN 'part-repeated' END AS problem FROM ar) WHERE problem IS NOT NULL")
 def check_asset_rows(spark, sf):
     ar = re.search(r"ar AS \((.*)\)\s*$", BASE, re.S)[1].replace("FROM rf", "FROM {rf}")
     rows = view(spark, ar, rf=_refs(spark, sf)).withColumn("parts", F.array("p1", "p2"))

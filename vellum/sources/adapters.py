@@ -34,7 +34,7 @@ SELECT row_no,
   'sur' || CAST(p % 50 AS STRING) AS surname_reading,
   'given' || CAST(p AS STRING) AS given_reading,
   CASE WHEN k % 179 = 13 AND row_no = 1 THEN '朗読者' ELSE CASE (p + k + CASE WHEN n % 4 = 0 THEN 1 ELSE 0 END) % 5 WHEN 0 THEN '著者' WHEN 1 THEN '翻訳者' WHEN 2 THEN '編者' WHEN 3 THEN '校訂者' ELSE 'その他' END END AS role,
-  'なし' AS person_copyright
+  CASE WHEN p % 17 = 3 THEN 'あり' ELSE 'なし' END AS person_copyright
 FROM (
   SELECT *, lpad(CAST(min(p) OVER (PARTITION BY k) AS STRING), 6, '0') AS person FROM (
     SELECT row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS row_no,
@@ -96,12 +96,13 @@ SELECT work_id, CAST(CASE WHEN block_no >= 1 THEN block_no + 1 ELSE block_no END
 UNION ALL SELECT DISTINCT work_id, CAST(1 AS INT), 'paragraph', CAST(NULL AS STRING), 'A line that the revision has put in.' FROM {blocks}
 """
 
-#: Image references of works, taken from the links of pages: every page refers to up to three shared pictures too.
+#: Image references of works, from the links of pages; every page refers to up to three shared pictures and some wrong URLs too.
 IMAGE_REFS = """
 SELECT DISTINCT page_id AS work_id, url FROM (
-  SELECT page_id, 'https://library.example/cards/' || lpad(CAST(page_id % 97 AS STRING), 6, '0') || '/files/fig' || CAST(n AS STRING) || '.png' AS url FROM {pages} CROSS JOIN (SELECT 1 AS n UNION ALL SELECT 2 UNION ALL SELECT 3) a
+  SELECT page_id, 'https://library.example/cards/' || lpad(CAST(page_id % 97 AS STRING), 6, '0') || '/files' || href || '.png' AS url FROM (SELECT page_id, explode(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM {pages}) h
+  UNION ALL SELECT page_id, 'https://library.example/cards/' || lpad(CAST(page_id % 97 AS STRING), 6, '0') || '/files/fig' || CAST(n AS STRING) || '.png' FROM {pages} CROSS JOIN (SELECT 1 AS n UNION ALL SELECT 2 UNION ALL SELECT 3) a
   UNION ALL SELECT page_id, 'https://library.example/gaiji/1-0' || CAST(n AS STRING) || '/1-0' || CAST(n AS STRING) || '-0' || CAST(page_id % 5 + 1 AS STRING) || '.png' FROM {pages} CROSS JOIN (SELECT 1 AS n UNION ALL SELECT 2) b
-  UNION ALL SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'https://elsewhere.example/a.png' WHEN 1 THEN 'https://library.example/a/../b.png' WHEN 2 THEN 'https://library.example/a.png?x=1' ELSE url END FROM {pages}) u
+  UNION ALL SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'https://elsewhere.example/a.png' WHEN 1 THEN 'https://library.example/a/../b.png' WHEN 2 THEN 'https://library.example/gaiji/a.png?x=1' WHEN 3 THEN 'https://libraryXexample/gaiji/a.png' WHEN 4 THEN 'https://library.example/gaiji/./a.png' WHEN 5 THEN 'https://library.example/gaiji/.png' WHEN 6 THEN 'https://library.example/cards/000001/files/b/a.gif' ELSE url END FROM {pages}) u
 """
 
 #: What is known of each picture: a size from its URL's hash, and some faults.
@@ -117,7 +118,7 @@ def view(spark: SparkSession, sql: str, **frames: DataFrame) -> DataFrame:
 
 
 def oracle(sql: str, **names: str) -> str:
-    return sql.format(**names)
+    return sql.format(**names).replace("explode(", "unnest(")  # the one word that differs
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -149,10 +150,12 @@ FROM {documents} JOIN (SELECT work_id, max(no) AS last FROM {marked} GROUP BY wo
 
 #: Pages with ruby, pictures, marks and active content put in at fixed places.
 MARKUP = """
-SELECT page_id, replace(replace(html, '<article>', '<article>' || CASE page_id % 5
+SELECT page_id, replace(replace(html, '<article>', '<article>' || CASE page_id % 8
   WHEN 0 THEN '<div class="jisage_3"><ruby><rb>base</rb><rp>(</rp><rt>reading</rt><rp>)</rp></ruby></div>' WHEN 1 THEN '<em class="sesame_dot_after">mark</em><em class="underline_solid">line</em><span class="futoji">bold</span><ruby><rb>two</rb><rb>bases</rb><rt>x</rt></ruby>'
   WHEN 2 THEN '<img class="gaiji" src="https://library.example/gaiji/1-85/1-85-54.png" alt="glyph"><img class="illustration" src="https://library.example/cards/000001/files/fig1.png" alt="a" width="100" height="2x">'
-  WHEN 3 THEN '<h3 class="o-midashi">head</h3><span class="dai2">big</span><span class="odd">odd</span><img src="https://elsewhere.example/a.png" alt="b" width="10" height="20">' ELSE '<form><input value="text"><button onclick="go()">press</button></form><a href="JavaScript:run()">x</a>' END),
-  '</article>', CASE WHEN page_id % 7 = 3 THEN '</article>loose' WHEN page_id % 11 = 4 THEN '</article><article>again</article>' ELSE '</article>' END) AS html
+  WHEN 3 THEN '<h3 class="o-midashi">head</h3><span class="dai2">big</span><span class="odd">odd</span><img src="https://elsewhere.example/a.png" alt="b" width="10" height="20">' WHEN 4 THEN '<form><input value="text"><button onclick="go()">press</button></form><a href="JavaScript:run()">x</a>'
+  WHEN 5 THEN '<RUBY class="r"><rb lang="ja">Base</rb><RT>read</RT></RUBY><ruby ><rb> </rb><rt>x</rt></ruby><a title="a > b" href=''javascript:go()'' onclick=go()>y</a>' WHEN 6 THEN '<img src=https://library.example/cards/000001/files/fig2.gif alt=''c'' width=20000 height=10><img src=''https://library.example/cards/000001/files/fig3.jpg'' width=10000 height=10 hidden><a href=" java' || chr(9) || 'script:x" data-on="1">z</a>'
+  ELSE '<svg/onload=go()><input disabled value=''text''>' END),
+  '</article>', CASE WHEN page_id % 7 = 3 THEN '</article>loose' WHEN page_id % 11 = 4 THEN '</article><article>again</article>' WHEN page_id % 13 = 5 THEN '</article><aside>more</aside>' ELSE '</article>' END) AS html
 FROM {pages}
 """

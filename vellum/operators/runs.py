@@ -13,6 +13,10 @@ from pyspark.sql.window import Window
 
 RECORD = "work_id string, path string, url string, updated string, input_sha256 string, raw_sha256 string, converter string, status string, code string, work_sha256 string, work_bytes bigint"
 PATHS = {"xhtml": 0, "text": 1}
+#: What a record keeps besides: sources that failed before, and what a conversion left out.
+DETAILS = "attempts array<struct<path:string,url:string,code:string,message:string,location:string>>, diagnostics array<struct<code:string,message:string,location:string>>"
+#: The kinds of diagnostics.
+DIAGNOSTICS = ("active-content-removed", "attribute-dropped", "link-removed", "section-ignored")
 
 
 def content_hash(text: Column) -> Column:
@@ -25,15 +29,21 @@ def input_hash(*fields: Column) -> Column:
 
 
 def read_records(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Typed records from JSON texts. A record that lacks a field it needs, or has one of another type, is absent."""
-    r = F.from_json(column, RECORD, {"mode": "PERMISSIVE"})
+    """Typed records from JSON texts, with attempts and diagnostics.
+
+    A record that lacks a field it needs, or has one of another type, is absent, and so is one with an attempt or, if it
+    is converted, a diagnostic that can't be read whole. A failed record has no diagnostics."""
+    r = F.from_json(column, f"{RECORD}, {DETAILS}", {"mode": "PERMISSIVE"})
     needed = [F.col(c).isNotNull() for c in ("work_id", "path", "url", "updated", "input_sha256", "converter", "status")]
-    converted = (F.col("status") == "converted") & F.col("work_sha256").isNotNull() & F.col("work_bytes").isNotNull()
+    sound = lambda c, one: F.coalesce(F.forall(c, one), F.lit(False))
+    attempts = sound("attempts", lambda x: x["path"].isin(*PATHS) & x["url"].isNotNull() & x["code"].isNotNull() & x["message"].isNotNull())
+    diagnostics = sound("diagnostics", lambda x: x["code"].isin(*DIAGNOSTICS) & x["message"].isNotNull() & x["location"].isNotNull())
+    converted = (F.col("status") == "converted") & F.col("work_sha256").isNotNull() & F.col("work_bytes").isNotNull() & diagnostics
     failed = (F.col("status") == "failed") & F.col("code").isNotNull()
-    rows = lines.select(r.alias("r")).select("r.*").where(converted | failed)
+    rows = lines.select(r.alias("r")).select("r.*").where((converted | failed) & attempts)
     for condition in needed:
         rows = rows.where(condition)
-    return rows
+    return rows.withColumn("diagnostics", F.when(F.col("status") == "converted", F.col("diagnostics")))
 
 
 def read_manifest(records: DataFrame, counts: DataFrame, version: int = 1) -> DataFrame:
@@ -99,21 +109,26 @@ def manifest_counts(records: DataFrame) -> DataFrame:
     return records.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "converted").alias("converted"), F.count_if(F.col("status") == "failed").alias("failed"))
 
 
-def run_stats(decisions: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """One row of counts over what was reused and what fetching gave."""
+def run_stats(decisions: DataFrame, outcomes: DataFrame, targets: DataFrame, pending: DataFrame) -> DataFrame:
+    """One row of counts over what was reused, what fetching gave, and what stood from a run that was cut off.
+
+    targets, pending: (work_id); see pending_targets."""
     d = decisions.agg(F.count_if(F.col("decision") == "reuse").alias("catalog_unchanged"), F.count_if(F.col("decision") != "reuse").alias("requests"))
     o = outcomes.agg(F.count_if(F.col("outcome") == "not-modified").alias("not_modified"), F.count_if(F.col("outcome") == "unchanged").alias("content_unchanged"), F.count_if(F.col("outcome") == "converted").alias("fetched"))
-    return d.crossJoin(o)  # a row each
+    left = targets.agg(F.count(F.lit(1)).alias("all")).crossJoin(pending.agg(F.count(F.lit(1)).alias("left"))).select((F.col("all") - F.col("left")).alias("resumed"))
+    return d.crossJoin(o).crossJoin(left)  # a row each
 
 
-def run_key(records: DataFrame, converter: str, revalidate: bool = False, buckets: int = 256) -> DataFrame:
+def run_key(records: DataFrame, converter: str, revalidate: bool = False) -> DataFrame:
     """One row: the digest of converter, flag and all inputs by ID.
 
-    Digests are taken per hash bucket first, so no task holds more than a bucket's IDs; buckets is part of the key."""
-    b = F.conv(F.substring(F.sha2("work_id", 256), 1, 4), 16, 10).cast("int") % buckets
-    part = records.groupBy(b.alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "work_id", "path", "input_sha256"))), "\n"), 256).alias("h"))
-    whole = part.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), "\n").alias("all"))
-    return whole.select(F.sha2(F.concat_ws("\n", F.lit(converter), F.lit(str(revalidate).lower()), "all"), 256).alias("run_key"))
+    Digests are taken in three levels, of buckets by the first four, two and no digits of the ID's hash, so that no task
+    holds more than 65,536th of all IDs, and the last one 256 digests."""
+    digest = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "\n"), 256).alias("h")
+    part = records.groupBy(F.substring(F.sha2("work_id", 256), 1, 4).alias("b")).agg(digest(F.concat_ws("=", "work_id", "path", "input_sha256")))
+    more = part.groupBy(F.substring("b", 1, 2).alias("b")).agg(digest(F.concat_ws("=", "b", "h")))
+    whole = more.agg(digest(F.concat_ws("=", "b", "h")))
+    return whole.select(F.sha2(F.concat_ws("\n", F.lit(converter), F.lit(str(revalidate).lower()), "h"), 256).alias("run_key"))
 
 
 def commit_gate(records: DataFrame, problems: DataFrame, pending: DataFrame, most_failed: float = 0.02) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.operators import release, runs
@@ -86,13 +89,15 @@ def manifest_counts(spark, sf):
     return runs.manifest_counts(Tables(spark, sf).cand)
 
 
-@query("run_stats", "SELECT * FROM (SELECT count(*) FILTER (decision = 'reuse') AS catalog_unchanged, count(*) FILTER (decision <> 'reuse') AS requests FROM decided), (SELECT count(*) FILTER (outcome = 'not-modified') AS not_modified, count(*) FILTER (outcome = 'unchanged') AS content_unchanged, count(*) FILTER (outcome = 'converted') AS fetched FROM outc)")
+@query("run_stats", "SELECT * FROM (SELECT count(*) FILTER (decision = 'reuse') AS catalog_unchanged, count(*) FILTER (decision <> 'reuse') AS requests FROM decided), (SELECT count(*) FILTER (outcome = 'not-modified') AS not_modified, count(*) FILTER (outcome = 'unchanged') AS content_unchanged, count(*) FILTER (outcome = 'converted') AS fetched FROM outc), (SELECT (SELECT count(*) FROM cand) - (SELECT count(*) FROM pend) AS resumed)")
 def run_stats(spark, sf):
     t = Tables(spark, sf)
-    return runs.run_stats(t.decisions, t.outcomes)
+    targets = t.cand.select("work_id")
+    return runs.run_stats(t.decisions, t.outcomes, targets, runs.pending_targets(targets, t.prev, t.intact))
 
 
-RUN_KEY = "SELECT sha256('v1' || chr(10) || 'false' || chr(10) || string_agg(h, chr(10) ORDER BY b)) AS run_key FROM (SELECT ('0x' || substr(sha256(work_id), 1, 4))::INT % 256 AS b, sha256(string_agg(work_id || '=' || path || '=' || input_sha256, chr(10) ORDER BY work_id || '=' || path || '=' || input_sha256)) AS h FROM cand GROUP BY 1)"
+RUN_KEY = """SELECT sha256('v1' || chr(10) || 'false' || chr(10) || sha256(string_agg(b || '=' || h, chr(10) ORDER BY b))) AS run_key FROM (SELECT substr(b, 1, 2) AS b, sha256(string_agg(b || '=' || h, chr(10) ORDER BY b)) AS h
+  FROM (SELECT substr(sha256(work_id), 1, 4) AS b, sha256(string_agg(work_id || '=' || path || '=' || input_sha256, chr(10) ORDER BY work_id || '=' || path || '=' || input_sha256)) AS h FROM cand GROUP BY 1) GROUP BY 1)"""
 
 
 @query("run_key", RUN_KEY)
@@ -137,17 +142,30 @@ def input_hash(spark, sf):
 _records = "work_id, path, url, updated, input_sha256, raw_sha256, converter, status, code, work_sha256, work_bytes"
 
 
-@query("read_records", f"SELECT {_records} FROM cand WHERE CAST(work_bytes AS BIGINT) % 10 <> 3 AND substr(md5(work_id), 1, 1) <> 'a'")
+@query("read_records", f"""SELECT {_records}, length(url) % 3 + CASE WHEN work_id LIKE '%4' THEN 1 ELSE 0 END AS n_attempts, CASE WHEN status = 'converted' THEN 1 END AS n_diagnostics FROM cand
+  WHERE CAST(work_bytes AS BIGINT) % 10 <> 3 AND substr(md5(work_id), 1, 1) NOT IN ('a', 'b') AND NOT (status = 'converted' AND substr(md5(work_id), 1, 1) = 'c')""")
 def read_records(spark, sf):
+    """Some records lack their URL, hold a number for an ID, a half attempt, or a diagnostic of no known kind."""
     c = Tables(spark, sf).cand.select(*_records.split(", "))
-    text = F.when(F.substring(F.md5("work_id"), 1, 1) == "a", "{\"work_id\": 5}").otherwise(F.to_json(F.struct(*(F.when(F.col("work_bytes") % 10 != 3, F.col(x)).alias(x) if x == "url" else F.col(x) for x in c.columns))))
-    return runs.read_records(c.select(text.alias("value")))
-
-
-@query("read_manifest", "SELECT 'valid' AS outcome, count(*) AS total, count(*) FILTER (status = 'converted') AS converted, count(*) FILTER (status = 'failed') AS failed FROM cand")
+    mark = F.substring(F.md5("work_id"), 1, 1)
+    attempt = F.struct(F.lit("xhtml").alias("path"), F.when(mark != "b", F.col("work_id")).alias("url"), F.lit("fetch-status").alias("code"), F.lit("").alias("message"))
+    attempts = F.array_repeat(attempt, (F.char_length("url") % 3 + F.when(F.endswith("work_id", F.lit("4")), 1).otherwise(0)).cast("int"))
+    attempts = F.when(mark == "b", F.array(attempt)).otherwise(attempts)
+    diagnostics = F.array(F.struct(F.when(mark == "c", "odd").otherwise("link-removed").alias("code"), F.lit("m").alias("message"), F.lit("l").alias("location")))
+    fields = [F.when(F.col("work_bytes") % 10 != 3, F.col(x)).alias(x) if x == "url" else F.col(x) for x in c.columns]
+    text = F.when(mark == "a", "{\"work_id\": 5}").otherwise(F.to_json(F.struct(*fields, attempts.alias("attempts"), diagnostics.alias("diagnostics"))))
+    got = runs.read_records(c.select(text.alias("value")))
+    return got.select(*c.columns, F.size("attempts").cast("long").alias("n_attempts"), F.when(F.col("diagnostics").isNotNull(), F.size("diagnostics")).alias("n_diagnostics"))
+
+
+@query("read_manifest", "SELECT path, CASE path WHEN 'xhtml' THEN 'valid' WHEN 'text' THEN 'counts' ELSE 'version' END AS outcome, count(*) + CASE path WHEN 'text' THEN 1 ELSE 0 END AS total, count(*) FILTER (status = 'converted') AS converted, count(*) FILTER (status = 'failed') AS failed FROM (SELECT path, status FROM cand UNION ALL SELECT 'all', status FROM cand) GROUP BY path UNION ALL SELECT 'twice', 'repeated-id', 2 * count(*), 2 * count(*) FILTER (status = 'converted'), 2 * count(*) FILTER (status = 'failed') FROM cand")
 def read_manifest(spark, sf):
+    """Manifests that hold, count wrongly, are of another version, or repeat their records."""
     c = Tables(spark, sf).cand
-    return runs.read_manifest(c, runs.manifest_counts(c).withColumn("schema_version", F.lit(1)))
+    counted = lambda df, more=0, version=1: runs.manifest_counts(df).withColumn("total", F.col("total") + more).withColumn("schema_version", F.lit(version))
+    pages, texts, twice = c.where("path = 'xhtml'"), c.where("path = 'text'"), c.unionAll(c)
+    cases = {"xhtml": (pages, counted(pages)), "text": (texts, counted(texts, 1)), "all": (c, counted(c, version=2)), "twice": (twice, counted(twice))}
+    return reduce(DataFrame.unionByName, (runs.read_manifest(*case).withColumn("path", F.lit(name)) for name, case in cases.items()))
 
 
 @query("manifest_diff", """SELECT * FROM (SELECT coalesce(p.work_id, c.work_id) AS work_id, CASE WHEN p.work_id IS NULL THEN 'added' WHEN c.work_id IS NULL THEN 'removed' WHEN c.flag <> p.flag THEN 'rights'

@@ -53,14 +53,19 @@ def restore_context(saved: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def restore_percent(saved: DataFrame, blocks: DataFrame) -> DataFrame:
-    """The same by the share of the work alone; the end is the last block's. Works without text give no place."""
-    last = blocks.groupBy("work_id").agg(F.max("block_no").alias("last"), F.max("total").alias("total"))
+    """The same by the share of the work alone; the end is the last block's. Works without text give no place.
+
+    Positions are sorted in among their work's blocks, so each block is read once however many positions there are."""
+    last = blocks.groupBy("work_id").agg(F.max_by(F.struct("block_id", "at"), "block_no").alias("end"), F.max("total").alias("total"))
     share = F.when(F.isnan("percent") | F.col("percent").isNull() | (F.abs("percent") == float("inf")), 0.0).otherwise(F.col("percent"))
     target = F.least(F.col("total"), F.greatest(F.lit(0), F.floor(share * F.col("total") + 0.5))).cast("long")
-    s = saved.select("position_id", "work_id", "percent").join(last, "work_id").where("total > 0").select("position_id", "work_id", "last", "total", target.alias("target"))
-    inside = (F.col("target") >= F.col("at")) & (F.col("target") < F.col("at") + F.col("size"))
-    j = s.join(blocks.select("work_id", "block_no", "block_id", "at", "size"), "work_id").where(inside | ((F.col("target") == F.col("total")) & (F.col("block_no") == F.col("last"))))
-    return j.select("position_id", F.lit("percent").alias("how"), "block_id", (F.col("target") - F.col("at")).alias("offset"))
+    s = saved.select("position_id", "work_id", "percent").join(last, "work_id").where("total > 0").select("position_id", "work_id", "end", "total", target.alias("place"))
+    held = blocks.where("size > 0").select("work_id", F.col("at").alias("place"), F.lit(0).alias("kind"), F.struct("block_id", "at").alias("block"))
+    asked = s.select("work_id", "place", F.lit(1).alias("kind"), "position_id", "end", "total")
+    before = Window.partitionBy("work_id").orderBy("place", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    rows = held.unionByName(asked, allowMissingColumns=True).withColumn("inside", F.last("block", ignorenulls=True).over(before)).where("kind = 1")
+    found = F.when(F.col("place") == F.col("total"), F.col("end")).otherwise(F.col("inside"))
+    return rows.select("position_id", F.lit("percent").alias("how"), found["block_id"].alias("block_id"), (F.col("place") - found["at"]).alias("offset"))
 
 
 def restore_positions(saved: DataFrame, blocks: DataFrame) -> DataFrame:

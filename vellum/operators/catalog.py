@@ -99,7 +99,7 @@ def _with_person_fault(rows: DataFrame) -> DataFrame:
         F.when(~F.col("person_id").rlike("^[0-9]{6}$") | (F.col("name") == ""), F.lit("invalid-field")),
         F.when(F.col("other"), F.lit("inconsistent-rows")),
     )
-    return named.withColumn("fault", fault)
+    return named.withColumn("fault", fault).withColumn("nth", F.row_number().over(one))
 
 
 def validate_works(rows: DataFrame, host: str = HOST) -> DataFrame:
@@ -108,16 +108,24 @@ def validate_works(rows: DataFrame, host: str = HOST) -> DataFrame:
     The order of the rules: ID, agreement of rows, copyright flag, title, orthography, card, dates, people in row
     order, and the card's person among them.
     """
+    return _checked(rows.repartition("work_id"), host).drop("p")  # the window and the aggregation share this exchange, and its sort
+
+
+def _checked(rows: DataFrame, host: str) -> DataFrame:
+    """validate_works' rows, and p, each person and role of the work once; rows are dealt by work_id."""
     own = [c for c in WORK_COLUMNS if c != "work_id"]
-    rows = _with_person_fault(rows.repartition("work_id"))  # the window and the aggregation share this exchange, and its sort
+    rows = _with_person_fault(rows)
+    person = F.struct("row_no", map_role(F.col("role")).alias("role"), "name", "reading")
+    differ = lambda c: F.min(F.xxhash64(c)) != F.max(F.xxhash64(c))  # noqa: E731  numbers, which are aggregated in place
     works = rows.groupBy("work_id").agg(
         F.min("row_no").alias("first_row"),
         F.count(F.lit(1)).alias("n_rows"),
-        F.coalesce(*(F.when(F.min(c) != F.max(c), F.lit(c)) for c in own)).alias("column"),
+        F.coalesce(*(F.when(differ(c), F.lit(c)) for c in own)).alias("column"),
         F.min_by("fault", F.when(F.col("fault").isNotNull(), F.col("row_no"))).alias("person_fault"),
         F.bool_or(F.col("person_id") == card_person(F.col("card_url"), host)).alias("member"),
-        *(F.min_by(c, "row_no").alias(c) for c in own),
-    )
+        F.min_by(F.struct(*own), "row_no").alias("w"),
+        F.array_sort(F.collect_list(F.when(F.col("nth") == 1, person))).alias("p"),
+    ).select("*", "w.*")
     rule = lambda broken, code, detail: F.when(broken, F.struct(F.lit(code).alias("code"), detail.alias("detail")))
     first = F.coalesce(
         rule(~F.col("work_id").rlike("^[0-9]{6}$"), "invalid-field", F.lit("work_id")),
@@ -131,7 +139,7 @@ def validate_works(rows: DataFrame, host: str = HOST) -> DataFrame:
         F.when(F.col("person_fault").isNotNull(), F.struct(F.col("person_fault").alias("code"), F.lit("people").alias("detail"))),
         rule(~F.col("member"), "invalid-field", F.lit("card_person")),
     )
-    return works.select(*WORK_COLUMNS, "first_row", "n_rows", first["code"].alias("code"), first["detail"].alias("detail"))
+    return works.select(*WORK_COLUMNS, "first_row", "n_rows", first["code"].alias("code"), first["detail"].alias("detail"), "p")
 
 
 def card_person_member(rows: DataFrame, host: str = HOST) -> DataFrame:
@@ -171,13 +179,24 @@ def check_works(works: DataFrame, people: DataFrame, refs: DataFrame, host: str
     return faults.unionByName(repeated).unionByName(refs.where("note IS NOT NULL").select("work_id", F.lit("ref").alias("problem")).distinct()).distinct()
 
 
+def _light(shipped: DataFrame) -> DataFrame:
+    """The search catalog's columns from works with p, their people in order."""
+    names = F.array_join(F.transform("p", lambda p: F.concat(p["role"], F.lit(":"), p["name"])), "|").alias("people")
+    light = ["title", "title_reading", "sort_reading", "subtitle", "orthography", "classification"]
+    return shipped.select("work_id", *(F.nullif(F.col(c), F.lit("")).alias(c) for c in light), names, F.array_join(F.transform("p", lambda p: p["reading"]), "|").alias("readings"))
+
+
 def build_search_catalog(selected: DataFrame, people: DataFrame) -> DataFrame:
     """Shippable works in ID order: light columns, people as role:name, no person IDs; optional columns null if empty."""
     listed = people.groupBy("work_id").agg(F.array_sort(F.collect_list(F.struct("position", "role", "name", "reading"))).alias("p"))
-    names = listed.select("work_id", F.array_join(F.transform("p", lambda p: F.concat(p["role"], F.lit(":"), p["name"])), "|").alias("people"), F.array_join(F.transform("p", lambda p: p["reading"]), "|").alias("readings"))
-    light = ["title", "title_reading", "sort_reading", "subtitle", "orthography", "classification"]
-    shipped = selected.where("outcome = 'fetch'").join(names, "work_id")
-    return shipped.select("work_id", *(F.nullif(F.col(c), F.lit("")).alias(c) for c in light), "people", "readings").orderBy("work_id")
+    return _light(selected.where("outcome = 'fetch'").join(listed, "work_id")).orderBy("work_id")
+
+
+def search_catalog_of(rows: DataFrame, host: str = HOST) -> DataFrame:
+    """build_search_catalog from the catalog's rows at once: one exchange by ranges of work_id serves validation, people
+    and order, so nothing is joined and nothing sorted again."""
+    valid = _checked(rows.repartitionByRange("work_id"), host).where("code IS NULL")
+    return _light(select_bodies(valid, host).where("outcome = 'fetch'")).sortWithinPartitions("work_id")
 
 
 def search_catalog(catalog: DataFrame, query: str, *, author: str | None = None, orthography: str | None = None, classification: str | None = None, sort: str = "relevance", k: int = 50) -> DataFrame:

@@ -67,8 +67,7 @@ def _valid(rows):
 
 
 def _search(rows):
-    rows = kept(rows)  # validation and people read it
-    return c.build_search_catalog(c.select_bodies(_valid(rows)), c.dedupe_people(rows.repartition("work_id")))
+    return c.search_catalog_of(kept(rows))  # ranges are found on the work's ID alone
 
 
 @query("catalog_outcomes", "SELECT outcome, count(*) AS works FROM (SELECT outcome FROM sel UNION ALL SELECT split_part(broken, '/', 1) FROM checked WHERE broken IS NOT NULL) GROUP BY outcome")
@@ -130,10 +129,11 @@ def card_person_member(spark, sf):
 
 @query("check_works", f"""SELECT DISTINCT work_id, problem FROM (
   SELECT w.work_id, unnest(list_filter([CASE WHEN NOT regexp_full_match(w.work_id, '[0-9]{{6}}') THEN 'id' END, CASE WHEN NOT {_owned_card.replace('work_id', 'w.work_id')} THEN 'card' END, CASE WHEN NOT list_contains(ids, {_card}) THEN 'card-person' END], lambda x: x IS NOT NULL)) AS problem FROM works w JOIN pf USING (work_id)
-  UNION ALL SELECT work_id, 'ref' FROM refs WHERE note IS NOT NULL)""")
+  UNION ALL SELECT work_id, 'ref' FROM refs WHERE note IS NOT NULL UNION ALL SELECT work_id, 'repeated' FROM works WHERE work_id LIKE '%77')""")
 def check_works(spark, sf):
     rows = kept(_rows(spark, sf))
-    return c.check_works(c.group_works(rows), rows.select("work_id", "person_id").distinct(), c.body_refs(_valid(rows)))
+    works = c.group_works(rows)
+    return c.check_works(works.unionAll(works.where("work_id LIKE '%77'")), rows.select("work_id", "person_id").distinct(), c.body_refs(_valid(rows)))
 
 
 @query("select_bodies", "SELECT * FROM sel")
@@ -146,10 +146,17 @@ def build_search_catalog(spark, sf):
     return _search(_rows(spark, sf))
 
 
+@query("join_search_catalog", "SELECT * FROM search")
+def join_search_catalog(spark, sf):
+    """The same catalog from selected works and people that are tables of their own."""
+    rows = kept(_rows(spark, sf))
+    return c.build_search_catalog(c.select_bodies(_valid(rows)), c.dedupe_people(rows.repartition("work_id")))
+
+
 @query("search_catalog", """SELECT rank, work_id, title, people FROM (SELECT *, CASE WHEN title = 'Work 12' THEN 1 WHEN starts_with(title, 'Work 12') THEN 2 WHEN contains(title, 'Work 12') THEN 3 WHEN contains(subtitle, 'Work 12') THEN 4 WHEN contains(people, 'Work 12') THEN 5 WHEN contains(title_reading, 'Work 12') OR contains(readings, 'Work 12') THEN 6 END AS rank FROM search)
   WHERE rank IS NOT NULL AND orthography = '新字新仮名' ORDER BY rank, sort_reading, work_id LIMIT 50""")
 def search_catalog(spark, sf):
-    return c.search_catalog(_search(_rows(spark, sf)), "Work 12", orthography="新字新仮名", k=50)
+    return c.search_catalog(kept(_search(_rows(spark, sf))), "Work 12", orthography="新字新仮名", k=50)
 
 
 @query("catalog_shards", "SELECT work_id, title, ('0x' || substr(sha256(work_id), 1, 8))::BIGINT % 16 AS shard FROM search")

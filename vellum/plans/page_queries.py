@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import re
+import zipfile
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from vellum.operators import images as im
@@ -232,8 +235,24 @@ def image_inventory(spark, sf):
     return readers.image_inventory(pictures.select("url", F.unhex("h").alias("content")))
 
 
-@query("decode_bodies", "SELECT doc_id AS work_id, 'xhtml' AS path, CASE WHEN doc_id % 7 <> 2 THEN sha256(coalesce(text, '')) END AS sha256, CASE WHEN doc_id % 7 = 2 THEN 'decode-error' END AS error FROM documents")
+def _files(batches):
+    """Documents as files: pages in UTF-8, some with a stray byte, pages in Shift_JIS, and texts in zips, some with two."""
+    for b in batches:
+        ids, out = b.column("work_id").to_pylist(), []
+        for i, text in zip(ids, b.column("text").to_pylist(), strict=True):
+            raw = text.encode("cp932" if i % 7 in (3, 4) else "utf-8")
+            if i % 7 in (4, 5, 6):
+                held = io.BytesIO()
+                with zipfile.ZipFile(held, "w") as z:
+                    for name in ("a.txt", "b.txt" if i % 7 == 6 else "b.bin"):
+                        z.writestr(name, raw)
+                raw = held.getvalue()
+            out.append(raw + b"\xff" if i % 7 == 2 else raw)
+        yield pa.RecordBatch.from_arrays([b.column("work_id"), pa.array(["text" if i % 7 > 3 else "xhtml" for i in ids]), pa.array(["ShiftJIS" if i % 7 in (3, 4) else "UTF-8" for i in ids]), pa.array(out, pa.binary())], names=["work_id", "path", "encoding", "content"])
+
+
+@query("decode_bodies", "SELECT doc_id AS work_id, CASE WHEN doc_id % 7 > 3 THEN 'text' ELSE 'xhtml' END AS path, CASE WHEN doc_id % 7 NOT IN (2, 6) THEN sha256('底本' || regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F]', '', 'g')) END AS sha256, CASE WHEN doc_id % 7 IN (2, 6) THEN 'decode-error' END AS error FROM documents")
 def decode_bodies(spark, sf):
-    text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    files = read(spark, sf, "documents").select(F.col("doc_id").alias("work_id"), F.lit("xhtml").alias("path"), F.lit("UTF-8").alias("encoding"), F.when(F.col("doc_id") % 7 == 2, F.concat(text, F.unhex(F.lit("FF")))).otherwise(text).alias("content"))
+    text = F.concat(F.lit("底本"), F.regexp_replace(F.coalesce("text", F.lit("")), "[^\\x00-\\x7F]", ""))  # what both encodings can write
+    files = read(spark, sf, "documents").select(F.col("doc_id").alias("work_id"), text.alias("text")).mapInArrow(_files, "work_id bigint, path string, encoding string, content binary")
     return readers.decode_bodies(files).select("work_id", "path", F.sha2("text", 256).alias("sha256"), "error")

@@ -39,6 +39,19 @@ def check_header(spark: SparkSession, names: list[str], required: list[str] | No
     return missing.unionByName(repeated).unionByName(got.distinct().join(want, "column", "left_anti").select(F.lit("new-column").alias("problem"), "column"))
 
 
+def check_files(spark: SparkSession, path: str, required: list[str] | None = None) -> DataFrame:
+    """(file, problem, column): check_header of every CSV file under a path, from each file's first line, in Spark."""
+    want = F.array(*map(F.lit, required or LABELS))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"), "value")
+    heads = lines.where("at = 0").groupBy("file").agg(F.min_by("value", "n").alias("head"))
+    names = F.transform(F.split(F.regexp_replace("head", r"^\x{FEFF}", ""), ",(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)"), lambda c: F.replace(F.regexp_replace(c, '^"|"$', ""), F.lit('""'), F.lit('"')))
+    got = heads.select("file", names.alias("names"))
+    each = lambda problem, columns: F.transform(columns, lambda c: F.struct(F.lit(problem).alias("problem"), c.alias("column")))
+    repeated = F.filter(F.array_distinct("names"), lambda c: F.size(F.filter("names", lambda x: x == c)) > 1)
+    all_of = F.concat(each("missing", F.array_except(want, F.col("names"))), each("repeated", repeated), each("new-column", F.array_except("names", want)))
+    return got.select("file", F.inline(all_of))
+
+
 def read_catalog_csv(spark: SparkSession, path: str, labels: dict[str, str] = LABELS) -> DataFrame:
     """Rows of a catalog with row_no in file order and columns renamed; unknown columns are left out.
 

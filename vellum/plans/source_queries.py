@@ -7,11 +7,11 @@ import re
 from pyspark.sql import functions as F
 
 from vellum.operators import blocks as b
-from vellum.operators import runs
+from vellum.operators import images, runs
 from vellum.plans.block_queries import BASE as BLOCK_BASE
 from vellum.plans.block_queries import blocks_of
 from vellum.plans.page_queries import BASE as PAGE_BASE
-from vellum.plans.page_queries import _inventory, _refs
+from vellum.plans.page_queries import PARTS, _inventory, _refs
 from vellum.plans.run_queries import BASE as RUN_BASE
 from vellum.plans.run_queries import Tables
 from vellum.sources import readers
@@ -80,3 +80,21 @@ def write_assets(spark, sf):
     got = readers.read_assets(spark, path)
     n = F.size(F.from_json("work", b.WORK)["blocks"]).cast("long")
     return got.select("work_id", n.alias("n_blocks"), F.size("images").cast("long").alias("n_images"), F.nullif(F.array_join(F.transform("images", lambda i: i["url"]), " "), F.lit("")).alias("urls"))
+
+
+@query("pack_assets", f"""{PAGE_BASE}, {PARTS}, own AS (SELECT page_id AS work_id, CAST(length(html) * CASE WHEN page_id % 6 = 1 THEN 50000 ELSE 1 END AS BIGINT) AS own FROM pages),
+  w AS (SELECT o.work_id, any_value(own) AS own, coalesce(sum(size), 0) AS size, min(p.code) AS code, coalesce(max(part), 0) AS n FROM own o LEFT JOIN parts p ON o.work_id = p.work_id GROUP BY o.work_id),
+  s AS (SELECT *, own + size > 40000000 AS split FROM w WHERE own + size <= 40000000 OR (code IS NULL AND own <= 40000000)),
+  a AS (SELECT work_id, split, n AS parts, unnest(generate_series(0, CASE WHEN split THEN n ELSE 0 END)) AS n FROM s)
+  SELECT work_id, CAST(n AS INT) AS n, CAST((SELECT count(*) FROM parts p WHERE p.work_id = a.work_id AND (NOT split OR p.part = a.n)) AS INT) AS images, CAST(CASE WHEN split AND n = 0 THEN parts ELSE 0 END AS INT) AS parts,
+    CASE WHEN n = 0 THEN sha256(html) END AS work FROM a JOIN pages ON page_id = work_id""")
+def pack_assets(spark, sf):
+    """Files written as text, one line each, and read back; the documents are pages here."""
+    pages = read(spark, sf, "pages").select(F.col("page_id").alias("work_id"), F.col("html").alias("json"))
+    own = pages.select("work_id", (F.char_length("json") * F.when(F.col("work_id") % 6 == 1, 50_000).otherwise(1)).cast("long").alias("own"))
+    files = images.asset_files(own.join(images.split_parts(_refs(spark, sf), _inventory(spark, sf), 40_000_000), "work_id", "left"), 40_000_000)
+    pictures = _refs(spark, sf).join(_inventory(spark, sf).where("code IS NULL"), "url").select("work_id", "url", "mime", "width", "height", F.lit("QQ==").alias("data"))
+    path = fresh_folder(spark)
+    readers.pack_assets(pages, files, pictures).select("work_id", "n", "value").write.parquet(path)
+    got = spark.read.parquet(path).withColumn("r", F.from_json("value", f"format int, work string, images array<{readers.ENTRY}>, imageParts array<string>"))
+    return got.select("work_id", "n", F.size("r.images").alias("images"), F.coalesce(F.size("r.imageParts"), F.lit(0)).alias("parts"), F.sha2("r.work", 256).alias("work"))

@@ -160,6 +160,26 @@ def write_assets(works: DataFrame, images: DataFrame, path: str, buckets: int =
     rows.repartition("bucket").sortWithinPartitions("bucket", "work_id").select("bucket", "value").write.mode("overwrite").partitionBy("bucket").option("compression", "gzip").text(path)
 
 
+ENTRY = "struct<url:string,mime:string,width:int,height:int,data:string>"
+
+
+def pack_assets(works: DataFrame, files: DataFrame, images: DataFrame) -> DataFrame:
+    """(work_id, path, n, images, parts, bytes, sha256, value): the JSON text of each file of asset_files, with what is
+    written of it in a list of results. The document's file lists its parts; a part holds pictures only.
+
+    works: (work_id, json); files: (work_id, n, path, urls, code); works with a code are left out. Bytes of pictures are
+    joined here, by work and URL, and nowhere before."""
+    sound = files.where("code IS NULL")
+    held = sound.select("work_id", "n", F.explode("urls").alias("url")).join(images, ["work_id", "url"]).groupBy("work_id", "n").agg(F.array_sort(F.collect_list(F.struct("url", "mime", "width", "height", "data"))).alias("e"))
+    parts = sound.where("n > 0").groupBy("work_id").agg(F.array_sort(F.collect_list(F.struct("n", "path"))).alias("p"))
+    rows = sound.join(works, "work_id").join(held, ["work_id", "n"], "left").join(parts, "work_id", "left")
+    e = F.coalesce("e", F.array().cast(f"array<{ENTRY}>")).alias("images")
+    listed = F.when(F.col("n") == 0, F.coalesce(F.transform("p", lambda x: x["path"]), F.array().cast("array<string>"))).alias("imageParts")
+    text = F.to_json(F.struct(F.lit(1).alias("format"), F.when(F.col("n") == 0, F.col("json")).alias("work"), e, listed))
+    made = rows.select("work_id", "path", "n", F.size(e).alias("images"), F.when(F.col("n") == 0, F.size(listed)).otherwise(0).alias("parts"), text.alias("value"))
+    return made.select("work_id", "path", "n", "images", "parts", F.octet_length("value").cast("long").alias("bytes"), F.sha2("value", 256).alias("sha256"), "value")
+
+
 def read_assets(spark: SparkSession, path: str) -> DataFrame:
     schema = "format int, work_id string, work string, images array<struct<url:string,mime:string,width:int,height:int,data:string>>"
     return spark.read.schema(schema).json(path)

@@ -175,3 +175,88 @@ def test_image_urls(spark):
     urls = [f"{HOST}/gaiji/1-85/1-85-54.png", f"{HOST}/cards/000879/files/a.gif", f"{HOST}/gaiji/../x.png", f"{HOST}/cards/000879/files/a.png?x", "http://other/gaiji/a.png", None]
     got = spark.createDataFrame([(u,) for u in urls], "url string").select(images.allowed_url(F.col("url")).alias("ok")).collect()
     assert [r["ok"] for r in got] == [True, True, False, False, False, False]
+
+
+def lines_of(spark, *works):
+    return spark.createDataFrame([(i, n, t) for i, w in enumerate(works) for n, t in enumerate(w)], "work_id bigint, no int, line string")
+
+
+def test_characters_beyond_sixteen_bits(spark):
+    tokens = notation.tokenize_lines(lines_of(spark, ["𠮷abc［＃「abc」に傍点］𠮷［＃謎］"]))
+    notes = notation.notes_of(tokens)
+    assert [(r["text"], r["code"]) for r in notation.emphasis_spans(notes).collect()] == [("abc", None)]
+    assert [(r["col"], r["at"]) for r in tokens.where("kind = 'note'").orderBy("token_no").collect()] == [(5, 4), (18, 16)]
+    between = notation.notes_of(notation.tokenize_lines(lines_of(spark, ["𠮷［＃太字］𠮷a［＃太字終わり］b"])))
+    assert [r["text"] for r in notation.container_spans(between).collect()] == ["𠮷a"]
+
+
+def test_faults_stand_where_they_are(spark):
+    works = [["x［＃謎の注記］ tail 《よみ》"], ["𠮷 tail 《よみ》"], ["ok", "a［＃太字］b［＃傍点終わり］"], ["［＃ここから２字下げ］", "［＃３字下げ］x", "［＃ここで字下げ終わり］"], ["［＃２字下げ］［＃地付き］x"], ["［＃太字］a"]]
+    got = {r["work_id"]: (r["line"], r["column"], r["code"]) for r in runs.first_failure(notation.line_faults(lines_of(spark, *works))).collect()}
+    assert got == {0: (0, 1, "unknown-notation"), 1: (0, 8, "ruby-base"), 2: (1, 7, "unclosed-notation"), 3: (1, 0, "unsupported-construct"), 4: (0, 0, "unsupported-construct"), 5: (0, 0, "unclosed-notation")}
+
+
+HEADING_LINES = [
+    ("見出し［＃「見出し」は大見出し］", "large", "見出し", None), ("［＃中見出し］見出し［＃中見出し終わり］　", "medium", "見出し", None), ("［＃３字下げ］［＃小見出し］漢字《かんじ》［＃小見出し終わり］", "small", "漢字", None),
+    ("x［＃大見出し］見出し［＃大見出し終わり］", "large", "見出し", "unsupported-construct"), ("［＃大見出し］見出し［＃大見出し終わり］x", "large", "見出し", "unsupported-construct"), ("［＃大見出し］見出し", "large", "", "unclosed-notation"),
+    ("［＃大見出し］見出し［＃小見出し終わり］", "large", "", "unclosed-notation"), ("前の見出し［＃「見出し」は大見出し］", "large", "見出し", "unsupported-construct"), ("見出し［＃「見出し」は大見出し］後", "large", "見出し", "unsupported-construct"),
+]
+
+
+def test_headings_in_both_forms(spark):
+    lines = lines_of(spark, *([x[0]] for x in HEADING_LINES))
+    got = {r["work_id"]: (r["level"], r["text"], r["code"]) for r in notation.headings(notation.notes_of(notation.tokenize_lines(lines))).collect()}
+    assert got == {i: x[1:] for i, x in enumerate(HEADING_LINES)}
+    blocks_ = {r["work_id"]: (r["kind"], r["level"]) for r in notation.to_blocks(lines).where("work_id < 3").collect()}
+    assert blocks_ == {0: ("heading", "large"), 1: ("heading", "medium"), 2: ("heading", "small")}
+
+
+def test_captions(spark):
+    figure, pair = "［＃図（a.png、横1×縦1）入る］", "［＃キャプション］説明［＃キャプション終わり］"
+    got = notation.attach_captions(lines_of(spark, [figure, pair], ["text", pair], [figure, "［＃キャプション］説明"], [figure, pair + "x"], [figure, "［＃３字下げ］" + pair], [figure, "説明［＃「説明」はキャプション］"]))
+    assert {r["work_id"]: (r["figure_no"], r["caption"], r["code"]) for r in got.collect()} == {
+        0: (0, "説明", None), 1: (None, "説明", "unsupported-construct"), 2: (None, "", "unclosed-notation"), 3: (None, "説明", "unsupported-construct"), 4: (None, "", "unsupported-construct"), 5: (0, "説明", None),
+    }
+
+
+def test_markup_fails_closed(spark):
+    from vellum.operators import markup
+
+    page = "<html><body><article><p title=\"a > b\">x</p><a href='javascript:go()' onclick=go()>y</a><a HREF=\"java\tscript:x\">z</a><svg/onload=go()></svg><ruby class=\"r\"><RB>b</RB><rt> </rt></ruby></article><aside>?</aside><footer>f</footer></body></html>"
+    pages = spark.createDataFrame([(1, page), (2, "<article>a</article><footer>b</footer>")], "page_id bigint, html string")
+    nodes = markup.html_nodes(pages)
+    assert sorted(r["name"] for r in markup.active_attributes(nodes).collect()) == ["href", "href", "onclick", "onload"]
+    assert [(r["page_id"], r["code"]) for r in markup.section_faults(nodes).collect()] == [(1, "unknown-section")]
+    assert [(r["base"], r["code"]) for r in markup.html_ruby(pages).collect()] == [("b", "ruby-base")]
+    assert "a > b" in {r["value"] for r in markup.attributes(nodes).collect()}
+
+
+def test_urls_beside_the_host(spark):
+    urls = [f"{HOST}/gaiji/.png", f"{HOST}/cards/000001/files/b/a.gif", "https://libraryXexample/gaiji/a.png", f"{HOST}/gaiji/a%2e.png", f"{HOST}/gaiji/a.PNG", f"{HOST}/gaiji//a.png", f"{HOST}/gaiji/d/a.jpeg"]
+    got = spark.createDataFrame([(u,) for u in urls], "url string").select(images.allowed_url(F.col("url")).alias("ok")).collect()
+    assert [r["ok"] for r in got] == [False] * 6 + [True]
+    body = lambda url: catalog.owned_body(F.lit(url), F.lit(f"{HOST}/cards/000879/card1.html"), F.lit("000001"), "html")
+    row = spark.range(1).select(*(body(u).alias(str(i)) for i, u in enumerate([f"{HOST}/cards/000879/files/1_a.html", f"{HOST}/cards/000879/files/1_a b.html", "https://libraryXexample/cards/000879/files/1.html"]))).first()
+    assert list(row) == [True, False, False]
+
+
+def test_entry_size_is_that_of_the_json(spark):
+    import base64
+    import json
+
+    row = (f"{HOST}/gaiji/a.png", "image/png", 10, 20000, b"x" * 101)
+    entry = json.dumps([row[0], {"mime": row[1], "width": row[2], "height": row[3], "data": base64.b64encode(row[4]).decode()}], separators=(",", ":"))
+    got = spark.createDataFrame([(*row[:4], len(row[4]))], "url string, mime string, width int, height int, byte_length bigint").select(images.entry_size().alias("n")).first()["n"]
+    assert got == len(entry) + 1
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from vellum.sources import scratch
+
+    session = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None, set=lambda *_: None), sparkContext=SimpleNamespace(master=master))
+    assert scratch.fresh_folder(session("local[4]"))
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            scratch.fresh_folder(session(master))

@@ -16,7 +16,7 @@ from vellum.llm.components import components
 
 BITS = 64
 #: The fingerprint of a shingle set: as many symbols, each the least of the set's hashes under a permutation of 32 bits.
-BANDS, SYMBOLS = 10, 8
+BANDS, SYMBOLS = 14, 11
 TIMES, PLUS = (np.random.default_rng(42).integers(0, 1 << 32, (2, BANDS * SYMBOLS), np.uint32) | np.array([[1], [0]], np.uint32))
 PLACES = np.arange(1, BANDS * SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
@@ -154,56 +154,78 @@ def sketches(docs: DataFrame, words: int = 5) -> DataFrame:
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets are that similar: common shingles by all of both, exactly."""
+    """The pairs (a, b, ...) whose shingle sets are that similar: common shingles by all of both, exactly."""
     of = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"{c}_set"))
     common = F.size(F.array_intersect("a_set", "b_set"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").where(common + 1e-9 >= similarity * (F.size("a_set") + F.size("b_set") - common)).select("a", "b")
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(common + 1e-9 >= similarity * (F.size("a_set") + F.size("b_set") - common)).select(*pairs.columns)
 
 
 def _met(rows: DataFrame, similarity: float) -> DataFrame:
-    """(m, root, o, o_root) that nothing has connected yet, but for sets whose sizes alone are too far apart."""
-    alike = F.least("m.size", "o.size") + 1e-9 >= similarity * F.greatest("m.size", "o.size")
-    return rows.where((F.col("root") != F.col("o_root")) & alike).select("m", "root", "o", "o_root")
+    """(a, b, a_root, b_root) from (m, root, o, o_root) that nothing has connected yet.
+
+    Sets of which too few shingles can be common for that similarity, by their sizes or by what no other set holds, are
+    left out."""
+    most = F.least("m.shared", "o.shared")
+    alike = most + 1e-9 >= similarity * (F.col("m.size") + F.col("o.size") - most)
+    return rows.where((F.col("root") != F.col("o_root")) & alike).select(F.col("m.id").alias("a"), F.col("o.id").alias("b"), F.col("root").alias("a_root"), F.col("o_root").alias("b_root"))
+
+
+def _shared_sizes(apart: DataFrame, sets: DataFrame) -> DataFrame:
+    """apart, whose members know how many of their shingles another set here holds: no two can have more in common."""
+    here = sets.join(apart.select("m.id").distinct(), "id").select("id", F.explode("shingles").alias("shingle"))
+    alone = here.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.first("id").alias("id")).where("n = 1").groupBy("id").agg(F.count(F.lit(1)).alias("_alone"))
+    known = apart.join(alone.withColumnRenamed("id", "_id"), F.expr("m.id = _id"), "left")
+    return known.select("ball", F.struct("m.id", "m.size", (F.col("m.size") - F.coalesce("_alone", F.lit(0))).alias("shared")).alias("m"), "root")
 
 
 def _chosen_pairs(apart: DataFrame, similarity: float, k: int) -> DataFrame:
-    """(a, b): pairs of ids to compare in round k.
+    """(a, b, a_root, b_root): pairs of ids to compare in round k.
 
-    All that meet on a variant are met by one of them, and of what meets so each component (in the first round each
-    set) compares one pair: that which shares most variants. Later rounds compare one pair of each two components."""
+    All that meet on a variant are met by one of them. Of what it meets so, in the first round each set compares one
+    pair, with the same one as its neighbours where it can: the first by a common order. Later rounds compare one pair of
+    each two components, that which shares most variants."""
     group = Window.partitionBy("ball")
     centre = F.min(F.struct(F.xxhash64("m.id", F.lit(k)).alias("h"), "m", "root")).over(group)
     met = _met(apart.withColumn("c", centre).select("m", "root", F.col("c.m").alias("o"), F.col("c.root").alias("o_root")), similarity)
-    often = met.groupBy("m", "root", "o", "o_root").agg(F.count(F.lit(1)).alias("n"))
-    pair = F.max(F.struct("n", F.least("m.id", "o.id").alias("a"), F.greatest("m.id", "o.id").alias("b"))).alias("best")
-    per = ["root"] if k == 0 else [F.least("root", "o_root"), F.greatest("root", "o_root")]
-    return often.groupBy(*per).agg(pair).select("best.a", "best.b").distinct()
+    if k == 0:
+        first = F.min(F.struct(F.xxhash64("b", F.lit(k)).alias("h"), "b", "a_root", "b_root")).alias("p")
+        return met.groupBy("a").agg(first).select("a", "p.b", "p.a_root", "p.b_root")
+    often = met.groupBy(*met.columns).agg(F.count(F.lit(1)).alias("n"))
+    most = F.max(F.struct("n", *met.columns)).alias("p")
+    return often.groupBy(F.least("a_root", "b_root"), F.greatest("a_root", "b_root")).agg(most).select(*(f"p.{c}" for c in met.columns))
 
 
-def _roots(shared: DataFrame, sets: DataFrame, similarity: float, rounds: int = 5) -> DataFrame:
-    """Components, as components() gives them, of all similar pairs that share a variant (shared: ball, m, root).
+def _roots(shared: DataFrame, sets: DataFrame, similarity: float, rounds: int = 2) -> DataFrame:
+    """(id, root) of all that similar pairs connect that share a variant (shared: ball, m, root); other ids are their own.
 
     Only pairs that nothing has connected yet need comparing. While these are many, rounds compare few pairs of each
-    component (see _chosen_pairs); then each pair that is left is compared.
+    component (see _chosen_pairs), and components shrink to their roots; then each pair that is left is compared.
     """
-    near, apart, before = None, shared, None
+    apart, joined, group, last = shared, [], Window.partitionBy("ball"), False
     for k in range(rounds + 1):
-        new = _similar(_chosen_pairs(apart, similarity, k), sets, similarity)
-        near = written(near.unionByName(new) if near else new)
-        roots = components(near)
-        rooted = apart.drop("root").join(roots.select(F.col("a").alias("_id"), F.col("b").alias("_root")), F.expr("m.id = _id"), "left").select("ball", "m", F.coalesce("_root", "m.id").alias("root"))
-        group = Window.partitionBy("ball")
+        if last:
+            met = apart.join(apart.select("ball", F.col("m").alias("o"), F.col("root").alias("o_root")), "ball").where("m.id < o.id")
+            pairs = _met(met, similarity).dropDuplicates(["a", "b"])
+        else:
+            pairs = _chosen_pairs(apart, similarity, k)
+        links = _similar(pairs, sets, similarity)
+        joined.append(components(links.select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))))
+        if last:
+            break
+        rooted = apart.join(joined[-1].select(F.col("a").alias("root"), F.col("b").alias("_root")), "root", "left").select("ball", "m", F.coalesce("_root", "root").alias("root"))
         apart = written(rooted.withColumn("_l", F.min("root").over(group)).withColumn("_h", F.max("root").over(group)).where("_l <> _h").drop("_l", "_h"))
         counts = apart.groupBy("ball", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("ball").agg(F.sum("n").alias("n"), F.expr("sum(double(n) * n)").alias("s"))
-        members, left = counts.agg(F.sum("n"), F.expr("sum(double(n) * n - s) / 2")).first()
+        members, left = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.expr("sum(double(n) * n - s) / 2"), F.lit(0.0))).first()
         if not left:
-            return roots
-        if left <= 4 * members or k == rounds or (k > 1 and left > before / 2):
             break
-        before = left
-    met = apart.join(apart.select("ball", F.col("m").alias("o"), F.col("root").alias("o_root")), "ball").where("m.id < o.id")
-    pairs = _met(met, similarity).select(F.col("m.id").alias("a"), F.col("o.id").alias("b")).distinct()
-    return components(written(near.unionByName(_similar(pairs, sets, similarity))))
+        last = left <= 4 * members or k + 1 == rounds
+        apart = _shared_sizes(apart, sets)
+    roots = joined[0].select(F.col("a").alias("id"), F.col("b").alias("root"))
+    for more in joined[1:]:  # a root that was joined later passes its members on
+        step = more.select(F.col("a").alias("root"), F.col("b").alias("_root"))
+        passed = roots.join(step, "root", "left").select("id", F.coalesce("_root", "root").alias("root"))
+        roots = passed.unionAll(step.select(F.col("root").alias("id"), F.col("_root").alias("root")))
+    return roots
 
 
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -213,14 +235,15 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     differ in about 15 of 100 of them, far beyond any ball that can be listed. This fingerprint has BANDS bands of
     SYMBOLS symbols, minima of the hashed set, which differ in 20 of 100 then but are so rich that two that agree do
     so for a reason. In each band every text emits all variants with one symbol left open; texts that meet on a
-    variant differ in one symbol of that band at most. Of pairs with a similarity s, 1 - (1 - s^8 - 8 s^7 (1 - s))^10
-    meet: all but one in a thousand at 0.8. Pairs are deduplicated and verified by the exact similarity of the whole
-    sets (common shingles by all of both). Texts without a common shingle don't meet, so meetings don't grow with the
-    square of the texts.
+    variant differ in one symbol of that band at most. Of pairs with a similarity s, 1 - (1 - s^11 - 11 s^10 (1 - s))^14
+    meet: all but four in a thousand at 0.8, one in a hundred at 0.4. Pairs are deduplicated and verified by the exact
+    similarity of the whole sets (common shingles by all of both). Texts without a common shingle don't meet, so
+    meetings don't grow with the square of the texts.
 
     Of all that meet on variants a few pairs of each component are compared, round by round, and in the end all pairs
-    that these comparisons have not connected. So a family of copies costs a few pairs a member; only texts that meet
-    without being similar cost the square of their number.
+    that these comparisons have not connected, but for pairs that can't be similar by their sizes or by the shingles that
+    no other set holds. So a family of copies costs a few pairs a member; only texts that meet without being similar, and
+    consist of shared passages, cost the square of their number.
 
     Equal sets, as of exact copies, are one id. Null and empty texts are alike; rows without doc_id are treated as in
     near_duplicates.
@@ -229,13 +252,14 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     firsts = marks.groupBy("id").agg(F.min("doc_id").alias("first"))
     at = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "mark")
     different = written(marks.groupBy("id").agg(F.first("size").alias("size"), F.first("balls").alias("balls"), F.min(at).alias("at")))
-    met = _spread(different, "id").select(F.struct("id", "size").alias("m"), F.explode("balls").alias("ball"))
+    met = _spread(different, "id").select("id", F.explode("balls").alias("ball"))
     group = Window.partitionBy("ball")
-    shared = written(met.withColumn("low", F.min("m.id").over(group)).withColumn("high", F.max("m.id").over(group)).where("low <> high").select("ball", "m", F.col("m.id").alias("root")))
+    met = met.withColumn("low", F.min("id").over(group)).withColumn("high", F.max("id").over(group)).where("low <> high").select("id", "ball")
+    shared = written(met.join(different.select("id", "size"), "id").select("ball", F.struct("id", "size", F.col("size").alias("shared")).alias("m"), F.col("id").alias("root")))
     wanted = shared.select("m.id").distinct().join(different, "id").select("id", F.col("at.doc_id").alias("_doc"), F.col("at.mark").alias("_mark"))
     found = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_mark"))).select("id", "text")
     sets = written(appended(found, "shingles array<bigint>", lambda: lambda b: [[shingle_set(t, words).view(np.int64) for t in b.column("text").to_pylist()]]).select("id", "shingles").dropDuplicates(["id"]))
-    roots = _roots(shared, sets, similarity).select(F.col("a").alias("id"), F.col("b").alias("root"))
+    roots = _roots(shared, sets, similarity)
     groups = _named(firsts, roots, "id")
     return marks.select("doc_id", "id").join(groups, "id").select("doc_id", "component_id")
 

@@ -350,9 +350,10 @@ def has_visible(lines: DataFrame) -> DataFrame:
     return lines.select("work_id", "no", (~is_blank(visible_text(F.col("line")))).alias("visible"))
 
 
-def line_faults(lines: DataFrame) -> DataFrame:
-    """(work_id, line, column, code): all faults of notation, for first_failure."""
-    tokens = tokenize_lines(lines)
+def line_faults(lines: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
+    """(work_id, line, column, code): all faults of notation, for first_failure. tokens: the lines' tokens, which are read
+    more than once, if they are a table already."""
+    tokens = tokenize_lines(lines) if tokens is None else tokens
     notes = notes_of(tokens)
     place = lambda df, col: df.select("work_id", F.col("no").alias("line"), col.cast("long").alias("column"), "code")
     unclosed = tokens.where("kind = 'unclosed'").withColumn("code", F.lit("unclosed-notation"))

@@ -10,6 +10,7 @@ from vellum.operators import notation as n
 from vellum.operators import runs
 from vellum.plans.block_queries import LINES, UNSEEN, lines_of
 from vellum.sources.adapters import MARKED, WHOLE, oracle, read, view
+from vellum.sources.scratch import kept
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -210,4 +211,5 @@ def to_blocks(spark, sf):
 @query("first_failure", """SELECT work_id, f.line, f."column", f.code FROM (SELECT work_id, min({'line': line, 'column': "column", 'code': code}) AS f FROM (SELECT * FROM unk UNION ALL SELECT work_id, no, col, 'unclosed-notation' FROM tk WHERE kind = 'unclosed'
   UNION ALL SELECT g.work_id, g.no, t.col, g.code FROM gj g JOIN tk t ON g.work_id = t.work_id AND g.no = t.no AND g.token_no = t.token_no WHERE g.code IS NOT NULL UNION ALL SELECT work_id, no, col, code FROM ruby WHERE code IS NOT NULL UNION ALL SELECT * FROM sp UNION ALL SELECT work_id, no, 0, code FROM ll WHERE code IS NOT NULL) GROUP BY work_id)""")
 def first_failure(spark, sf):
-    return runs.first_failure(n.line_faults(_marked(spark, sf)))
+    lines = kept(_marked(spark, sf))
+    return runs.first_failure(n.line_faults(lines, kept(n.tokenize_lines(lines))))

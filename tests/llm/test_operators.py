@@ -228,6 +228,40 @@ def test_classifier(spark, module, label, make):
     assert len({r["score"] for r in module.score_documents(d, known.limit(0)).collect()}) == 1  # no labels: one score for all
 
 
+def brute_marginals(scores, change):
+    """P of label 1 at each position, over all label sequences."""
+    n = len(scores)
+    ways = np.indices([2] * n).reshape(n, -1)
+    w = np.exp(scores @ ways + sum(change[ways[i], ways[i + 1]] for i in range(n - 1)))
+    return (ways * w).sum(1) / w.sum()
+
+
+def test_scores_are_what_marginals_say(spark):
+    """Scores of whole documents against marginals over all label sequences, aggregated line by line and word by word."""
+    rng = random.Random(41)
+    texts = ["\n".join(rng.choice(["Clean words make a line here.", "BUY!! NOW!! | |", "And one more follows it.", "", "é 😀"]) for _ in range(rng.randint(1, 9))) for _ in range(30)]
+    grader = quality.fit([CLASSIFIERS[0][2](i) for i in range(60)])
+    got = {r["text"]: r for r in quality.grade_documents(spark.createDataFrame([(t,) for t in texts], "text string"), grader).collect()}
+    for t in texts:
+        rows, _, _ = quality.line_features([t])
+        p = brute_marginals(((rows - grader.mean) / grader.deviation) @ grader.weights + grader.bias, grader.change)
+        sizes = np.array([len(x.encode()) + 1 for x in t.split("\n")])
+        share = (p * sizes).sum() / sizes.sum()
+        logit = np.log((share + 1e-4) / (1 - share + 1e-4))
+        assert abs(got[t]["quality_score"] - 1 / (1 + np.exp(-(grader.scale[0] * logit + grader.scale[1])))) < 1e-6 and np.allclose(got[t]["line_good"], p, atol=1e-6)
+    tagger = toxicity.fit([CLASSIFIERS[1][2](i) for i in range(300)])
+    texts = ["\n".join(" ".join(rng.choice(["plain", "zorgisha", "You", "one,", "nice"]) for _ in range(rng.randint(0, 8))) for _ in range(rng.randint(1, 4))) for _ in range(30)]
+    got = {r["text"]: r for r in toxicity.tag_documents(spark.createDataFrame([(t,) for t in texts], "text string"), tagger).collect()}
+    for t in texts:
+        tops = [0.0]
+        for line in t.split("\n"):
+            if words := re.findall("[a-z0-9]+", line.lower()):
+                scores = np.array([sum(tagger.weights.get(f, 0.0) for f in toxicity.features_of(w.encode())) + tagger.bias for w in words])
+                tops += brute_marginals(scores, tagger.change).tolist()
+        top = min(max(max(tops), 1e-6), 1 - 1e-6)
+        assert abs(got[t]["toxic_score"] - 1 / (1 + np.exp(-(tagger.scale[0] * np.log(top / (1 - top)) + tagger.scale[1])))) < 1e-6
+
+
 def test_toxic_spans(spark):
     texts, labels = zip(*(CLASSIFIERS[1][2](i) for i in range(300)), strict=True)
     tagger = toxicity.fit(list(zip(texts, labels, strict=True)))

@@ -79,7 +79,7 @@ def _class(c: str) -> int:
     return 3 if c.isdigit() else 2 if c.isupper() else 1 if c.isalpha() else 4 if c.isprintable() else 0
 
 
-TABLE = np.array([_class(chr(i)) for i in range(1 << 16)] + [4], np.int64)  # last: all beyond
+TABLE = np.array([_class(chr(i)) for i in range(1 << 16)] + [4], np.uint8)  # last: all beyond
 
 
 def encoded(text: str) -> np.ndarray:

@@ -530,6 +530,10 @@ def test_line_dedup_odd_rows(spark):
     for r in got:
         assert r["kept_text"].split("\n") == want[r["doc_id"]] and r["n_lines"] - r["n_dropped"] == len(want[r["doc_id"]]) or r["kept_text"] == ""
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
+    rows = lines_of(random.Random(47), 80)
+    for batches, shards in ((1, None), (2, 3), (5, 1)):  # whatever the filters are asked, the rows are the same
+        some = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), 10, shards, batches).collect()
+        assert {r["doc_id"]: r["kept_text"].split("\n") for r in some} == plain_lines(rows)
 
 
 def test_cuckoo_filter():

@@ -125,6 +125,12 @@ def _long(key: bytes, least: int) -> bool:
     return len(key) >= least and (key.isascii() or len(key) >= 4 * least or len(key.decode("utf-8", "surrogatepass")) >= least)
 
 
+def _digest(key: str) -> tuple[int, int]:
+    """The two halves of a key's digest, as the index holds them."""
+    d = xxh3_128_digest(key.encode("utf-8", "surrogatepass"))
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
+
 def _key_batch(texts: list[str | None], least: int) -> list:
     """The columns of KEYS: a text's distinct keys by their digests, and how many lines it has."""
     ends, digests, lines = [0], [], []

@@ -132,25 +132,31 @@ def symbols(shingles: np.ndarray) -> np.ndarray:
 def balls(shingles: np.ndarray) -> list[int]:
     """A signed 64-bit hash of each variant of each band of the fingerprint: the band with any one symbol left open.
 
-    Two bands share a variant if, and only if, they differ in one symbol at most; then one of their variants does."""
+    Two bands share a variant if, and only if, they differ in one symbol at most; if they differ in none they share all."""
+    return _balls(shingles)[0]
+
+
+def _balls(shingles: np.ndarray) -> tuple[list[int], list[int]]:
+    """(balls, a hash of each whole band)."""
     if not len(shingles):
-        return []
+        return [], []
     each = _mixed(symbols(shingles).astype(np.uint64) + PLACES.reshape(BANDS, SYMBOLS))
-    return _mixed((each.sum(1, dtype=np.uint64)[:, None] - each).ravel() + PLACES).view(np.int64).tolist()
+    whole = each.sum(1, dtype=np.uint64)
+    return _mixed((whole[:, None] - each).ravel() + PLACES).view(np.int64).tolist(), _mixed(whole).view(np.int64).tolist()
 
 
 def sketches(docs: DataFrame, words: int = 5) -> DataFrame:
-    """docs with id (a hash of the shingle set), size (its shingles) and balls."""
+    """docs with id (a hash of the shingle set), size (its shingles), balls and bands (hashes of whole bands)."""
 
     def make():
         def apply(batch):
             sets = [shingle_set(t, words) for t in batch.column("text").to_pylist()]
             ids = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-            return [ids.tolist(), [len(s) for s in sets], [balls(s) for s in sets]]
+            return [ids.tolist(), [len(s) for s in sets], *map(list, zip(*map(_balls, sets), strict=True))]
 
         return apply
 
-    return appended(docs, "id bigint, size bigint, balls array<bigint>", make)
+    return appended(docs, "id bigint, size bigint, balls array<bigint>, bands array<bigint>", make)
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -170,12 +176,17 @@ def _met(rows: DataFrame, similarity: float) -> DataFrame:
     return rows.where((F.col("root") != F.col("o_root")) & alike).select(F.col("m.id").alias("a"), F.col("o.id").alias("b"), F.col("root").alias("a_root"), F.col("o_root").alias("b_root"))
 
 
-def _shared_sizes(apart: DataFrame, sets: DataFrame) -> DataFrame:
-    """apart, whose members know how many of their shingles another set here holds: no two can have more in common."""
-    here = sets.join(apart.select("m.id").distinct(), "id").select("id", F.explode("shingles").alias("shingle"))
+def _exploded(held: DataFrame) -> DataFrame:
+    """(ball, whole, m, root): held's members by the variants that they share."""
+    return held.select("m", "root", F.explode("balls").alias("x")).select("x.ball", "x.whole", "m", "root")
+
+
+def _shared_sizes(held: DataFrame, sets: DataFrame) -> DataFrame:
+    """held, whose members know how many of their shingles another set here holds: no two can have more in common."""
+    here = sets.join(held.select("m.id"), "id").select("id", F.explode("shingles").alias("shingle"))
     alone = here.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.first("id").alias("id")).where("n = 1").groupBy("id").agg(F.count(F.lit(1)).alias("_alone"))
-    known = apart.join(alone.withColumnRenamed("id", "_id"), F.expr("m.id = _id"), "left")
-    return known.select("ball", F.struct("m.id", "m.size", (F.col("m.size") - F.coalesce("_alone", F.lit(0))).alias("shared")).alias("m"), "root")
+    known = held.join(alone.withColumnRenamed("id", "_id"), F.expr("m.id = _id"), "left")
+    return known.select(F.struct("m.id", "m.size", (F.col("m.size") - F.coalesce("_alone", F.lit(0))).alias("shared")).alias("m"), "root", "balls")
 
 
 def _chosen_pairs(apart: DataFrame, similarity: float, k: int) -> DataFrame:
@@ -195,16 +206,19 @@ def _chosen_pairs(apart: DataFrame, similarity: float, k: int) -> DataFrame:
     return often.groupBy(F.least("a_root", "b_root"), F.greatest("a_root", "b_root")).agg(most).select(*(f"p.{c}" for c in met.columns))
 
 
-def _roots(shared: DataFrame, sets: DataFrame, similarity: float, rounds: int = 2) -> DataFrame:
-    """(id, root) of all that similar pairs connect that share a variant (shared: ball, m, root); other ids are their own.
+def _roots(held: DataFrame, sets: DataFrame, similarity: float, rounds: int = 2) -> DataFrame:
+    """(id, root) of all that similar pairs connect that share a variant (held: m, root, balls); other ids are their own.
 
     Only pairs that nothing has connected yet need comparing. While these are many, rounds compare few pairs of each
     component (see _chosen_pairs), and components shrink to their roots; then each pair that is left is compared.
+    Members are one row each, with the variants they share; roots are joined to members, not to variants.
     """
-    apart, joined, group, last = shared, [], Window.partitionBy("ball"), False
+    joined, group, last = [], Window.partitionBy("ball"), False
     for k in range(rounds + 1):
+        apart = _exploded(held)
         if last:
-            met = apart.join(apart.select("ball", F.col("m").alias("o"), F.col("root").alias("o_root")), "ball").where("m.id < o.id")
+            other = apart.select("ball", F.col("whole").alias("o_whole"), F.col("m").alias("o"), F.col("root").alias("o_root"))
+            met = apart.join(other, "ball").where("m.id < o.id AND (whole = 0 OR whole <> o_whole)")
             pairs = _met(met, similarity).dropDuplicates(["a", "b"])
         else:
             pairs = _chosen_pairs(apart, similarity, k)
@@ -212,14 +226,14 @@ def _roots(shared: DataFrame, sets: DataFrame, similarity: float, rounds: int =
         joined.append(components(links.select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))))
         if last:
             break
-        rooted = apart.join(joined[-1].select(F.col("a").alias("root"), F.col("b").alias("_root")), "root", "left").select("ball", "m", F.coalesce("_root", "root").alias("root"))
-        apart = written(rooted.withColumn("_l", F.min("root").over(group)).withColumn("_h", F.max("root").over(group)).where("_l <> _h").drop("_l", "_h"))
-        counts = apart.groupBy("ball", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("ball").agg(F.sum("n").alias("n"), F.expr("sum(double(n) * n)").alias("s"))
+        held = held.join(joined[-1].select(F.col("a").alias("root"), F.col("b").alias("_root")), "root", "left").select("m", F.coalesce("_root", "root").alias("root"), "balls")
+        still = _exploded(held).withColumn("_l", F.min("root").over(group)).withColumn("_h", F.max("root").over(group)).where("_l <> _h")
+        held = written(_shared_sizes(written(still.groupBy("m", "root").agg(F.collect_list(F.struct("ball", "whole")).alias("balls"))), sets))
+        counts = _exploded(held).groupBy("ball", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("ball").agg(F.sum("n").alias("n"), F.expr("sum(double(n) * n)").alias("s"))
         members, left = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.expr("sum(double(n) * n - s) / 2"), F.lit(0.0))).first()
         if not left:
             break
         last = left <= 4 * members or k + 1 == rounds
-        apart = _shared_sizes(apart, sets)
     roots = joined[0].select(F.col("a").alias("id"), F.col("b").alias("root"))
     for more in joined[1:]:  # a root that was joined later passes its members on
         step = more.select(F.col("a").alias("root"), F.col("b").alias("_root"))
@@ -248,15 +262,19 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     Equal sets, as of exact copies, are one id. Null and empty texts are alike; rows without doc_id are treated as in
     near_duplicates.
     """
-    marks = written(sketches(docs.select("doc_id", "text"), words).select("doc_id", F.xxhash64("text").alias("mark"), "id", "size", "balls"))
+    marks = written(sketches(docs.select("doc_id", "text"), words).select("doc_id", F.xxhash64("text").alias("mark"), "id", "size", "balls", "bands"))
     firsts = marks.groupBy("id").agg(F.min("doc_id").alias("first"))
     at = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "mark")
-    different = written(marks.groupBy("id").agg(F.first("size").alias("size"), F.first("balls").alias("balls"), F.min(at).alias("at")))
-    met = _spread(different, "id").select("id", F.explode("balls").alias("ball"))
+    different = written(marks.groupBy("id").agg(F.first("size").alias("size"), F.first("balls").alias("balls"), F.first("bands").alias("bands"), F.min(at).alias("at")))
+    met = _spread(different.select("id", "balls"), "id").select("id", F.explode("balls").alias("ball"))
     group = Window.partitionBy("ball")
-    met = met.withColumn("low", F.min("id").over(group)).withColumn("high", F.max("id").over(group)).where("low <> high").select("id", "ball")
-    shared = written(met.join(different.select("id", "size"), "id").select("ball", F.struct("id", "size", F.col("size").alias("shared")).alias("m"), F.col("id").alias("root")))
-    wanted = shared.select("m.id").distinct().join(different, "id").select("id", F.col("at.doc_id").alias("_doc"), F.col("at.mark").alias("_mark"))
+    met = met.withColumn("low", F.min("id").over(group)).withColumn("high", F.max("id").over(group)).where("low <> high")
+    mine = met.groupBy("id").agg(F.collect_list("ball").alias("mine"))
+    # sets that share a whole band share all its variants, and need to meet on the first only, which a zero stands for
+    whole = F.transform("balls", lambda b, i: F.struct(b.alias("ball"), F.when(i % SYMBOLS == 0, 0).otherwise(F.get("bands", F.floor(i / SYMBOLS).cast("int"))).alias("whole")))
+    held = F.filter(whole, lambda x: F.array_contains("mine", x["ball"])).alias("balls")
+    shared = written(mine.join(different, "id").select(F.struct("id", "size", F.col("size").alias("shared")).alias("m"), F.col("id").alias("root"), held))
+    wanted = shared.select("m.id").join(different, "id").select("id", F.col("at.doc_id").alias("_doc"), F.col("at.mark").alias("_mark"))
     found = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_mark"))).select("id", "text")
     sets = written(appended(found, "shingles array<bigint>", lambda: lambda b: [[shingle_set(t, words).view(np.int64) for t in b.column("text").to_pylist()]]).select("id", "shingles").dropDuplicates(["id"]))
     roots = _roots(shared, sets, similarity)

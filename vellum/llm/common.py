@@ -75,8 +75,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable, rows
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & usable).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    # text lengths are bounded after the join, so more ids are taken than rows are needed
-    picked = [chosen(known.where(F.col("label") == k), rows, counts[k]) for k in (0, 1) if k in counts]
+    # text lengths are bounded after the join, so a quarter more ids are taken than rows are needed
+    half = max(rows // 2, 1)
+    picked = [chosen(known.where(F.col("label") == k), half + half // 4 + 8, counts[k]) for k in (0, 1) if k in counts]
     if not picked:
         return []
     ids = picked[0].unionAll(picked[1]) if len(picked) > 1 else picked[0]
@@ -84,7 +85,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable, rows
     got: dict[int, list[str]] = {0: [], 1: []}
     for r in found.groupBy("doc_id", "label").agg(F.min("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():
         got[r["label"]].append(r["text"])
-    half = max(rows // 2, 1)
     return [(t, k) for k in (0, 1) for t in got[k][:half]]
 
 

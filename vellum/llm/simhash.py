@@ -7,7 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -166,12 +166,21 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b").where(common + 1e-9 >= similarity * (F.size("a_set") + F.size("b_set") - common)).select(*pairs.columns)
 
 
+WORDS = 4
+
+
+def _member(size: Column, shared: Column, words: list[Column]) -> Column:
+    """A set in comparisons: its shingles, how many of them another can have, and a bitmap of those by their hashes."""
+    return F.struct("id", size.alias("size"), shared.alias("shared"), *(w.alias(f"w{i}") for i, w in enumerate(words)))
+
+
 def _met(rows: DataFrame, similarity: float) -> DataFrame:
     """(a, b, a_root, b_root) from (m, root, o, o_root) that nothing has connected yet.
 
-    Sets of which too few shingles can be common for that similarity, by their sizes or by what no other set holds, are
-    left out."""
-    most = F.least("m.shared", "o.shared")
+    Sets of which too few shingles can be common for that similarity are left out: no more are than either has to share,
+    less those whose bit the other's bitmap lacks."""
+    lacks = lambda x, y: sum(F.bit_count(F.col(f"{x}.w{i}").bitwiseAND(F.bitwise_not(F.col(f"{y}.w{i}")))) for i in range(WORDS))
+    most = F.least(F.col("m.shared") - lacks("m", "o"), F.col("o.shared") - lacks("o", "m"))
     alike = most + 1e-9 >= similarity * (F.col("m.size") + F.col("o.size") - most)
     return rows.where((F.col("root") != F.col("o_root")) & alike).select(F.col("m.id").alias("a"), F.col("o.id").alias("b"), F.col("root").alias("a_root"), F.col("o_root").alias("b_root"))
 
@@ -182,11 +191,16 @@ def _exploded(held: DataFrame) -> DataFrame:
 
 
 def _shared_sizes(held: DataFrame, sets: DataFrame) -> DataFrame:
-    """held, whose members know how many of their shingles another set here holds: no two can have more in common."""
-    here = sets.join(held.select("m.id"), "id").select("id", F.explode("shingles").alias("shingle"))
-    alone = here.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.first("id").alias("id")).where("n = 1").groupBy("id").agg(F.count(F.lit(1)).alias("_alone"))
-    known = held.join(alone.withColumnRenamed("id", "_id"), F.expr("m.id = _id"), "left")
-    return known.select(F.struct("m.id", "m.size", (F.col("m.size") - F.coalesce("_alone", F.lit(0))).alias("shared")).alias("m"), "root", "balls")
+    """held, whose members know how many of their shingles a set of another component holds, with a bitmap of these: no
+    two that are still to be compared can have others in common."""
+    here = sets.join(held.select("m.id", "root"), "id").select("id", "root", F.explode("shingles").alias("shingle"))
+    own = here.groupBy("shingle").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low = _high").select("shingle")
+    bit = F.expr("shiftleft(1L, CAST(pmod(shingle, 64) AS INT))")
+    word = F.pmod(F.shiftright("shingle", 6), F.lit(WORDS))
+    known = here.join(own, "shingle", "left_anti").groupBy(F.col("id").alias("_id")).agg(F.count(F.lit(1)).alias("_n"), *(F.coalesce(F.bit_or(F.when(word == i, bit)), F.lit(0).cast("long")).alias(f"_w{i}") for i in range(WORDS)))
+    none = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    joined = held.select("m.id", "m.size", "root", "balls").join(known, F.expr("id = _id"), "left")
+    return joined.select(_member(F.col("size"), none("_n"), [none(f"_w{i}") for i in range(WORDS)]).alias("m"), "root", "balls")
 
 
 def _chosen_pairs(apart: DataFrame, similarity: float, k: int) -> DataFrame:
@@ -273,7 +287,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     # sets that share a whole band share all its variants, and need to meet on the first only, which a zero stands for
     whole = F.transform("balls", lambda b, i: F.struct(b.alias("ball"), F.when(i % SYMBOLS == 0, 0).otherwise(F.get("bands", F.floor(i / SYMBOLS).cast("int"))).alias("whole")))
     held = F.filter(whole, lambda x: F.array_contains("mine", x["ball"])).alias("balls")
-    shared = written(mine.join(different, "id").select(F.struct("id", "size", F.col("size").alias("shared")).alias("m"), F.col("id").alias("root"), held))
+    shared = written(mine.join(different, "id").select(_member(F.col("size"), F.col("size"), [F.lit(-1).cast("long")] * WORDS).alias("m"), F.col("id").alias("root"), held))
     wanted = shared.select("m.id").join(different, "id").select("id", F.col("at.doc_id").alias("_doc"), F.col("at.mark").alias("_mark"))
     found = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_mark"))).select("id", "text")
     sets = written(appended(found, "shingles array<bigint>", lambda: lambda b: [[shingle_set(t, words).view(np.int64) for t in b.column("text").to_pylist()]]).select("id", "shingles").dropDuplicates(["id"]))

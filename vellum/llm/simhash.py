@@ -242,12 +242,13 @@ def _roots(held: DataFrame, sets: DataFrame, similarity: float, rounds: int = 2)
             break
         held = held.join(joined[-1].select(F.col("a").alias("root"), F.col("b").alias("_root")), "root", "left").select("m", F.coalesce("_root", "root").alias("root"), "balls")
         still = _exploded(held).withColumn("_l", F.min("root").over(group)).withColumn("_h", F.max("root").over(group)).where("_l <> _h")
-        held = written(_shared_sizes(written(still.groupBy("m", "root").agg(F.collect_list(F.struct("ball", "whole")).alias("balls"))), sets))
+        held = written(still.groupBy("m", "root").agg(F.collect_list(F.struct("ball", "whole")).alias("balls")))
         counts = _exploded(held).groupBy("ball", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("ball").agg(F.sum("n").alias("n"), F.expr("sum(double(n) * n)").alias("s"))
         members, left = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.expr("sum(double(n) * n - s) / 2"), F.lit(0.0))).first()
         if not left:
             break
         last = left <= 4 * members or k + 1 == rounds
+        held = written(_shared_sizes(held, sets)) if last else held
     roots = joined[0].select(F.col("a").alias("id"), F.col("b").alias("root"))
     for more in joined[1:]:  # a root that was joined later passes its members on
         step = more.select(F.col("a").alias("root"), F.col("b").alias("_root"))

@@ -45,6 +45,7 @@ class Encoder:
         table = byte_of()
         ranks = {bytes(table[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in self.special}
         self.bpe = tiktoken.Encoding(name="own", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
+        self.whole = tiktoken.Encoding(name="whole", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
         self.parts = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         size = max([*ranks.values(), *self.special.values()]) + 1
         self.ends, self.starts = np.zeros(size, bool), np.zeros(size, bool)
@@ -57,7 +58,7 @@ class Encoder:
         out, at = [], 0
         for m in WIDE.finditer(text):
             end = m.end() if m.end() == len(text) else m.end() - 1
-            out += self.bpe.encode_ordinary(text[at : m.start()]) + self.bpe._encode_single_piece(text[m.start() : end])
+            out += self.bpe.encode_ordinary(text[at : m.start()]) + self.whole.encode_ordinary(text[m.start() : end])
             at = end
         return out + self.bpe.encode_ordinary(text[at:]) if out else self.bpe.encode_ordinary(text)
 
@@ -136,7 +137,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = 1024, end_
 
     Each partition of docs is one stream in its own order, each document ended by ``end_id``. Cuts are chosen over
     blocks of ``block`` tokens, wherever documents end; the last four windows of a block are cut again with the next,
-    so that no cut depends on where a block ends. Memory is bounded however long texts are, and nothing is shuffled. sequence_id holds the
+    so a block's end costs no padding. Cuts may differ from those of the whole stream cut at once. Memory is bounded however long texts are, and nothing is shuffled. sequence_id holds the
     partition's number in its upper bits; a task that runs again gives the same rows. A null text is empty; null
     doc_ids and repeated rows are documents like others; an empty table gives no pieces; other columns are ignored.
     """

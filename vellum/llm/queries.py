@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import ann, chat, decontaminate, line_dedup, packing, pii, quality, sharding, simhash, toxicity
+from vellum.llm import ann, chat, collocations, decontaminate, line_dedup, packing, pattern_packing, pii, quality, sharding, simhash, toxicity, variants
 from vellum.llm.common import table
 
 PROBE = "</s>[INST] ok [/INST]"
@@ -58,6 +58,18 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"), 10).drop("clean_text"))
 
 
+def op11_pattern_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pattern_packing.pack_by_patterns(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 ORACLE: dict[str, str] = {}
 
 ORACLE["op1_chat_format"] = r"""
@@ -115,6 +127,30 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(p.n_hit, 0)::BIGINT AS n_
 FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
+ORACLE["op13_collocations"] = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (
+  SELECT lang, m, array_to_string(list_slice(w, i, i + m - 1), ' ') AS phrase
+  FROM (SELECT lang, w, m, unnest(generate_series(1, len(w) - m + 1)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE len(w) >= m)),
+f AS (SELECT lang, m, phrase, count(*)::BIGINT AS a FROM g GROUP BY lang, m, phrase HAVING count(*) >= 30),
+t AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+c AS (
+  SELECT lang, m, phrase, a, unnest(generate_series(1, m - 1)) AS k, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
+s AS (
+  SELECT c.lang, c.m, c.phrase, c.a, k, x.a AS l, y.a AS r, (2000000::HUGEINT * c.a // (x.a::HUGEINT + y.a))::BIGINT AS score
+  FROM c JOIN f x ON x.lang = c.lang AND x.m = k AND x.phrase = array_to_string(list_slice(w, 1, k), ' ')
+  JOIN f y ON y.lang = c.lang AND y.m = c.m - k AND y.phrase = array_to_string(list_slice(w, k + 1, c.m), ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase, m ORDER BY score, k) = 1),
+h AS (
+  SELECT lang, array_to_string(list_slice(w, i, i + j - 1), ' ') AS phrase, j AS m, max(a) AS longer
+  FROM (SELECT lang, string_split(phrase, ' ') AS w, m, a, j, unnest(generate_series(1, m - j + 1)) AS i FROM f, (SELECT unnest([2, 3]) AS j) WHERE m > j) GROUP BY ALL),
+k AS (SELECT b.* FROM b LEFT JOIN h USING (lang, m, phrase) WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * b.a)
+SELECT lang, rank, phrase, a, l, r, n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM k) JOIN t USING (lang) WHERE rank <= 2000
+"""
+
 
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}

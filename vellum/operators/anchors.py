@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vellum.functions.text import utf16_length, utf16_slice
+from vellum.sources.scratch import kept
 
 CONTEXT, LEAST = 24, 6
+#: Characters of the runs by which a context is looked up.
+LONG_RUN, SHORT_RUN = 8, 3
 
 
 def make_positions(blocks: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -41,15 +44,45 @@ def restore_exact(saved: DataFrame, blocks: DataFrame) -> DataFrame:
     return near.select("position_id", F.when(F.col("n") == 1, "exact").otherwise("context").alias("how"), F.col("t.twin").alias("block_id"), "offset")
 
 
+def _grams(text: Column, q: int) -> Column:
+    """Hashes of the different runs of ``q`` characters of a text, none for a shorter text."""
+    of = lambda chars: F.when(F.size(chars) >= q, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(chars) - q + 1), lambda i: F.xxhash64(F.slice(chars, i, q)))))
+    # a lambda's variable holds the characters, so that they are split once a text
+    return F.coalesce(F.transform(F.array(F.split(text, "")), of)[0], F.array().cast("array<bigint>"))
+
+
+def _places(needles: DataFrame, texts: DataFrame, q: int) -> DataFrame:
+    """(work_id, needle, text_id) of the texts that may hold a needle: those with the rarest of its runs of ``q`` characters.
+
+    Runs are looked up by work and hash. A needle with a run that no text of its work has is left out."""
+    asked = needles.select("work_id", "needle", F.explode(_grams(F.col("needle"), q)).alias("gram"))
+    held = texts.join(needles.select("work_id").distinct(), "work_id", "left_semi").select("work_id", "text_id", F.explode(_grams(F.col("text"), q)).alias("gram"))
+    held = kept(held.join(asked.select("work_id", "gram").distinct(), ["work_id", "gram"], "left_semi"))
+    often = held.groupBy("work_id", "gram").agg(F.count(F.lit(1)).alias("n"))
+    counted = asked.join(often, ["work_id", "gram"], "left").groupBy("work_id", "needle").agg(F.min(F.struct("n", "gram")).alias("rarest"), F.bool_and(F.col("n").isNotNull()).alias("all"))
+    probes = counted.where("all").select("work_id", "needle", F.col("rarest.gram").alias("gram"))
+    return probes.join(held, ["work_id", "gram"]).select("work_id", "needle", "text_id")
+
+
 def restore_context(saved: DataFrame, blocks: DataFrame) -> DataFrame:
-    """The same where the context, of at least six units, occurs at exactly one place of the work."""
+    """The same where the context, of at least six units, occurs at exactly one place of the work.
+
+    Equal contexts of a work are looked for once, and equal texts looked at once. A context is looked up by its rarest run
+    of eight characters, or of three if it is shorter (six units are three characters at least); what is found is
+    verified. So no position meets all blocks of its work, and a context or text that is there many times counts once.
+    """
     s = _sound(saved).select("position_id", "work_id", "before", F.concat("before", "after").alias("needle"))
     s = s.where(utf16_length(F.col("needle")) >= LEAST)
-    first = F.expr("locate(needle, text)")
-    hits = s.join(blocks.select("work_id", "block_id", "text"), "work_id").withColumn("p", first).where("p > 0").withColumn("places", F.when(F.expr("locate(needle, text, p + 1)") > 0, 2).otherwise(1))
-    place = utf16_length(F.expr("substring(text, 1, p - 1)")) + utf16_length(F.col("before"))
-    one = hits.groupBy("position_id").agg(F.sum("places").alias("places"), F.min("block_id").alias("block_id"), F.min(place).alias("offset")).where("places = 1")
-    return one.select("position_id", F.lit("context").alias("how"), "block_id", "offset")
+    needles = kept(s.select("work_id", "needle").distinct())
+    same = blocks.where("text <> ''").groupBy("work_id", "text").agg(F.count(F.lit(1)).alias("times"), F.min("block_id").alias("block_id"))
+    texts = kept(same.withColumn("text_id", F.monotonically_increasing_id()))
+    long = F.char_length("needle") >= LONG_RUN
+    near = _places(needles.where(long), texts, LONG_RUN).unionAll(_places(needles.where(~long), texts, SHORT_RUN))
+    found = near.join(texts, ["work_id", "text_id"]).withColumn("p", F.expr("locate(needle, text)")).where("p > 0")
+    twice = F.expr("locate(needle, text, p + 1)") > 0
+    places = found.groupBy("work_id", "needle").agg(F.sum(F.when(twice, 2).otherwise(1) * F.col("times")).alias("places"), F.min("block_id").alias("block_id"), F.min(utf16_length(F.expr("substring(text, 1, p - 1)"))).alias("at"))
+    one = s.join(places.where("places = 1"), ["work_id", "needle"])
+    return one.select("position_id", F.lit("context").alias("how"), "block_id", (F.col("at") + utf16_length(F.col("before"))).alias("offset"))
 
 
 def restore_percent(saved: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -69,10 +102,11 @@ def restore_percent(saved: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def restore_positions(saved: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Each saved position's place: exact, else by context, else by share; none where the work has no text."""
-    exact = restore_exact(saved, blocks)
-    context = restore_context(saved.join(exact.select("position_id"), "position_id", "left_anti"), blocks)
-    share = restore_percent(saved, blocks)
-    ranked = exact.withColumn("rank", F.lit(0)).unionByName(context.withColumn("rank", F.lit(1))).unionByName(share.withColumn("rank", F.lit(2)))
-    best = F.row_number().over(Window.partitionBy("position_id").orderBy("rank"))
-    return ranked.withColumn("n", best).where("n = 1").select("position_id", "how", "block_id", "offset")
+    """Each saved position's place: exact, else by context, else by share; none where the work has no text.
+
+    Each way sees only what those before it left."""
+    exact = kept(restore_exact(saved, blocks))
+    left = saved.join(exact.select("position_id"), "position_id", "left_anti")
+    context = kept(restore_context(left, blocks))
+    share = restore_percent(left.join(context.select("position_id"), "position_id", "left_anti"), blocks)
+    return exact.unionByName(context).unionByName(share).select("position_id", "how", "block_id", "offset")

@@ -84,16 +84,42 @@ def active_with_text(nodes: DataFrame) -> DataFrame:
     return text.unionByName(named).distinct().withColumn("code", F.lit("active-content"))
 
 
+def _matched(nodes: DataFrame, tags: list[str]) -> DataFrame:
+    """(page_id, node_no, kind, tag, token, end): the tags of ``tags`` in order; end is where what an open tag opens is closed.
+
+    A tag closes the last one of its name that is open. Opens and closes of one name and level take turns, so the next
+    of an open one is its own; a close without its open is left out."""
+    some = nodes.where(F.col("tag").isin(tags) & F.col("kind").isin("open", "close")).select("page_id", "node_no", "kind", "tag", "token")
+    step = F.when(F.col("kind") == "open", 1).otherwise(-1)
+    order = Window.partitionBy("page_id", "tag").orderBy("node_no")
+    level = F.sum(step).over(order.rowsBetween(Window.unboundedPreceding, 0)) + F.when(F.col("kind") == "close", 1).otherwise(0)
+    turn = Window.partitionBy("page_id", "tag", "level").orderBy("node_no")
+    each = some.withColumn("level", level).withColumn("_kind", F.lead("kind").over(turn)).withColumn("_no", F.lead("node_no").over(turn))
+    return each.withColumn("end", F.when((F.col("kind") == "open") & (F.col("_kind") == "close"), F.col("_no"))).select("page_id", "node_no", "kind", "tag", "token", "end")
+
+
 def html_sections(nodes: DataFrame, sections: Mapping[str, str] = SECTIONS, side: tuple[str, ...] = SIDE) -> DataFrame:
-    """nodes with their section: that of the last section element opened and not yet closed, else ``ignored`` inside a
-    div of a class of ``side``, else null."""
+    """nodes with their section: that of the innermost section element that is open, ``ignored`` for a div of a class of
+    ``side``, else null.
+
+    A section ends where its own element does, whatever is nested in it; after an inner one the outer goes on. An element
+    that is never closed counts up to the next start or end of a section. An opening tag is in its section, a closing one outside.
+    """
     name = F.coalesce(*(F.when(F.col("tag") == t, s) for t, s in sections.items()))
-    marker = F.when((F.col("kind") == "open") & name.isNotNull(), name).when((F.col("kind") == "close") & name.isNotNull(), "")
     aside = (F.col("tag") == "div") & F.regexp_extract("token", r"""\sclass\s*=\s*["']?([^\s"'>]*)""", 1).isin(*side)
-    beside = F.when((F.col("kind") == "open") & aside, "ignored").when((F.col("kind") == "close") & (F.col("tag") == "div"), "")
-    upto = Window.partitionBy("page_id").orderBy("node_no").rowsBetween(Window.unboundedPreceding, 0)
-    last = lambda m: F.nullif(F.last(m, ignorenulls=True).over(upto), F.lit(""))
-    return nodes.withColumn("section", F.coalesce(last(marker), last(beside)))
+    opens = _matched(nodes, [*sections, "div"]).where("kind = 'open'").withColumn("name", F.coalesce(name, F.when(aside, "ignored"))).where("name IS NOT NULL")
+    both = F.array(F.struct(F.col("node_no").alias("at"), F.lit(1).alias("step")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("step")))
+    events = opens.select("page_id", "name", "end", F.explode(both).alias("e")).select("page_id", "name", "end", "e.*").where("at IS NOT NULL")
+    upto = Window.partitionBy("page_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    counted = F.when(F.col("end").isNotNull(), F.col("step")).otherwise(0)
+    leveled = events.withColumn("level", F.sum(counted).over(upto) + F.when(F.col("step") == -1, 1).otherwise(0))
+    # a section that ends asks for the last one opened a level above it, if that is open still
+    outer = F.last(F.when((F.col("step") == 1) & F.col("end").isNotNull(), F.struct("name", "end")), ignorenulls=True).over(Window.partitionBy("page_id", "slot").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    slots = leveled.withColumn("slot", F.when(F.col("step") == 1, F.col("level")).otherwise(F.col("level") - 1)).withColumn("outer", outer)
+    after = F.when(F.col("step") == 1, F.col("name")).otherwise(F.coalesce(F.when(F.col("outer.end") > F.col("at"), F.col("outer.name")), F.lit("")))
+    marks = slots.select("page_id", F.col("at").alias("node_no"), after.alias("_mark"))
+    order = Window.partitionBy("page_id").orderBy("node_no").rowsBetween(Window.unboundedPreceding, 0)
+    return nodes.join(marks, ["page_id", "node_no"], "left").withColumn("section", F.nullif(F.last("_mark", ignorenulls=True).over(order), F.lit(""))).drop("_mark").select(*nodes.columns, "section")
 
 
 def section_faults(nodes: DataFrame, sections: Mapping[str, str] = SECTIONS, side: tuple[str, ...] = SIDE) -> DataFrame:

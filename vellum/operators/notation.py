@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from vellum.functions.text import WHITE as BLANK
 from vellum.functions.text import is_blank, plain_digits, right_trimmed, trimmed, utf16_length
+from vellum.sources.scratch import kept
 
 #: The notation's marks and their names.
 DOTS = {
@@ -143,32 +144,37 @@ def _after(note: str = "inner", at: str = "at") -> Column:
 def _spans(notes: DataFrame, kind: str, names: dict[str, str]) -> DataFrame:
     trailing = notes.where(F.col("note") == kind)
     g = lambda i: F.regexp_extract("inner", NOTES[kind], i)
-    one = trailing.select("work_id", "no", "token_no", F.lit("trailing").alias("form"), named(g(3), names).alias("mark"), F.when(g(2) == "の左", "left").otherwise("right").alias("side"), g(1).alias("text"), F.when(~F.endswith("before", g(1)), "unknown-notation").alias("code"))
+    one = trailing.select("work_id", "no", "token_no", "col", F.lit("trailing").alias("form"), named(g(3), names).alias("mark"), F.when(g(2) == "の左", "left").otherwise("right").alias("side"), g(1).alias("text"), F.when(~F.endswith("before", g(1)), "unknown-notation").alias("code"))
     pairs = notes.where(F.col("note").isin(f"{kind}-open", f"{kind}-close")).withColumn("name", F.regexp_extract(F.regexp_replace("inner", "終わり$", ""), NOTES[f"{kind}-open"], 2)).withColumn("left", F.startswith("inner", F.lit("左に")))
     following = Window.partitionBy("work_id", "no", "name", "left").orderBy("token_no")
     nxt = pairs.withColumn("next_note", F.lead("note").over(following)).withColumn("next_at", F.lead("at").over(following)).where(F.col("note") == f"{kind}-open")
     closed = F.coalesce(F.col("next_note") == f"{kind}-close", F.lit(False))
-    two = nxt.select("work_id", "no", "token_no", F.lit("pair").alias("form"), named(F.col("name"), names).alias("mark"), F.when(F.col("left"), "left").otherwise("right").alias("side"), F.when(closed, _between()).otherwise("").alias("text"), F.when(~closed, "unclosed-notation").alias("code"))
+    two = nxt.select("work_id", "no", "token_no", "col", F.lit("pair").alias("form"), named(F.col("name"), names).alias("mark"), F.when(F.col("left"), "left").otherwise("right").alias("side"), F.when(closed, _between()).otherwise("").alias("text"), F.when(~closed, "unclosed-notation").alias("code"))
     return one.unionByName(two)
 
 
 def emphasis_spans(notes: DataFrame) -> DataFrame:
     """(work_id, no, token_no, form, mark, side, text, code): 14 marks, trailing (their text must stand before) or as pairs."""
-    return _spans(notes, "emphasis", DOTS)
+    return _spans(notes, "emphasis", DOTS).drop("col")
 
 
 def container_spans(notes: DataFrame) -> DataFrame:
-    return _spans(notes, "container", CONTAINERS).drop("side")
+    return _spans(notes, "container", CONTAINERS).drop("side", "col")
 
 
 def headings(notes: DataFrame) -> DataFrame:
-    """(work_id, no, form, level, text, code): headings, by a note after the line's whole text or between two notes.
+    """(work_id, no, form, level, text, code): see placed_headings."""
+    return placed_headings(notes).drop("col")
+
+
+def placed_headings(notes: DataFrame) -> DataFrame:
+    """(work_id, no, col, form, level, text, code): headings, by a note after the line's whole text or between two notes.
 
     A heading is all of its line: text before its opening note, another text than the note says, or anything but white
     space after it is ``unsupported-construct``; an opening without its close ``unclosed-notation``."""
     g = lambda i: F.regexp_extract("inner", NOTES["heading"], i)
     wrong = lambda broken: F.when(broken, "unsupported-construct")
-    one = notes.where("note = 'heading'").select("work_id", "no", F.lit("trailing").alias("form"), named(g(3), HEADINGS).alias("level"), g(1).alias("text"), wrong((F.col("before") != g(1)) | ~is_blank(_after())).alias("code"))
+    one = notes.where("note = 'heading'").select("work_id", "no", "col", F.lit("trailing").alias("form"), named(g(3), HEADINGS).alias("level"), g(1).alias("text"), wrong((F.col("before") != g(1)) | ~is_blank(_after())).alias("code"))
     order = Window.partitionBy("work_id", "no").orderBy("token_no")
     some = notes.where(F.col("note").isin("heading-open", "heading-close"))
     for c in ("note", "inner", "at"):
@@ -176,7 +182,7 @@ def headings(notes: DataFrame) -> DataFrame:
     some = some.withColumn("nth", F.row_number().over(order)).where("note = 'heading-open'")
     closed = F.coalesce(F.col("next_inner") == F.concat("inner", F.lit("終わり")), F.lit(False))
     code = F.coalesce(wrong((F.col("before") != "") | (F.col("nth") > 1)), F.when(~closed, "unclosed-notation"), wrong(~is_blank(_after("next_inner", "next_at"))))
-    return one.unionByName(some.select("work_id", "no", F.lit("pair").alias("form"), named(F.col("inner"), HEADINGS).alias("level"), F.when(closed, _between()).otherwise("").alias("text"), code.alias("code")))
+    return one.unionByName(some.select("work_id", "no", "col", F.lit("pair").alias("form"), named(F.col("inner"), HEADINGS).alias("level"), F.when(closed, _between()).otherwise("").alias("text"), code.alias("code")))
 
 
 def page_breaks(lines: DataFrame) -> DataFrame:
@@ -309,17 +315,21 @@ def _section_places(lines: DataFrame) -> DataFrame:
 def bibliography(lines: DataFrame) -> DataFrame:
     """(work_id, n, line): the lines after the end of the body, right-trimmed, blank ones dropped, in order."""
     s = split_sections(lines).where("section = 'bibliography'").join(lines, ["work_id", "no"])
-    kept = s.select("work_id", "no", right_trimmed(F.col("line")).alias("line")).where("line <> ''")
-    return kept.select("work_id", F.row_number().over(Window.partitionBy("work_id").orderBy("no")).alias("n"), "line")
+    some = s.select("work_id", "no", right_trimmed(F.col("line")).alias("line")).where("line <> ''")
+    return some.select("work_id", F.row_number().over(Window.partitionBy("work_id").orderBy("no")).alias("n"), "line")
 
 
 FIGURE = "^［＃[^］]*（[^（）]*）入る］$"
 
 
 def attach_captions(lines: DataFrame) -> DataFrame:
-    """(work_id, figure_no, no, caption, code): captions, by a note after their text or between two notes, with the
+    """(work_id, figure_no, no, caption, code): see placed_captions."""
+    return placed_captions(laid_out(lines)).drop("col")
+
+
+def placed_captions(rows: DataFrame) -> DataFrame:
+    """(work_id, figure_no, no, col, caption, code) from laid_out's rows: captions, by a note after their text or between two notes, with the
     figure's line directly before. Captions elsewhere, in a layout, or with text around them are faults."""
-    rows = laid_out(lines)
     order = Window.partitionBy("work_id").orderBy("no")
     figure = F.coalesce(F.lag(F.col("line").rlike(FIGURE)).over(order), F.lit(False))
     j = rows.withColumn("last", F.regexp_extract("line", "［＃([^］]*)］$", 1)).withColumn("figure", figure).withColumn("figure_no", F.lag("no").over(order))
@@ -329,7 +339,8 @@ def attach_captions(lines: DataFrame) -> DataFrame:
     laid = F.col("layout").isNotNull() | F.col("own_layout").isNotNull()
     code = F.when(pair & F.startswith("line", F.lit("［＃キャプション］")) & ~F.col("line").rlike(whole), "unclosed-notation").when(laid | ~F.col("figure") | (pair & (~F.col("line").rlike(whole) | ~is_blank(F.regexp_extract("line", whole, 2)))), "unsupported-construct")
     caption = F.when(pair, visible_text(F.regexp_extract("line", whole, 1))).otherwise(F.regexp_extract("last", NOTES["caption"], 1))
-    return j.select("work_id", F.when(code.isNull(), F.col("figure_no")).alias("figure_no"), "no", caption.alias("caption"), code.alias("code"))
+    place = utf16_length(F.when(pair, F.substring_index("line", "［＃キャプション］", 1)).otherwise(F.regexp_extract("line", "^(.*)［＃[^］]*］$", 1)))
+    return j.select("work_id", F.when(code.isNull(), F.col("figure_no")).alias("figure_no"), "no", place.alias("col"), caption.alias("caption"), code.alias("code"))
 
 
 def to_blocks(lines: DataFrame) -> DataFrame:
@@ -350,14 +361,34 @@ def has_visible(lines: DataFrame) -> DataFrame:
     return lines.select("work_id", "no", (~is_blank(visible_text(F.col("line")))).alias("visible"))
 
 
+#: What each code says of a work.
+MESSAGES = {
+    "unknown-notation": "a note, glyph or accent of no known form, or a note whose text isn't before it", "unclosed-notation": "a sign, pair of notes or range lacks its other half",
+    "unsupported-construct": "notes overlap, nest too deep, enclose nothing or stand where they can't", "ruby-base": "a reading without a base, or a reading that can't be read", "missing-section": "the text lacks its header, end or bibliography",
+}
+
+
 def line_faults(lines: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
-    """(work_id, line, column, code): all faults of notation, for first_failure. tokens: the lines' tokens, which are read
-    more than once, if they are a table already."""
+    """(work_id, line, column, code): all faults of notation in annotated lines, for first_failure: signs without their other
+    half, glyphs, readings, pairs of notes, emphasis, containers, headings, layouts, ranges, captions, unknown notes and
+    accents. tokens: the lines' tokens, which are read more than once, if they are a table already.
+
+    A fault of a note stands at the note; what a line's leading notes or a range do wrong, at the line's start."""
     tokens = tokenize_lines(lines) if tokens is None else tokens
     notes = notes_of(tokens)
-    place = lambda df, col: df.select("work_id", F.col("no").alias("line"), col.cast("long").alias("column"), "code")
+    place = lambda df, col: df.where("code IS NOT NULL").select("work_id", F.col("no").alias("line"), col.cast("long").alias("column"), "code")
     unclosed = tokens.where("kind = 'unclosed'").withColumn("code", F.lit("unclosed-notation"))
     glyphs = gaiji_refs(tokens).where("code IS NOT NULL").join(tokens.select("work_id", "no", "token_no", "col"), ["work_id", "no", "token_no"])
-    layouts = line_layout(lines).where("code IS NOT NULL").withColumn("col", F.lit(0))
-    faulty = (unclosed, glyphs, ruby_pairs(tokens).where("code IS NOT NULL"), span_pairs(notes), layouts)
+    rows = laid_out(lines)
+    # a line's own layout and its part in a range are both told by one row
+    ranges = rows.select("work_id", "no", F.explode(F.array("own_code", "code")).alias("code"), F.lit(0).alias("col"))
+    spans = (_spans(notes, "emphasis", DOTS), _spans(notes, "container", CONTAINERS), placed_headings(notes), placed_captions(rows))
+    faulty = (unclosed, glyphs, ruby_pairs(tokens), span_pairs(notes), ranges, *spans)
     return reduce(DataFrame.unionByName, (place(df, F.col("col")) for df in faulty), unknown_notation(notes, lines))
+
+
+def work_faults(lines: DataFrame) -> DataFrame:
+    """The same of whole texts: a work without its sections has that fault, at line -1; of the others the body's lines count."""
+    body = kept(lines.join(split_sections(lines).where("section = 'body'").select("work_id", "no"), ["work_id", "no"]))
+    whole = section_faults(lines).select("work_id", F.lit(-1).alias("line"), F.lit(0).cast("long").alias("column"), "code")
+    return line_faults(body, kept(tokenize_lines(body))).unionByName(whole)

@@ -7,6 +7,8 @@ join without an exchange.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -138,9 +140,12 @@ def commit_gate(records: DataFrame, problems: DataFrame, pending: DataFrame, mos
     return one.select("total", "failed", "problems", "pending", outcome.alias("outcome"))
 
 
-def first_failure(faults: DataFrame) -> DataFrame:
-    """(work_id, line, column, code): a work's first fault by place. faults: (work_id, line, column, code)."""
-    return faults.groupBy("work_id").agg(F.min(F.struct("line", "column", "code")).alias("f")).select("work_id", "f.line", "f.column", "f.code")
+def first_failure(faults: DataFrame, messages: Mapping[str, str] | None = None) -> DataFrame:
+    """(work_id, line, column, code, message): a work's first fault by place. faults: (work_id, line, column, code); a
+    code without message gives its own name."""
+    first = faults.groupBy("work_id").agg(F.min(F.struct("line", "column", "code")).alias("f"))
+    message = F.coalesce(*(F.when(F.col("f.code") == k, v) for k, v in (messages or {}).items()), F.col("f.code"))
+    return first.select("work_id", "f.line", "f.column", "f.code", message.alias("message"))
 
 
 def attempt_report(picked: DataFrame) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from vellum.functions.text import is_calendar_date
 from vellum.operators import catalog as c
+from vellum.operators.search_index import search_index as index_of
+from vellum.operators.search_index import write_search_index
 from vellum.sources.adapters import CATALOG, oracle, read, view
-from vellum.sources.scratch import kept
+from vellum.sources.scratch import fresh_folder, kept
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -159,6 +163,22 @@ def search_catalog(spark, sf):
     return c.search_catalog(kept(_search(_rows(spark, sf))), "Work 12", orthography="新字新仮名", k=50)
 
 
+SEARCHES = {"Work 12": 12, "ork 49": 1000, "Part 3": 1000, "author:Sur7": 1000, "given8": 1000, "work 4321": 1000, "k": 100, "5": 1000, " 作 ": 50, "": 50, "1111": 1000}
+_search_sql = " UNION ALL ".join(
+    f"""(SELECT '{q}' AS query, rank, work_id, title, people FROM (SELECT *, CASE WHEN title = '{q.strip()}' THEN 1 WHEN starts_with(title, '{q.strip()}') THEN 2 WHEN contains(title, '{q.strip()}') THEN 3 WHEN contains(subtitle, '{q.strip()}') THEN 4 WHEN contains(people, '{q.strip()}') THEN 5 WHEN contains(title_reading, '{q.strip()}') OR contains(readings, '{q.strip()}') THEN 6 END AS rank FROM search)
+  WHERE rank IS NOT NULL AND '{q.strip()}' <> '' ORDER BY rank, sort_reading, work_id LIMIT {k})""" for q, k in SEARCHES.items()
+)
+
+
+@query("search_index", _search_sql)
+def search_index(spark, sf):
+    """Searches of every rank in a stored index of the whole catalog."""
+    path = fresh_folder(spark)
+    write_search_index(kept(_search(_rows(spark, sf))), path)
+    found = [index_of(spark, path, q, k=k).select(F.lit(q).alias("query"), "rank", "work_id", "title", "people") for q, k in SEARCHES.items()]
+    return functools.reduce(lambda a, b: a.unionAll(b), found)
+
+
 @query("catalog_shards", "SELECT work_id, title, ('0x' || substr(sha256(work_id), 1, 8))::BIGINT % 16 AS shard FROM search")
 def catalog_shards(spark, sf):
     return c.catalog_shards(_search(_rows(spark, sf)), 16).select("work_id", "title", "shard")

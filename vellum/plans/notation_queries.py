@@ -124,10 +124,13 @@ _rest = lambda note, cp: f"regexp_replace(substr(line, CAST({cp} AS INT) + lengt
 _size = lambda x: f"CASE {x} WHEN '大' THEN 'large' WHEN '中' THEN 'medium' ELSE 'small' END"
 
 
-@query("headings", f"""SELECT work_id, no, 'trailing' AS form, {_size("regexp_extract(inner, '(.)見出し$', 1)")} AS level, t AS text, CASE WHEN before <> t OR {_rest('inner', 'cp')} THEN 'unsupported-construct' END AS code FROM (SELECT *, regexp_extract(inner, '^「(.+)」は[大中小]見出し$', 1) AS t FROM nt) WHERE t <> ''
-  UNION ALL SELECT work_id, no, 'pair', {_size('substr(inner, 1, 1)')}, CASE WHEN closed THEN {_visible("substr(line, CAST(cp AS INT) + length(inner) + 4, CAST(np AS INT) - CAST(cp AS INT) - length(inner) - 3)")} ELSE '' END,
+HEADINGS_SQL = f"""SELECT work_id, no, col, 'trailing' AS form, {_size("regexp_extract(inner, '(.)見出し$', 1)")} AS level, t AS text, CASE WHEN before <> t OR {_rest('inner', 'cp')} THEN 'unsupported-construct' END AS code FROM (SELECT *, regexp_extract(inner, '^「(.+)」は[大中小]見出し$', 1) AS t FROM nt) WHERE t <> ''
+  UNION ALL SELECT work_id, no, col, 'pair', {_size('substr(inner, 1, 1)')}, CASE WHEN closed THEN {_visible("substr(line, CAST(cp AS INT) + length(inner) + 4, CAST(np AS INT) - CAST(cp AS INT) - length(inner) - 3)")} ELSE '' END,
     CASE WHEN before <> '' OR nth > 1 THEN 'unsupported-construct' WHEN NOT closed THEN 'unclosed-notation' WHEN {_rest('ni', 'np')} THEN 'unsupported-construct' END
-  FROM (SELECT *, coalesce(ni = inner || '終わり', false) AS closed FROM (SELECT *, lead(inner) OVER w AS ni, lead(cp) OVER w AS np, row_number() OVER w AS nth FROM nt WHERE regexp_matches(inner, '^[大中小]見出し(終わり)?$') WINDOW w AS (PARTITION BY work_id, no ORDER BY token_no))) WHERE inner NOT LIKE '%終わり'""")
+  FROM (SELECT *, coalesce(ni = inner || '終わり', false) AS closed FROM (SELECT *, lead(inner) OVER w AS ni, lead(cp) OVER w AS np, row_number() OVER w AS nth FROM nt WHERE regexp_matches(inner, '^[大中小]見出し(終わり)?$') WINDOW w AS (PARTITION BY work_id, no ORDER BY token_no))) WHERE inner NOT LIKE '%終わり'"""
+
+
+@query("headings", f"SELECT * EXCLUDE (col) FROM ({HEADINGS_SQL})")
 def headings(spark, sf):
     return n.headings(_notes(spark, sf))
 
@@ -189,11 +192,14 @@ def bibliography(spark, sf):
     return n.bibliography(_whole(spark, sf))
 
 
-@query("attach_captions", f"""SELECT work_id, CASE WHEN code IS NULL THEN fno END AS figure_no, no, caption, code FROM (
+CAPTIONS_SQL = f"""SELECT work_id, CASE WHEN code IS NULL THEN fno END AS figure_no, no, caption, code FROM (
   SELECT *, CASE WHEN pair AND starts_with(line, '［＃キャプション］') AND NOT closed THEN 'unclosed-notation' WHEN laid OR NOT fig OR (pair AND (NOT closed OR regexp_replace(regexp_extract(line, '^［＃キャプション］(.*)［＃キャプション終わり］(.*)$', 2), '[{UNSEEN}]', '', 'g') <> '')) THEN 'unsupported-construct' END AS code,
     CASE WHEN pair THEN {_visible("regexp_extract(line, '^［＃キャプション］(.*)［＃キャプション終わり］(.*)$', 1)")} ELSE regexp_extract(line, '［＃「([^］]+)」はキャプション］$', 1) END AS caption
   FROM (SELECT c.*, r.layout IS NOT NULL OR l.layout IS NOT NULL AS laid FROM (SELECT work_id, no, line, contains(line, '［＃キャプション］') AS pair, regexp_matches(line, '^［＃キャプション］.*［＃キャプション終わり］') AS closed, coalesce(lag(regexp_matches(line, '^［＃[^］]*（[^（）]*）入る］$')) OVER (PARTITION BY work_id ORDER BY no), false) AS fig, lag(no) OVER (PARTITION BY work_id ORDER BY no) AS fno FROM mk) c
-    JOIN cr r ON c.work_id = r.work_id AND c.no = r.no LEFT JOIN ll l ON c.work_id = l.work_id AND c.no = l.no WHERE pair OR regexp_matches(line, '［＃「[^］]+」はキャプション］$')))""")
+    JOIN cr r ON c.work_id = r.work_id AND c.no = r.no LEFT JOIN ll l ON c.work_id = l.work_id AND c.no = l.no WHERE pair OR regexp_matches(line, '［＃「[^］]+」はキャプション］$')))"""
+
+
+@query("attach_captions", CAPTIONS_SQL)
 def attach_captions(spark, sf):
     return n.attach_captions(_marked(spark, sf))
 
@@ -208,8 +214,40 @@ def to_blocks(spark, sf):
     return n.to_blocks(_marked(spark, sf))
 
 
-@query("first_failure", """SELECT work_id, f.line, f."column", f.code FROM (SELECT work_id, min({'line': line, 'column': "column", 'code': code}) AS f FROM (SELECT * FROM unk UNION ALL SELECT work_id, no, col, 'unclosed-notation' FROM tk WHERE kind = 'unclosed'
-  UNION ALL SELECT g.work_id, g.no, t.col, g.code FROM gj g JOIN tk t ON g.work_id = t.work_id AND g.no = t.no AND g.token_no = t.token_no WHERE g.code IS NOT NULL UNION ALL SELECT work_id, no, col, code FROM ruby WHERE code IS NOT NULL UNION ALL SELECT * FROM sp UNION ALL SELECT work_id, no, 0, code FROM ll WHERE code IS NOT NULL) GROUP BY work_id)""")
+_caption_col = f"CASE WHEN contains(line, '［＃キャプション］') THEN {_units("split_part(line, '［＃キャプション］', 1)")} ELSE {_units("regexp_extract(line, '^(.*)［＃[^］]*］$', 1)")} END"
+_spans_with_col = lambda sql: f"SELECT s.work_id, s.no, nt.col, s.code FROM ({sql}) s JOIN nt ON s.work_id = nt.work_id AND s.no = nt.no AND s.token_no = nt.token_no"
+FAULTS = f"""SELECT * FROM unk UNION ALL SELECT * FROM (SELECT work_id, no, col, 'unclosed-notation' AS code FROM tk WHERE kind = 'unclosed'
+  UNION ALL SELECT g.work_id, g.no, t.col, g.code FROM gj g JOIN tk t ON g.work_id = t.work_id AND g.no = t.no AND g.token_no = t.token_no UNION ALL SELECT work_id, no, col, code FROM ruby UNION ALL SELECT * FROM sp
+  UNION ALL SELECT work_id, no, 0, code FROM ll UNION ALL SELECT work_id, no, 0, code FROM cr UNION ALL {_spans_with_col(_span_sql("emphasis", n.DOTS, True))} UNION ALL {_spans_with_col(_span_sql("container", n.CONTAINERS, False))}
+  UNION ALL SELECT work_id, no, col, code FROM ({HEADINGS_SQL}) UNION ALL SELECT c.work_id, c.no, {_caption_col}, c.code FROM ({CAPTIONS_SQL}) c JOIN mk ON c.work_id = mk.work_id AND c.no = mk.no) WHERE code IS NOT NULL"""
+_first = lambda faults: f"""SELECT work_id, f.line, f."column", f.code, {_case('f.code', {k: v.replace("'", "''") for k, v in n.MESSAGES.items()})} AS message FROM (SELECT work_id, min({{'line': line, 'column': "column", 'code': code}}) AS f FROM ({faults}) GROUP BY work_id)"""
+
+
+@query("first_failure", _first(FAULTS))
 def first_failure(spark, sf):
     lines = kept(_marked(spark, sf))
-    return runs.first_failure(n.line_faults(lines, kept(n.tokenize_lines(lines))))
+    return runs.first_failure(n.line_faults(lines, kept(n.tokenize_lines(lines))), n.MESSAGES)
+
+
+@query("line_faults", f"SELECT work_id, line, \"column\", code, count(*) AS times FROM ({FAULTS}) GROUP BY ALL")
+def line_faults(spark, sf):
+    lines = kept(_marked(spark, sf))
+    return n.line_faults(lines, kept(n.tokenize_lines(lines))).groupBy("work_id", "line", "column", "code").agg(F.count(F.lit(1)).alias("times"))
+
+
+@query("work_failures", _first(FAULTS + " UNION ALL SELECT work_id, -1, 0, code FROM pl WHERE code IS NOT NULL"))
+def work_failures(spark, sf):
+    """The first failure of whole texts, with their sections."""
+    return runs.first_failure(n.work_faults(kept(_whole(spark, sf))), n.MESSAGES)
+
+
+def _of_bodies(sql: str) -> str:
+    """The SQL with the bodies of whole texts in place of the marked lines."""
+    lines, marked, rest = sql.partition("mk AS (")
+    made, notation, tail = rest.partition("ts AS (")
+    between, whole, after = tail.partition("wh AS (")
+    sections, end, last = after.partition("FROM wh JOIN pl USING (work_id) WHERE code IS NULL)")
+    return f"{lines}mk0 AS ({made}wh AS ({sections.replace('mk', 'mk0')}{end}, mk AS (SELECT work_id, no, line FROM sec WHERE section = 'body'), ts AS ({between.rstrip().rstrip(',')}{last}"
+
+
+ORACLE["work_failures"] = _of_bodies(ORACLE["work_failures"])

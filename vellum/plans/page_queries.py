@@ -34,9 +34,10 @@ nd AS (SELECT page_id, CAST(node_no AS INT) AS node_no, kind, tag, CAST(coalesce
 at0 AS (SELECT page_id, node_no, tag, {", ".join(f"regexp_extract_all(token, '{_ATTR}', {g}) AS a{g}" for g in (1, 2, 3, 4))} FROM nd WHERE kind IN ('open', 'void')),
 att AS (SELECT page_id, node_no, tag, lower(a1[i]) AS name, coalesce(a2[i], '') || coalesce(a3[i], '') || coalesce(a4[i], '') AS value FROM (SELECT *, unnest(generate_series(1, len(a1))) AS i FROM at0)),
 im0 AS (SELECT page_id, node_no, max(value) FILTER (name = 'class') AS class, max(value) FILTER (name = 'src') AS src, max(value) FILTER (name = 'alt') AS alt, max(value) FILTER (name = 'width') AS width, max(value) FILTER (name = 'height') AS height FROM att WHERE tag = 'img' GROUP BY 1, 2),
-sc0 AS (SELECT *, last_value(CASE WHEN kind = 'open' AND {_case('tag', m.SECTIONS)} IS NOT NULL THEN {_case('tag', m.SECTIONS)} WHEN kind = 'close' AND {_case('tag', m.SECTIONS)} IS NOT NULL THEN '' END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY node_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM nd),
-sc1 AS (SELECT *, last_value(CASE WHEN kind = 'open' AND tag = 'div' AND contains(token, 'class="ad"') THEN 'ignored' WHEN kind = 'close' AND tag = 'div' THEN '' END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY node_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s2 FROM sc0),
-sc AS (SELECT page_id, node_no, kind, tag, token, coalesce(nullif(s, ''), nullif(s2, '')) AS section FROM sc1),
+mt AS (SELECT *, lead(kind) OVER w AS lk, lead(node_no) OVER w AS ln FROM (SELECT *, sum(CASE kind WHEN 'open' THEN 1 ELSE -1 END) OVER (PARTITION BY page_id, tag ORDER BY node_no) + CASE kind WHEN 'close' THEN 1 ELSE 0 END AS lv FROM nd WHERE kind IN ('open', 'close') AND tag IN {_in([*m.SECTIONS, 'div'])}) WINDOW w AS (PARTITION BY page_id, tag, lv ORDER BY node_no)),
+iv0 AS (SELECT page_id, node_no AS o, CASE WHEN lk = 'close' THEN ln END AS c, CASE WHEN tag = 'div' THEN 'ignored' ELSE {_case('tag', m.SECTIONS)} END AS name FROM mt WHERE kind = 'open' AND (tag <> 'div' OR contains(token, 'class="ad"'))),
+iv AS (SELECT page_id, o, coalesce(c, (SELECT min(e) FROM (SELECT page_id AS q, o AS e FROM iv0 UNION ALL SELECT page_id, c FROM iv0) WHERE q = page_id AND e > o), 1000000000) AS c, name FROM iv0),
+sc AS (SELECT n.page_id, n.node_no, n.kind, n.tag, n.token, arg_max(name, o) AS section FROM nd n LEFT JOIN iv ON n.page_id = iv.page_id AND n.node_no >= o AND n.node_no < c GROUP BY ALL),
 sf AS (SELECT page_id, count(*) FILTER (kind = 'open' AND tag = 'article') AS main, count(*) FILTER (kind = 'open' AND tag = 'footer') AS bib, count(*) FILTER (kind IN ('open', 'void') AND section IS NULL AND tag NOT IN {_in(["html", "body", *m.ACTIVE])}) AS unknown, count(*) FILTER (kind = 'text' AND section IS NULL AND NOT {_blank('token')}) AS outside FROM sc GROUP BY page_id),
 ai AS (SELECT *, coalesce(sum(CASE WHEN tag IN {_in([t for t in m.ACTIVE if t not in m.CODE and t not in m.VOID])} THEN CASE kind WHEN 'open' THEN 1 WHEN 'close' THEN -1 ELSE 0 END ELSE 0 END) OVER (PARTITION BY page_id ORDER BY node_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS inside FROM nd),
 rb AS (SELECT page_id, CAST(i - 1 AS INT) AS n, rs[i] AS r FROM (SELECT page_id, rs, unnest(generate_series(1, len(rs))) AS i FROM (SELECT page_id, regexp_extract_all(h, '(?is)<ruby(?:\\s[^>]*)?>(.*?)</ruby\\s*>', 1) AS rs FROM mh))),

@@ -156,6 +156,7 @@ SELECT page_id, replace(replace(html, '<article>', '<article>' || CASE page_id %
   WHEN 3 THEN '<h3 class="o-midashi">head</h3><span class="dai2">big</span><span class="odd">odd</span><img src="https://elsewhere.example/a.png" alt="b" width="10" height="20">' WHEN 4 THEN '<form><input value="text"><button onclick="go()">press</button></form><a href="JavaScript:run()">x</a>'
   WHEN 5 THEN '<RUBY class="r"><rb lang="ja">Base</rb><RT>read</RT></RUBY><ruby ><rb> </rb><rt>x</rt></ruby><a title="a > b" href=''javascript:go()'' onclick=go()>y</a>' WHEN 6 THEN '<img src=https://library.example/cards/000001/files/fig2.gif alt=''c'' width=20000 height=10><img src=''https://library.example/cards/000001/files/fig3.jpg'' width=10000 height=10 hidden><a href=" java' || chr(9) || 'script:x" data-on="1">z</a>'
   ELSE '<svg/onload=go()><input disabled value=''text''>' END),
-  '</article>', CASE WHEN page_id % 7 = 3 THEN '</article>loose' WHEN page_id % 11 = 4 THEN '</article><article>again</article>' WHEN page_id % 13 = 5 THEN '</article><aside>more</aside>' ELSE '</article>' END) AS html
+  '</article>', CASE WHEN page_id % 7 = 3 THEN '</article>loose' WHEN page_id % 11 = 4 THEN '</article><article>again</article>' WHEN page_id % 13 = 5 THEN '</article><aside>more</aside>'
+    WHEN page_id % 5 = 2 THEN '<nav>side<div>deep</div><p>list</p></nav><p>after the list</p><div class="ad">buy<div>now</div>more</div><div><p>last</p></div></article>' WHEN page_id % 17 = 9 THEN '<nav>open<p>still</p></article>' ELSE '</article>' END) AS html
 FROM {pages}
 """

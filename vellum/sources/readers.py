@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from vellum.sources.csv_ranges import csv_records
+
 #: The official catalog's column labels and our names for them.
 LABELS = {
     "作品ID": "work_id", "作品名": "title", "作品名読み": "title_reading", "ソート用読み": "sort_reading", "副題": "subtitle", "副題読み": "subtitle_reading", "原題": "original_title", "初出": "first_publication",
@@ -55,17 +57,17 @@ def check_files(spark: SparkSession, path: str, required: list[str] | None = Non
 def read_catalog_csv(spark: SparkSession, path: str, labels: dict[str, str] = LABELS) -> DataFrame:
     """Rows of a catalog with row_no in file order and columns renamed; unknown columns are left out.
 
-    Quoted commas, line ends and doubled quotes are read; any line end serves; blank lines go. A missing or repeated
-    column raises at once; a stray or unclosed quote, or a row of another width, raises when rows are read. One
-    file is one task, since quoted line ends can't be split at; repartition after it.
+    Quoted commas, line ends and doubled quotes are read; any line end serves, and is a line feed inside quotes; blank lines
+    go. A missing or repeated column, a stray or an unclosed quote raises; a row of another width does when rows are read.
+    A file is read by ranges, as many tasks as its size asks for (see csv_ranges).
     """
     names = read_header(spark, path)
     wrong = check_header(spark, names, list(labels)).where("problem <> 'new-column'").collect()
     if wrong:
         raise ValueError(f"the catalog's header is refused: {[(r['problem'], r['column']) for r in wrong]}")
-    schema = StructType([StructField(n, StringType()) for n in names])
-    rows = spark.read.schema(schema).options(**STRICT, header=True, enforceSchema=True).csv(path)
-    return rows.select(F.monotonically_increasing_id().alias("row_no"), *(F.coalesce(f"`{label}`", F.lit("")).alias(name) for label, name in labels.items()))
+    options = {k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in STRICT.items() if k not in ("multiLine", "encoding")}
+    rows = csv_records(spark, path).where("NOT head").select("row_no", F.from_csv("record", ", ".join(f"`{n.replace(chr(96), 2 * chr(96))}` string" for n in names), options).alias("r"))
+    return rows.select("row_no", *(F.coalesce(F.col("r").getField(label), F.lit("")).alias(name) for label, name in labels.items()))
 
 
 CODECS = {"ShiftJIS": "cp932", "UTF-8": "utf-8"}
@@ -118,9 +120,11 @@ def _jpeg_size(data: bytes) -> tuple[int, int] | None:
 
 
 def _jpeg(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the frame size of the pictures that were sent for it, which go no further."""
     for b in batches:
-        sizes = [_jpeg_size(x.as_py()) or (None, None) for x in b.column("head")]
-        yield pa.RecordBatch.from_arrays([b.column("url"), pa.array([s[0] for s in sizes], pa.int32()), pa.array([s[1] for s in sizes], pa.int32())], names=["url", "w", "h"])
+        sizes = [_jpeg_size(x) if x is not None else None for x in b.column("jpeg").to_pylist()]
+        w, h = (pa.array([s[i] if s else own for s, own in zip(sizes, b.column(c).to_pylist(), strict=True)], pa.int32()) for i, c in enumerate(("w", "h")))
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("url", "sha256", "byte_length", "mime")), w, h], names=["url", "sha256", "byte_length", "mime", "w", "h"])
 
 
 def _int(c: Column, at: int, size: int, little: bool = False) -> Column:
@@ -138,14 +142,16 @@ def image_inventory(files: DataFrame, most_bytes: int = 8 << 20, most_side: int
     png = (head == "89504E470D0A1A0A") & (F.hex(F.substring(c, 13, 4)) == "49484452") & (tail(12) == "0000000049454E44AE426082")
     gif = F.substring(head, 1, 12).isin("474946383761", "474946383961") & (tail(1) == "3B")
     jpeg = F.startswith(head, F.lit("FFD8FF")) & (tail(2) == "FFD9")
-    rows = files.select("url", "content", F.when(png, "image/png").when(gif, "image/gif").when(jpeg, "image/jpeg").alias("mime"))
-    frames = rows.where("mime = 'image/jpeg'").select("url", F.col("content").alias("head")).mapInArrow(_jpeg, "url string, w int, h int").distinct()
-    j = rows.join(frames, "url", "left")
-    width = F.when(F.col("mime") == "image/png", _int(c, 16, 4)).when(F.col("mime") == "image/gif", _int(c, 6, 2, True)).otherwise(F.col("w"))
-    height = F.when(F.col("mime") == "image/png", _int(c, 20, 4)).when(F.col("mime") == "image/gif", _int(c, 8, 2, True)).otherwise(F.col("h"))
-    sound = width.between(1, most_side) & height.between(1, most_side) & (width.cast("long") * height <= most_pixels) & (n <= most_bytes)
+    mime = F.when(png, "image/png").when(gif, "image/gif").when(jpeg, "image/jpeg")
+    width = F.when(png, _int(c, 16, 4)).when(gif, _int(c, 6, 2, True))
+    height = F.when(png, _int(c, 20, 4)).when(gif, _int(c, 8, 2, True))
+    # digest, size and header are of the row itself; bytes go to a JPEG's marker walk at most, and through no exchange
+    rows = files.select("url", F.sha2(c, 256).alias("sha256"), n.cast("long").alias("byte_length"), mime.alias("mime"), width.alias("w"), height.alias("h"), F.when(jpeg, c).alias("jpeg"))
+    j = rows.mapInArrow(_jpeg, "url string, sha256 string, byte_length bigint, mime string, w int, h int")
+    width, height = F.col("w"), F.col("h")
+    sound = width.between(1, most_side) & height.between(1, most_side) & (width.cast("long") * height <= most_pixels) & (F.col("byte_length") <= most_bytes)
     good = F.coalesce(sound, F.lit(False))
-    return j.select("url", F.sha2(c, 256).alias("sha256"), n.cast("long").alias("byte_length"), F.when(good, F.col("mime")).alias("mime"), F.when(good, width).alias("width"), F.when(good, height).alias("height"), F.when(~good, "invalid-image").alias("code"))
+    return j.select("url", "sha256", "byte_length", F.when(good, F.col("mime")).alias("mime"), F.when(good, width).alias("width"), F.when(good, height).alias("height"), F.when(~good, "invalid-image").alias("code"))
 
 
 def write_assets(works: DataFrame, images: DataFrame, path: str, buckets: int = 64) -> None:

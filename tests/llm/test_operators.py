@@ -253,13 +253,13 @@ def test_scores_are_what_marginals_say(spark):
     texts = ["\n".join(" ".join(rng.choice(["plain", "zorgisha", "You", "one,", "nice"]) for _ in range(rng.randint(0, 8))) for _ in range(rng.randint(1, 4))) for _ in range(30)]
     got = {r["text"]: r for r in toxicity.tag_documents(spark.createDataFrame([(t,) for t in texts], "text string"), tagger).collect()}
     for t in texts:
-        tops = [0.0]
+        tops = []
         for line in t.split("\n"):
             if words := re.findall("[a-z0-9]+", line.lower()):
                 scores = np.array([sum(tagger.weights.get(f, 0.0) for f in toxicity.features_of(w.encode())) + tagger.bias for w in words])
                 tops += brute_marginals(scores, tagger.change).tolist()
-        top = min(max(max(tops), 1e-6), 1 - 1e-6)
-        assert abs(got[t]["toxic_score"] - 1 / (1 + np.exp(-(tagger.scale[0] * np.log(top / (1 - top)) + tagger.scale[1])))) < 1e-6
+        top = min(max([*tops, 1e-6]), 1 - 1e-6)
+        assert abs(got[t]["toxic_score"] - 1 / (1 + np.exp(-(tagger.scale[0] * np.log(top / (1 - top)) + tagger.scale[1] * np.log1p(sum(tops)) + tagger.scale[2])))) < 1e-6
 
 
 def test_toxic_spans(spark):
@@ -372,6 +372,12 @@ def test_label_marginals_are_exact():
     assert np.allclose(pairs, total)
 
 
+def test_secrets_are_whole_tokens():
+    t = "key 0123456789abcdef0123 end,4111abc"
+    assert [pii._whole(t, s) for s in [(6, 20, 4), (4, 9, 2), (29, 33, 4), (3, 3, 4)]] == [(4, 24, 4), (4, 9, 2), (29, 36, 4), (3, 3, 4)]
+    assert pii.reconciled([pii._whole(t, s) for s in [(4, 10, 4), (10, 16, 2), (16, 22, 4)]]) == [(4, 24, 4)]
+
+
 def test_reconciled_spans():
     assert pii.reconciled([(0, 10, 1), (8, 20, 1), (18, 25, 2), (30, 32, 0), (30, 32, 0)]) == [(0, 20, 1), (30, 32, 0)]
     assert pii.with_found([(5, 9, 0)], [(5, 9, 0), (6, 8, 1), (4, 12, 3), (7, 20, 1), (30, 40, 2)]) == [(4, 12, 3), (5, 9, 0), (30, 40, 2)]
@@ -581,6 +587,18 @@ def test_decontamination_by_both_ways(spark):
     assert decontaminate.decontaminate(d, bench).columns == d.columns
 
 
+def test_benchmarks_beyond_the_broadcast(spark):
+    """A script without ASCII separators is one word, however long: bytes count too. And a window that very many share."""
+    rng = random.Random(43)
+    kana = lambda k: "".join(chr(rng.randint(0x3042, 0x3093)) for _ in range(k))
+    items = [(i, kana(2000)) for i in range(5)] + [(9, "one two three four five six seven eight nine ten")] * 40 + [(100 + i, "one two three four five six seven eight nine ten and more") for i in range(300)]
+    texts = [items[2][1], "x " + items[3][1] + " y", kana(50), *["so one two three four five six seven eight nine ten it is"] * 300]
+    d, bench = docs_of(spark, texts), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {r["doc_id"]: r for r in decontaminate.find_contamination(d, bench, 10, broadcast_bytes=10_000).collect()}
+    want = {r["doc_id"]: r for r in decontaminate.find_contamination(d, bench, 10).collect()}
+    assert got == want and got[0]["items"] == [2] and got[1]["n_hit"] == 1 and got[2]["n_hit"] == 0 and len(got[10]["items"]) == 301
+
+
 def test_similar_documents(spark):
     rng = random.Random(19)
     word = lambda: "".join(rng.choices("abcdefghij", k=5))

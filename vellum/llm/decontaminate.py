@@ -115,20 +115,21 @@ def _cut(text: str, hit: np.ndarray) -> str:
 APART = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, broadcast_words: int = 2_000_000) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, broadcast_words: int = 2_000_000, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """docs with n_words, n_hit, items (sorted ids of items with occurring windows) and clean_text (hit spans removed).
 
-    The windows of a benchmark of at most ``broadcast_words`` words go to every task as one set, about 60 MB of
-    arrays at that bound; docs are then read once, without a shuffle. A larger benchmark is joined on the windows'
-    hashes instead, with the same result.
+    The windows of a benchmark of at most ``broadcast_words`` words and ``broadcast_bytes`` bytes go to every task as one set,
+    about 60 MB of arrays besides its different words at that bound; docs are then read once, without a shuffle. A larger
+    benchmark, by either measure (a text without ASCII separators is one word), is joined on the windows' hashes
+    instead, and what meets is verified word by word, with the same result.
 
     A null text has no words and stays null; items without words have no window; repeated items count once each by
     their id, those without id only in the hit words; an empty benchmark hits nothing. Columns of docs named like the
     results are replaced.
     """
     asked = benchmark.where(F.col("text").isNotNull()).select("item_id", "text")
-    size = asked.agg(F.coalesce(F.sum(F.regexp_count("text", F.lit(APART.replace("[", "[^", 1) + "+"))), F.lit(0))).first()[0]
-    if size > broadcast_words:
+    size = asked.agg(F.coalesce(F.sum(F.regexp_count("text", F.lit(APART.replace("[", "[^", 1) + "+"))), F.lit(0)).alias("words"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("bytes")).first()
+    if size["words"] > broadcast_words or size["bytes"] > broadcast_bytes:
         return _joined(docs, asked, n)
     shared = docs.sparkSession.sparkContext.broadcast(Windows([(r[0], r[1]) for r in asked.collect()], n))
 
@@ -153,17 +154,23 @@ def _joined(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
     """The same where the windows are too many for a task: each item's and document's windows meet by hash.
 
     Different windows of the items are one row each, so a window that many items and documents share meets each of a
-    document's occurrences once; the items are joined to a document's different windows only."""
+    document's occurrences once; the items are joined to a document's different windows only. A hash that is met is no hit
+    before the words are the same."""
     shielded_docs, back = shielded(docs, "_row", "_w", "_k", "_at", "_g", "_hits", "_items", *HIT_NAMES)
     rows = written(shielded_docs.withColumn("_row", F.monotonically_increasing_id()))
     least = F.least(F.size("_w"), F.lit(n))
     words = lambda df, *ids: appended(df.select(*ids, "text"), "_w array<binary>", lambda: lambda b: [[words_of(t) for t in b.column("text").to_pylist()]]).drop("text")
-    gram = lambda k: F.md5(F.array_join(F.transform(F.slice("_w", F.col("_at"), k), F.hex), " "))
-    items = written(words(benchmark, "item_id").where("size(_w) > 0").withColumn("_k", least).withColumn("_at", F.explode(F.sequence(F.lit(1), F.size("_w") - F.col("_k") + 1))).select("item_id", "_k", gram(F.col("_k")).alias("_g")).distinct())
+    gram = lambda k: F.array_join(F.transform(F.slice("_w", F.col("_at"), k), F.hex), " ")
+    places = F.explode(F.sequence(F.lit(1), F.size("_w") - F.col("_k") + 1))
+    items = written(words(benchmark, "item_id").where("size(_w) > 0").withColumn("_k", least).withColumn("_at", places).select("item_id", "_k", gram(F.col("_k")).alias("_g")).distinct())
     lengths = [r[0] for r in items.select("_k").distinct().collect()]  # at most n of them
     seen = words(rows, "_row").withColumn("_k", F.explode(F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>"))).where("size(_w) >= _k")
-    seen = seen.withColumn("_at", F.explode(F.sequence(F.lit(1), F.size("_w") - F.col("_k") + 1))).select("_row", "_k", "_at", gram(F.col("_k")).alias("_g"))
-    met = written(seen.join(items.select("_k", "_g").distinct(), ["_k", "_g"], "left_semi"))
+    seen = seen.withColumn("_at", places).select("_row", "_k", "_at", F.xxhash64(gram(F.col("_k"))).alias("_h"))
+    # documents' windows go by hash; the words of those that meet are looked at again
+    asked = items.select("_k", F.xxhash64("_g").alias("_h")).distinct()
+    near = seen.join(asked, ["_k", "_h"], "left_semi").groupBy("_row").agg(F.collect_list(F.struct("_at", "_k")).alias("_hits"))
+    again = words(rows.join(near, "_row"), "_row", "_hits").select("_row", "_w", F.inline("_hits")).select("_row", "_k", "_at", gram(F.col("_k")).alias("_g"))
+    met = written(again.join(items.select("_k", "_g").distinct(), ["_k", "_g"], "left_semi"))
     hits = met.groupBy("_row").agg(F.collect_list(F.struct("_at", "_k")).alias("_hits"))
     held = met.select("_row", "_k", "_g").distinct().join(items, ["_k", "_g"]).groupBy("_row").agg(F.array_sort(F.collect_set("item_id")).alias("_items"))
 

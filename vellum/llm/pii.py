@@ -296,7 +296,19 @@ def found_spans(model: Finder, texts: list[str], window: int = 384, overlap: int
                 i, lo, _ = part[k]
                 edges = np.flatnonzero(np.diff(np.concatenate(([0], row, [0]))))
                 found[i] += [(lo + a, lo + b, int(row[a]) - 1) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) if row[a]]
-    return [[s for s in (_trimmed(t, s) for s in reconciled(spans)) if s[1] - s[0] >= least] for t, spans in zip(texts, found, strict=True)]
+    return [[s for s in reconciled([_whole(t, _trimmed(t, s)) for s in reconciled(spans)]) if s[1] - s[0] >= least] for t, spans in zip(texts, found, strict=True)]
+
+
+def _whole(text: str, span: Span) -> Span:
+    """A secret is all of the token that it touches; other spans stay. What else was found in the token goes with it."""
+    a, b, k = span
+    if FOUND[k] == "secret" and a < b:
+        sign = lambda c: c.isascii() and (c.isalnum() or c in "_-+/")
+        while a > 0 and sign(text[a - 1]) and sign(text[a]):
+            a -= 1
+        while b < len(text) and sign(text[b]) and sign(text[b - 1]):
+            b += 1
+    return a, b, k
 
 
 def _trimmed(text: str, span: Span) -> Span:
@@ -392,7 +404,7 @@ def fit_on(docs: DataFrame, rows: int = 1500, chars: int = 2000) -> Finder:
     return fit([r["text"] for r in found.orderBy(F.xxhash64("doc_id"), "doc_id").collect()])
 
 
-SPANS = "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_spans bigint, redacted string"
+SPANS = "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, secrets string, n_spans bigint, redacted string"
 
 
 def redact(text: str, spans: list[Span]) -> str:
@@ -406,10 +418,11 @@ def redact(text: str, spans: list[Span]) -> str:
 
 
 def find_personal_data(docs: DataFrame, model: Finder | None = None) -> DataFrame:
-    """docs with counts of base spans by kind, their digest, all spans and their number, and the text with spans replaced.
+    """docs with counts of base spans by kind, their digest, all spans of the base kinds, secrets, the number of both, and
+    the text with spans replaced.
 
-    Base spans are the patterns' matches; the network reads every whole text and adds spans of the base kinds and of
-    kind secret, unless they only repeat base ones (see with_found). Offsets are code points, end
+    Base spans are the patterns' matches; the network reads every whole text and adds spans of the base kinds, and
+    secrets, whole tokens, unless they only repeat base ones (see with_found). Offsets are code points, end
     exclusive. A null text is empty. Columns of docs with the results' names are replaced; an empty table trains on
     nothing and gives no rows.
     """
@@ -424,7 +437,7 @@ def find_personal_data(docs: DataFrame, model: Finder | None = None) -> DataFram
             for text, found in zip(texts, found_spans(finder, texts), strict=True):
                 base = base_spans(text)
                 spans = with_found(base, found)
-                rows.append((*(sum(s[2] == k for s in base) for k in range(4)), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans), redact(text, spans)))
+                rows.append((*(sum(s[2] == k for s in base) for k in range(4)), hashlib.sha256(joined(base).encode()).hexdigest(), joined([s for s in spans if s[2] < 4]), joined([s for s in spans if s[2] >= 4]), len(spans), redact(text, spans)))
             return list(zip(*rows, strict=True))
 
         return apply

@@ -23,8 +23,12 @@ def lines_of(text: str | None) -> list[list[bytes]]:
     return [line.translate(FOLD).split() for line in (text or "").encode("utf-8", "surrogatepass").split(b"\n")]
 
 
-def indicators(docs: list[list[list[bytes]]], labels: list[int], chance: float = 0.01, precision: float = 0.95) -> set[bytes]:
-    """Word features that stand almost only in toxic documents, in too many of them to be there by chance."""
+def indicators(docs: list[list[list[bytes]]], labels: list[int], chance: float = 0.5, precision: float = 0.88) -> set[bytes]:
+    """Word features that stand much more often in toxic documents, in too many of them to be there by chance.
+
+    precision is the share of toxic documents among those with the feature, if both labels were as frequent. The number
+    of features that pass by chance is below ``chance``: a binomial's tail is bounded by its divergence from the labels' share.
+    """
     seen = (Counter(), Counter())
     for lines, label in zip(docs, labels, strict=True):
         seen[label].update({f for w in {w for line in lines for w in line} for f in features_of(w)})
@@ -32,18 +36,24 @@ def indicators(docs: list[list[list[bytes]]], labels: list[int], chance: float =
     if not 0 < toxic < len(labels):
         return set()
     share = toxic / len(labels)
-    needed = (np.log(max(len(seen[1]), 1)) - np.log(chance)) / -np.log(share)
-    return {f for f, n in seen[1].items() if n >= needed and n >= precision * (n + seen[0][f] * share / (1 - share))}
+    needed = np.log(max(len(seen[1]), 1) / chance)
+
+    def tail(n: int, m: int) -> float:
+        """At least this many times less likely than certain: n toxic ones among n + m."""
+        return n * np.log(n / (n + m) / share) + (m * np.log(m / (n + m) / (1 - share)) if m else 0.0)
+
+    return {f for f, n in seen[1].items() if n >= precision * (n + (m := seen[0][f]) * share / (1 - share)) and tail(n, m) >= needed}
 
 
 @dataclass
 class Tagger:
-    """Feature weights and transitions of the field, and what turns a document's strongest marginal to its score."""
+    """Feature weights and transitions of the field, and what turns a document's marginals to its score: weights of the
+    strongest marginal's logit and of the logarithm of one plus their sum, and a bias."""
 
     weights: dict[bytes, float]
     bias: float
     change: np.ndarray
-    scale: tuple[float, float]
+    scale: tuple[float, float, float]
 
     def emissions(self) -> dict[bytes, float]:
         weights, bias = self.weights, self.bias
@@ -65,8 +75,12 @@ class Tagger:
         return np.split(marginals(scores, self.change, chains)[0], np.cumsum(sizes)[:-1]) if docs else []
 
     def score(self, p: np.ndarray) -> float:
-        top = float(p.max()) if len(p) else 0.0
-        return float(1 / (1 + np.exp(-(self.scale[0] * _logit(top) + self.scale[1]))))
+        return float(1 / (1 + np.exp(-(np.dot(self.scale[:2], _evidence(p)) + self.scale[2]))))
+
+
+def _evidence(p: np.ndarray) -> tuple[float, float]:
+    """What a document's marginals say: how sure the surest is, and how many words there are in all."""
+    return (float(_logit(p.max())), float(np.log1p(p.sum()))) if len(p) else (float(_logit(0.0)), 0.0)
 
 
 def _logit(p):
@@ -86,7 +100,7 @@ def fit(sample: list[tuple[str, int]], share: float | None = None, rounds: int =
     lengths = np.array([len(line) for lines in docs for line in lines], np.int64)
     if not marks or not words:
         p = np.clip(sum(labels) / len(labels) if labels else 0.0, 0.01, 0.5)
-        return Tagger({}, -10.0, np.zeros((2, 2)), (0.0, float(_logit(share or p))))
+        return Tagger({}, -10.0, np.zeros((2, 2)), (0.0, 0.0, float(_logit(share or p))))
     number: dict[bytes, int] = {}
     word = np.array([number.setdefault(w, len(number)) for w in words])
     count = Counter(f for w in number for f in features_of(w))
@@ -97,10 +111,10 @@ def fit(sample: list[tuple[str, int]], share: float | None = None, rounds: int =
     truth = (marked[word] & toxic_doc).astype(np.int64)
     chains = Chains(lengths)
     w, bias, change = train(None, (word, table), len(ids), truth, chains, rounds)
-    tagger = Tagger({f: float(w[i]) for f, i in ids.items() if abs(w[i]) > 0.02}, bias, change, (1.0, 0.0))
-    tops = np.array([p.max() if len(p) else 0.0 for p in tagger.tag(docs, tagger.emissions())])
-    slope, offset = logistic(_logit(tops)[:, None], np.array(labels, float)).tolist()
-    tagger.scale = (max(slope, 0.05), offset)
+    tagger = Tagger({f: float(w[i]) for f, i in ids.items() if abs(w[i]) > 0.02}, bias, change, (1.0, 0.0, 0.0))
+    seen = np.array([_evidence(p) for p in tagger.tag(docs, tagger.emissions())])
+    top, amount, offset = logistic(seen, np.array(labels, float)).tolist()
+    tagger.scale = (top, amount, offset + (float(_logit(share) - _logit(sum(labels) / len(labels))) / 2 if share else 0.0))
     return tagger
 
 
@@ -145,8 +159,13 @@ def held_out() -> Column:
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, usable: Column | None = None, rows: int = 2400, text_bytes: int = 20_000) -> Tagger:
-    """A tagger from at most ``rows`` labelled texts of at most ``text_bytes`` bytes each (see labelled_sample)."""
-    return fit(labelled_sample(docs, labels, "toxic", ~held_out() if usable is None else usable, rows, text_bytes))
+    """A tagger from at most ``rows`` labelled texts of at most ``text_bytes`` bytes each (see labelled_sample).
+
+    Scores are for odds half-way, by their geometric mean, between those of the sample, in which the labels are about as
+    frequent, and those of all labels that may be learnt from: a toxic document that is missed counts more than a wrong alarm."""
+    usable = ~held_out() if usable is None else usable
+    share = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & usable).agg(F.avg(F.col("toxic").cast("double"))).first()[0]
+    return fit(labelled_sample(docs, labels, "toxic", usable, rows, text_bytes), share)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:

@@ -8,7 +8,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from vellum.operators import anchors, blocks, catalog, markup, notation, runs, search_index
+from vellum.functions.scan import running_sum
+from vellum.operators import anchors, blocks, catalog, markup, merkle, notation, release, runs, search_index
 from vellum.sources import csv_ranges, readers
 
 
@@ -177,3 +178,47 @@ def test_picture_bytes_cross_no_exchange(spark):
     found = readers.image_inventory(spark.createDataFrame(rows, "url string, content binary"))
     assert sorted((r["url"], r["width"] or 0, r["height"] or 0, r["code"] or "") for r in found.collect()) == [("a", 3, 4, ""), ("a", 5, 6, ""), ("b", 7, 8, ""), ("c", 0, 0, "invalid-image"), ("d", 0, 0, "invalid-image"), ("e", 0, 0, "invalid-image")]
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+# scans by chunks
+def test_running_sums_by_chunks(spark):
+    rng = random.Random(12)
+    rows = [(k, i, rng.choice([None, 0, 1, 7])) for k in ("a", "b", None) for i in rng.sample(range(-50, 400), 200)]
+    got = running_sum(spark.createDataFrame(rows, "key string, no int, v int"), "key", "no", F.col("v"), "at", "total", chunk=16)
+    want = set()
+    for k in ("a", "b"):
+        at = 0
+        for _, no, v in sorted((r for r in rows if r[0] == k), key=lambda r: r[1]):
+            want.add((k, no, v, at, sum(r[2] or 0 for r in rows if r[0] == k)))
+            at += v or 0
+    assert {tuple(r) for r in got.where("key IS NOT NULL").collect()} == want
+
+
+def test_a_long_work_is_many_tasks(spark):
+    """A work of 120,000 blocks, 40,000 of them empty in one run: IDs and offsets by small chunks as by one."""
+    n = 120_000
+    text = F.when(F.col("id").between(50_000, 90_000) | (F.col("id") % 7 == 3), "").otherwise(F.concat(F.lit("line "), F.col("id") % 1000))
+    made = spark.range(n).select(F.lit(1).cast("long").alias("work_id"), F.col("id").cast("int").alias("block_no"), F.lit("paragraph").alias("kind"), F.lit(None).cast("string").alias("url"), text.alias("text"))
+    by = [blocks.block_offsets(blocks.block_ids(made, c), c) for c in (1000, n)]
+    digest = [r.agg(F.count(F.lit(1)), F.sum(F.xxhash64("block_no", "block_id", "at", "size", "total").cast("decimal(20,0)"))).first() for r in by]
+    assert digest[0] == digest[1] and digest[0][0] == n
+    assert by[0].select("block_id").distinct().count() == n
+
+
+# stored runs
+def test_a_diff_reads_the_buckets_that_differ(spark, tmp_path):
+    cols = "work_id string, status string, work_sha256 string, work_bytes bigint, flag string, converter string, raw_sha256 string"
+    old = [(f"{i:06}", "converted", f"h{i}", i, "f", "v1", f"r{i}") for i in range(5000)]
+    new = [r for r in old if r[0] != "000007"] + [("N00001", "converted", "h", 1, "f", "v1", "r")]
+    new = [(*r[:2], "changed", *r[3:6], "other") if r[0] == "000123" else r for r in new]
+    a, b = (spark.createDataFrame(rows, cols) for rows in (old, new))
+    pa, pb, pc = (str(tmp_path / x) for x in "abc")
+    for frame, path in ((a, pa), (b, pb), (a.repartition(3).orderBy(F.desc("work_id")), pc)):
+        merkle.write_bucketed_run(frame, path)
+    buckets = merkle.differing_buckets(spark, pa, pb)
+    assert len(buckets) <= 3 and merkle.differing_buckets(spark, pa, pc) == []
+    found = merkle.stored_diff(spark, pa, pb)
+    assert found.collect() == release.manifest_diff(a, b).collect() and found.count() == 3
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket#\d+ IN", found._jdf.queryExecution().toString())
+    assert {tuple(r) for r in merkle.frozen_buckets(spark, pa, pb).collect()} == {tuple(r) for r in runs.frozen_input_check(a, b).collect()}
+    assert merkle.stored_diff(spark, pa, pc).count() == 0

@@ -1,15 +1,19 @@
 """Lines and blocks of works: splitting, content-derived IDs, offsets, checks and JSON.
 
-Ordered jobs use windows partitioned by work_id (and then more) and ordered by block_no, so one exchange on work_id
-serves them all; the longest work bounds a task.
+IDs and offsets are scans by chunks of a work, so the longest work bounds no task; other ordered jobs use windows over a work.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vellum.functions.scan import CHUNK, running_sum
 from vellum.functions.text import is_blank, utf16_length
 
 NUL, OBJECT = "\0", "￼"
@@ -32,31 +36,47 @@ def _short(c: Column) -> Column:
     return F.substring(F.sha2(c, 256), 1, 12)
 
 
-def block_ids(blocks: DataFrame) -> DataFrame:
+def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The digests of a run of blocks without text, each made of its kind and the one before it."""
+    for batch in batches:
+        out = []
+        for h, kinds in zip(batch.column("before").to_pylist(), batch.column("kinds").to_pylist(), strict=True):
+            own = []
+            for kind in kinds:
+                h = hashlib.sha256(f"{kind}{NUL}{NUL}{h}".encode()).hexdigest()[:12]
+                own.append(h)
+            out.append(own)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("work_id", "nos", "kinds")), pa.array(out, pa.list_(pa.string()))], names=["work_id", "nos", "kinds", "hs"])
+
+
+def block_ids(blocks: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(work_id, block_no, kind, text, block_id) of all blocks but breaks; text is the visible one.
 
     An ID is a digest of kind and text, for figures of the URL too; a block without text takes the digest before it
-    into its own, through runs of such blocks. Equal digests are numbered from the second on.
+    into its own, through runs of such blocks. Equal digests are numbered from the second on. Runs are numbered by chunks
+    of a work and folded once each, so neither a long work nor a long run costs more than its length.
     """
     rows = blocks.where(~F.col("kind").isin(*BREAKS)).select("work_id", "block_no", "kind", "url", visible(F.col("kind"), F.col("text")).alias("text"))
-    order = Window.partitionBy("work_id").orderBy("block_no")
     key = F.when(F.col("kind") == "figure", F.concat_ws(NUL, F.lit("figure"), "url", "text")).otherwise(F.concat_ws(NUL, "kind", "text"))
-    filled = rows.withColumn("own", F.when(F.col("text") != "", _short(key))).withColumn("run", F.count("own").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    inside = Window.partitionBy("work_id", "run").orderBy("block_no").rowsBetween(Window.unboundedPreceding, 0)
-    empties = F.collect_list(F.when(F.col("own").isNull(), F.col("kind"))).over(inside)
-    before = F.coalesce(F.first("own", ignorenulls=True).over(inside), F.lit(""))
-    chained = filled.withColumn("kinds", empties).withColumn("before", before)
-    digest = F.coalesce("own", F.aggregate("kinds", F.col("before"), lambda a, k: _short(F.concat(k, F.lit(NUL + NUL), a))))
-    hashed = chained.select("work_id", "block_no", "kind", "text", digest.alias("h"))
+    filled = rows.withColumn("own", F.when(F.col("text") != "", _short(key))).drop("url")
+    numbered = running_sum(filled, "work_id", "block_no", F.col("own").isNotNull().cast("int"), "earlier", "all", chunk)
+    numbered = numbered.withColumn("run", F.col("earlier") + F.col("own").isNotNull().cast("int"))
+    # only blocks without text are gathered, with the digest that their run begins with
+    empty = F.when(F.col("own").isNull(), F.struct("block_no", "kind"))
+    runs = numbered.groupBy("work_id", "run").agg(F.coalesce(F.max("own"), F.lit("")).alias("before"), F.array_sort(F.collect_list(empty)).alias("e")).where("size(e) > 0")
+    type_of = rows.schema["work_id"].dataType.simpleString()
+    chained = runs.select("work_id", "before", F.col("e.block_no").alias("nos"), F.col("e.kind").alias("kinds")).mapInArrow(_chained, f"work_id {type_of}, nos array<int>, kinds array<string>, hs array<string>")
+    each = chained.select("work_id", F.explode(F.arrays_zip("nos", "kinds", "hs")).alias("x")).select("work_id", F.col("x.nos").cast(rows.schema["block_no"].dataType).alias("block_no"), F.col("x.kinds").alias("kind"), F.lit("").alias("text"), F.col("x.hs").alias("h"))
+    hashed = numbered.where("own IS NOT NULL").select("work_id", "block_no", "kind", "text", F.col("own").alias("h")).unionByName(each)
     n = F.row_number().over(Window.partitionBy("work_id", "h").orderBy("block_no"))
     return hashed.withColumn("n", n).select("work_id", "block_no", "kind", "text", F.concat(F.lit("p-"), "h", F.when(F.col("n") > 1, F.concat(F.lit("-"), "n")).otherwise("")).alias("block_id"))
 
 
-def block_offsets(identified: DataFrame) -> DataFrame:
-    """block_ids' rows with at, the UTF-16 units before the block in its work, size and the work's total."""
-    order = Window.partitionBy("work_id").orderBy("block_no").rowsBetween(Window.unboundedPreceding, -1)
+def block_offsets(identified: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """block_ids' rows with at, the UTF-16 units before the block in its work, size and the work's total; long works are
+    summed by chunks."""
     sized = identified.withColumn("size", utf16_length(F.col("text")))
-    return sized.withColumn("at", F.coalesce(F.sum("size").over(order), F.lit(0))).withColumn("total", F.sum("size").over(Window.partitionBy("work_id")))
+    return running_sum(sized, "work_id", "block_no", F.col("size"), "at", "total", chunk)
 
 
 def visible_lines(lines: DataFrame) -> DataFrame:

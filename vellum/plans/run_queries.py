@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.operators import release, runs
+from vellum.operators import merkle, release, runs
 from vellum.sources.adapters import CANDIDATE, FETCHED, PREVIOUS, oracle, read, view
+from vellum.sources.scratch import fresh_folder
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -168,14 +169,26 @@ def read_manifest(spark, sf):
     return reduce(DataFrame.unionByName, (runs.read_manifest(*case).withColumn("path", F.lit(name)) for name, case in cases.items()))
 
 
-@query("manifest_diff", """SELECT * FROM (SELECT coalesce(p.work_id, c.work_id) AS work_id, CASE WHEN p.work_id IS NULL THEN 'added' WHEN c.work_id IS NULL THEN 'removed' WHEN c.flag <> p.flag THEN 'rights'
+DIFF = """SELECT * FROM (SELECT coalesce(p.work_id, c.work_id) AS work_id, CASE WHEN p.work_id IS NULL THEN 'added' WHEN c.work_id IS NULL THEN 'removed' WHEN c.flag <> p.flag THEN 'rights'
   WHEN p.status = 'converted' AND c.status = 'failed' THEN 'new-failure' WHEN p.status = 'failed' AND c.status = 'converted' THEN 'repaired' WHEN c.converter <> p.converter THEN 'converter'
-  WHEN c.work_sha256 IS DISTINCT FROM p.work_sha256 THEN CASE WHEN c.work_bytes <> p.work_bytes THEN 'size' ELSE 'content' END END AS change, p.work_bytes AS old_bytes, c.work_bytes AS new_bytes FROM prev p FULL JOIN cand c ON p.work_id = c.work_id) WHERE change IS NOT NULL""")
+  WHEN c.work_sha256 IS DISTINCT FROM p.work_sha256 THEN CASE WHEN c.work_bytes <> p.work_bytes THEN 'size' ELSE 'content' END END AS change, p.work_bytes AS old_bytes, c.work_bytes AS new_bytes FROM prev p FULL JOIN cand c ON p.work_id = c.work_id) WHERE change IS NOT NULL"""
+
+
+@query("manifest_diff", DIFF)
 def manifest_diff(spark, sf):
     t = Tables(spark, sf)
     return release.manifest_diff(t.prev, t.cand)
 
 
+@query("stored_diff", DIFF)
+def stored_diff(spark, sf):
+    """The same difference, of runs stored by buckets with their trees of digests."""
+    t, old, new = Tables(spark, sf), fresh_folder(spark), fresh_folder(spark)
+    merkle.write_bucketed_run(t.prev, old)
+    merkle.write_bucketed_run(t.cand, new)
+    return merkle.stored_diff(spark, old, new)
+
+
 @query("tombstones", "SELECT p.work_id, p.title, p.author, CASE WHEN c.flag <> 'なし' THEN 'rights' WHEN c.status = 'failed' THEN 'failed' ELSE 'removed' END AS reason FROM prev p LEFT JOIN cand c ON p.work_id = c.work_id WHERE p.flag = 'なし' AND p.status = 'converted' AND NOT coalesce(c.flag = 'なし' AND c.status = 'converted', false)")
 def tombstones(spark, sf):
     t = Tables(spark, sf)

@@ -382,7 +382,9 @@ def line_faults(lines: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     rows = laid_out(lines)
     # a line's own layout and its part in a range are both told by one row
     ranges = rows.select("work_id", "no", F.explode(F.array("own_code", "code")).alias("code"), F.lit(0).alias("col"))
-    spans = (_spans(notes, "emphasis", DOTS), _spans(notes, "container", CONTAINERS), placed_headings(notes), placed_captions(rows))
+    # a pair that isn't closed is told by span_pairs, at the note that breaks the order
+    mine = ~((F.col("form") == "pair") & (F.col("code") == "unclosed-notation"))
+    spans = (*(df.where(mine) for df in (_spans(notes, "emphasis", DOTS), _spans(notes, "container", CONTAINERS), placed_headings(notes))), placed_captions(rows))
     faulty = (unclosed, glyphs, ruby_pairs(tokens), span_pairs(notes), ranges, *spans)
     return reduce(DataFrame.unionByName, (place(df, F.col("col")) for df in faulty), unknown_notation(notes, lines))
 

@@ -215,11 +215,11 @@ def to_blocks(spark, sf):
 
 
 _caption_col = f"CASE WHEN contains(line, '［＃キャプション］') THEN {_units("split_part(line, '［＃キャプション］', 1)")} ELSE {_units("regexp_extract(line, '^(.*)［＃[^］]*］$', 1)")} END"
-_spans_with_col = lambda sql: f"SELECT s.work_id, s.no, nt.col, s.code FROM ({sql}) s JOIN nt ON s.work_id = nt.work_id AND s.no = nt.no AND s.token_no = nt.token_no"
+_spans_with_col = lambda sql: f"SELECT s.work_id, s.no, nt.col, s.code FROM ({sql}) s JOIN nt ON s.work_id = nt.work_id AND s.no = nt.no AND s.token_no = nt.token_no WHERE s.form = 'trailing'"
 FAULTS = f"""SELECT * FROM unk UNION ALL SELECT * FROM (SELECT work_id, no, col, 'unclosed-notation' AS code FROM tk WHERE kind = 'unclosed'
   UNION ALL SELECT g.work_id, g.no, t.col, g.code FROM gj g JOIN tk t ON g.work_id = t.work_id AND g.no = t.no AND g.token_no = t.token_no UNION ALL SELECT work_id, no, col, code FROM ruby UNION ALL SELECT * FROM sp
   UNION ALL SELECT work_id, no, 0, code FROM ll UNION ALL SELECT work_id, no, 0, code FROM cr UNION ALL {_spans_with_col(_span_sql("emphasis", n.DOTS, True))} UNION ALL {_spans_with_col(_span_sql("container", n.CONTAINERS, False))}
-  UNION ALL SELECT work_id, no, col, code FROM ({HEADINGS_SQL}) UNION ALL SELECT c.work_id, c.no, {_caption_col}, c.code FROM ({CAPTIONS_SQL}) c JOIN mk ON c.work_id = mk.work_id AND c.no = mk.no) WHERE code IS NOT NULL"""
+  UNION ALL SELECT work_id, no, col, code FROM ({HEADINGS_SQL}) WHERE NOT (form = 'pair' AND code = 'unclosed-notation') UNION ALL SELECT c.work_id, c.no, {_caption_col}, c.code FROM ({CAPTIONS_SQL}) c JOIN mk ON c.work_id = mk.work_id AND c.no = mk.no) WHERE code IS NOT NULL"""
 _first = lambda faults: f"""SELECT work_id, f.line, f."column", f.code, {_case('f.code', {k: v.replace("'", "''") for k, v in n.MESSAGES.items()})} AS message FROM (SELECT work_id, min({{'line': line, 'column': "column", 'code': code}}) AS f FROM ({faults}) GROUP BY work_id)"""
 
 

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 from vellum.functions.text import utf16_length
 from vellum.operators import anchors as a
 from vellum.operators import blocks as b
+from vellum.operators import documents
 from vellum.sources.adapters import BLOCKS, REVISED, oracle, read, view
 from vellum.sources.scratch import kept
 
@@ -159,3 +160,27 @@ def validate_work_table(spark, sf):
 @query("work_json", "SELECT work_id, CAST(NULL AS STRING) AS problem, block_no, kind, text FROM cur")
 def work_json(spark, sf):
     return b.read_work_json(b.work_json(b.block_ids(blocks_of(spark, sf))))
+
+
+#: Each block as a text of the closed format, some with a fault.
+_told = """SELECT work_id, block_no, CASE
+  WHEN kind = 'pageBreak' THEN to_json(named_struct('kind', kind, 'style', CASE WHEN work_id % 13 = 2 THEN 'scroll' ELSE 'leaf' END))
+  WHEN kind = 'figure' THEN to_json(named_struct('kind', kind, 'id', id, 'image', named_struct('url', 'https://library.example/cards/' || CASE WHEN work_id % 37 = 9 THEN '000013' ELSE '000012' END || '/files/' || block_no || '.png'), 'alt', '', 'size', named_struct('width', CASE WHEN work_id % 17 = 3 THEN 10001 ELSE 10 END, 'height', 20), 'caption', nodes))
+  ELSE to_json(named_struct('kind', kind, 'id', id, 'level', CASE WHEN kind = 'heading' THEN 'small' END, 'layout', named_struct('kind', 'none'), 'inline', nodes, 'extra', CASE WHEN kind = 'paragraph' AND work_id % 11 = 1 THEN 1 END)) END AS block
+  FROM (SELECT *, 'b' || CASE WHEN work_id % 7 = 4 THEN block_no % 9 ELSE block_no END AS id, filter(array(named_struct('kind', CASE WHEN kind <> 'figure' AND work_id % 5 = 4 AND block_no % 10 = 3 THEN 'txt' ELSE 'text' END, 'text', text)), n -> n.text <> '') AS nodes FROM {blocks})"""
+_document = """SELECT work_id, CASE WHEN work_id % 29 = 7 THEN left(json, length(json) - 1) ELSE json END AS json FROM (SELECT work_id, '{{"schemaVersion":' || CASE WHEN work_id % 23 = 6 THEN '2' ELSE '1' END || ',"id":"' || lpad(work_id, 6, '0') || '","title":"' || CASE WHEN work_id % 19 = 5 THEN '' ELSE 'T' END
+  || '","orthography":"x","people":[{{"role":"author","name":"A"}}],"provenance":{{"copyright":{{"work":"なし"}},"converter":{{"version":"1.0.0","path":"xhtml"}},"bibliography":["b"],"source":{{"upstreamUpdated":"2024-02-29","cardUrl":"https://library.example/cards/000012/card' || work_id || '.html","fileUrl":"https://library.example/cards/000012/files/' || work_id || '_1.html"}}}},"blocks":['
+  || array_join(transform(array_sort(collect_list(struct(block_no, block))), b -> b.block), ',') || ']}}' AS json FROM {told} GROUP BY work_id)"""
+
+
+@query("document_faults", """, q AS (SELECT *, work_id AS w, 'b' || CAST(CASE WHEN work_id % 7 = 4 THEN block_no % 9 ELSE block_no END AS STRING) AS id, '$.blocks[' || CAST(row_number() OVER (PARTITION BY work_id ORDER BY block_no) - 1 AS STRING) || ']' AS p FROM blk),
+  f AS (SELECT w, 3 AS o, block_no AS i, 0 AS n, p || '.extra' AS path, 'unknown field' AS message FROM q WHERE kind = 'paragraph' AND w % 11 = 1 UNION ALL SELECT w, 3, block_no, 0, p || '.style', 'not an allowed value' FROM q WHERE kind = 'pageBreak' AND w % 13 = 2
+  UNION ALL SELECT w, 3, block_no, 0, p || '.size.width', 'not a whole number from 1 to 10000' FROM q WHERE kind = 'figure' AND w % 17 = 3 UNION ALL SELECT w, 3, block_no, 8, p || '.inline[0].kind', 'unknown kind' FROM q WHERE kind IN ('paragraph', 'heading') AND w % 5 = 4 AND block_no % 10 = 3 AND text <> ''
+  UNION ALL SELECT w, 4, block_no, 0, p || '.id', 'repeated' FROM (SELECT *, row_number() OVER (PARTITION BY w, id ORDER BY block_no) AS r FROM q WHERE kind <> 'pageBreak') WHERE r > 1 UNION ALL SELECT DISTINCT w, 5, 0, 0, '$.title', 'not a filled text' FROM q WHERE w % 19 = 5
+  UNION ALL SELECT w, 9, block_no, 0, p || '.image.url', 'not a file of this work' FROM q WHERE kind = 'figure' AND w % 37 = 9)
+  SELECT DISTINCT w AS work_id, CASE WHEN w % 29 = 7 THEN 'unreadable' ELSE 'unsupported-version' END AS code, CAST(NULL AS STRING) AS path, CAST(NULL AS STRING) AS message FROM q WHERE w % 29 = 7 OR w % 23 = 6
+  UNION ALL SELECT w, 'invalid', path, message FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY o, i, n) AS r FROM f WHERE w % 29 <> 7 AND w % 23 <> 6) WHERE r = 1""")
+def document_faults(spark, sf):
+    """Documents of the closed format, written from every block, and read back as strangers' texts."""
+    told = view(spark, _told, blocks=blocks_of(spark, sf))
+    return documents.document_faults(kept(view(spark, _document, told=told)))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.operators import merkle, release, runs
+from vellum.operators import merkle, publish, release, runs
 from vellum.sources.adapters import CANDIDATE, FETCHED, PREVIOUS, oracle, read, view
 from vellum.sources.scratch import fresh_folder
 
@@ -209,3 +209,24 @@ def feature_now(spark, sf):
     e = read(spark, sf, "events")
     f = e.groupBy(F.col("user_id").alias("feature_id")).agg(F.to_date(F.min("ts")).alias("start"), F.to_date(F.max("ts")).alias("end")).withColumn("evergreen", F.col("feature_id") % 20 == 0)
     return release.feature_now(f, "2024-01-15")
+
+
+@query("bounded_shards", """, s AS (SELECT work_id, work_id || ' ' || coalesce(title, '') || ' ' || coalesce(work_sha256, '') AS value FROM cand), z AS (SELECT *, CAST(strlen(value) + 1 AS BIGINT) AS bytes FROM s),
+  y AS (SELECT *, CAST(coalesce(sum(bytes) OVER (ORDER BY work_id, value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM z)
+  SELECT work_id, value, bytes, before // (4096 - (SELECT max(bytes) FROM z) + 1) AS shard, CAST(NULL AS STRING) AS code FROM y""")
+def bounded_shards(spark, sf):
+    return publish.bounded_shards(Tables(spark, sf).cand, "work_id", F.concat_ws(" ", "work_id", F.coalesce("title", F.lit("")), F.coalesce("work_sha256", F.lit(""))), 4096)
+
+
+def _texts(rows):
+    return rows.select(F.concat(F.lit("p"), F.substring("work_id", 6, 1)).alias("folder"), F.concat_ws(" ", "work_id", F.coalesce("work_sha256", F.lit("-"))).alias("value"))
+
+
+@query("release_commit", """ SELECT 2 AS release, 'p' || substr(work_id, 6, 1) AS folder, work_id || ' ' || coalesce(work_sha256, '-') AS value FROM cand""")
+def release_commit(spark, sf):
+    """The last run is released, then the candidate; an attempt in between is staged and never committed."""
+    t, root = Tables(spark, sf), fresh_folder(spark)
+    publish.commit(spark, root, publish.stage({"works": _texts(t.prev)}, root))
+    publish.stage({"works": _texts(t.prev.where("status = 'failed'"))}, root)
+    number = publish.commit(spark, root, publish.stage({"works": _texts(t.cand)}, root))
+    return publish.read_release(spark, root, "works").select(F.lit(number).alias("release"), "folder", "value")

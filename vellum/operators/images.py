@@ -6,10 +6,13 @@ Digests and sizes travel through the plans; bytes are joined only where an asset
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellum.functions.skew import spread_join
+
 HOST = "https://library.example"
 MIMES = ("image/png", "image/jpeg", "image/gif")
 
@@ -45,15 +48,11 @@ def distinct_images(refs: DataFrame) -> DataFrame:
     return refs.groupBy("url").agg(F.count_distinct("work_id").alias("works"))
 
 
-def _with_inventory(refs: DataFrame, inventory: DataFrame) -> DataFrame:
-    # A few glyphs are shared by very many works: pre-aggregated references would lose works, so the join is left to
-    # AQE, which splits such a URL's rows.
-    return refs.join(inventory, "url", "left")
-
+def image_budget(refs: DataFrame, inventory: DataFrame, most: int = 32 << 20, hot: Sequence[str] = ()) -> DataFrame:
+    """(work_id, bytes, code, url): the first failed picture by URL, else images-too-large beyond ``most`` raw bytes.
 
-def image_budget(refs: DataFrame, inventory: DataFrame, most: int = 32 << 20) -> DataFrame:
-    """(work_id, bytes, code, url): the first failed picture by URL, else images-too-large beyond ``most`` raw bytes."""
-    j = _with_inventory(refs, inventory).withColumn("code", F.coalesce("code", F.when(F.col("sha256").isNull(), "missing-image")))
+    hot: URLs that very many works share (see hot_keys), whose references are spread; without it the join is left to AQE."""
+    j = spread_join(refs, inventory, "url", hot, ["work_id"], "left").withColumn("code", F.coalesce("code", F.when(F.col("sha256").isNull(), "missing-image")))
     per = j.groupBy("work_id").agg(F.coalesce(F.sum(F.when(F.col("code").isNull(), F.col("byte_length"))), F.lit(0)).alias("bytes"), F.min(F.when(F.col("code").isNotNull(), F.struct("url", "code"))).alias("f"))
     return per.select("work_id", "bytes", F.coalesce(F.col("f.code"), F.when(F.col("bytes") > most, "images-too-large")).alias("code"), F.col("f.url").alias("url"))
 
@@ -67,9 +66,9 @@ def unreferenced_images(refs: DataFrame, supplied: DataFrame) -> DataFrame:
     return missing_images(supplied, refs)
 
 
-def inline_images(refs: DataFrame, inventory: DataFrame) -> DataFrame:
-    """(work_id, images): a map from URL to picture, at the edge only."""
-    j = refs.join(inventory.where("code IS NULL"), "url")
+def inline_images(refs: DataFrame, inventory: DataFrame, hot: Sequence[str] = ()) -> DataFrame:
+    """(work_id, images): a map from URL to picture, at the edge only. hot: shared URLs, as for image_budget."""
+    j = spread_join(refs, inventory.where("code IS NULL"), "url", hot, ["work_id"])
     entry = F.struct("url", F.struct("mime", "width", "height", "sha256").alias("image"))
     return j.groupBy("work_id").agg(F.map_from_entries(F.array_sort(F.collect_set(entry))).alias("images"))
 
@@ -106,12 +105,13 @@ def asset_files(rows: DataFrame, limit: int, most_parts: int = 1000) -> DataFram
     return per.select("work_id", F.posexplode(files).alias("n", "f"), code.alias("code")).select("work_id", "n", "f.path", "f.urls", "code")
 
 
-def split_parts(refs: DataFrame, inventory: DataFrame, limit: int, most_parts: int = 1000) -> DataFrame:
+def split_parts(refs: DataFrame, inventory: DataFrame, limit: int, most_parts: int = 1000, hot: Sequence[str] = ()) -> DataFrame:
     """(work_id, url, size, part, code): pictures in URL order packed greedily into parts of at most nine tenths of ``limit``.
 
-    A picture is as large as its entry in a part's JSON: URL, type, sizes, and its bytes in base64, with a comma. Only works beyond one part are folded. A picture beyond a part is ``image-too-large``; too many parts is a fault of the work."""
+    A picture is as large as its entry in a part's JSON: URL, type, sizes, and its bytes in base64, with a comma. Only works beyond one part are folded. A picture beyond a part is ``image-too-large``; too many parts is a fault of the work.
+    hot: shared URLs, as for image_budget."""
     budget = limit * 9 // 10
-    sized = refs.join(inventory.where("code IS NULL").select("url", entry_size().alias("size")), "url")
+    sized = spread_join(refs, inventory.where("code IS NULL").select("url", entry_size().alias("size")), "url", hot, ["work_id"])
     work = sized.groupBy("work_id").agg(F.array_sort(F.collect_list(F.struct("url", "size"))).alias("e"), F.sum("size").alias("total"))
     start = F.struct(F.lit(1).alias("part"), F.lit(0).cast("long").alias("held"), F.array().cast("array<int>").alias("parts"))
 

@@ -1,8 +1,8 @@
 """What a run can reuse, what a fetch leads to, what may be committed, and how two runs differ.
 
 Records are flat rows: work_id, path, url, updated, input_sha256, raw_sha256, converter, status, code, work_sha256,
-work_bytes, and for releases flag, title, author. All joins are on work_id (and path), so tables bucketed by work_id
-join without an exchange.
+work_bytes, and for releases flag, title, author. All joins are on work_id, so tables bucketed by it (state.py) join
+without an exchange.
 """
 
 from __future__ import annotations
@@ -57,24 +57,30 @@ def read_manifest(records: DataFrame, counts: DataFrame, version: int = 1) -> Da
     return counts.crossJoin(real).select(checks.alias("outcome"), "total", "converted", "failed")  # a row each
 
 
+def _sources(previous: DataFrame) -> DataFrame:
+    """(work_id, old): the converted records of each work, gathered by work_id alone, so that tables bucketed by it need no
+    exchange."""
+    fields = F.struct("path", "url", "input_sha256", "converter", "raw_sha256")
+    return previous.where("status = 'converted'").groupBy("work_id").agg(F.array_sort(F.collect_list(fields)).alias("old"))
+
+
 def reuse_previous(targets: DataFrame, previous: DataFrame, intact: DataFrame, revalidate: bool = False) -> DataFrame:
     """(work_id, path, decision): ``reuse`` where inputs and converter are as in the last run and the artifact is whole."""
-    old = previous.where("status = 'converted'").select("work_id", "path", "url", F.col("input_sha256").alias("old_input"), F.col("converter").alias("old_converter"), F.col("raw_sha256").alias("old_raw"))
-    joined = targets.join(old, ["work_id", "path", "url"], "left").join(intact.select("work_id", F.lit(True).alias("intact")), "work_id", "left")
-    same = (F.col("input_sha256") == F.col("old_input")) & (F.col("converter") == F.col("old_converter")) & F.coalesce("intact", F.lit(False)) & F.lit(not revalidate)
-    return joined.select("work_id", "path", F.when(F.coalesce(same, F.lit(False)), "reuse").when(F.col("old_raw").isNotNull(), "revalidate").otherwise("fetch").alias("decision"))
+    joined = targets.join(_sources(previous), "work_id", "left").join(intact.select("work_id", F.lit(True).alias("intact")), "work_id", "left")
+    joined = joined.withColumn("o", F.get(F.filter("old", lambda o: (o["path"] == F.col("path")) & (o["url"] == F.col("url"))), F.lit(0)))
+    same = (F.col("input_sha256") == F.col("o.input_sha256")) & (F.col("converter") == F.col("o.converter")) & F.coalesce("intact", F.lit(False)) & F.lit(not revalidate)
+    return joined.select("work_id", "path", F.when(F.coalesce(same, F.lit(False)), "reuse").when(F.col("o.raw_sha256").isNotNull(), "revalidate").otherwise("fetch").alias("decision"))
 
 
 def fetch_outcome(fetched: DataFrame, targets: DataFrame, previous: DataFrame) -> DataFrame:
     """(work_id, path, outcome) of each fetched path: fetch-status, not-modified, unchanged, a conversion fault, or converted."""
-    old = previous.where("status = 'converted'").select("work_id", "path", F.col("raw_sha256").alias("old_raw"), F.col("input_sha256").alias("old_input"), F.col("converter").alias("old_converter"))
     now = targets.select("work_id", "input_sha256", "converter")
-    j = fetched.join(now, "work_id").join(old, ["work_id", "path"], "left")
-    same = F.coalesce((F.col("input_sha256") == F.col("old_input")) & (F.col("converter") == F.col("old_converter")), F.lit(False))
-    kept = F.col("old_raw").isNotNull()
+    j = fetched.join(now, "work_id").join(_sources(previous), "work_id", "left").withColumn("o", F.get(F.filter("old", lambda o: o["path"] == F.col("path")), F.lit(0)))
+    same = F.coalesce((F.col("input_sha256") == F.col("o.input_sha256")) & (F.col("converter") == F.col("o.converter")), F.lit(False))
+    kept = F.col("o.raw_sha256").isNotNull()
     outcome = (
         F.when((F.col("http") == 304) & ~kept, "fetch-status").when((F.col("http") == 304) & same, "not-modified").when(~F.col("http").isin(200, 304), "fetch-status")
-        .when((F.col("http") == 200) & kept & same & (F.col("body_sha256") == F.col("old_raw")), "unchanged").when(F.col("convert_code").isNotNull(), F.col("convert_code")).otherwise("converted")
+        .when((F.col("http") == 200) & kept & same & (F.col("body_sha256") == F.col("o.raw_sha256")), "unchanged").when(F.col("convert_code").isNotNull(), F.col("convert_code")).otherwise("converted")
     )
     return j.select("work_id", "path", outcome.alias("outcome"))
 

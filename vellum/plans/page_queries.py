@@ -9,6 +9,7 @@ import zipfile
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from vellum.functions.skew import frequent_keys, hot_keys
 from vellum.operators import images as im
 from vellum.operators import markup as m
 from vellum.plans.block_queries import UNSEEN
@@ -181,6 +182,20 @@ def inline_images(spark, sf):
     return images.select("work_id", F.explode("images").alias("url", "i")).select("work_id", "url", "i.mime", "i.width", "i.height", "i.sha256")
 
 
+@query("frequent_images", "SELECT url AS key, count(*) AS n FROM rf GROUP BY url HAVING count(*) > 0.02 * (SELECT count(*) FROM rf)")
+def frequent_images(spark, sf):
+    """URLs of more than a fiftieth of all references."""
+    return frequent_keys(_refs(spark, sf), "url", 0.02)
+
+
+@query("shared_inline_images", "SELECT work_id, url, mime, width, height, sha256 FROM rf JOIN inv USING (url) WHERE code IS NULL")
+def shared_inline_images(spark, sf):
+    """Pictures of works, with the references of shared glyphs spread over tasks."""
+    refs = _refs(spark, sf)
+    images = im.inline_images(refs, _inventory(spark, sf), hot_keys(refs, "url", 0.02))
+    return images.select("work_id", F.explode("images").alias("url", "i")).select("work_id", "url", "i.mime", "i.width", "i.height", "i.sha256")
+
+
 @query("reuse_images", f"SELECT url, CASE WHEN NOT {_allowed('url')} THEN 'invalid-url' WHEN coalesce(sha256 = stored_sha256, false) THEN 'reuse' ELSE 'fetch' END AS decision FROM (SELECT DISTINCT url FROM rf) LEFT JOIN kp USING (url)")
 def reuse_images(spark, sf):
     refs = _refs(spark, sf)

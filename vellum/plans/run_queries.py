@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.operators import merkle, publish, release, runs
+from vellum.operators import merkle, publish, release, runs, state
 from vellum.sources.adapters import CANDIDATE, FETCHED, PREVIOUS, oracle, read, view
 from vellum.sources.scratch import fresh_folder
 
@@ -85,6 +85,16 @@ def verify_artifacts(spark, sf):
     return runs.verify_artifacts(t.kept, t.arts)
 
 
+@query("next_run", "SELECT d.work_id, d.decision, d.work_id IN (SELECT work_id FROM pend) AS pending, k.path, k.outcome, k.attempts FROM decided d LEFT JOIN picked k USING (work_id)")
+def next_run(spark, sf):
+    """The four tables of a run, stored in buckets and read by the next one."""
+    t, root = Tables(spark, sf), fresh_folder(spark)
+    tables = {"targets": t.cand.select("work_id", "path", "url", "input_sha256", "converter"), "previous": t.prev.select(*(f.split()[0] for f in runs.RECORD.split(", "))), "intact": t.intact, "fetched": t.got}
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    mark = root.rsplit("-", 1)[-1]
+    return state.next_run(*(state.write_state(rows, f"{name}_{mark}", root, buckets) for name, rows in tables.items()))
+
+
 @query("manifest_counts", "SELECT count(*) AS total, count(*) FILTER (status = 'converted') AS converted, count(*) FILTER (status = 'failed') AS failed FROM cand")
 def manifest_counts(spark, sf):
     return runs.manifest_counts(Tables(spark, sf).cand)

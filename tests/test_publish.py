@@ -120,3 +120,50 @@ def test_the_list_holds_sizes_and_digests_of_the_compressed_files(spark, tmp_pat
     assert sorted(r["problem"] for r in publish.check_current(spark, root).collect()) == ["changed", "extra"]
     os.remove(files[0])
     assert sorted(r["problem"] for r in publish.check_current(spark, root).collect()) == ["changed", "extra", "missing"]
+
+
+def packed_works(spark, root):
+    """Four works: one file, a document with two parts, pictures that fail, a document that stays large when compressed."""
+    from vellum.operators import images
+    from vellum.sources import readers
+
+    rng = random.Random(3)
+    noise = "".join(chr(rng.randint(97, 122)) for _ in range(4000))
+    works = spark.createDataFrame([(1, "a" * 3000), (2, "b" * 300), (3, "c"), (4, noise)], "work_id bigint, json string")
+    known = spark.createDataFrame([(f"u{i}", "d", 300, "image/png", 1, 1, "invalid-image" if i == 9 else None) for i in range(10)], "url string, sha256 string, byte_length bigint, mime string, width int, height int, code string")
+    refs = spark.createDataFrame([(1, "u1"), *((2, f"u{i}") for i in range(8)), (3, "u9"), (3, "u8")], "work_id bigint, url string")
+    own = works.select("work_id", F.char_length("json").cast("long").alias("own"))
+    parts = images.split_parts(refs, known, 4100)
+    assert parts.where("work_id = 2").agg(F.max("part")).first()[0] == 2 or parts.where("work_id = 2").agg(F.sum("size")).first()[0] <= 4100
+    files = images.asset_files(own.join(parts, "work_id", "left"), 4100)
+    failed = publish.failed_works(images.image_budget(refs, known, 1 << 20), files)
+    pictures = refs.join(known.where("code IS NULL"), "url").select("work_id", "url", "mime", "width", "height", F.lit("QQ==" * 100).alias("data"))
+    sound = files.join(failed.select("work_id"), "work_id", "left_anti")
+    return files, failed, publish.stage_assets(readers.pack_assets(works, sound, pictures), root)
+
+
+def test_results_are_of_files_as_compressed_and_failures_are_told(spark, tmp_path):
+    import gzip
+    import hashlib
+    import json
+
+    root = str(tmp_path / "r")
+    files, failed, attempt = packed_works(spark, root)
+    staged = publish.staged_files(spark, root, attempt)
+    got = publish.asset_results(staged, files, failed, 2000).collect()
+    wrong = {r["work_id"]: (r["code"], r["url"]) for r in got if r["path"] is None}
+    assert wrong == {3: ("invalid-image", "u9"), 4: ("file-too-large", None)}
+    assert all(r["message"] == publish.MESSAGES[r["code"]] for r in got if r["path"] is None)
+    listed = {r["path"]: r for r in got if r["path"]}
+    assert {r["work_id"] for r in listed.values()} == {1, 2} and all(r["code"] is None for r in listed.values())
+    for path, r in listed.items():
+        name = path.removeprefix("works/").removesuffix(".json.gz")
+        (file,) = glob.glob(f"{root}/attempts/{attempt}/works/folder={name}/*.gz")
+        raw = open(file, "rb").read()
+        assert (r["bytes"], r["sha256"]) == (len(raw), hashlib.sha256(raw).hexdigest())
+        assert len(json.loads(gzip.decompress(raw))["images"]) == r["images"]
+    assert sum(r["images"] for r in listed.values() if r["work_id"] == 2) == 8
+    assert {r["work_id"] for r in publish.asset_results(staged, files, failed).collect() if r["path"]} == {1, 2, 4}
+    lost = publish.asset_results(staged.where("path NOT LIKE '%000001%'"), files, failed, 2000).collect()
+    assert ("missing-file",) in {(r["code"],) for r in lost if r["work_id"] == 1} and not [r for r in lost if r["work_id"] == 1 and r["path"]]
+    assert publish.asset_results(staged, files.where("false"), failed.where("false")).collect() == []

@@ -140,3 +140,54 @@ def orphans(spark: SparkSession, root: str, keep: int = 2) -> DataFrame:
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{root}/attempts").select("path", "length")
     each = found.groupBy(F.regexp_extract("path", "/attempts/([0-9a-f]{32})/", 1).alias("attempt")).agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
     return each.join(F.broadcast(named), "attempt", "left_anti")  # named: ``keep`` rows
+
+
+#: What a failed work is told, by code; others give their own name.
+MESSAGES = {
+    "images-too-large": "the pictures of the work are too large together",
+    "image-too-large": "a picture does not fit into a part",
+    "too-many-parts": "the pictures of the work need too many parts",
+    "work-too-large": "the document does not fit into its file",
+    "missing-image": "a picture of the work was not found",
+    "invalid-image": "a picture of the work can't be used",
+    "invalid-url": "a picture's URL may not be used",
+    "file-too-large": "a file of the work is too large as compressed",
+    "missing-file": "a file of the work was not written",
+}
+
+
+def _name(path: Column) -> Column:
+    return F.regexp_extract(path, r"^works/(.*)\.json\.gz$", 1)
+
+
+def stage_assets(packed: DataFrame, root: str) -> str:
+    """Write pack_assets' files, each as a gzip file in a folder of its name; the name of the attempt is returned.
+
+    Bytes are shuffled once, by file. Names of files are those of works and their parts, which are told apart."""
+    return stage({"works": packed.select(_name(F.col("path")).alias("folder"), "value")}, root)
+
+
+def failed_works(budget: DataFrame, files: DataFrame) -> DataFrame:
+    """(work_id, code, url): one row a work that can't be packed. budget: image_budget's rows, whose fault goes first; files:
+    asset_files' rows."""
+    first = budget.where("code IS NOT NULL").select("work_id", F.struct(F.lit(0).alias("rank"), "code", "url").alias("f"))
+    then = files.where("code IS NOT NULL").select("work_id", F.struct(F.lit(1).alias("rank"), "code", F.lit(None).cast("string").alias("url")).alias("f"))
+    return first.unionByName(then).groupBy("work_id").agg(F.min("f").alias("f")).select("work_id", "f.code", "f.url")
+
+
+def asset_results(staged: DataFrame, files: DataFrame, failed: DataFrame, most_bytes: int = 25 << 20) -> DataFrame:
+    """(work_id, path, images, bytes, sha256, code, message, url): a row for each file as it lies there, compressed, and one for
+    each work that failed, which has no path.
+
+    staged: staged_files' rows; files: asset_files' rows; failed: failed_works'. A work of which a file is larger than
+    ``most_bytes``, or isn't there, fails as a whole: its files are not listed, and the fault is that of its first such file."""
+    there = staged.select(F.regexp_extract("path", "^works/folder=([^/]+)/", 1).alias("name"), "bytes", "sha256")
+    sound = files.where("code IS NULL").join(failed.select("work_id"), "work_id", "left_anti")
+    j = sound.select("work_id", "n", "path", F.size("urls").alias("images"), _name(F.col("path")).alias("name")).join(there, "name", "left")
+    fault = F.when(F.col("sha256").isNull(), "missing-file").when(F.col("bytes") > most_bytes, "file-too-large")
+    per = j.groupBy("work_id").agg(F.array_sort(F.collect_list(F.struct("n", "path", "images", "bytes", "sha256"))).alias("e"), F.min(F.when(fault.isNotNull(), F.struct("n", fault.alias("code")))).alias("f"))
+    listed = per.where("f IS NULL").select("work_id", F.explode("e").alias("e")).select("work_id", "e.path", "e.images", "e.bytes", "e.sha256")
+    late = per.where("f IS NOT NULL").select("work_id", "f.code", F.lit(None).cast("string").alias("url"))
+    message = F.coalesce(*(F.when(F.col("code") == k, v) for k, v in MESSAGES.items()), F.col("code"))
+    wrong = failed.select("work_id", "code", "url").unionByName(late).withColumn("message", message)
+    return listed.unionByName(wrong, allowMissingColumns=True).select("work_id", "path", "images", "bytes", "sha256", "code", "message", "url")

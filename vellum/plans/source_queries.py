@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from vellum.operators import blocks as b
-from vellum.operators import images, runs
+from vellum.operators import images, publish, runs
 from vellum.plans.block_queries import BASE as BLOCK_BASE
 from vellum.plans.block_queries import blocks_of
 from vellum.plans.page_queries import BASE as PAGE_BASE
@@ -16,7 +16,7 @@ from vellum.plans.run_queries import BASE as RUN_BASE
 from vellum.plans.run_queries import Tables
 from vellum.sources import readers
 from vellum.sources.adapters import CATALOG, oracle, read, view
-from vellum.sources.scratch import fresh_folder
+from vellum.sources.scratch import fresh_folder, kept
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -98,3 +98,27 @@ def pack_assets(spark, sf):
     readers.pack_assets(pages, files, pictures).select("work_id", "n", "value").write.parquet(path)
     got = spark.read.parquet(path).withColumn("r", F.from_json("value", f"format int, work string, images array<{readers.ENTRY}>, imageParts array<string>"))
     return got.select("work_id", "n", F.size("r.images").alias("images"), F.coalesce(F.size("r.imageParts"), F.lit(0)).alias("parts"), F.sha2("r.work", 256).alias("work"))
+
+
+_told = "CASE code " + " ".join("WHEN '{}' THEN '{}'".format(k, v.replace("'", "''")) for k, v in publish.MESSAGES.items()) + " END"
+
+
+@query("asset_results", f"""{PAGE_BASE}, {PARTS}, own AS (SELECT page_id AS work_id, CAST(length(html) * CASE WHEN page_id % 6 = 1 THEN 50000 ELSE 1 END AS BIGINT) AS own FROM pages),
+  w AS (SELECT o.work_id, any_value(own) AS own, coalesce(sum(size), 0) AS size, min(p.code) AS code, coalesce(max(part), 0) AS n FROM own o LEFT JOIN parts p ON o.work_id = p.work_id GROUP BY o.work_id),
+  s AS (SELECT *, own + size > 40000000 AS split FROM w),
+  b AS (SELECT work_id, CASE WHEN f IS NOT NULL THEN f.code WHEN bytes > 70000000 THEN 'images-too-large' END AS code, f.url AS url FROM (SELECT work_id, sum(byte_length) FILTER (code IS NULL) AS bytes, min({{'url': rf.url, 'code': code}}) FILTER (code IS NOT NULL) AS f FROM rf JOIN inv USING (url) GROUP BY work_id)),
+  bad AS (SELECT * FROM (SELECT s.work_id, coalesce(b.code, CASE WHEN split THEN coalesce(s.code, CASE WHEN own > 40000000 THEN 'work-too-large' END) END) AS code, CASE WHEN b.code IS NOT NULL THEN b.url END AS url FROM s LEFT JOIN b USING (work_id)) WHERE code IS NOT NULL),
+  a AS (SELECT work_id, split, unnest(generate_series(0, CASE WHEN split THEN n ELSE 0 END)) AS n FROM s WHERE work_id NOT IN (SELECT work_id FROM bad))
+  SELECT work_id, 'works/' || lpad(CAST(work_id AS STRING), 6, '0') || CASE WHEN n > 0 THEN '.images-' || n ELSE '' END || '.json.gz' AS path, CAST((SELECT count(*) FROM parts p WHERE p.work_id = a.work_id AND (NOT split OR p.part = a.n)) AS INT) AS images, true AS stored, NULL AS code, NULL AS message, NULL AS url FROM a
+  UNION ALL SELECT work_id, NULL, NULL, NULL, code, {_told}, url FROM bad""")
+def asset_results(spark, sf):
+    """Pages with their pictures, written as a release's compressed files, and what is told of each file and failed work."""
+    pages, refs, known, root = read(spark, sf, "pages").select(F.col("page_id").alias("work_id"), F.col("html").alias("json")), _refs(spark, sf), _inventory(spark, sf), fresh_folder(spark)
+    own = pages.select("work_id", (F.char_length("json") * F.when(F.col("work_id") % 6 == 1, 50_000).otherwise(1)).cast("long").alias("own"))
+    files = kept(images.asset_files(own.join(images.split_parts(refs, known, 40_000_000), "work_id", "left"), 40_000_000))
+    failed = kept(publish.failed_works(images.image_budget(refs, known, 70_000_000), files))
+    pictures = refs.join(known.where("code IS NULL"), "url").select("work_id", "url", "mime", "width", "height", F.lit("QQ==").alias("data"))
+    attempt = publish.stage_assets(readers.pack_assets(pages, files.join(failed.select("work_id"), "work_id", "left_anti"), pictures), root)
+    got = publish.asset_results(publish.staged_files(spark, root, attempt), files, failed)
+    stored = (F.col("bytes") > 0) & (F.char_length("sha256") == 64)
+    return got.select("work_id", "path", "images", stored.alias("stored"), "code", "message", "url")

@@ -61,7 +61,8 @@ NOTES = {
 
 
 def note_kind(inner: Column) -> Column:
-    return F.coalesce(*(F.when(inner.rlike(p), k) for k, p in NOTES.items()), F.lit("unknown"))
+    # most lines are no note, and no form of a note is empty
+    return F.when(inner == "", "unknown").otherwise(F.coalesce(*(F.when(inner.rlike(p), k) for k, p in NOTES.items()), F.lit("unknown")))
 
 
 def named(label: Column, names: dict[str, str]) -> Column:
@@ -108,25 +109,43 @@ def ruby_pairs(tokens: DataFrame) -> DataFrame:
 def gaiji_refs(tokens: DataFrame, host: str = "https://library.example") -> DataFrame:
     """(work_id, no, token_no, description, url, character, code): a picture by plane, row and cell; a character by
     code point; neither for a page and line alone; anything else is ``unknown-notation``."""
-    g = tokens.where("kind = 'gaiji'").withColumn("parts", F.split("text", "、"))
     jis = "^(?:第([34])水準)?([0-9])-([0-9]{1,2})-([0-9]{1,2})$"
-    last = F.element_at("parts", -1)
-    level, plane, row, cell = (F.coalesce(F.expr(f"try_cast(regexp_extract(element_at(parts, -1), '{jis}', {i}) AS INT)"), F.lit(0)) for i in range(1, 5))
-    codes = F.filter("parts", lambda p: p.rlike("^U\\+[0-9A-F]{4,6}$"))
-    many = F.size(codes) + F.size(F.filter("parts", lambda p: p.rlike(jis))) > 1
-    fits = plane.isin(1, 2) & ((level == 0) | (level == plane + 2)) & row.between(1, 94) & cell.between(1, 94)
-    point = F.conv(F.substring(F.get(codes, F.lit(0)), 3, 6), 16, 10).cast("long")
-    sound = (point <= 0x10FFFF) & ~point.between(0xD800, 0xDFFF)
-    char = F.when(sound, F.decode(F.unhex(F.lpad(F.substring(F.get(codes, F.lit(0)), 3, 6), 8, "0")), "UTF-32"))
-    bare = (F.size("parts") == 2) & (F.get("parts", F.lit(0)) != "") & last.rlike("^[0-9]+-[0-9]+$")
     two = lambda n: F.lpad(n.cast("string"), 2, "0")
-    url = F.concat(F.lit(f"{host}/gaiji/"), plane.cast("string"), F.lit("-"), two(row), F.lit("/"), plane.cast("string"), F.lit("-"), two(row), F.lit("-"), two(cell), F.lit(".png"))
-    picture, letter = ~many & last.rlike(jis) & fits, ~many & ~last.rlike(jis) & (F.size(codes) == 1) & F.coalesce(~is_blank(char), F.lit(False))
-    return g.select("work_id", "no", "token_no", F.col("text").alias("description"), F.when(picture, url).alias("url"), F.when(letter, char).alias("character"), F.when(~picture & ~letter & ~bare, "unknown-notation").alias("code"))
+
+    def read(parts: Column) -> Column:
+        last = F.element_at(parts, -1)
+        numbers = {name: F.coalesce(F.regexp_extract(last, jis, i).try_cast("int"), F.lit(0)).alias(name) for i, name in enumerate(("level", "plane", "row", "cell"), 1)}
+        codes = F.filter(parts, lambda p: p.rlike("^U\\+[0-9A-F]{4,6}$"))
+        many = F.size(codes) + F.size(F.filter(parts, lambda p: p.rlike(jis))) > 1
+        bare = (F.size(parts) == 2) & (F.get(parts, F.lit(0)) != "") & last.rlike("^[0-9]+-[0-9]+$")
+        return F.struct(*numbers.values(), last.rlike(jis).alias("placed"), F.get(codes, F.lit(0)).alias("point"), F.size(codes).alias("points"), many.alias("many"), bare.alias("bare"))
+
+    def told(x: Column) -> Column:
+        fits = x["plane"].isin(1, 2) & ((x["level"] == 0) | (x["level"] == x["plane"] + 2)) & x["row"].between(1, 94) & x["cell"].between(1, 94)
+        point = F.conv(F.substring(x["point"], 3, 6), 16, 10).cast("long")
+        sound = (point <= 0x10FFFF) & ~point.between(0xD800, 0xDFFF)
+        char = F.when(sound, F.decode(F.unhex(F.lpad(F.substring(x["point"], 3, 6), 8, "0")), "UTF-32"))
+        plane = x["plane"].cast("string")
+        url = F.concat(F.lit(f"{host}/gaiji/"), plane, F.lit("-"), two(x["row"]), F.lit("/"), plane, F.lit("-"), two(x["row"]), F.lit("-"), two(x["cell"]), F.lit(".png"))
+        picture, letter = ~x["many"] & x["placed"] & fits, ~x["many"] & ~x["placed"] & (x["points"] == 1) & F.coalesce(~is_blank(char), F.lit(False))
+        return F.struct(F.when(picture, url).alias("url"), F.when(letter, char).alias("character"), F.when(~picture & ~letter & ~x["bare"], "unknown-notation").alias("code"))
+
+    # a lambda's variable holds what is read of a glyph, as every rule asks for it again
+    each = F.transform(F.transform(F.array(F.split("text", "、")), read), told)[0]
+    return tokens.where("kind = 'gaiji'").select("work_id", "no", "token_no", F.col("text").alias("description"), *(each[c].alias(c) for c in ("url", "character", "code")))
+
+
+def _signs(tokens: DataFrame) -> DataFrame:
+    """The tokens that may be faults, without texts and bars; note and before are those of notes_of."""
+    before = visible_text(F.expr("substring(line, 1, CAST(at AS INT))"))
+    of_note = lambda c: F.when(F.col("kind") == "note", c)
+    return tokens.where(F.col("kind").isin("note", "gaiji", "ruby", "unclosed")).withColumn("note", of_note(note_kind(F.col("text")))).withColumn("before", of_note(before))
 
 
 def notes_of(tokens: DataFrame) -> DataFrame:
     """The note tokens with what they are and the visible text before them on their line."""
+    if "before" in tokens.columns:  # signs, which are told already
+        return tokens.where("kind = 'note'").select("work_id", "no", "token_no", "col", "at", "line", F.col("text").alias("inner"), "note", "before")
     before = visible_text(F.expr("substring(line, 1, CAST(at AS INT))"))
     return tokens.where("kind = 'note'").select("work_id", "no", "token_no", "col", "at", "line", F.col("text").alias("inner"), note_kind(F.col("text")).alias("note"), before.alias("before"))
 
@@ -302,7 +321,8 @@ def section_faults(lines: DataFrame) -> DataFrame:
 
 def _section_places(lines: DataFrame) -> DataFrame:
     dash = F.col("line").rlike("^-{20,}$")
-    dashes = lines.groupBy("work_id").agg(F.array_sort(F.collect_list(F.when(dash, F.col("no")))).alias("d"), F.collect_list(F.when(trimmed("line") == LEGEND, F.col("no"))).alias("legend"), F.array_sort(F.collect_list(F.when(trimmed("line") == END_MARK, F.col("no")))).alias("ends"), F.array_sort(F.collect_list(F.when(F.startswith("line", F.lit(BASE_MARK)), F.col("no")))).alias("bases"))
+    is_mark = lambda mark: F.contains("line", F.lit(mark)) & (trimmed("line") == mark)
+    dashes = lines.groupBy("work_id").agg(F.array_sort(F.collect_list(F.when(dash, F.col("no")))).alias("d"), F.collect_list(F.when(is_mark(LEGEND), F.col("no"))).alias("legend"), F.array_sort(F.collect_list(F.when(is_mark(END_MARK), F.col("no")))).alias("ends"), F.array_sort(F.collect_list(F.when(F.startswith("line", F.lit(BASE_MARK)), F.col("no")))).alias("bases"))
     second = F.get("d", F.lit(1))
     after = lambda c: F.filter(c, lambda n: n > F.col("second"))
     p = dashes.withColumn("second", second).withColumn("legend_ok", F.array_contains("legend", F.get("d", F.lit(0)) + 1)).withColumn("ends", after("ends")).withColumn("bases", after("bases"))
@@ -330,12 +350,23 @@ def attach_captions(lines: DataFrame) -> DataFrame:
 def placed_captions(rows: DataFrame) -> DataFrame:
     """(work_id, figure_no, no, col, caption, code) from laid_out's rows: captions, by a note after their text or between two notes, with the
     figure's line directly before. Captions elsewhere, in a layout, or with text around them are faults."""
+    return _told_captions(_with_figures(rows).where(_captioned()))
+
+
+def _captioned() -> Column:
+    return F.regexp_extract("line", "［＃([^］]*)］$", 1).rlike(NOTES["caption"]) | F.contains("line", F.lit("［＃キャプション］"))
+
+
+def _with_figures(rows: DataFrame) -> DataFrame:
+    """laid_out's rows with the line before each: its number, and whether it is a figure's."""
     order = Window.partitionBy("work_id").orderBy("no")
-    figure = F.coalesce(F.lag(F.col("line").rlike(FIGURE)).over(order), F.lit(False))
-    j = rows.withColumn("last", F.regexp_extract("line", "［＃([^］]*)］$", 1)).withColumn("figure", figure).withColumn("figure_no", F.lag("no").over(order))
-    trailing, pair = F.col("last").rlike(NOTES["caption"]), F.contains("line", F.lit("［＃キャプション］"))
+    return rows.withColumn("figure", F.coalesce(F.lag(F.col("line").rlike(FIGURE)).over(order), F.lit(False))).withColumn("figure_no", F.lag("no").over(order))
+
+
+def _told_captions(rows: DataFrame) -> DataFrame:
+    j = rows.withColumn("last", F.regexp_extract("line", "［＃([^］]*)］$", 1))
+    pair = F.contains("line", F.lit("［＃キャプション］"))
     whole = "^［＃キャプション］(.*)［＃キャプション終わり］(.*)$"
-    j = j.where(trailing | pair)
     laid = F.col("layout").isNotNull() | F.col("own_layout").isNotNull()
     code = F.when(pair & F.startswith("line", F.lit("［＃キャプション］")) & ~F.col("line").rlike(whole), "unclosed-notation").when(laid | ~F.col("figure") | (pair & (~F.col("line").rlike(whole) | ~is_blank(F.regexp_extract("line", whole, 2)))), "unsupported-construct")
     caption = F.when(pair, visible_text(F.regexp_extract("line", whole, 1))).otherwise(F.regexp_extract("last", NOTES["caption"], 1))
@@ -371,26 +402,28 @@ MESSAGES = {
 def line_faults(lines: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     """(work_id, line, column, code): all faults of notation in annotated lines, for first_failure: signs without their other
     half, glyphs, readings, pairs of notes, emphasis, containers, headings, layouts, ranges, captions, unknown notes and
-    accents. tokens: the lines' tokens, which are read more than once, if they are a table already.
+    accents. tokens: the lines' tokens, if they are there already. Notes are told apart once, and these are a table.
 
     A fault of a note stands at the note; what a line's leading notes or a range do wrong, at the line's start."""
-    tokens = tokenize_lines(lines) if tokens is None else tokens
-    notes = notes_of(tokens)
+    signs = kept(_signs(tokenize_lines(lines) if tokens is None else tokens))
+    notes = notes_of(signs)
     place = lambda df, col: df.where("code IS NOT NULL").select("work_id", F.col("no").alias("line"), col.cast("long").alias("column"), "code")
-    unclosed = tokens.where("kind = 'unclosed'").withColumn("code", F.lit("unclosed-notation"))
-    glyphs = gaiji_refs(tokens).where("code IS NOT NULL").join(tokens.select("work_id", "no", "token_no", "col"), ["work_id", "no", "token_no"])
-    rows = laid_out(lines)
+    unclosed = signs.where("kind = 'unclosed'").withColumn("code", F.lit("unclosed-notation"))
+    glyphs = gaiji_refs(signs).where("code IS NOT NULL").join(signs.where("kind = 'gaiji'").select("work_id", "no", "token_no", "col"), ["work_id", "no", "token_no"])
+    # one pass over the lines' layouts; only lines with a fault or a caption are kept
+    rows = kept(_with_figures(laid_out(lines)).where(F.col("own_code").isNotNull() | F.col("code").isNotNull() | _captioned()))
     # a line's own layout and its part in a range are both told by one row
     ranges = rows.select("work_id", "no", F.explode(F.array("own_code", "code")).alias("code"), F.lit(0).alias("col"))
     # a pair that isn't closed is told by span_pairs, at the note that breaks the order
     mine = ~((F.col("form") == "pair") & (F.col("code") == "unclosed-notation"))
-    spans = (*(df.where(mine) for df in (_spans(notes, "emphasis", DOTS), _spans(notes, "container", CONTAINERS), placed_headings(notes))), placed_captions(rows))
-    faulty = (unclosed, glyphs, ruby_pairs(tokens), span_pairs(notes), ranges, *spans)
+    spans = (*(df.where(mine) for df in (_spans(notes, "emphasis", DOTS), _spans(notes, "container", CONTAINERS), placed_headings(notes))), _told_captions(rows.where(_captioned())))
+    faulty = (unclosed, glyphs, ruby_pairs(signs), span_pairs(notes), ranges, *spans)
     return reduce(DataFrame.unionByName, (place(df, F.col("col")) for df in faulty), unknown_notation(notes, lines))
 
 
 def work_faults(lines: DataFrame) -> DataFrame:
     """The same of whole texts: a work without its sections has that fault, at line -1; of the others the body's lines count."""
-    body = kept(lines.join(split_sections(lines).where("section = 'body'").select("work_id", "no"), ["work_id", "no"]))
-    whole = section_faults(lines).select("work_id", F.lit(-1).alias("line"), F.lit(0).cast("long").alias("column"), "code")
-    return line_faults(body, kept(tokenize_lines(body))).unionByName(whole)
+    places = kept(_section_places(lines))
+    body = kept(lines.join(places.where("code IS NULL").select("work_id", "second", "stop"), "work_id").where("no > second AND no < stop").select(*lines.columns))
+    whole = places.where("code IS NOT NULL").select("work_id", F.lit(-1).alias("line"), F.lit(0).cast("long").alias("column"), "code")
+    return line_faults(body).unionByName(whole)

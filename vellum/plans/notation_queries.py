@@ -226,13 +226,13 @@ _first = lambda faults: f"""SELECT work_id, f.line, f."column", f.code, {_case('
 @query("first_failure", _first(FAULTS))
 def first_failure(spark, sf):
     lines = kept(_marked(spark, sf))
-    return runs.first_failure(n.line_faults(lines, kept(n.tokenize_lines(lines))), n.MESSAGES)
+    return runs.first_failure(n.line_faults(lines), n.MESSAGES)
 
 
 @query("line_faults", f"SELECT work_id, line, \"column\", code, count(*) AS times FROM ({FAULTS}) GROUP BY ALL")
 def line_faults(spark, sf):
     lines = kept(_marked(spark, sf))
-    return n.line_faults(lines, kept(n.tokenize_lines(lines))).groupBy("work_id", "line", "column", "code").agg(F.count(F.lit(1)).alias("times"))
+    return n.line_faults(lines).groupBy("work_id", "line", "column", "code").agg(F.count(F.lit(1)).alias("times"))
 
 
 @query("work_failures", _first(FAULTS + " UNION ALL SELECT work_id, -1, 0, code FROM pl WHERE code IS NOT NULL"))

@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from vellum.functions.text import is_blank, is_calendar_date
 from vellum.operators.images import HOST
+from vellum.sources.scratch import kept
 
 VERSION, DEPTH, SIDE, CHARS = 1, 8, 10_000, 200
 # What a document may hold.
@@ -157,9 +158,8 @@ def _kind_of(m: Column, path: Column, kind: Column, fields: dict) -> Column:
     return F.coalesce(_fault(m.isNotNull(), path, "not an object"), _fault(kind.isin(*fields), _under(path, "kind"), "unknown kind"), _only(m, path, F.try_element_at(_table(fields), kind)))
 
 
-def _layout(m: Column, path: Column) -> Column:
-    own, at = _object(_field(m, "layout")), _under(path, "layout")
-    kind = _string(_field(own, "kind"))
+def _layout(path: Column) -> Column:
+    own, kind, at = F.col("layout"), F.col("layout_kind"), _under(path, "layout")
     rules = (
         F.when(kind == "indent", _number(own, at, "chars", 1, CHARS)).when(kind == "end", _number(own, at, "inset", 0, CHARS))
         .when(kind == "hanging", F.coalesce(_number(own, at, "indent", 1, CHARS), _number(own, at, "first", 0, CHARS)))
@@ -229,10 +229,11 @@ def _header(m: Column) -> list[tuple[int, Column]]:
 def _block(m: Column, path: Column, kind: Column) -> list[tuple[int, Column]]:
     identified = F.when(kind.isin("paragraph", "heading", "figure"), _text(m, path, "id"))
     own = (
-        F.when(kind == "paragraph", _layout(m, path)).when(kind == "heading", F.coalesce(_one_of(m, path, "level", LEVELS), _layout(m, path)))
+        F.when(kind == "heading", _one_of(m, path, "level", LEVELS))
         .when(kind == "figure", F.coalesce(_picture(m, path, PLATE), _text(m, path, "alt", empty=True), _sizes(m, path)))
         .when(kind == "pageBreak", _one_of(m, path, "style", BREAK_STYLES))
     )
+    own = F.coalesce(own, F.when(kind.isin("paragraph", "heading"), _layout(path)))
     held = F.when(kind == "figure", _filled(m, path, "caption", empty=True)).when(kind.isin("paragraph", "heading"), _filled(m, path, "inline", empty=True))
     return [(0, F.coalesce(_kind_of(m, path, kind, BLOCK_FIELDS), identified, own)), (LIST, held)]
 
@@ -256,26 +257,40 @@ def _nodes_of(items: Column, at: Column, path: Column, depth: Column, ruby: Colu
     return F.transform(items, lambda v, i: F.struct(F.concat(at, F.array(F.lit(place), i)).alias("at"), step(i).alias("path"), depth.alias("depth"), ruby.alias("ruby"), v.alias("v")))
 
 
+def _all_under(nodes: Column, depth: int) -> Column:
+    """Nodes of a depth, and after each all that it holds, to one level more than may be."""
+    if depth > DEPTH:
+        return nodes
+
+    def held(n: Column) -> Column:
+        kind = F.try_variant_get(n["v"], "$.kind", "string")
+        items = F.when(kind == "ruby", F.try_variant_get(n["v"], "$.base", "array<variant>")).when(kind.isin("emphasis", "size", *PLAIN_CONTAINERS), F.try_variant_get(n["v"], "$.children", "array<variant>"))
+        path = F.concat(n["path"], F.when(kind == "ruby", ".base").otherwise(".children"))
+        return _nodes_of(items, n["at"], path, F.lit(depth + 1), F.when(kind == "ruby", n["path"]).otherwise(n["ruby"]))
+
+    return F.flatten(F.transform(nodes, lambda n: F.concat(F.array(n), F.coalesce(_all_under(held(n), depth + 1), _no_nodes()))))
+
+
+def _no_nodes() -> Column:
+    return F.array().cast("array<struct<at:array<int>,path:string,depth:int,ruby:string,v:variant>>")
+
+
 def _flattened(docs: DataFrame) -> DataFrame:
     """(work_id, folder, at, path, depth, ruby, v): the work at depth -1, its blocks at 0, inline nodes from 1 on.
 
-    One generator after the other, each a node and its children, so that nodes are made in one pass without exchange."""
+    One generator gives the blocks, and one a block and all its inline nodes, so that nodes are made in one pass without exchange."""
     none, no_ruby = F.array().cast("array<int>"), F.lit(None).cast("string")
     root = F.struct(none.alias("at"), F.lit("$").alias("path"), F.lit(-1).alias("depth"), no_ruby.alias("ruby"), F.col("v").alias("v"))
     blocks = _nodes_of(F.try_variant_get("v", "$.blocks", "array<variant>"), none, F.lit("$.blocks"), F.lit(0), no_ruby, 3)
     folder = F.regexp_extract(F.coalesce(F.try_variant_get("v", "$.provenance.source.fileUrl", "string"), F.lit("")), FILE, 1)
-    empty = F.array().cast("array<struct<at:array<int>,path:string,depth:int,ruby:string,v:variant>>")
     # read before the generator: above it, the whole document would be read again for each block
-    first = docs.select("work_id", folder.alias("folder"), F.concat(F.array(root), F.coalesce(blocks, empty)).alias("nodes"))
+    first = docs.select("work_id", folder.alias("folder"), F.concat(F.array(root), F.coalesce(blocks, _no_nodes())).alias("nodes"))
     rows = first.select("work_id", "folder", F.explode("nodes").alias("n")).select("work_id", "folder", "n.*")
-    for depth in range(DEPTH + 1):
-        kind = F.try_variant_get("v", "$.kind", "string")
-        keys = {"inline": kind.isin("paragraph", "heading"), "caption": kind == "figure"} if depth == 0 else {"base": kind == "ruby", "children": kind.isin("emphasis", "size", *PLAIN_CONTAINERS)}
-        under = F.when(kind == "ruby", F.col("path")).otherwise(F.col("ruby")) if depth else F.col("ruby")
-        held = [F.when(held & (F.col("depth") == depth), _nodes_of(F.try_variant_get("v", f"$.{key}", "array<variant>"), F.col("at"), _under(F.col("path"), key), F.lit(depth + 1), under)) for key, held in keys.items()]
-        own = F.array(F.struct(*NODE))
-        rows = rows.select("work_id", "folder", F.explode(F.concat(own, F.coalesce(*held, empty))).alias("n")).select("work_id", "folder", "n.*")
-    return rows
+    kind = F.try_variant_get("v", "$.kind", "string")
+    of_block = lambda key: _nodes_of(F.try_variant_get("v", f"$.{key}", "array<variant>"), F.col("at"), _under(F.col("path"), key), F.lit(1), F.col("ruby"))
+    inline = F.when(F.col("depth") == 0, F.when(kind.isin("paragraph", "heading"), of_block("inline")).when(kind == "figure", of_block("caption")))
+    own = F.array(F.struct(*NODE))
+    return rows.select("work_id", "folder", F.explode(F.concat(own, F.coalesce(_all_under(inline, 1), _no_nodes()))).alias("n")).select("work_id", "folder", "n.*")
 
 
 def document_faults(texts: DataFrame) -> DataFrame:
@@ -305,14 +320,16 @@ def document_faults(texts: DataFrame) -> DataFrame:
         F.when((level == 1) & F.col("ruby").isNotNull() & seen, fact("shows", F.col("ruby"), place(0), F.lit(None))),
         F.when((level >= 0) & kind.isin("figure", "image") & (shown != F.col("folder")), fact("fault", path, agreed(9), told(_under(path, "image", "url"), "not a file of this work"))),
     ]
-    # a node's object and kind are read once, before the rules
-    rows = nodes.withColumn("m", _object(F.col("v"))).withColumn("kind", _string(_field(F.col("m"), "kind"))).select("work_id", F.explode(F.array_compact(F.array(*facts))).alias("f")).select("work_id", "f.*")
+    # a node's object, kind and layout are read once, before the rules
+    read = nodes.withColumn("m", _object(F.col("v"))).withColumn("kind", _string(_field(F.col("m"), "kind")))
+    read = read.withColumn("layout", F.when((depth == 0) & kind.isin("paragraph", "heading"), _object(_field(m, "layout")))).withColumn("layout_kind", _string(_field(F.col("layout"), "kind")))
+    rows = read.select("work_id", F.explode(F.array_compact(F.array(*facts))).alias("f")).select("work_id", "f.*")
     same = Window.partitionBy("work_id", "name")
     ranked = rows.withColumn("n", F.row_number().over(same.orderBy("what", "at"))).withColumn("shown", F.max(F.col("what") == "shows").over(same))
     # an ID's name holds IDs alone, so its rows are numbered by place
     broken = (F.col("what") == "fault") | ((F.col("what") == "id") & (F.col("n") > 1) & F.col("name").isNotNull()) | ((F.col("what") == "needs") & ~F.col("shown"))
     invalid = ranked.where(broken).groupBy("work_id").agg(F.min(F.struct("at", "fault")).alias("x")).select("work_id", F.lit("invalid").alias("code"), "x.fault.path", "x.fault.message")
-    unread = parsed.withColumn("code", code).where("code IS NOT NULL").groupBy("work_id").agg(F.min("code").alias("code"))
+    unread = kept(parsed.withColumn("code", code).where("code IS NOT NULL").groupBy("work_id").agg(F.min("code").alias("code")))
     whole = F.when(F.col("code") == "invalid", "not an object")
     told_whole = unread.select("work_id", "code", F.when(F.col("code") == "invalid", "$").alias("path"), whole.alias("message"))
     return reduce(DataFrame.unionByName, [told_whole, invalid.join(unread.select("work_id"), "work_id", "left_anti")])

@@ -15,8 +15,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.sources.scratch import kept
-
 SUMS = "file string, at bigint, quotes bigint, outside bigint, inside bigint"
 FRAGMENT = "row_no bigint, at bigint, whole boolean, head boolean, record string"
 FIELD = r'(?:"(?:[^"]++|"")*+"|[^",\n]*+)'
@@ -71,6 +69,16 @@ def _scan(sums: list[tuple]) -> dict[tuple[str, int], tuple[bool, int, int]]:
     return out
 
 
+def _broken(states: dict[tuple[str, int], tuple[bool, int, int]]) -> list[tuple[str, int]]:
+    """The ranges that begin inside a record, and those before them, where it is that begins or goes on."""
+    found, last = set(), None
+    for key in sorted(states):
+        if states[key][0]:
+            found |= {key, last}
+        last = key
+    return sorted(found)
+
+
 def _checked(record: str) -> str:
     if '"' in record and not RECORD.fullmatch(record):
         raise ValueError(f"a quote stands inside of a field: {record[:200]}")
@@ -87,11 +95,13 @@ def csv_records(spark: SparkSession, path: str) -> DataFrame:
     and of places in them; head marks each file's first. Empty lines outside of quotes are none. Line ends inside quotes,
     of any kind, become line feeds. A quote that a file doesn't close, or one inside of a field, raises.
 
-    A record that goes over the end of its range is put together from its parts; only those parts are shuffled. The
-    driver holds a row for each range (spark.sql.files.maxPartitionBytes), as Spark's own list of them does.
+    A record that goes over the end of its range is put together from its parts; only those parts are shuffled, and only the
+    ranges that have one are read again for them. The driver holds a row for each range
+    (spark.sql.files.maxPartitionBytes), as Spark's own list of them does.
     """
     lines = _lines(spark, path)
-    states = spark.sparkContext.broadcast(_scan([tuple(r) for r in lines.mapInArrow(_sums, SUMS).collect()]))
+    scanned = _scan([tuple(r) for r in lines.mapInArrow(_sums, SUMS).collect()])
+    states = spark.sparkContext.broadcast(scanned)
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, row, first, inside, whole = None, [], 0, 0, False, True
@@ -126,7 +136,11 @@ def csv_records(spark: SparkSession, path: str) -> DataFrame:
                 _checked(record)
             yield batch
 
-    found = kept(lines.mapInArrow(parts, FRAGMENT))
-    cut = found.where("NOT whole").groupBy("row_no", "head").agg(F.array_sort(F.collect_list(F.struct("at", "record"))).alias("p"))
+    whole = lines.mapInArrow(parts, FRAGMENT).where("whole").select("row_no", "head", "record")
+    broken = _broken(scanned)
+    if not broken:
+        return whole
+    some = F.broadcast(spark.createDataFrame(broken, "file string, at bigint"))
+    cut = lines.join(some, ["file", "at"]).select("file", "at", "value").mapInArrow(parts, FRAGMENT).where("NOT whole").groupBy("row_no", "head").agg(F.array_sort(F.collect_list(F.struct("at", "record"))).alias("p"))
     cut = cut.select("row_no", "head", F.array_join(F.transform("p", lambda x: x["record"]), "\n").alias("record")).mapInArrow(check, "row_no bigint, head boolean, record string")
-    return found.where("whole").select("row_no", "head", "record").unionAll(cut)
+    return whole.unionAll(cut)
